@@ -190,3 +190,16 @@ def classify(docs: DataFrame, model: Model, folds: int = 5, cutoff: float = 0.3)
     held = F.coalesce(crc32_mod(F.col("doc_id"), folds) == 0, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(score, _SCORED)
+
+
+def keep(docs: DataFrame, model: Model, cutoff: float = 0.3) -> DataFrame:
+    """The rows of docs whose text scores cutoff or more, with all their columns."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        memo = ShapeMemo()
+        for batch in batches:
+            yield batch.filter(pa.array(shared.value.scores(texts_of(batch), memo) >= cutoff))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -9,6 +9,31 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 
+def op1_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ppm import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
+def op2_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .risk_rules import judge
+
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .skip_chain import find, learn
+
+    docs = table(spark, sf_dir, "documents")
+    return find(docs, learn(docs))
+
+
+def op4_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dup import link
+
+    return link(table(spark, sf_dir, "documents"), size=2)
+
+
 def op6_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .positional_index import contamination
 
@@ -43,5 +68,5 @@ def op10_nb_svm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op6_positional_decontamination, op7_warc_store, op8_bit_packed_tokens, op9_pattern_packing, op10_nb_svm_quality)
+    for f in (op1_ppm_scores, op2_risk_controlled_rules, op3_skip_chain_pii, op4_tensored_minhash, op6_positional_decontamination, op7_warc_store, op8_bit_packed_tokens, op9_pattern_packing, op10_nb_svm_quality)
 }
