@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import os
 import re
+from bisect import bisect_right
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 
@@ -19,6 +21,8 @@ import numpy as np
 _CUT = re.compile(r"(?<=\S) ")
 #: How a byte-level vocabulary writes the blank.
 BLANK = "\u0120"
+#: Signs that are neither letters, digits nor white space.
+_SIGNS = ".,;:!?|#*$%&<>()"
 _ASIDE = re.compile("[\x1c-\x1f]")
 
 
@@ -53,49 +57,65 @@ class ChunkEncoder:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in found]
 
     def _learn(self, pieces: set[str]) -> None:
-        """Ids of pieces as they are after a blank; None for those after which no cut is sound."""
-        if len(self.memo) > self.half:
-            self.old, self.memo = self.memo, {}
-        todo = []
-        for p in pieces - self.memo.keys():
-            if p in self.old:
-                self.memo[p] = self.old[p]
+        """Ids of pieces as they are after a blank; None for those after which no cut is sound.
+
+        Signs at the end of a letter or digit are a token run of their own, so "word." is "word" and "."."""
+        cut, todo = [], set()
+        for p in pieces:
+            if (ids := self.old.get(p, self)) is not self:
+                self.memo[p] = ids
             elif not p or p[-1].isspace():
                 self.memo[p] = None
+            elif (core := p.rstrip(_SIGNS)) != p and core and core[-1].isalnum():
+                cut.append((p, core, p[len(core) :]))
+                if core not in self.memo:
+                    if core in self.old:
+                        self.memo[core] = self.old[core]
+                    else:
+                        todo.add(core)
             else:
-                todo.append(p)
+                todo.add(p)
         # many pieces in one text: a token that starts with a blank starts the next piece
-        groups = [todo[i : i + 200] for i in range(0, len(todo), 200)]
-        for group, raw in zip(groups, self._whole(["".join(f" {p}" for p in g) for g in groups])):
-            ids = np.frombuffer(raw, dtype="<u4")
-            at = np.flatnonzero(self.starts[ids])
+        words = list(todo)
+        groups = [words[i : i + 400] for i in range(0, len(words), 400)]
+        for group, raw in zip(groups, self._whole([f" {' '.join(g)}" for g in groups])):
+            at = np.flatnonzero(self.starts[np.frombuffer(raw, dtype="<u4")])
             if len(at) == len(group) and at[0] == 0:
-                ends = [*(at[1:] * 4).tolist(), len(raw)]
-                self.memo.update((p, raw[s:e]) for p, s, e in zip(group, (at * 4).tolist(), ends))
+                cuts = [*(at * 4).tolist(), len(raw)]
+                self.memo.update(zip(group, [raw[s:e] for s, e in zip(cuts, cuts[1:])]))
             else:
                 self.memo.update(zip(group, self._whole([f" {p}" for p in group])))
+        for p, core, tail in cut:
+            self.memo[p] = self.memo[core] + self._odd_chunk(tail)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         whole = [i for i, t in enumerate(texts) if any(s in t for s in self.special) or _ASIDE.search(t)]
         apart = set(whole)
-        rest = [[] if i in apart else t.split(" ") for i, t in enumerate(texts)]
-        head = [r.pop(0) if r else "" for r in rest]
-        self._learn(set().union(*rest))
+        head, flat, ends = [], [], []
+        for i, t in enumerate(texts):
+            first, *pieces = ("",) if i in apart else t.split(" ")
+            head.append(first)
+            flat += pieces
+            ends.append(len(flat))
+        if len(self.memo) > self.half:
+            self.old, self.memo = self.memo, {}
+        ids = list(map(self.memo.get, flat, repeat(self)))
+        if missing := [k for k, x in enumerate(ids) if x is self]:
+            self._learn({flat[k] for k in missing})
+            for k in missing:
+                ids[k] = self.memo[flat[k]]
+        odd = {bisect_right(ends, k) for k, x in enumerate(ids) if x is None}
         out: list[bytes] = [b""] * len(texts)
-        get = self.memo.__getitem__
-        for i, (first, pieces) in enumerate(zip(head, rest)):
-            if not pieces:
-                continue
-            ids = list(map(get, pieces))
-            if first and not first[-1].isspace() and None not in ids:
-                out[i] = b"".join(ids)
-            else:
+        for i, (first, a, b) in enumerate(zip(head, [0, *ends], ends)):
+            if i in odd or b > a and (not first or first[-1].isspace()):
                 head[i], *more = _CUT.split(texts[i])
                 out[i] = b"".join(self._odd_chunk(" " + c) for c in more)
-        for i, ids in enumerate(self._whole(head)):
-            out[i] = ids + out[i]
-        for i, ids in zip(whole, self._whole([texts[i] for i in whole])):
-            out[i] = ids
+            else:
+                out[i] = b"".join(ids[a:b])
+        for i, found in enumerate(self._whole(head)):
+            out[i] = found + out[i]
+        for i, found in zip(whole, self._whole([texts[i] for i in whole])):
+            out[i] = found
         return out
 
     def _odd_chunk(self, chunk: str) -> bytes:
