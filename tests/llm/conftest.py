@@ -30,3 +30,12 @@ def odd_docs(spark):
 @pytest.fixture(scope="session")
 def no_docs(spark):
     return spark.createDataFrame([], DOCS)
+
+
+@pytest.fixture(scope="session")
+def tok():
+    from tokenizers import Tokenizer
+
+    from stratagrid.llm.encoding import default_tokenizer
+
+    return Tokenizer.from_file(default_tokenizer())

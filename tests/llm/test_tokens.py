@@ -10,13 +10,6 @@ from stratagrid.llm.packing import pack_documents, patterns, plan
 from stratagrid.llm.token_file import Segment, bits_for, pack, read_segments, segment, unpack, write_segments
 
 
-@pytest.fixture(scope="module")
-def tok():
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(default_tokenizer())
-
-
 def ids_of(tok, text):
     return tok.encode(text or "", add_special_tokens=False).ids + [2]
 
