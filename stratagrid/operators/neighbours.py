@@ -44,12 +44,14 @@ def nearest(points: DataFrame, others: DataFrame, k: int, radius: float, key: st
     reach = widest or (2.0 * sum(v for v in box if v is not None) + radius)
     own = points.join(others.select(key), key, "left_semi").select(key).limit(1).count()
     left, out = points, None
+    if available - own < k:
+        radius = reach
     while True:
         pairs = within(left, others, radius, key)
         w = Window.partitionBy("point").orderBy("d2", "other")
         ranked = durable(pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k), "nearest")
         full = ranked.where(F.col("rank") == k).select(F.col("point").alias(key))
-        last = radius >= reach or available - own < k
+        last = radius >= reach
         found = ranked if last else ranked.join(full.withColumnRenamed(key, "point"), "point", "left_semi")
         out = found if out is None else out.unionByName(found)
         if last:
