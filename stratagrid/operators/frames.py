@@ -35,6 +35,11 @@ def valid_pixels(pixels: DataFrame, depth: str = "depth", conf: str = "conf", mo
     return pixels.where(g.valid_depth(depth, conf, most, least_conf))
 
 
+def with_colour(pixels: DataFrame, image: DataFrame, on: tuple[str, ...] = ("frame_id", "u", "v")) -> DataFrame:
+    """Pixels with the colours (r, g, b from 0 to 255) of the image pixels at the same place, as 0 to 1."""
+    return pixels.join(image.select(*on, *((F.col(c) / 255.0).alias(c) for c in "rgb")), list(on))
+
+
 def world_points(pixels: DataFrame, poses: DataFrame, on: str | list[str] = "frame_id") -> DataFrame:
     """Valid pixels in world coordinates. poses has intrinsics (fx, fy, cx, cy) and twelve pose columns.
 

@@ -14,13 +14,38 @@ from ..operators import cloud, frames, mesh, planes, planning, raster
 from ..sources import rooms
 
 
-def fuse(pixels: DataFrame, poses: DataFrame, config: ScanConfig = SCAN, all_frames: bool = False, ghosts: bool = True) -> DataFrame:
+def align(points: DataFrame, config: ScanConfig = SCAN, rounds: int = 5) -> DataFrame:
+    """points(frame_id, x, y, z) with each frame registered to the cloud of the frames before it.
+
+    Frames are few and come in order, each depending on all before, so this is a loop on the driver; its
+    target is a running thinned cloud, not the whole growing one."""
+    order = [r["frame_id"] for r in points.select("frame_id").distinct().orderBy("frame_id").collect()]
+    done = running = None
+    for frame in order:
+        own = points.where(F.col("frame_id") == frame)
+        if running is not None:
+            thin = cloud.voxels(own, config.voxel).withColumn("point_id", F.xxhash64("vx", "vy", "vz")).select("point_id", "x", "y", "z")
+            target = durable(cloud.normals(running, config.normal_radius), "target")
+            pose = planes.register(durable(thin, "frame"), target, config.icp_distance, rounds)
+            m = {f"r{i}{j}": g.real(pose[i, j]) for i in range(3) for j in range(3)} | {t: g.real(pose[i, 3]) for i, t in enumerate(("tx", "ty", "tz"))}
+            own = own.withColumns(m)
+            own = own.withColumns(g.transform("x", "y", "z")).drop(*g.POSE)
+        own = durable(own, "aligned")
+        done = own if done is None else done.unionByName(own)
+        running = durable(cloud.voxels(done, config.voxel).withColumn("point_id", F.xxhash64("vx", "vy", "vz")).select("point_id", "x", "y", "z"), "running")
+    return points if done is None else done
+
+
+def fuse(pixels: DataFrame, poses: DataFrame, config: ScanConfig = SCAN, all_frames: bool = False, ghosts: bool = True, register: bool = False) -> DataFrame:
     """One cloud from the valid pixels of a scan's keyframes: back-projected, moved, thinned, de-noised.
 
-    Poses are one row for each frame. all_frames and ghosts=False give the wireframe's variant."""
+    Poses are one row for each frame. register aligns each frame to those before it. all_frames and
+    ghosts=False give the wireframe's variant."""
     used = poses if all_frames else poses.join(frames.keyframes(poses).select("scan_id", "frame_id"), ["scan_id", "frame_id"], "left_semi")
     valid = frames.valid_pixels(pixels, most=config.depth_truncation, least_conf=config.confidence)
     points = frames.world_points(valid, used, ["scan_id", "frame_id"])
+    if register:
+        points = align(durable(points, "points"), config)
     thin = durable(cloud.voxels(points, config.voxel).withColumn("point_id", F.xxhash64("vx", "vy", "vz")).select("point_id", "x", "y", "z"), "fused")
     kept = cloud.statistical_inliers(thin, config.outlier_neighbours, config.outlier_ratio, radius=4 * config.voxel)
     if ghosts:

@@ -572,8 +572,26 @@ def r10_path_overlay(spark, d):
     return planning.overlay_pixels(planned.paths.where("status = 'ok'"), meta)
 
 
+@query(f"SELECT q.frame_id, q.u, q.v, round((q.u * 4 % 256) / 255.0::DOUBLE, 6) + 0.0 AS r, round((q.v * 5 % 256) / 255.0::DOUBLE, 6) + 0.0 AS g, round((q.u + q.v) / 255.0::DOUBLE, 6) + 0.0 AS b FROM {PIXELS} q WHERE depth < 8")
+def m3_colour_lookup(spark, d):
+    seen = inputs.pixels(spark, d).where("depth < 8").select("frame_id", "u", "v")
+    image = spark.range(25 * 64 * 48).select(F.expr("id div 3072").cast("int").alias("frame_id"), F.expr("(id div 48) % 64").cast("int").alias("u"), (F.col("id") % 48).cast("int").alias("v"))
+    image = image.withColumns({"r": F.col("u") * 4 % 256, "g": F.col("v") * 5 % 256, "b": F.col("u") + F.col("v")})
+    return rounded(frames.with_colour(seen, image), "r", "g", "b")
+
+
+@query()
+def w7_aligned_frames(spark, d):
+    p = inputs.identified(spark, d)
+    shifted = p.withColumns({"x": F.col("x") + 0.01, "y": F.col("y") - 0.01})
+    both = p.withColumn("frame_id", F.lit(0)).unionByName(shifted.withColumn("frame_id", F.lit(1)))
+    from ..config import ScanConfig
+
+    return rounded(pipelines.align(both, ScanConfig(normal_radius=0.3, icp_distance=0.05), rounds=3), "x", "y", "z")
+
+
 @query()
-def p6_w7_fused_scan(spark, d):
+def p6_fused_scan(spark, d):
     pixels = inputs.pixels(spark, d).withColumn("scan_id", F.lit("s"))
     poses = inputs.poses(spark, d).withColumn("scan_id", F.lit("s"))
     return rounded(pipelines.fuse(pixels, poses, inputs_config()).select("x", "y", "z"), "x", "y", "z")
@@ -606,6 +624,14 @@ def s11_s12_ply_file(spark, d):
     return rounded(scan_files.first_cloud(spark, [path + "-none", path]), "x", "y", "z", digits=9)
 
 
+@query(f"SELECT t.face_id, {r('a.z', digits=6)} FROM {TRIANGLES} t JOIN {VERTICES} a ON a.vertex_id = t.v0")
+def s13_mesh_file(spark, d):
+    path = _fresh(spark, "mesh")
+    scan_files.write_mesh(*_field(spark, d), path)
+    v, t = scan_files.read_mesh(spark, path)
+    return rounded(t.join(v.select(F.col("vertex_id").alias("v0"), "z"), "v0").select("face_id", "z"), "z")
+
+
 @query(f"SELECT frame_id, u, v, {r('depth', 'conf')} FROM {PIXELS} WHERE frame_id IN (1, 2, 5)")
 def s6_s7_j1_depth_files(spark, d):
     path = _fresh(spark, "depth")

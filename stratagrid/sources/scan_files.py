@@ -98,6 +98,15 @@ def read_ply(spark: SparkSession, path: str) -> DataFrame:
     return body.select(*(parts[i].cast("double").alias(c) for i, c in enumerate(names)))
 
 
+def write_mesh(vertices: DataFrame, triangles: DataFrame, path: str) -> None:
+    vertices.write.mode("overwrite").parquet(f"{path}/vertices")
+    triangles.write.mode("overwrite").parquet(f"{path}/triangles")
+
+
+def read_mesh(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/vertices"), spark.read.parquet(f"{path}/triangles")
+
+
 def first_cloud(spark: SparkSession, paths: list[str]) -> DataFrame:
     """The first of several clouds that exists: coloured, filtered, raw."""
     for p in paths:
