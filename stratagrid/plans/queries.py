@@ -208,14 +208,14 @@ def a1_a6_bounds(spark, d):
     return rounded(out, *(c for c in out.columns if c != "n"))
 
 
-@query(f"SELECT {r('x', 'y', 'z')} FROM {CLOUD} WHERE z > 1.0 - 0.3 AND z < 1.0 + 0.3")
+@query(f"SELECT {r('x', 'y', 'z', digits=9)} FROM {CLOUD} WHERE z > 1.0 - 0.3 AND z < 1.0 + 0.3")
 def f3_open_slice(spark, d):
-    return rounded(cloud.open_slice(inputs.cloud(spark, d), 1.0, 0.3).select("x", "y", "z"), "x", "y", "z")
+    return rounded(cloud.open_slice(inputs.cloud(spark, d), 1.0, 0.3).select("x", "y", "z"), "x", "y", "z", digits=9)
 
 
-@query(f"SELECT {r('x', 'y', 'z')} FROM {CLOUD}, (SELECT median(z) AS m FROM {CLOUD}) WHERE z > m - 0.2 AND z < m + 0.2")
+@query(f"SELECT {r('x', 'y', 'z', digits=9)} FROM {CLOUD}, (SELECT median(z) AS m FROM {CLOUD}) WHERE z > m - 0.2 AND z < m + 0.2")
 def f4_a7_adaptive_slice(spark, d):
-    return rounded(cloud.adaptive_slice(inputs.cloud(spark, d), 9.0).select("x", "y", "z"), "x", "y", "z")
+    return rounded(cloud.adaptive_slice(inputs.cloud(spark, d), 9.0).select("x", "y", "z"), "x", "y", "z", digits=9)
 
 
 @query(f"""SELECT CAST(floor((x-(x0-0.125))/0.25::DOUBLE) AS BIGINT) AS vx, CAST(floor((y-(y0-0.125))/0.25::DOUBLE) AS BIGINT) AS vy, CAST(floor((z-(z0-0.125))/0.25::DOUBLE) AS BIGINT) AS vz, CAST(count(*) AS BIGINT) AS n_points,
@@ -295,9 +295,9 @@ def p5_face_camera(spark, d):
     return cloud.face_camera(p, cameras).select("point_id", F.when((F.col("nx") == F.col("x")) & (F.col("ny") == F.col("y")) & (F.col("nz") == F.col("z")), 1).otherwise(-1).alias("side"))
 
 
-@query(f"SELECT {r('x', 'y', 'z')} FROM {CLOUD} UNION ALL SELECT {r('x', 'y', 'z')} FROM {IDENTIFIED}")
+@query(f"SELECT {r('x', 'y', 'z', digits=9)} FROM {CLOUD} UNION ALL SELECT {r('x', 'y', 'z', digits=9)} FROM {IDENTIFIED}")
 def u1_a16_fused_clouds(spark, d):
-    return rounded(inputs.cloud(spark, d).select("x", "y", "z").unionByName(inputs.identified(spark, d).select("x", "y", "z")), "x", "y", "z")
+    return rounded(inputs.cloud(spark, d).select("x", "y", "z").unionByName(inputs.identified(spark, d).select("x", "y", "z")), "x", "y", "z", digits=9)
 
 
 # ---- planes
