@@ -34,14 +34,29 @@ def signed_distance(plane: tuple[float, float, float, float]) -> Column:
     return a * F.col("x") + b * F.col("y") + c * F.col("z") + d
 
 
-def count_inliers(points: DataFrame, planes: np.ndarray, distance: float, block: int = 40) -> np.ndarray:
-    """How many points lie within the distance of each candidate. Candidates are literals of one pass
-    over the points for each block, so neither side is multiplied."""
-    out = []
-    for s in range(0, len(planes), block):
-        tests = [F.sum((F.abs(signed_distance(tuple(p))) < distance).cast("long")).alias(f"n{i}") for i, p in enumerate(planes[s : s + block])]
-        out += [n or 0 for n in points.agg(*tests).first()]
-    return np.asarray(out)
+def count_inliers(points: DataFrame, planes: np.ndarray, distance: float) -> np.ndarray:
+    """How many points lie within the distance of each candidate: one pass over the points for all of them.
+
+    Candidates change every round, so as expressions each round would compile code of its own; here each
+    Arrow batch is a few array operations, and a task sends one count for each candidate."""
+    import pyarrow as pa
+
+    a, b, c, offset = np.ascontiguousarray(planes.T)
+
+    def count(batches):
+        total = np.zeros(len(offset), dtype=np.int64)
+        for batch in batches:
+            x, y, z = (batch.column(n).to_numpy()[:, None] for n in ("x", "y", "z"))
+            for s in range(0, len(x), 256):
+                k = slice(s, s + 256)  # summed in the order of the expression, so that limits fall alike
+                total += (np.abs(a * x[k] + b * y[k] + c * z[k] + offset) < distance).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], names=["candidate", "n"])
+
+    own = points.select(*(F.col(c).cast("double").alias(c) for c in ("x", "y", "z"))).where("x is not null and y is not null and z is not null")
+    out = np.zeros(len(offset), dtype=np.int64)
+    for r in own.mapInArrow(count, "candidate int, n long").groupBy("candidate").agg(F.sum("n").alias("n")).collect():
+        out[r["candidate"]] = r["n"]
+    return out
 
 
 def plane_through(triples: np.ndarray) -> np.ndarray:
@@ -54,7 +69,7 @@ def plane_through(triples: np.ndarray) -> np.ndarray:
     return np.column_stack([n, -np.einsum("ij,ij->i", n, triples[keep, 0])])
 
 
-def detect(points: DataFrame, distance: float = PLANES.distance, candidates: int = 120, least: int = PLANES.least_points, most: int = PLANES.most_planes, seed: int = 42, key: str = "point_id") -> tuple[DataFrame, DataFrame]:
+def detect(points: DataFrame, distance: float = PLANES.distance, candidates: int = PLANES.iterations, least: int = PLANES.least_points, most: int = PLANES.most_planes, seed: int = 42, key: str = "point_id") -> tuple[DataFrame, DataFrame]:
     """Planes one after another: each takes its inliers away from the points left.
 
     Samples are those with the smallest hash of id and round, so a run repeats exactly. Returns

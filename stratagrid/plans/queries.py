@@ -325,7 +325,7 @@ def p2_o5_floor_height(spark, d):
 def j11_plane_inliers(spark, d):
     import numpy as np
 
-    found = planes.count_inliers(inputs.cloud(spark, d), np.asarray([(0.6, 0.0, 0.8, -k / 4) for k in range(12)]), 0.05, block=5)
+    found = planes.count_inliers(inputs.cloud(spark, d), np.asarray([(0.6, 0.0, 0.8, -k / 4) for k in range(12)]), 0.05)
     return spark.createDataFrame([(k, int(n)) for k, n in enumerate(found)], "plane_id int, n long")
 
 
