@@ -2,9 +2,9 @@
 
 The model is a trie of byte contexts of up to `order` bytes, with the counts of what followed each in
 the training texts. A byte is predicted by the longest context that has been seen; a byte new to it
-costs an escape (method C: as likely as the number of different followers) and passes to the next shorter
-context, where the bytes already ruled out no longer count (symbol exclusion). Below order 0 the bytes
-left are equally likely. Every text ends with a symbol of its own, so texts of all lengths together have
+costs an escape and passes to the next shorter context, where the bytes already ruled out no longer count
+(symbol exclusion). Escapes are estimated by method D: each byte that follows a context gives half of its
+first count to the escape. Below order 0 the bytes left are equally likely. Every text ends with a symbol of its own, so texts of all lengths together have
 probability one.
 
 Nothing here is broadcast that grows with the corpus. Documents are dealt into groups of bounded size.
@@ -26,7 +26,7 @@ from .common import LOWER, arrow_schema, crc32_mod, text_groups, written
 #: Ends a text and stands before its start; this byte is in no UTF-8 text.
 EDGE = 0xFF
 #: Texts are worked on in chunks of about so many bytes.
-CHUNK = 6 << 20
+CHUNK = 3 << 20
 _LARGEST_TABLE = 1 << 27
 
 
@@ -38,12 +38,15 @@ def gram_ranks(a: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
         at = (rank[: len(a) - k] << 8) | a[k:]
         size = len(keys) << 8
         if size <= _LARGEST_TABLE:
-            seen = np.zeros(size, dtype=bool)
+            seen = np.zeros(-(-size // 64) * 64, dtype=bool)
             seen[at] = True
             used = np.flatnonzero(seen)
-            number = np.empty(size, dtype=np.int32)
-            number[used] = np.arange(len(used), dtype=np.int32)
-            rank = number[at].astype(np.int64)
+            # the rank of a set bit: those in the words before, and those below it in its word
+            words = np.packbits(seen, bitorder="little").view(np.uint64)
+            before = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)])
+            word = at >> 6
+            below = words[word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))
+            rank = before[word] + np.bitwise_count(below)
         else:
             used, rank = np.unique(at, return_inverse=True)
         keys = (keys[used >> 8] << np.uint64(8)) | (used & 255).astype(np.uint64)
@@ -138,9 +141,8 @@ def code_lengths(grams: np.ndarray, counts: np.ndarray, order: int, pairs: np.nd
         c = _look(cells[k], cell_counts[k], grams & mask[k])
         left, new = total - above_shared, n - above_n
         hit, miss = open_ & (c > 0), open_ & (c == 0) & (new > 0)
-        room = np.maximum(left + new, 1).astype(float)
-        out[hit] += np.log10(c[hit] / room[hit])
-        out[miss] += np.log10(new[miss] / room[miss])
+        out[hit] += np.log10((2 * c[hit] - 1) / (2.0 * left[hit]))
+        out[miss] += np.log10(new[miss] / (2.0 * left[miss]))
         open_ &= c == 0
         above_n = n
         above_shared = _look(nodes[k], shared[k], context) if k else above_shared
@@ -153,7 +155,7 @@ _FACTS = "grp int, word binary, gram long, n long"
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(docs: DataFrame, folds: int = 7, held: int = 2, order: int = 4, group_bytes: int = 32 << 20) -> DataFrame:
+def score(docs: DataFrame, folds: int = 7, held: int = 2, order: int = 5, group_bytes: int = 32 << 20) -> DataFrame:
     """Scores every row of docs(doc_id, text), learning from those with crc32(doc_id as text) % folds != held.
 
     The model codes the bytes of the text with A-Z in lower case, and the end. base_score is that of the

@@ -35,9 +35,9 @@ class Trie:
         for k in range(self.order, -1, -1):
             c = {s: n for s, n in self.next.get(context[len(context) - k :], {}).items() if s not in excluded}
             if symbol in c:
-                return out + math.log10(c[symbol] / (sum(c.values()) + len(c)))
+                return out + math.log10((2 * c[symbol] - 1) / (2 * sum(c.values())))
             if c:
-                out += math.log10(len(c) / (sum(c.values()) + len(c)))
+                out += math.log10(len(c) / (2 * sum(c.values())))
             excluded |= c.keys()
         return out - math.log10(max(1, 256 - len(self.next.get(b"", ()))))
 
@@ -46,7 +46,7 @@ class Trie:
         return sum(self.log10(s[i - self.order : i], s[i]) for i in range(self.order, len(s)))
 
 
-def brute(rows, order=4, folds=None):
+def brute(rows, order=5):
     texts = [lower(r["text"]).encode() for r in rows]
     train = [t for r, t in zip(rows, texts) if not held(r["doc_id"])]
     count = Counter()
