@@ -6,10 +6,11 @@ tensors * side**2 tables from only 2 * tensors * side * half minhashes. Two sets
 share no key of a tensor with probability 1 - (1 - q)**2, q = (1 - s**half)**side. With the defaults (2,
 3, 6: 54 tables from 72 minhashes) and s = 0.8 all six tensors fail for 6 pairs in ten million.
 
-Equal sets are one node from the start, so copies never meet as pairs. Within a bucket the nodes are
-tested against leaders, round after round; what then still lies in several components of a bucket is
-tested pair by pair, but for pairs that the triangle inequality of the Jaccard distance rules out. So no
-pair of a bucket stays unresolved, and a large group of near copies costs a few tests for each member.
+Equal sets are one node from the start, so copies never meet as pairs. Each node is first tested against
+the leaders of its buckets (a few for each group of near copies, as buckets share them), which links most
+of a large group at the cost of a few tests for each member. Nodes that are then still in another component
+than their leader are tested against all that share the leader, block by block. A pair of a bucket shares its
+leader, so none stays unresolved; blocks have a fixed size, and only links leave them.
 """
 
 from __future__ import annotations
@@ -118,38 +119,70 @@ def _full_sets(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _buckets(nodes: DataFrame, side: int, tensors: int) -> DataFrame:
-    """(bucket, node) of the buckets that hold two nodes or more."""
+    """(bucket, node, n) of the buckets that hold two nodes or more."""
     tables = [(t, i, j) for t in range(tensors) for i in range(side) for j in range(side)]
     keys = [F.xxhash64(F.lit(k), F.col("halves")[(2 * t) * side + i], F.col("halves")[(2 * t + 1) * side + j]) for k, (t, i, j) in enumerate(tables)]
-    rows = nodes.select("node", F.explode(F.array(*keys)).alias("bucket"))
+    rows = nodes.select("node", "n", F.explode(F.array(*keys)).alias("bucket"))
     return rows.withColumn("members", F.count("*").over(Window.partitionBy("bucket"))).where("members > 1").drop("members")
 
 
-def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for every node of edges(a, b): comp is the least node that can be reached.
 
-    Each round takes the least label among neighbours, then the label's own label, so long chains shrink
-    by half; each round's labels are a written table, and the loop ends when none changed."""
+    Each round all nodes of a label follow the least label that any of them meets, then that label's new
+    label twice over, so chains of labels shrink fast; each round's labels are a written table, and the loop
+    ends when none changed."""
     both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     ends = both.select(F.col("a").alias("node")).distinct()
-    if labels is None:
-        labels = ends.withColumn("comp", F.col("node"))
-    else:
-        labels = labels.join(ends, "node", "full").withColumn("comp", F.coalesce("comp", "node"))
-    labels = written(labels.select("node", "comp"), "labels")
+    labels = ends.withColumn("comp", F.col("node"))
     while True:
         of = labels.select(F.col("node").alias("b"), F.col("comp").alias("other"))
         near = both.join(of, "b").groupBy("a").agg(F.min("other").alias("near")).withColumnRenamed("a", "node")
         low = labels.join(near, "node", "left").select("node", "comp", F.least("comp", F.coalesce("near", "comp")).alias("low"))
         # the whole component follows its least label
         moved = low.groupBy("comp").agg(F.min("low").alias("to"))
+        for _ in range(2):
+            further = moved.select(F.col("comp").alias("to"), F.col("to").alias("then"))
+            moved = moved.join(further, "to").select("comp", F.col("then").alias("to"))
         after = written(low.join(moved, "comp").select("node", F.col("to").alias("comp"), (F.col("to") != F.col("comp")).alias("changed")), "labels")
         labels = after.select("node", "comp")
         if not after.where("changed").take(1):
             return labels
 
 
-def link(docs: DataFrame, size: int = 5, percent: int = 80, half: int = 2, side: int = 3, tensors: int = 6, classes: int = 8, rounds: int = 3) -> DataFrame:
+#: Shingles on either side of a block, about: what bounds a task's memory (a single larger set is a block of its own).
+BLOCK = 600_000
+_LINKS = "a binary, b binary"
+
+
+def _compare(percent: int):
+    """Links between the nodes of role 1 and those of role 2 of a block, where their components differ."""
+    schema = arrow_schema(_LINKS)
+
+    def run(block: pa.Table) -> pa.Table:
+        role, comp = block.column("role").to_numpy(), np.asarray(block.column("comp").to_pylist(), dtype=object)
+        nodes, n = block.column("node").to_pylist(), block.column("n").to_numpy()
+        sets = [np.asarray(x.values).view(np.uint64) for x in block.column("shingles")]
+        left, right = np.flatnonzero(role == 1), np.flatnonzero(role == 2)
+        values = np.concatenate([sets[k] for k in right])
+        owner = np.repeat(np.arange(len(right)), n[right])
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order]
+        a, b = [], []
+        for k in left:
+            low, high = np.searchsorted(values, sets[k], side="left"), np.searchsorted(values, sets[k], side="right")
+            size = high - low
+            at = np.repeat(low - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+            shared = np.bincount(owner[at], minlength=len(right))
+            near = (100 * shared >= percent * (n[k] + n[right] - shared)) & (comp[right] != comp[k])
+            a += [nodes[k]] * int(near.sum())
+            b += [nodes[j] for j in right[near]]
+        return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema=schema)
+
+    return run
+
+
+def link(docs: DataFrame, size: int = 5, percent: int = 80, half: int = 2, side: int = 3, tensors: int = 6, classes: int = 8) -> DataFrame:
     """Connected near-duplicates of docs(doc_id, text): a row for each row of docs.
 
     Two documents are linked when 100 * |intersection| >= percent * |union| of their sets of `size`-word
@@ -163,63 +196,45 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, half: int = 2, side:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = written(_sketch(docs, size, half, side, tensors), "sketches")
     nodes = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"), F.max("n_shingles").alias("n"), F.first("halves").alias("halves"))
-    crowd = written(_buckets(nodes, side, tensors), "buckets")
+    rank = F.xxhash64("node", F.pmod("bucket", F.lit(classes)))
+    crowd = _buckets(nodes, side, tensors).withColumn("lead", F.min(F.struct(rank, "node", "n")).over(Window.partitionBy("bucket")))
+    crowd = written(crowd.select("node", "n", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n")).distinct(), "leaders")
 
     members = crowd.select("node").distinct()
     chosen = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low")).join(members, "node").select("low").distinct()
     wanted = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["low"]), "left_semi")
     full = written(_full_sets(wanted, size).join(members, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")), "shingles")
 
-    def tested(pairs: DataFrame) -> DataFrame:
-        """pairs(a, b) with their similarity on full sets."""
-        one = full.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
-        two = full.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-        sized = pairs.join(one.drop("sa"), "a").join(two.drop("sb"), "b")
-        near = sized.where((100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))).select("a", "b")
-        both = near.join(one, "a").join(two, "b")
-        shared = both.withColumn("i", F.size(F.array_intersect("sa", "sb")).cast("long"))
-        return written(shared.select("a", "b", "i", (F.col("na") + F.col("nb") - F.col("i")).alias("u")), "tested")
-
-    linked = 100 * F.col("i") >= percent * F.col("u")
-    done, labels = None, None
-    for k in range(rounds):
-        here = crowd if labels is None else crowd.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        of_bucket = Window.partitionBy("bucket")
-        rank = F.xxhash64("node", F.lit(k), F.pmod("bucket", F.lit(classes)))
-        led = here.withColumn("lead", F.min(F.struct(rank, "node", *(["comp"] if labels is not None else []))).over(of_bucket))
-        apart = F.col("node") != F.col("lead.node") if labels is None else F.col("comp") != F.col("lead.comp")
-        pairs = led.where(apart).select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        found = tested(pairs)
-        if labels is not None and not found.where(linked).take(1):
-            done = done.unionByName(found)
-            break
-        done = found if done is None else done.unionByName(found)
-        labels = components(found.where(linked), labels)
-
-    # what still lies in several components of a bucket, pair by pair
-    apart = crowd.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    of_bucket = Window.partitionBy("bucket")
-    rank = F.xxhash64("node", F.lit(0), F.pmod("bucket", F.lit(classes)))
-    apart = apart.withColumns({"low": F.min("comp").over(of_bucket), "high": F.max("comp").over(of_bucket), "lead": F.min(F.struct(rank, "node")).over(of_bucket)}).where("low != high")
-    apart = apart.select("bucket", "node", "comp", F.col("lead.node").alias("lead")).withColumns({"a": F.least("node", "lead"), "b": F.greatest("node", "lead")})
-    apart = apart.join(done, ["a", "b"], "left").join(full.select("node", "n"), "node")
-    to_lead = F.when(F.col("node") == F.col("lead"), 1.0).otherwise(F.col("i") / F.col("u"))  # null: sizes too far apart
-    apart = written(apart.select("bucket", "node", "comp", "n", to_lead.alias("s")), "apart")
-    x, y = apart.alias("x"), apart.alias("y")
-    slack = 1 - percent / 100 + 1e-9
-    meet = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))
-    meet &= (100 * F.col("x.n") >= percent * F.col("y.n")) & (100 * F.col("y.n") >= percent * F.col("x.n"))
-    meet &= F.coalesce(F.abs(F.col("x.s") - F.col("y.s")) <= slack, F.lit(True))
-    rest = x.join(y, meet).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(done.select("a", "b"), ["a", "b"], "left_anti")
-    last = tested(rest).where(linked)
-    if last.take(1):
-        labels = components(last, labels)
-
-    named = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low")).join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    lows = named.groupBy("comp").agg(F.min("low").alias("component"))
-    named = named.join(lows, "comp").select("node", "component")
-    out = sets.select("doc_id", "n_shingles", "node").join(named, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    # every node against its leaders
+    near = crowd.where((F.col("node") != F.col("lead")) & (100 * F.col("n") >= percent * F.col("lead_n")) & (100 * F.col("lead_n") >= percent * F.col("n")))
+    one = full.select(F.col("node").alias("lead"), F.col("shingles").alias("lead_set"))
+    tested = near.join(full.select("node", "shingles"), "node").join(one, "lead").withColumn("i", F.size(F.array_intersect("shingles", "lead_set")))
+    linked = tested.where(100 * F.col("i") >= percent * (F.col("n") + F.col("lead_n") - F.col("i"))).select(F.col("node").alias("a"), F.col("lead").alias("b"))
+    labels = components(linked)
+
+    # nodes apart from their leader against all that share the leader, in blocks
+    def named(c: str) -> DataFrame:
+        return labels.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
+
+    own = crowd.select("lead", "node", "n").join(named("node"), "node", "left").join(named("lead"), "lead", "left")
+    own = own.select("lead", "node", "n", F.coalesce("node_comp", "node").alias("comp"), (F.coalesce("node_comp", "node") != F.coalesce("lead_comp", "lead")).alias("stray"))
+    sizes = own.groupBy("lead").agg(F.sum("n").alias("m"), F.sum(F.when(F.col("stray"), F.col("n"))).alias("s")).where("s > 0")
+    sizes = sizes.select("lead", F.ceil(F.col("m") / BLOCK).cast("int").alias("nj"), F.ceil(F.col("s") / BLOCK).cast("int").alias("ni"))
+    dealt = own.join(sizes, "lead").withColumn("h", F.xxhash64("node"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    strays = dealt.where("stray").select("lead", "node", "comp", F.lit(1).alias("role"), F.pmod("h", "ni").cast("int").alias("i"), every("nj").alias("j"))
+    others = dealt.select("lead", "node", "comp", F.lit(2).alias("role"), F.pmod("h", "nj").cast("int").alias("j"), every("ni").alias("i"))
+    blocks = strays.unionByName(others).join(full, "node").select("lead", "i", "j", "role", "node", "comp", "n", "shingles")
+    more = written(blocks.groupBy("lead", "i", "j").applyInArrow(_compare(percent), _LINKS).distinct(), "links")
+    if more.take(1):  # the links join whole components
+        to = more.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b")).distinct()
+        merged = components(to).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+        singles = more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").withColumn("comp", F.col("node"))
+        labels = labels.unionByName(singles).join(merged, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+
+    named_sets = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low")).join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    lows = named_sets.groupBy("comp").agg(F.min("low").alias("component"))
+    component = named_sets.join(lows, "comp").select("node", "component")
+    out = sets.select("doc_id", "n_shingles", "node").join(component, "node", "left")
+    found = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component"))
+    return out.select("doc_id", "n_shingles", found.alias("component_id"), F.col("doc_id").eqNullSafe(found).alias("kept"))
