@@ -1,7 +1,5 @@
 """Queries of this subpackage against their SQL twins."""
 
-import math
-
 import duckdb
 import pytest
 
@@ -28,5 +26,4 @@ def test_sql_twin(spark, name):
 def test_registered():
     names = entry.queries()
     assert "pipeline" in names and set(QUERIES) <= set(names) and set(entry.oracle_sql()) <= set(names)
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == [1, 2, 3, 4, 6, 7, 8, 9, 10]
-    assert math.isfinite(len(names))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
