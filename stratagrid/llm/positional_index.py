@@ -14,7 +14,6 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +22,8 @@ from .common import arrow_schema, small_batches, texts_of, written
 #: For bytes.translate: A-Z become lower case; what is no digit, letter or byte of a longer character, a blank.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
-_SHARD = "part int, shard int, doc_ids array<long>, n_words array<long>, terms binary, counts binary, postings binary"
-_FOUND = "part int, shard int, k int, doc_id long, n_words long, items array<string>, spans array<long>"
+_SHARD = "rows array<long>, doc_ids array<long>, n_words array<long>, terms binary, counts binary, postings binary"
+_FOUND = "row long, doc_id long, n_words long, items array<string>, spans array<long>"
 
 
 def words(text: str) -> list[bytes]:
@@ -36,7 +35,9 @@ def build_index(docs: DataFrame, terms: list[bytes]) -> DataFrame:
     """Index of the places of terms in docs(doc_id, text), as a written table of shards.
 
     terms is the vocabulary of the queries, sorted; a term's number is its place there. A document
-    without any of them still has its entry, with its number of words.
+    without any of them still has its entry, with its number of words. row is a number that tells the
+    rows of docs apart, also between indexes of the same docs: theirs, where docs has such a column, else
+    one that holds in this index only. How rows fall into shards is left to the session.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(terms)
@@ -44,8 +45,7 @@ def build_index(docs: DataFrame, terms: list[bytes]) -> DataFrame:
 
     def build(batches):
         number = {t: i for i, t in enumerate(shared.value)}
-        part = TaskContext.get().partitionId()
-        for shard, batch in enumerate(batches):
+        for batch in batches:
             at, lengths, ids, places = 0, [], [], []
             for text in texts_of(batch):
                 found = words(text)
@@ -59,10 +59,11 @@ def build_index(docs: DataFrame, terms: list[bytes]) -> DataFrame:
             order = np.argsort(flat, kind="stable")
             used, counts = np.unique(flat, return_counts=True)
             put = (np.concatenate(places) if places else np.zeros(0, np.int64))[order]
-            row = (part, shard, batch.column("doc_id").to_pylist(), lengths, used.astype("<u4").tobytes(), counts.astype("<u4").tobytes(), np.diff(put, prepend=0).astype("<i8" if at > 2**31 else "<i4").tobytes())
+            row = (batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), lengths, used.astype("<u4").tobytes(), counts.astype("<u4").tobytes(), np.diff(put, prepend=0).astype("<i8" if at > 2**31 else "<i4").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, schema.types)], schema=schema)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    number_of = F.col("row") if "row" in docs.columns else F.monotonically_increasing_id()
+    rows = docs.select(number_of.cast("long").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return written(rows.mapInArrow(build, _SHARD), "postings")
 
 
@@ -158,8 +159,7 @@ def search(index: DataFrame, phrases: dict[tuple[int, ...], list[str]], freq: di
                                 spans[k].append((at, at + (len(terms) if slop is None else 1)))
                 n = len(row["doc_ids"])
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([row["part"]] * n, pa.int32()), pa.array([row["shard"]] * n, pa.int32()), pa.array(range(n), pa.int32()),
-                    pa.array(row["doc_ids"], pa.int64()), pa.array(row["n_words"], pa.int64()),
+                    pa.array(row["rows"], pa.int64()), pa.array(row["doc_ids"], pa.int64()), pa.array(row["n_words"], pa.int64()),
                     pa.array([sorted(items.get(k, ())) for k in range(n)], pa.list_(pa.string())),
                     pa.array([merged(spans.get(k, ())) for k in range(n)], pa.list_(pa.int64()))], schema=schema)
 
@@ -191,8 +191,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))
     out, source = None, docs.select("doc_id", "text")
-    if blocks > 1:  # the blocks' indexes must have the same shards
-        source = written(source, "indexed")
+    if blocks > 1:  # hits of several indexes meet by a number that each row has once and for all
+        source = written(source.withColumn("row", F.monotonically_increasing_id()), "indexed")
     for b in range(blocks):
         some = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
         found: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
@@ -224,7 +224,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
                 pa.array(names, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.int64()))], schema=schema)
 
     if blocks > 1:
-        out = out.groupBy("part", "shard", "k").agg(
+        out = out.groupBy("row").agg(
             F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
     return out.select("doc_id", "n_words", "items", "spans").mapInArrow(report, _REPORT)
 

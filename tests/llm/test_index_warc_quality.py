@@ -50,6 +50,21 @@ def test_contamination(spark, docs, odd_docs, no_docs, sf_dir):
     assert not any(r["contaminated"] for r in contamination(docs, items.limit(0)).collect())
 
 
+def test_blocks_agree_whatever_the_batches(spark):
+    """Many documents a partition: the blocks' indexes have other shards each, and a session starts with large ones."""
+    rows_of = [(i if i % 7 else None, f"start {i} " + " ".join(f"w{i % 60}x{j}" for j in range(14))) for i in range(400)]
+    many = spark.createDataFrame(rows_of, "doc_id long, text string").coalesce(2)
+    items = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(2, 13))) for k in range(0, 60, 3)], "item_id long, text string")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "10000")
+        got = rows(contamination(many, items, block_bytes=200))
+    finally:
+        spark.conf.set(key, before)
+    assert got == brute_contamination(many.collect(), items.collect()) and any(r[-1] for r in got)
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha x x beta"), (2, "beta alpha"), (3, "alpha x x x x beta"), (4, "alpha"), (5, "beta")], "doc_id long, text string")
     index = build_index(docs, [b"alpha", b"beta"])
