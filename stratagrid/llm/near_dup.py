@@ -164,6 +164,8 @@ def _compare(percent: int):
         nodes, n = block.column("node").to_pylist(), block.column("n").to_numpy()
         sets = [np.asarray(x.values).view(np.uint64) for x in block.column("shingles")]
         left, right = np.flatnonzero(role == 1), np.flatnonzero(role == 2)
+        if not len(left) or not len(right):  # nodes are dealt by hash, so few large ones may leave a side empty
+            return schema.empty_table()
         values = np.concatenate([sets[k] for k in right])
         owner = np.repeat(np.arange(len(right)), n[right])
         order = np.argsort(values, kind="stable")

@@ -71,6 +71,19 @@ def test_large_group(spark, monkeypatch):
     assert got(link(df, size=2, classes=1)) == want
 
 
+@pytest.mark.parametrize("members", [2, 3])
+def test_few_sets_larger_than_a_block(spark, monkeypatch, members):
+    """Sets that share buckets but no link, each larger than a block; many groups, so that some deal leaves a side empty."""
+    monkeypatch.setattr(near_dup, "BLOCK", 50)
+    rows = []
+    for g in range(24):
+        shared = [f"g{g}w{k}" for k in range(160)]
+        for m in range(members):
+            rows.append((g * 10 + m, " ".join(shared + [f"g{g}m{m}x{k}" for k in range(30)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(link(df, size=2)) == brute(df.collect(), 2)
+
+
 def test_odd_rows(odd_docs, no_docs):
     assert got(link(odd_docs, size=2)) == brute(odd_docs.collect(), 2)
     assert link(no_docs).count() == 0
