@@ -118,10 +118,11 @@ def edges(text: str, nodes: list[tuple[int, int, int]], near: int = 80) -> tuple
     """Chain edges between neighbours at most `near` characters apart, and skip edges.
 
     Skip edges join each mention to the one before it with the same text, or with the same last seven
-    digits; so there are never more than two for each mention."""
+    digits, and each mention without a base span to the first base span of each label among all its
+    repeats, however far; so there are never more than two and twice the number of kinds for each mention."""
     chain = [(i, i + 1) for i in range(len(nodes) - 1) if nodes[i + 1][0] - nodes[i][1] <= near]
-    skip, last = [], {}
-    for i, (s, e, _) in enumerate(nodes):
+    skip, last, first, same = [], {}, {}, []
+    for i, (s, e, label) in enumerate(nodes):
         own = text[s:e].lower().strip(".,;: ")
         digits = "".join(_DIGIT.findall(own))
         keys = [("text", own)]
@@ -129,8 +130,18 @@ def edges(text: str, nodes: list[tuple[int, int, int]], near: int = 80) -> tuple
             keys.append(("digits", digits[-7:]))
         for j in {last[k] for k in keys if k in last}:
             skip.append((j, i))
+        same.append(keys)
         for k in keys:
             last[k] = i
+            if label:
+                first.setdefault(k, {}).setdefault(label, i)
+    made = set(skip)
+    for i, keys in enumerate(same):
+        if not nodes[i][2]:
+            for j in sorted({j for k in keys for j in first.get(k, {}).values()}):
+                pair = (min(i, j), max(i, j))
+                if pair not in made:
+                    skip.append(pair)
     return chain, skip
 
 
@@ -187,8 +198,10 @@ class Field:
         left, right = both.sum(axis=1, keepdims=True), both.sum(axis=0, keepdims=True)
         return np.log(both / (left * right))
 
-    def marginals(self, unary: np.ndarray, links: list[tuple[int, int, np.ndarray]], rounds: int = 10, damp: float = 0.3) -> np.ndarray:
-        """Beliefs by sum-product messages in logs, both ways along each link, for a fixed number of rounds."""
+    def marginals(self, unary: np.ndarray, links: list[tuple[int, int, np.ndarray]], rounds: int | None = None, damp: float = 0.3, settled: float = 1e-3) -> np.ndarray:
+        """Beliefs by sum-product messages in logs, both ways along each link, until no message moves by more
+        than settled, or for `rounds` rounds. Without rounds they have time to cross the whole graph, and
+        are damped more from the fiftieth on, so that a loop that swings comes to rest."""
         if not links:
             out = unary
         else:
@@ -197,13 +210,17 @@ class Field:
             pot = np.stack([p for *_, p in links] + [p.T for *_, p in links])
             m, n = np.zeros((len(to), unary.shape[1])), len(links)
             back = np.concatenate([np.arange(n, 2 * n), np.arange(n)])
-            for _ in range(rounds):
+            for k in range(2 * len(unary) + 60 if rounds is None else rounds):
                 belief = unary.copy()
                 np.add.at(belief, to, m)
                 into = belief[source] - m[back]
                 new = np.logaddexp.reduce(into[:, :, None] + pot, axis=1)
                 new -= np.logaddexp.reduce(new, axis=1)[:, None]
-                m = damp * m + (1 - damp) * new
+                keep = damp if rounds is not None or k < 50 else max(damp, 0.7)
+                moved = (1 - keep) * np.abs(new - m).max()
+                m = keep * m + (1 - keep) * new
+                if rounds is None and moved <= settled:
+                    break
             out = unary.copy()
             np.add.at(out, to, m)
         out = out - np.logaddexp.reduce(out, axis=1)[:, None]

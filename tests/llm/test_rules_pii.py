@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from stratagrid.llm.risk_rules import LEVELS, _Hashes, binomial_tail, choose, judge, measure
-from stratagrid.llm.skip_chain import Field, base_spans, find, learn, redact, redacted
+from stratagrid.llm.skip_chain import Field, base_spans, find, learn, redact, redacted, statistics
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BASE = {
@@ -65,6 +65,29 @@ def test_skip_edges_find_what_patterns_miss(spark):
     assert found[99] == [""]
 
 
+@pytest.mark.parametrize("repeats", [3, 30])
+def test_all_repeats_of_a_base_span_are_found(spark, repeats):
+    """Bare repeats far from the base span, also before it, and of unknown label in the counts, all of them."""
+    say = lambda i, n: "".join(f" word {j} and more of it, said again: 375 555 {4000 + i}, {'x ' * 60}." for j in range(n))
+    rows = [(i, f"{say(i, 2)} call +1 (375) 555-{4000 + i} now {say(i, repeats)}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"].split(",") for r in find(docs, learn(docs)).collect()}
+    assert {len(found[i]) for i in range(40)} == {repeats + 3}
+    assert all(s.startswith("phone:") for spans in found.values() for s in spans)
+    counts = statistics(docs).where("table = 0").selectExpr("cell % 5 AS label", "n").groupBy("label").sum("n").collect()
+    assert {r["label"]: r["sum(n)"] for r in counts} == {4: 40}
+
+
+def test_evidence_crosses_a_long_chain():
+    """A known label at one end of 40 mentions whose neighbours agree reaches the other end."""
+    unary = np.zeros((40, 5))
+    unary[0] = np.where(np.arange(5) == 4, 0.0, -30.0)
+    agree = np.where(np.eye(5) == 1, 8.0, 0.0)
+    field = Field(np.zeros((4096, 5)), np.zeros((5, 5)), np.zeros((5, 5)))
+    belief = field.marginals(unary, [(i, i + 1, agree) for i in range(39)])
+    assert belief[-1].argmax() == 4 and belief[-1].max() > 0.9
+
+
 def test_belief_propagation_is_exact_on_a_tree():
     rng = np.random.default_rng(5)
     unary, pots = rng.normal(size=(4, 5)), rng.normal(size=(3, 5, 5))
