@@ -10,9 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Path prefixes of at most so many segments are looked up; entries with more can't match and are refused.
-MOST_SEGMENTS = 8
-
 
 def host(url: Column) -> Column:
     """The host of a URL in lower case, without user, port or closing dot; null where there is none."""
@@ -26,15 +23,20 @@ def path(url: Column) -> Column:
     return F.regexp_replace(found, r"^/+|/+$", "")
 
 
-def keys(url: Column) -> Column:
+def keys(url: Column, longest: Column | None = None) -> Column:
     """What an entry must be to match: the host and its parents down to two labels, the host with each
-    leading part of the path, and the URL itself. Empty without a host."""
+    leading part of the path, and the URL itself. Null without a host.
+
+    longest: the number of segments in the longest path entry there is; what is longer can't match and is
+    not made. Without it all leading parts are made."""
     h, p = host(url), path(url)
     labels = F.split(h, r"\.")
     n = F.size(labels)
     parents = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda k: F.concat(F.lit("host:"), F.array_join(F.slice(labels, k, n), ".")))
-    parts = F.slice(F.split(p, "/+"), 1, MOST_SEGMENTS)
-    prefixes = F.when(p == "", F.array().cast("array<string>")).otherwise(
+    parts = F.split(p, "/+")
+    if longest is not None:
+        parts = F.slice(parts, F.lit(1), longest)
+    prefixes = F.when((p == "") | (F.size(parts) == 0), F.array().cast("array<string>")).otherwise(
         F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.concat(F.lit("path:"), h, F.lit("/"), F.array_join(F.slice(parts, 1, k), "/"))))
     return F.when(h.isNotNull(), F.array_distinct(F.concat(parents, prefixes, F.array(F.concat(F.lit("url:"), F.trim(url))))))
 
@@ -63,7 +65,11 @@ def evaluate(captures: DataFrame, log: DataFrame, salts: int = 16) -> DataFrame:
     """
     rows = captures.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("fetched").cast("date").alias("fetched"))
     rows = rows.groupBy("page_id", "url", "fetched").agg(F.count("*").alias("copies"))
-    looked = rows.withColumns({"entry": F.explode_outer(keys(F.col("url"))), "salt": F.pmod(F.xxhash64("page_id", "url", "fetched"), F.lit(salts)).cast("int")})
+    # a single row: how long the log's path entries are
+    segments = F.when(F.col("entry").startswith("path:"), F.size(F.split("entry", "/")) - 1)
+    reach = log.select(F.coalesce(F.max(segments), F.lit(0)).alias("longest"))
+    rows = rows.crossJoin(F.broadcast(reach))
+    looked = rows.withColumns({"entry": F.explode_outer(keys(F.col("url"), F.col("longest"))), "salt": F.pmod(F.xxhash64("page_id", "url", "fetched"), F.lit(salts)).cast("int")})
     listed = intervals(log).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     c, e = looked.alias("c"), listed.alias("e")
     active = (F.col("c.entry") == F.col("e.entry")) & (F.col("c.salt") == F.col("e.salt")) & (F.col("fetched") >= F.col("from_day")) & (F.col("to_day").isNull() | (F.col("fetched") < F.col("to_day")))

@@ -41,6 +41,18 @@ def test_evaluate(spark, log):
     assert got == sorted(want, key=str) and any(w[1] for w in want)
 
 
+def test_long_paths(spark):
+    """Entries of any number of segments match, and captures that go deeper than any entry."""
+    day = date(2024, 1, 1)
+    deep = "/".join("abcdefghij")
+    log = spark.createDataFrame([("bad", f"path:ok.org/{deep}", "add", day), ("adult", "path:ok.org/a/b", "add", day)], "list string, entry string, action string, day date")
+    urls = [f"http://ok.org/{deep}", f"http://ok.org/{deep}/k/l?q", f"http://ok.org/{deep[:-2]}", "http://ok.org/a", "http://ok.org/", "http://no.org/" + "x/" * 300]
+    captures = spark.createDataFrame([(i, u, day) for i, u in enumerate(urls)], "page_id long, url string, fetched date")
+    assert [r["lists"] for r in evaluate(captures, log).orderBy("page_id").collect()] == ["adult,bad", "adult,bad", "adult", "", "", ""]
+    hosts = log.withColumn("entry", F.lit("host:ok.org"))
+    assert [r["blocked"] for r in evaluate(captures, hosts).orderBy("page_id").collect()] == [True] * 5 + [False]
+
+
 def test_intervals(log):
     got = {(r["entry"], str(r["from_day"]), str(r["to_day"])) for r in intervals(log).collect()}
     assert got == {("host:evil.com", "2024-01-10", "2024-02-01"), ("host:evil.com", "2024-03-01", "None"), ("path:ok.org/x", "2024-01-05", "None"), ("url:http://ok.org/x/y?q=1", "2024-01-01", "None")}
