@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratagrid.llm.common import table, written
+from stratagrid.llm.common import table, text_key, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,22 +18,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group linked on five-word shingles at 0.8.
+    """Keeps one row of each group linked on five-word shingles at 0.8, that with the smallest doc_id.
 
-    Rows that repeat a kept doc_id stay with it."""
-    from stratagrid.llm.near_dup import link
+    Rows that are not linked stay, also where they repeat the doc_id of one that is."""
+    from stratagrid.llm.near_dup import one_of_each
 
-    gone = link(docs).where("not kept").select(F.col("doc_id").alias("gone"))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+    return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold ten consecutive words of a benchmark item."""
+    """Drops rows that hold ten consecutive words of a benchmark item; others that repeat their doc_id stay."""
     from stratagrid.llm.positional_index import contamination
 
-    found = contamination(docs, table(spark, sf_dir, "benchmark"))
-    gone = found.where("contaminated").select(F.col("doc_id").alias("gone"))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+    found = contamination(docs, table(spark, sf_dir, "benchmark"), keyed=True)
+    gone = found.where("contaminated").select(F.col("doc_id").alias("gone"), "text_key").distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")) & (text_key(docs["text"]) == gone["text_key"]), "left_anti")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

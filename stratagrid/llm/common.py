@@ -23,6 +23,11 @@ def crc32_mod(id_column: Column, modulus: int) -> Column:
     return F.crc32(id_column.cast("string").cast("binary")) % F.lit(modulus)
 
 
+def text_key(text: Column) -> Column:
+    """A digest of the whole text: with the id it tells apart rows that repeat an id. Null for a null text."""
+    return F.md5(text.cast("string").cast("binary"))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; only where it is unset (tests) a temporary one."""
     context = spark.sparkContext

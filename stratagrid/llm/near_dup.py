@@ -20,10 +20,10 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, arrow_schema, small_batches, texts_of, written
+from .common import LOWER, arrow_schema, small_batches, text_key, texts_of, written
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _MUL2 = np.uint64(0xD6E8FEB86659FD93)
@@ -76,7 +76,7 @@ class Sketcher:
         return out.view(np.int64)
 
 
-_SETS = "doc_id long, n_shingles long, node binary, halves array<long>"
+_SETS = "doc_id long, text_key string, n_shingles long, node binary, halves array<long>"
 _FULL = "node binary, n long, shingles array<long>"
 
 
@@ -97,7 +97,7 @@ def _sketch(docs: DataFrame, size: int, half: int, side: int, tensors: int) -> D
                         same.clear()
                     same[node] = sketcher.halves(s)
                 halves.append(same.get(node))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(halves, pa.list_(pa.int64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(halves, pa.list_(pa.int64()))], schema=schema)
 
     return docs.mapInArrow(run, _SETS)
 
@@ -194,8 +194,44 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, half: int = 2, side:
     any other but never names a component that has an id; alone, its component_id is null. Rows that
     share a doc_id are nodes of their own, each with its row. Other columns are not read.
     """
+    out = _labelled(docs, size, percent, half, side, tensors, classes, F.lit(None).cast("string"))
+    found = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component"))
+    return out.select("doc_id", "n_shingles", found.alias("component_id"), F.col("doc_id").eqNullSafe(found).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, salts: int = 16, **how) -> DataFrame:
+    """docs, all columns, with one row of each group that link() joins: that with the smallest doc_id, null
+    ids last, then by a digest of the text. Of rows equal in both any one stays. Rows are known by id and
+    text, so rows that only share an id with a linked row stay, and so do those without a shingle."""
+    defaults = {"size": 5, "percent": 80, "half": 2, "side": 3, "tensors": 6, "classes": 8}
+    rows = _labelled(docs, **(defaults | how), key=text_key(F.col("text"))).where("node is not null")
+    rows = written(rows.groupBy("comp", "doc_id", "text_key").agg(F.count("*").alias("copies")), "linked")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("least")
+    # groups of one row need no choice; a large group is dealt over `salts` tasks
+    groups = rows.groupBy("comp").agg(least, F.sum("copies").alias("n")).where("n > 1").drop("n")
+    groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    told = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(salts)).cast("int")).join(groups, ["comp", "salt"])
+    told = told.withColumn("stays", F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_key") == F.col("least.text_key")))
+    told = written(told.where("not stays or copies > 1").select(F.col("doc_id").alias("told_id"), F.col("text_key").alias("told_key"), "stays"), "told")
+    keyed = docs.withColumn(_KEY, text_key(F.col("text")))
+
+    def among(some: DataFrame) -> Column:
+        return keyed["doc_id"].cast("long").eqNullSafe(some["told_id"]) & (keyed[_KEY] == some["told_key"])
+
+    out = keyed.join(told, among(told), "left_anti").drop(_KEY)
+    again = told.where("stays")
+    if again.take(1):  # the row that stays is there several times
+        out = out.unionByName(keyed.join(again, among(again), "left_semi").dropDuplicates(["doc_id", _KEY]).drop(_KEY))
+    return out
+
+
+_KEY = "__text_key"
+
+
+def _labelled(docs: DataFrame, size: int, percent: int, half: int, side: int, tensors: int, classes: int, key: Column) -> DataFrame:
+    """A row for each row of docs: doc_id, text_key, n_shingles, node, comp (a node of the component) and component (its least doc_id)."""
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), key.alias("text_key"))
     sets = written(_sketch(docs, size, half, side, tensors), "sketches")
     nodes = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"), F.max("n_shingles").alias("n"), F.first("halves").alias("halves"))
     rank = F.xxhash64("node", F.pmod("bucket", F.lit(classes)))
@@ -236,7 +272,5 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, half: int = 2, side:
 
     named_sets = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low")).join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     lows = named_sets.groupBy("comp").agg(F.min("low").alias("component"))
-    component = named_sets.join(lows, "comp").select("node", "component")
-    out = sets.select("doc_id", "n_shingles", "node").join(component, "node", "left")
-    found = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "n_shingles", found.alias("component_id"), F.col("doc_id").eqNullSafe(found).alias("kept"))
+    component = named_sets.join(lows, "comp").select("node", "comp", "component")
+    return sets.select("doc_id", "text_key", "n_shingles", "node").join(component, "node", "left")

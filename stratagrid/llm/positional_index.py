@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, small_batches, texts_of, written
+from .common import arrow_schema, small_batches, text_key, texts_of, written
 
 #: For bytes.translate: A-Z become lower case; what is no digit, letter or byte of a longer character, a blank.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
-_SHARD = "rows array<long>, doc_ids array<long>, n_words array<long>, terms binary, counts binary, postings binary"
-_FOUND = "row long, doc_id long, n_words long, items array<string>, spans array<long>"
+_SHARD = "rows array<long>, doc_ids array<long>, text_keys array<string>, n_words array<long>, terms binary, counts binary, postings binary"
+_FOUND = "row long, doc_id long, text_key string, n_words long, items array<string>, spans array<long>"
 
 
 def words(text: str) -> list[bytes]:
@@ -31,13 +31,14 @@ def words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(WORD_BYTES).split()
 
 
-def build_index(docs: DataFrame, terms: list[bytes]) -> DataFrame:
+def build_index(docs: DataFrame, terms: list[bytes], keyed: bool = False) -> DataFrame:
     """Index of the places of terms in docs(doc_id, text), as a written table of shards.
 
     terms is the vocabulary of the queries, sorted; a term's number is its place there. A document
     without any of them still has its entry, with its number of words. row is a number that tells the
     rows of docs apart, also between indexes of the same docs: theirs, where docs has such a column, else
-    one that holds in this index only. How rows fall into shards is left to the session.
+    one that holds in this index only. How rows fall into shards is left to the session. keyed: with a
+    digest of each text.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(terms)
@@ -59,11 +60,12 @@ def build_index(docs: DataFrame, terms: list[bytes]) -> DataFrame:
             order = np.argsort(flat, kind="stable")
             used, counts = np.unique(flat, return_counts=True)
             put = (np.concatenate(places) if places else np.zeros(0, np.int64))[order]
-            row = (batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), lengths, used.astype("<u4").tobytes(), counts.astype("<u4").tobytes(), np.diff(put, prepend=0).astype("<i8" if at > 2**31 else "<i4").tobytes())
+            row = (batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist(), lengths, used.astype("<u4").tobytes(), counts.astype("<u4").tobytes(), np.diff(put, prepend=0).astype("<i8" if at > 2**31 else "<i4").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, schema.types)], schema=schema)
 
+    key = text_key(F.col("text")) if keyed else F.lit(None).cast("string")
     number_of = F.col("row") if "row" in docs.columns else F.monotonically_increasing_id()
-    rows = docs.select(number_of.cast("long").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(number_of.cast("long").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), key.alias("text_key"))
     return written(rows.mapInArrow(build, _SHARD), "postings")
 
 
@@ -159,7 +161,7 @@ def search(index: DataFrame, phrases: dict[tuple[int, ...], list[str]], freq: di
                                 spans[k].append((at, at + (len(terms) if slop is None else 1)))
                 n = len(row["doc_ids"])
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(row["rows"], pa.int64()), pa.array(row["doc_ids"], pa.int64()), pa.array(row["n_words"], pa.int64()),
+                    pa.array(row["rows"], pa.int64()), pa.array(row["doc_ids"], pa.int64()), pa.array(row["text_keys"], pa.string()), pa.array(row["n_words"], pa.int64()),
                     pa.array([sorted(items.get(k, ())) for k in range(n)], pa.list_(pa.string())),
                     pa.array([merged(spans.get(k, ())) for k in range(n)], pa.list_(pa.int64()))], schema=schema)
 
@@ -178,14 +180,14 @@ def merged(spans) -> list[int]:
     return out
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 32 << 20, keyed: bool = False) -> DataFrame:
     """Which benchmark items have a window of consecutive words in each document of docs(doc_id, text).
 
     A window is `window` words of an item, or all words of a shorter one; an item without words has none.
     A word inside any occurrence of a window is hit. The items (item_id, text) are read in blocks of at
     most about block_bytes, so what a worker holds of them has a bound; each block searches the whole
     index. Every row of docs gives a row, repeated ones too; a null text has no words; a null item_id
-    counts as the empty id. Other columns are not read.
+    counts as the empty id. Other columns are not read. keyed: with a column text_key, a digest of the text.
     """
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("string").alias("text")).where("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -202,7 +204,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
                 found[tuple(w[k : k + window])].add(r["item"])
         terms = sorted({t for phrase in found for t in phrase})
         number = {t: i for i, t in enumerate(terms)}
-        index = build_index(source, terms)
+        index = build_index(source, terms, keyed)
         phrases = {tuple(number[t] for t in p): sorted(names) for p, names in found.items()}
         hits = search(index, phrases, frequencies(index))
         if blocks > 1:
@@ -219,14 +221,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
                 n_hit.append(sum(flat[1::2]) - sum(flat[::2]))
             names = [sorted(set(x)) for x in names]
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), batch.column("n_words"), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in names], pa.int64()),
+                batch.column("doc_id"), batch.column("text_key"), batch.column("n_words"), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in names], pa.int64()),
                 pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]), pa.array([n > 0 for n in n_hit]),
                 pa.array(names, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.int64()))], schema=schema)
 
     if blocks > 1:
         out = out.groupBy("row").agg(
-            F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
-    return out.select("doc_id", "n_words", "items", "spans").mapInArrow(report, _REPORT)
+            F.max("doc_id").alias("doc_id"), F.max("text_key").alias("text_key"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
+    found = out.select("doc_id", "text_key", "n_words", "items", "spans").mapInArrow(report, _REPORT)
+    return found if keyed else found.drop("text_key")
 
 
-_REPORT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<long>"
+_REPORT = "doc_id long, text_key string, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<long>"

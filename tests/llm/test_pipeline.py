@@ -47,6 +47,28 @@ def test_stages(spark, tok):
     assert n <= 1.02 * least + 1
 
 
+def test_rows_are_dropped_not_ids(spark):
+    """Null and repeated ids that hold different texts: only the rows that are copies or contaminated go."""
+    say = lambda w, n=40: " ".join(f"{w}{k}" for k in range(n))
+    leak = " ".join(table(spark, SF, "benchmark").where("length(text) > 200").first()["text"].split()[:14])
+    rows = [
+        (1, say("a"), "x"), (2, say("a"), "x"), (2, say("b"), "x"), (2, say("c"), "x"), (None, say("a", 39), "x"), (None, say("d"), "x"), (None, None, "x"),
+        (None, say("e"), "x"), (None, say("e", 39), "x"),  # linked, both without an id
+        (3, say("f"), "x"), (3, say("f", 39), "x"), (4, say("f"), "x"),  # linked, two with the smallest id
+        (5, say("g"), "x"), (5, say("g"), "y"), (5, "", "x"), (5, "", "y"),  # equal rows, one with a text
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()]
+    one = lambda i, w: sum(g in ((i, say(w)), (i, say(w, 39))) for g in got) == 1
+    assert one(None, "e") and one(3, "f") and one(5, "g") and len(got) == 10
+    assert {(1, say("a")), (2, say("b")), (2, say("c")), (None, say("d")), (None, None), (5, "")} <= set(got) and got.count((5, "")) == 2
+
+    rows = [(None, f"{say('h')} {leak}"), (None, say("i")), (7, f"{leak} {say('j')}"), (7, say("k")), (7, say("k")), (7, None), (8, leak), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, corpus_pipeline.decontamination(spark, docs, SF).collect()), key=str)
+    assert got == sorted([rows[k] for k in (1, 3, 4, 5, 7)], key=str)
+
+
 def test_stages_without_rows(spark):
     docs = table(spark, SF, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
