@@ -5,8 +5,11 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,30 +32,39 @@ def text_key(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where it is unset (tests) a temporary one."""
+    """The folder in spark.checkpoint.dir. Where it is unset a session on one machine (tests) gets a temporary
+    folder; on a cluster there is then no place that all executors can reach, so this fails."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='shared-')}"
         context.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: it is computed once, its lineage ends there,
-    and a lost executor takes nothing with it."""
+    and a lost executor takes nothing with it. codec: another compression than the session's."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most so many rows, so that long texts do not add up in a worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if not 0 < now <= rows:
-        spark.conf.set(key, str(rows))
+def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most_bytes: int = 2 << 20, most_rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut into runs of at most about most_bytes of a column, so that what a function makes of
+    a run stays small whatever the session's batch size; a larger single value is a run of its own."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64)
+        filled = np.cumsum(sizes)
+        at = 0
+        while at < batch.num_rows:
+            before = int(filled[at - 1]) if at else 0
+            end = min(max(at + 1, int(np.searchsorted(filled, before + most_bytes, side="right"))), at + most_rows, batch.num_rows)
+            yield batch.slice(at, end - at)
+            at = end
 
 
 def text_groups(docs: DataFrame, text: str, group_bytes: int) -> int:

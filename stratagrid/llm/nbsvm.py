@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, crc32_mod, small_batches, texts_of
+from .common import arrow_schema, crc32_mod, slices, texts_of
 
 #: Size of the table that grams are hashed into.
 BUCKETS = 1 << 18
@@ -148,14 +148,13 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, most_labels: int =
     At most most_labels labels are used (those with the smallest hash of doc_id): the documented bound of
     what reaches the driver. A doc_id that has several labels counts as 0 if any of them is 0.
     """
-    small_batches(docs.sparkSession)
     usable = labels.where("doc_id is not null and quality is not null").where(crc32_mod(F.col("doc_id"), folds) != 0)
     chosen = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("quality").cast("int")).alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labels)
     schema = arrow_schema("quality int, buckets array<int>")
 
     def extract(batches):
         memo = ShapeMemo()
-        for batch in batches:
+        for batch in slices(batches):
             texts = texts_of(batch)
             doc, bucket = features(texts, memo)
             cuts = np.searchsorted(doc, np.arange(len(texts) + 1))
@@ -177,13 +176,12 @@ def classify(docs: DataFrame, model: Model, folds: int = 5, cutoff: float = 0.3)
     A null or empty text has no grams, so its score is the model's bias alone. A null doc_id is not held
     out. Repeated rows give repeated rows; other columns are not read.
     """
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
     schema = arrow_schema(_SCORED)
 
     def score(batches):
         memo = ShapeMemo()
-        for batch in batches:
+        for batch in slices(batches):
             s = shared.value.scores(texts_of(batch), memo)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= cutoff).astype(np.int32))], schema=schema)
 
@@ -194,12 +192,11 @@ def classify(docs: DataFrame, model: Model, folds: int = 5, cutoff: float = 0.3)
 
 def keep(docs: DataFrame, model: Model, cutoff: float = 0.3) -> DataFrame:
     """The rows of docs whose text scores cutoff or more, with all their columns."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         memo = ShapeMemo()
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array(shared.value.scores(texts_of(batch), memo) >= cutoff))
 
     return docs.mapInArrow(run, docs.schema)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, arrow_schema, small_batches, text_key, texts_of, written
+from .common import LOWER, arrow_schema, slices, text_key, texts_of, written
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _MUL2 = np.uint64(0xD6E8FEB86659FD93)
@@ -85,7 +85,7 @@ def _sketch(docs: DataFrame, size: int, half: int, side: int, tensors: int) -> D
 
     def run(batches):
         memo, sketcher, same = WordHashes(), Sketcher(half, side, tensors), {}
-        for batch in batches:
+        for batch in slices(batches):
             n, nodes, halves = [], [], []
             for text in texts_of(batch):
                 s = shingles(text, size, memo)
@@ -107,7 +107,7 @@ def _full_sets(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches):
         memo = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             found = {}
             for text in texts_of(batch):
                 s = shingles(text, size, memo)
@@ -230,7 +230,6 @@ _KEY = "__text_key"
 
 def _labelled(docs: DataFrame, size: int, percent: int, half: int, side: int, tensors: int, classes: int, key: Column) -> DataFrame:
     """A row for each row of docs: doc_id, text_key, n_shingles, node, comp (a node of the component) and component (its least doc_id)."""
-    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), key.alias("text_key"))
     sets = written(_sketch(docs, size, half, side, tensors), "sketches")
     nodes = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"), F.max("n_shingles").alias("n"), F.first("halves").alias("halves"))

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, small_batches, texts_of, written
+from .common import arrow_schema, slices, texts_of, written
 from .encoding import default_tokenizer, encoder
 
 
@@ -123,13 +123,12 @@ _PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequ
 def cut(docs: DataFrame, limit: int, tokenizer: str | None = None, end_id: int = 2) -> DataFrame:
     """A row for each piece, with its rank among the pieces of its length in its partition."""
     path = tokenizer or default_tokenizer()
-    small_batches(docs.sparkSession)
     schema = arrow_schema(_PIECES)
 
     def pieces(batches):
         enc, end = encoder(path), np.asarray([end_id], dtype="<u4").tobytes()
         part, seen = TaskContext.get().partitionId(), np.zeros(limit + 1, dtype=np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for d, x in zip(batch.column("doc_id").to_pylist(), enc.encode(texts_of(batch))):
                 x += end
@@ -164,7 +163,7 @@ def pack_documents(docs: DataFrame, limit: int = 1024, tokenizer: str | None = N
     def place(batches):
         t = shared.value
         keys = (t[:, 0] << 44) + t[:, 1]
-        for batch in batches:
+        for batch in slices(batches):
             length, rank = (batch.column(c).to_numpy() for c in ("length", "rank"))
             rank = rank + batch.column("base").to_numpy()
             k = np.searchsorted(keys, (length << 44) + rank, side="right") - 1

@@ -7,27 +7,31 @@ costs an escape and passes to the next shorter context, where the bytes already
 first count to the escape. Below order 0 the bytes left are equally likely. Every text ends with a symbol of its own, so texts of all lengths together have
 probability one.
 
-Nothing here is broadcast that grows with the corpus. Documents are dealt into groups of bounded size.
-Each group sends its distinct grams (order + 1 bytes) and words with their counts; sums over all groups
-make the model; each group gets back values for its own grams and words only.
+Nothing here is broadcast that grows with the corpus. Documents are dealt, in the order in which they are
+read, into blocks of bounded bytes. Each block sends its distinct grams (order + 1 bytes) and words with
+their counts, packed into one row for each shard; a shard sums them over all blocks, makes its part of the
+model and sends each block the values of its own grams and words. A shard holds all grams whose context
+ends in the same two bytes, so its part of the trie is complete; the number of shards grows with the corpus.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, arrow_schema, crc32_mod, text_groups, written
+from .common import LOWER, arrow_schema, crc32_mod, slices, text_groups, written
 
 #: Ends a text and stands before its start; this byte is in no UTF-8 text.
 EDGE = 0xFF
-#: Texts are worked on in chunks of about so many bytes.
-CHUNK = 3 << 20
-_LARGEST_TABLE = 1 << 27
+#: Blocks are worked on in windows of so many bytes, whatever the length of a text.
+CHUNK = 2 << 20
+_LARGEST_TABLE = 1 << 26
 
 
 def gram_ranks(a: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -53,50 +57,41 @@ def gram_ranks(a: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     return keys, rank
 
 
-def stream(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The texts in one row of bytes, each after its edges; where each starts, and its number of symbols."""
-    edge = bytes([EDGE])
-    a = np.frombuffer(b"".join(edge * order + t + edge for t in texts) + edge * order, dtype=np.uint8)
-    n = np.asarray([len(t) + 1 for t in texts], dtype=np.int64)
-    return a, np.concatenate([[0], np.cumsum(n + order)[:-1]]).astype(np.int64), n
-
-
-def chunks(sizes: list[int]):
-    """Ranges of texts of about CHUNK bytes together."""
-    start = held = 0
-    for i, n in enumerate(sizes):
-        held += n
-        if held >= CHUNK:
-            yield start, i + 1
-            start, held = i + 1, 0
-    if start < len(sizes):
-        yield start, len(sizes)
-
-
-def _valid(a: np.ndarray, starts: np.ndarray, n: np.ndarray, order: int) -> np.ndarray:
-    """Which grams lie within one text."""
-    keep = np.ones(len(a) - order, dtype=bool)
-    for k in range(order):
-        out = starts + n + k
-        keep[out[out < len(keep)]] = False
-    return keep
-
-
-def gram_counts(texts: list[bytes], trained: list[bool], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct grams of texts, and how often each stands in those trained on (0: in none)."""
-    keys, counts = [], []
-    for learn in (True, False):
-        own = [t for t, y in zip(texts, trained) if y == learn]
-        for s, e in chunks([len(t) for t in own]):
-            a, starts, n = stream(own[s:e], order)
-            k, rank = gram_ranks(a, order)
-            c = np.bincount(rank[_valid(a, starts, n, order)], minlength=len(k))
-            keys.append(k[c > 0])
-            counts.append(c[c > 0] * learn)
-    if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    found, at = np.unique(np.concatenate(keys), return_inverse=True)
-    return found, np.bincount(at, np.concatenate(counts), minlength=len(found)).astype(np.int64)
+class Block:
+    """Texts in one row of bytes, each after its edges. Grams are looked at in windows of CHUNK places."""
+
+    def __init__(self, texts: list[bytes], order: int):
+        edge = bytes([EDGE])
+        self.order = order
+        self.bytes = np.frombuffer(b"".join(edge * order + t + edge for t in texts) + edge * order, dtype=np.uint8)
+        self.n = np.asarray([len(t) + 1 for t in texts], dtype=np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.n + order)[:-1]]).astype(np.int64)
+
+    def windows(self):
+        """(distinct grams, which stands where, whose text it is, whether it lies within that text)."""
+        for s in range(0, len(self.bytes) - self.order, CHUNK):
+            part = self.bytes[s : s + CHUNK + self.order]
+            keys, rank = gram_ranks(part, self.order)
+            place = np.arange(s, s + len(rank))
+            owner = np.searchsorted(self.starts, place, side="right") - 1
+            yield keys, rank, owner, place < self.starts[owner] + self.n[owner]
+
+    def counts(self, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct grams, sorted, and how often each stands in the texts trained on (0: in none)."""
+        keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0)]
+        for k, rank, owner, valid in self.windows():
+            seen = np.bincount(rank[valid], minlength=len(k)) > 0
+            keys.append(k[seen])
+            counts.append(np.bincount(rank[valid], trained[owner[valid]], minlength=len(k))[seen])
+        return _sum_by(np.concatenate(keys), np.concatenate(counts))
+
+    def sums(self, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """The sum over each text of the values of its grams."""
+        out = np.zeros(len(self.n))
+        for k, rank, owner, valid in self.windows():
+            each = _look(keys, values, k)[rank]
+            out += np.bincount(owner[valid], each[valid], minlength=len(out))
+        return out
 
 
 def _sum_by(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,89 +146,178 @@ def code_lengths(grams: np.ndarray, counts: np.ndarray, order: int, pairs: np.nd
     return out
 
 
-_FACTS = "grp int, word binary, gram long, n long"
-_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+def planes(numbers: np.ndarray) -> bytes:
+    """Whole numbers as bytes of equal weight side by side, which compresses well."""
+    return np.ascontiguousarray(numbers.astype("<i8").view("u1").reshape(-1, 8).T).tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, "u1").reshape(8, -1).T).view("<i8").reshape(-1)
 
 
-def score(docs: DataFrame, folds: int = 7, held: int = 2, order: int = 5, group_bytes: int = 32 << 20) -> DataFrame:
+_BLOCKS = "block long, n int, doc_ids binary, null_ids binary, held binary, sizes binary, content binary"
+_FACTS = "kind int, shard int, block long, keys binary, counts binary"
+_VALUES = "block long, kind int, keys binary, bits binary"
+_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+#: Kinds of facts: grams, words, and counts of pairs of bytes.
+GRAMS, WORDS, PAIRS = 0, 1, 2
+
+
+def _rows(ddl: str, rows: list[tuple]) -> pa.RecordBatch:
+    schema = arrow_schema(ddl)
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(schema.types)], schema=schema)
+
+
+def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """docs(doc_id, held_out, text) as rows of about block_bytes of text; a longer text is a block of its own."""
+
+    def deal(batches):
+        part, done, held, rows = TaskContext.get().partitionId(), 0, 0, []
+
+        def full():
+            ids = [d for d, _, _ in rows]
+            return _rows(_BLOCKS, [(part << 32 | done, len(rows), np.asarray([d or 0 for d in ids], "<i8").tobytes(), np.asarray([d is None for d in ids]).tobytes(), np.asarray([h for _, h, _ in rows]).tobytes(),
+                                    np.asarray([len(t) for *_, t in rows], "<i8").tobytes(), b"".join(t for *_, t in rows))])
+
+        for batch in slices(batches):
+            for d, h, t in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held_out", "text"))):
+                t = t.encode("utf-8", "surrogatepass").translate(LOWER)
+                if rows and held + len(t) > block_bytes:
+                    yield full()
+                    done, held, rows = done + 1, 0, []
+                rows.append((d, h, t))
+                held += len(t)
+        if rows:
+            yield full()
+
+    return docs.mapInArrow(deal, _BLOCKS)
+
+
+def _texts(row: dict) -> tuple[list[bytes], np.ndarray]:
+    """The texts of a block and which are trained on."""
+    ends = np.cumsum(np.frombuffer(row["sizes"], "<i8")).tolist()
+    content = row["content"]
+    return [content[a:b] for a, b in zip([0, *ends], ends)], ~np.frombuffer(row["held"], bool)
+
+
+def _dealt(kind: int, shard: np.ndarray, block: int, keys: np.ndarray, counts: np.ndarray) -> list[tuple]:
+    """A row for each shard with its keys, ascending, as differences."""
+    order = np.argsort(shard, kind="stable")
+    shard, keys, counts = shard[order], keys[order].astype(np.int64), counts[order]
+    cuts = np.flatnonzero(np.diff(shard, prepend=-1, append=-1)).tolist()
+    return [(kind, int(shard[a]), block, planes(np.diff(keys[a:b], prepend=0)), planes(counts[a:b])) for a, b in zip(cuts, cuts[1:])]
+
+
+def _facts(blocks: DataFrame, order: int, shards: int) -> DataFrame:
+    """What each block tells each shard: its grams, its words and its pairs of bytes, with training counts."""
+
+    def gather(batches):
+        for batch in slices(batches, "content"):
+            for row in batch.to_pylist():
+                texts, trained = _texts(row)
+                grams, counts = Block(texts, order).counts(trained)
+                pair, n = np.unique((grams & np.uint64(0xFFFF)).astype(np.int64), return_inverse=True)
+                rows = [(PAIRS, 0, row["block"], planes(pair), planes(np.bincount(n, counts, minlength=len(pair))))]
+                rows += _dealt(GRAMS, (grams >> np.uint64(8)).astype(np.uint16).astype(np.int64) * 40503 % 65521 % shards, row["block"], grams, counts)
+                seen: Counter = Counter()
+                for t, y in zip(texts, trained):
+                    if y:
+                        seen.update(t.split())
+                seen[b""] += int(trained.sum())  # ends
+                for t, y in zip(texts, trained):
+                    if not y:
+                        seen.update(dict.fromkeys(t.split(), 0))
+                of: dict[int, list[bytes]] = {}
+                for w in seen:
+                    of.setdefault(zlib.crc32(w) % shards, []).append(w)
+                rows += [(WORDS, k, row["block"], b" ".join(own), planes(np.asarray([seen[w] for w in own]))) for k, own in of.items()]
+                yield _rows(_FACTS, rows)
+
+    return blocks.mapInArrow(gather, _FACTS)
+
+
+def _merge(part: pa.Table, order: int, pairs: np.ndarray) -> pa.Table:
+    """The values of one shard's grams or words, a row for each block."""
+    kind, rows = part.column("kind")[0].as_py(), []
+    blocks, keys, counts = (part.column(c).to_pylist() for c in ("block", "keys", "counts"))
+    if kind == WORDS:
+        c: Counter = Counter()
+        for k, n in zip(keys, counts):
+            for w, m in zip(k.split(b" "), from_planes(n).tolist()):
+                c[w] += m
+        rows = [(b, kind, k, np.log10([c[w] + 1.0 for w in k.split(b" ")]).tobytes()) for b, k in zip(blocks, keys)]
+    else:
+        own = [np.cumsum(from_planes(k)) for k in keys]
+        found, at = np.unique(np.concatenate(own).astype(np.uint64), return_inverse=True)
+        bits = code_lengths(found, np.bincount(at, np.concatenate([from_planes(n) for n in counts]), minlength=len(found)).astype(np.int64), order, pairs)[at]
+        cuts = np.cumsum([0, *map(len, own)]).tolist()
+        rows = [(b, kind, k, bits[s:e].tobytes()) for b, k, s, e in zip(blocks, keys, cuts, cuts[1:])]
+    return pa.Table.from_batches([_rows(_VALUES, rows)])
+
+
+def score(docs: DataFrame, folds: int = 7, held: int = 2, order: int = 5, block_bytes: int = 16 << 20) -> DataFrame:
     """Scores every row of docs(doc_id, text), learning from those with crc32(doc_id as text) % folds != held.
 
     The model codes the bytes of the text with A-Z in lower case, and the end. base_score is that of the
     smoothed counts of words and ends. A null text is empty: the end alone. A null doc_id is trained on.
-    Without training rows all bytes are equally likely (1/256) and base_score is that of V = N = 0.
-    Repeated rows count and score each on its own. Other columns are not read.
+    A text of any length is scored whole, in windows. Equally long contexts can't tie: there is one of each
+    length. Without training rows all bytes are equally likely (1/256) and base_score is that of V = N = 0.
+    An empty table gives no rows. Repeated rows count and score each on its own. Other columns are not read.
     """
-    groups = text_groups(docs, "text", group_bytes)
+    shards = max(32, text_groups(docs, "text", block_bytes // 2))
     held_out = F.coalesce(crc32_mod(F.col("doc_id"), folds) == held, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", F.octet_length("text"), F.substring("text", 1, 40)), F.lit(groups)).cast("int"))
-    facts_schema, scores_schema = arrow_schema(_FACTS), arrow_schema(_SCORES)
-
-    def gather(part: pa.Table) -> pa.Table:
-        texts = [t.encode("utf-8", "surrogatepass").translate(LOWER) for t in part.column("text").to_pylist()]
-        trained = [not h for h in part.column("held_out").to_pylist()]
-        seen: Counter = Counter()
-        for t, y in zip(texts, trained):
-            if y:
-                seen.update(t.split())
-        seen[b""] += sum(trained)  # ends
-        for t, y in zip(texts, trained):
-            if not y:
-                seen.update(dict.fromkeys(t.split(), 0))
-        grams, counts = gram_counts(texts, trained, order)
-        n, m = len(seen), len(grams)
-        group = part.column("grp")[0].as_py()
-        words = pa.table([pa.array([group] * n, pa.int32()), pa.array(list(seen), pa.binary()), pa.nulls(n, pa.int64()), pa.array(list(seen.values()), pa.int64())], schema=facts_schema)
-        return pa.concat_tables([words, pa.table([pa.array([group] * m, pa.int32()), pa.nulls(m, pa.binary()), pa.array(grams.astype(np.int64)), pa.array(counts)], schema=facts_schema)])
-
-    facts = written(rows.groupBy("grp").applyInArrow(gather, _FACTS), "facts")
-    words = facts.where("gram is null").select("grp", "word", F.sum("n").over(Window.partitionBy("word")).alias("c"))
-    words = written(words, "words")
-    totals = facts.where("gram is null").groupBy("word").agg(F.sum("n").alias("c")).agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
-    tokens, kinds = int(totals[0]), int(totals[1])
-
-    grams = facts.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n"))
-    last_two = F.col("gram").bitwiseAND(0xFFFF)
+    blocks = written(_blocks(rows, block_bytes), "blocks", "zstd")
+    facts = written(_facts(blocks, order, shards), "facts", "zstd")
+
+    def totals(batches):
+        """Counts of pairs of bytes over the blocks of a task."""
+        seen = np.zeros(65536, dtype=np.int64)
+        for batch in batches:
+            for k, n in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist()):
+                seen[from_planes(k)] += from_planes(n)
+        yield _rows("pair long, n long", [(int(k), int(seen[k])) for k in np.flatnonzero(seen)])
+
+    def words_of(part: pa.Table) -> pa.Table:
+        c: Counter = Counter()
+        for k, n in zip(part.column("keys").to_pylist(), part.column("counts").to_pylist()):
+            for w, m in zip(k.split(b" "), from_planes(n).tolist()):
+                c[w] += m
+        return pa.Table.from_batches([_rows("tokens long, kinds long", [(sum(c.values()), sum(n > 0 for n in c.values()))])])
+
     pairs = np.zeros((256, 256), dtype=np.int64)
-    grams = written(grams, "grams")
-    for r in grams.groupBy(last_two.alias("k")).agg(F.sum("n").alias("n")).collect():  # 65,536 rows at most
-        pairs[r["k"] >> 8, r["k"] & 255] = r["n"]
-    shards = max(64, grams.count() // 200_000)
-    context = F.pmod(F.xxhash64(F.shiftright("gram", 8).bitwiseAND(0xFFFF)), F.lit(shards))
-
-    def lengths(part: pa.Table) -> pa.Table:
-        g, n = part.column("gram").to_numpy().astype(np.uint64), part.column("n").to_numpy()
-        return pa.table({"gram": part.column("gram"), "bits": pa.array(code_lengths(g, n, order, pairs))})
-
-    trie = grams.withColumn("shard", context).groupBy("shard").applyInArrow(lengths, "gram long, bits double")
-    own = facts.where("gram is not null").select("grp", "gram").join(trie, "gram")
-    values = words.select("grp", "word", F.lit(None).cast("long").alias("gram"), F.log10(F.col("c") + 1.0).alias("v")).unionByName(
-        own.select("grp", F.lit(None).cast("binary").alias("word"), "gram", F.col("bits").alias("v")))
-    unit = float(np.log10(tokens + kinds + 1))
+    counted = facts.where(F.col("kind") == PAIRS).select("keys", "counts").mapInArrow(totals, "pair long, n long")
+    for r in counted.groupBy("pair").agg(F.sum("n").alias("n")).collect():  # 65,536 rows at most
+        pairs[r["pair"] >> 8, r["pair"] & 255] = r["n"]
+    found = facts.where(F.col("kind") == WORDS).groupBy("shard").applyInArrow(words_of, "tokens long, kinds long").agg(F.sum("tokens"), F.sum("kinds")).first()
+    tokens, unit = int(found[0] or 0), float(np.log10((found[0] or 0) + (found[1] or 0) + 1))
+    scores_schema = arrow_schema(_SCORES)
 
     def judge(part: pa.Table, known: pa.Table) -> pa.Table:
-        texts = [t.encode("utf-8", "surrogatepass").translate(LOWER) for t in part.column("text").to_pylist()]
-        is_gram = known.column("gram").is_valid().to_numpy()
-        v = known.column("v").to_numpy()
-        of = dict(zip(known.column("word").filter(pa.array(~is_gram)).to_pylist(), v[~is_gram].tolist()))
-        keys = known.column("gram").filter(pa.array(is_gram)).to_numpy().astype(np.uint64)
-        by = np.argsort(keys)
-        keys, bits = keys[by], v[is_gram][by]
-        n_tokens, n_known, base, total = [], [], [], []
+        if not part.num_rows:
+            return scores_schema.empty_table()
+        row = part.to_pylist()[0]
+        texts, trained = _texts(row)
+        of, keys, bits = {}, [np.zeros(0, np.int64)], [np.zeros(0)]
+        for kind, k, v in zip(*(known.column(c).to_pylist() for c in ("kind", "keys", "bits"))):
+            v = np.frombuffer(v)
+            if kind == WORDS:
+                of.update(zip(k.split(b" "), v.tolist()))
+            else:
+                keys.append(np.cumsum(from_planes(k)))
+                bits.append(v)
+        k, v = np.concatenate(keys).astype(np.uint64), np.concatenate(bits)
+        by = np.argsort(k)
+        total = Block(texts, order).sums(k[by], v[by])
+        n_tokens, n_known, base = [], [], []
         for t in texts:
-            found = [*map(of.__getitem__, t.split()), of[b""]]
-            n_tokens.append(len(found))
-            n_known.append(len(found) - found.count(0.0))
-            base.append(sum(found) - len(found) * unit)
-        for s, e in chunks([len(t) for t in texts]):
-            a, starts, n = stream(texts[s:e], order)
-            k, rank = gram_ranks(a, order)
-            each = _look(keys, bits, k)[rank]
-            each[~_valid(a, starts, n, order)] = 0
-            total.append(np.add.reduceat(each, starts))
-        return pa.table([part.column("doc_id"), part.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array([tokens] * len(texts), pa.int64()), pa.array(base, pa.float64()), pa.array(np.concatenate(total))], schema=scores_schema)
-
-    def judged(part: pa.Table, known: pa.Table) -> pa.Table:
-        return judge(part, known) if part.num_rows else scores_schema.empty_table()
-
-    return rows.groupBy("grp").cogroup(values.groupBy("grp")).applyInArrow(judged, _SCORES)
+            each = [*map(of.__getitem__, t.split()), of[b""]]
+            n_tokens.append(len(each))
+            n_known.append(len(each) - each.count(0.0))
+            base.append(sum(each) - len(each) * unit)
+        return pa.table([
+            pa.array(np.frombuffer(row["doc_ids"], "<i8"), mask=np.frombuffer(row["null_ids"], bool)), pa.array(~trained), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()),
+            pa.array([tokens] * len(texts), pa.int64()), pa.array(base, pa.float64()), pa.array(total)], schema=scores_schema)
+
+    values = facts.where(F.col("kind") != PAIRS).groupBy("kind", "shard").applyInArrow(lambda part: _merge(part, order, pairs), _VALUES)
+    return blocks.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(judge, _SCORES)

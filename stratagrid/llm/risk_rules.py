@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, small_batches, texts_of, written
+from .common import arrow_schema, slices, texts_of, written
 
 SYMBOLS = b"#*$%&|<>"
 #: Cutoffs of each measure, lenient to strict: a measure above it rejects.
@@ -74,12 +74,11 @@ _FEATURES = "doc_id long, stratum string, " + ", ".join(f"{m} long" for m in _ME
 
 
 def measures(docs: DataFrame, stratum: str = "lang") -> DataFrame:
-    small_batches(docs.sparkSession)
     schema = arrow_schema(_FEATURES)
 
     def run(batches):
         memo = _Hashes()
-        for batch in batches:
+        for batch in slices(batches):
             found = [measure(t, memo) for t in texts_of(batch)]
             columns = zip(*found) if found else [()] * len(_MEASURES)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("stratum"), *(pa.array(c, pa.int64()) for c in columns)], schema=schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, small_batches, texts_of
+from .common import arrow_schema, slices, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 #: Labels of a mention: none, then the kinds.
@@ -155,7 +155,7 @@ def statistics(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         seen: Counter = Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for text in texts_of(batch):
                 nodes = mentions(text, base_spans(text)) if "@" in text or _DIGIT.search(text) else []
                 if not nodes:
@@ -242,7 +242,6 @@ class Field:
 
 def learn(docs: DataFrame) -> Field:
     """The field of docs(text); the driver gets at most BUCKETS * 5 + 50 counts."""
-    small_batches(docs.sparkSession)
     size = len(LABELS)
     tables = [np.zeros((BUCKETS, size)), np.zeros((size, size)), np.zeros((size, size))]
     for r in statistics(docs.select(F.col("text").cast("string").alias("text"))).collect():
@@ -263,13 +262,12 @@ def find(docs: DataFrame, field: Field, least: float = 0.9) -> DataFrame:
     Offsets count code points, ends are exclusive. A null or empty text has no span (an empty string, and
     the digest of one). Repeated rows give repeated rows; other columns are not read.
     """
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(field)
     schema = arrow_schema(_FOUND)
 
     def run(batches):
         nothing = hashlib.sha256(b"").hexdigest()
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text in texts_of(batch):
                 base = base_spans(text)
@@ -296,11 +294,10 @@ def redact(docs: DataFrame, field: Field, least: float = 0.9) -> DataFrame:
     """docs with the personal data of its text replaced; all columns stay, null texts stay null.
 
     A column n_chars, where there is one, is counted anew."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = []
             for text in batch.column("text").to_pylist():
                 if text and ("@" in text or _DIGIT.search(text)):

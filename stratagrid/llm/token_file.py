@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, small_batches, text_groups, texts_of, written
+from .common import arrow_schema, slices, text_groups, texts_of, written
 from .encoding import default_tokenizer, encoder
 
 MAGIC = b"FWP1"
@@ -124,7 +124,6 @@ def write_segments(docs: DataFrame, tokenizer: str | None = None, end_id: int =
     document is the end id alone. Other columns are not read. An empty table gives no segments.
     """
     path = tokenizer or default_tokenizer()
-    small_batches(docs.sparkSession)
     schema = arrow_schema(_SEGMENTS)
 
     def encode(batches):
@@ -136,7 +135,7 @@ def write_segments(docs: DataFrame, tokenizer: str | None = None, end_id: int =
         def full():
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((part, start, held, segment(names, ids, bits)), schema.types)], schema=schema)
 
-        for batch in batches:
+        for batch in slices(batches):
             for d, x in zip(batch.column("doc_id").to_pylist(), enc.encode(texts_of(batch))):
                 names.append(d)
                 ids.append(x + end)
@@ -163,7 +162,7 @@ def read_segments(segments: DataFrame) -> DataFrame:
     schema = arrow_schema(_DIGEST)
 
     def decode(batches):
-        for batch in batches:
+        for batch in slices(batches, "content", most_rows=1):
             for part, start, data in zip(*(batch.column(c).to_pylist() for c in ("part", "part_start", "content"))):
                 s = Segment(data)
                 flat, cuts = s.tokens(0, s.n_tokens), s.starts.tolist()
@@ -173,5 +172,4 @@ def read_segments(segments: DataFrame) -> DataFrame:
                     pa.array(s.doc_ids, pa.int64()), pa.array([first + a for a in cuts[:-1]], pa.int64()),
                     pa.array(s.counts.astype(np.int64)), pa.array(crc, pa.int64())], schema=schema)
 
-    small_batches(segments.sparkSession, 8)
     return segments.select("part", "part_start", "content").mapInArrow(decode, _DIGEST)

@@ -71,7 +71,7 @@ def test_scores(spark, docs, monkeypatch):
     want = brute(some.collect())
     same(ppm.score(some).collect(), want)
     monkeypatch.setattr(ppm, "CHUNK", 3000)
-    same(ppm.score(some, group_bytes=20_000).collect(), want)
+    same(ppm.score(some, block_bytes=20_000).collect(), want)
     size = {r["doc_id"]: len((r["text"] or "").encode()) for r in some.collect()}
     assert sum(r[6] for r in want if r[1]) > -math.log10(16) * sum(size[r[0]] for r in want if r[1])  # below four bits a byte
 
