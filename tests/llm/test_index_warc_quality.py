@@ -5,7 +5,8 @@ import zlib
 import numpy as np
 
 from stratagrid.llm.nbsvm import BUCKETS, ShapeMemo, classify, features, fit, shape, train
-from stratagrid.llm.positional_index import Shard, build_index, contamination, frequencies, search
+from stratagrid.llm import positional_index
+from stratagrid.llm.positional_index import Phrases, build_index, contamination, search, words
 from stratagrid.llm.warc_store import read_archive, records, write_archive
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -65,12 +66,27 @@ def test_blocks_agree_whatever_the_batches(spark):
     assert got == brute_contamination(many.collect(), items.collect()) and any(r[-1] for r in got)
 
 
+def test_one_index_answers_any_phrase(spark, docs, monkeypatch):
+    """Phrases that no benchmark holds, among them single words and whole documents; also a few places at a time."""
+    texts = {r["doc_id"]: words(r["text"] or "") for r in docs.collect()}
+    index = build_index(docs)
+    asked = [t[k : k + n] for t in list(texts.values())[:40] for k, n in ((0, 1), (3, 2), (1, 7), (0, len(t))) if len(t) >= k + n > k] + [[b"nowhere"]]
+    phrases = Phrases.windows(((str(i), b" ".join(a).decode()) for i, a in enumerate(asked)), None)
+    for together in (1 << 20, 50):
+        monkeypatch.setattr(positional_index, "TOGETHER", together)
+        for r in search(index, phrases).collect():
+            t = texts[r["doc_id"]]
+            at = {i: {k for k in range(len(t) - len(a) + 1) if t[k : k + len(a)] == a} for i, a in enumerate(asked)}
+            assert r["items"] == sorted(str(i) for i, k in at.items() if k)
+            hit = {k + j for i, found in at.items() for k in found for j in range(len(asked[i]))}
+            assert {k for a, b in zip(r["spans"][::2], r["spans"][1::2]) for k in range(a, b)} == hit
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha x x beta"), (2, "beta alpha"), (3, "alpha x x x x beta"), (4, "alpha"), (5, "beta")], "doc_id long, text string")
-    index = build_index(docs, [b"alpha", b"beta"])
-    found = search(index, {(0, 1): ["q"]}, frequencies(index), slop=3)
+    index = build_index(docs)
+    found = search(index, Phrases.windows([("q", "alpha beta")], None), slop=3)
     assert {r["doc_id"] for r in found.collect() if r["items"]} == {1, 2}
-    assert Shard(*(index.first()[c] for c in ("terms", "counts", "postings", "n_words"))).bounds
 
 
 def test_archive(spark, sf_dir):
