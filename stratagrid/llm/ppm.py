@@ -146,13 +146,22 @@ def code_lengths(grams: np.ndarray, counts: np.ndarray, order: int, pairs: np.nd
     return out
 
 
+def small(data: bytes) -> bytes:
+    """Compressed, after its length."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def from_small(data: bytes) -> bytes:
+    return pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
 def planes(numbers: np.ndarray) -> bytes:
-    """Whole numbers as bytes of equal weight side by side, which compresses well."""
-    return np.ascontiguousarray(numbers.astype("<i8").view("u1").reshape(-1, 8).T).tobytes()
+    """Whole numbers as bytes of equal weight side by side, compressed."""
+    return small(np.ascontiguousarray(numbers.astype("<i8").view("u1").reshape(-1, 8).T).tobytes())
 
 
 def from_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, "u1").reshape(8, -1).T).view("<i8").reshape(-1)
+    return np.ascontiguousarray(np.frombuffer(from_small(data), "u1").reshape(8, -1).T).view("<i8").reshape(-1)
 
 
 _BLOCKS = "block long, n int, doc_ids binary, null_ids binary, held binary, sizes binary, content binary"
@@ -177,7 +186,7 @@ def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
         def full():
             ids = [d for d, _, _ in rows]
             return _rows(_BLOCKS, [(part << 32 | done, len(rows), np.asarray([d or 0 for d in ids], "<i8").tobytes(), np.asarray([d is None for d in ids]).tobytes(), np.asarray([h for _, h, _ in rows]).tobytes(),
-                                    np.asarray([len(t) for *_, t in rows], "<i8").tobytes(), b"".join(t for *_, t in rows))])
+                                    np.asarray([len(t) for *_, t in rows], "<i8").tobytes(), small(b"".join(t for *_, t in rows)))])
 
         for batch in slices(batches):
             for d, h, t in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held_out", "text"))):
@@ -196,7 +205,7 @@ def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
 def _texts(row: dict) -> tuple[list[bytes], np.ndarray]:
     """The texts of a block and which are trained on."""
     ends = np.cumsum(np.frombuffer(row["sizes"], "<i8")).tolist()
-    content = row["content"]
+    content = from_small(row["content"])
     return [content[a:b] for a, b in zip([0, *ends], ends)], ~np.frombuffer(row["held"], bool)
 
 
@@ -245,13 +254,13 @@ def _merge(part: pa.Table, order: int, pairs: np.ndarray) -> pa.Table:
         for k, n in zip(keys, counts):
             for w, m in zip(k.split(b" "), from_planes(n).tolist()):
                 c[w] += m
-        rows = [(b, kind, k, np.log10([c[w] + 1.0 for w in k.split(b" ")]).tobytes()) for b, k in zip(blocks, keys)]
+        rows = [(b, kind, k, small(np.log10([c[w] + 1.0 for w in k.split(b" ")]).tobytes())) for b, k in zip(blocks, keys)]
     else:
         own = [np.cumsum(from_planes(k)) for k in keys]
         found, at = np.unique(np.concatenate(own).astype(np.uint64), return_inverse=True)
         bits = code_lengths(found, np.bincount(at, np.concatenate([from_planes(n) for n in counts]), minlength=len(found)).astype(np.int64), order, pairs)[at]
         cuts = np.cumsum([0, *map(len, own)]).tolist()
-        rows = [(b, kind, k, bits[s:e].tobytes()) for b, k, s, e in zip(blocks, keys, cuts, cuts[1:])]
+        rows = [(b, kind, k, small(bits[s:e].tobytes())) for b, k, s, e in zip(blocks, keys, cuts, cuts[1:])]
     return pa.Table.from_batches([_rows(_VALUES, rows)])
 
 
@@ -300,7 +309,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, order: int = 5, block_
         texts, trained = _texts(row)
         of, keys, bits = {}, [np.zeros(0, np.int64)], [np.zeros(0)]
         for kind, k, v in zip(*(known.column(c).to_pylist() for c in ("kind", "keys", "bits"))):
-            v = np.frombuffer(v)
+            v = np.frombuffer(from_small(v))
             if kind == WORDS:
                 of.update(zip(k.split(b" "), v.tolist()))
             else:
@@ -319,5 +328,8 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, order: int = 5, block_
             pa.array(np.frombuffer(row["doc_ids"], "<i8"), mask=np.frombuffer(row["null_ids"], bool)), pa.array(~trained), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()),
             pa.array([tokens] * len(texts), pa.int64()), pa.array(base, pa.float64()), pa.array(total)], schema=scores_schema)
 
-    values = facts.where(F.col("kind") != PAIRS).groupBy("kind", "shard").applyInArrow(lambda part: _merge(part, order, pairs), _VALUES)
-    return blocks.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(judge, _SCORES)
+    # as many partitions as there are shards, and then blocks: tasks stay equally large as the corpus grows
+    dealt = facts.where(F.col("kind") != PAIRS).repartition(2 * shards, "kind", "shard")
+    values = dealt.groupBy("kind", "shard").applyInArrow(lambda part: _merge(part, order, pairs), _VALUES)
+    n = max(1, blocks.count())
+    return blocks.repartition(n, "block").groupBy("block").cogroup(values.repartition(n, "block").groupBy("block")).applyInArrow(judge, _SCORES)
