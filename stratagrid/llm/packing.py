@@ -147,7 +147,8 @@ def pack_documents(docs: DataFrame, limit: int = 1024, tokenizer: str | None = N
     """Packs docs(doc_id, text) into few sequences of at most limit ids; a row for each piece.
 
     A null or empty text is the end id alone. Repeated rows are documents of their own (a doc_id may then
-    occur twice with the same piece). Other columns are not read. An empty table gives no rows.
+    occur twice with the same piece). Pieces of one length are interchangeable; those read first get the
+    first places. Texts of any length are cut whole. Other columns are not read. An empty table gives no rows.
     """
     spark = docs.sparkSession
     pieces = written(cut(docs, limit, tokenizer, end_id), "pieces")
@@ -160,13 +161,15 @@ def pack_documents(docs: DataFrame, limit: int = 1024, tokenizer: str | None = N
     shared = spark.sparkContext.broadcast(slots(plan(hist, limit)))  # rows: a few for each length
     schema = arrow_schema(_PACKED)
 
-    def place(batches):
+    def place(own: pa.Table, bases: pa.Table) -> pa.Table:
+        """The pieces of one part of the input, with the numbers of pieces of each length before it."""
         t = shared.value
-        keys = (t[:, 0] << 44) + t[:, 1]
-        for batch in slices(batches):
-            length, rank = (batch.column(c).to_numpy() for c in ("length", "rank"))
-            rank = rank + batch.column("base").to_numpy()
-            k = np.searchsorted(keys, (length << 44) + rank, side="right") - 1
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(t[k, 2] + rank - t[k, 1]), pa.array(t[k, 3])], schema=schema)
-
-    return pieces.join(based.drop("n"), ["part", "length"]).mapInArrow(place, _PACKED)
+        base = np.zeros(limit + 1, dtype=np.int64)
+        base[bases.column("length").to_numpy()] = bases.column("base").to_numpy()
+        length = own.column("length").to_numpy()
+        rank = own.column("rank").to_numpy() + base[length]
+        k = np.searchsorted((t[:, 0] << 44) + t[:, 1], (length << 44) + rank, side="right") - 1
+        return pa.table([*(own.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(t[k, 2] + rank - t[k, 1]), pa.array(t[k, 3])], schema=schema)
+
+    # rows of numbers only, a part at a time: a part is what one task read
+    return pieces.groupBy("part").cogroup(based.groupBy("part")).applyInArrow(place, _PACKED)
