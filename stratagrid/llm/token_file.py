@@ -19,7 +19,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, slices, text_groups, texts_of, written
@@ -114,14 +114,15 @@ class Segment:
 
 
 _SEGMENTS = "part int, part_start long, n_tokens long, content binary"
-_DIGEST = "doc_id long, start long, n_tokens long, ids_crc32 long"
+_LOCAL = "part int, doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
-def write_segments(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, partition_bytes: int = 32 << 20, segment_tokens: int = 1 << 20) -> DataFrame:
+def write_segments(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, partition_bytes: int = 16 << 20, segment_tokens: int = 1 << 20) -> DataFrame:
     """Encodes docs(doc_id, text) and writes segments in ascending doc_id order; returns the written table.
 
-    Rows that share a doc_id are ordered by text; a null doc_id comes first; a null text is empty, so its
-    document is the end id alone. Other columns are not read. An empty table gives no segments.
+    Rows that share a doc_id are ordered by a digest of the text, so a doc_id that many rows share is dealt
+    over tasks like any other; a null doc_id comes first; a null text is empty, so its document is the end
+    id alone. A text of any length is encoded whole. Other columns are not read. An empty table gives no segments.
     """
     path = tokenizer or default_tokenizer()
     schema = arrow_schema(_SEGMENTS)
@@ -146,20 +147,21 @@ def write_segments(docs: DataFrame, tokenizer: str | None = None, end_id: int =
         if names:
             yield full()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    placed = rows.repartitionByRange(text_groups(docs, "text", partition_bytes), "doc_id").sortWithinPartitions("doc_id", "text")
-    return written(placed.mapInArrow(encode, _SEGMENTS), "segments")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("digest"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("digest")]
+    placed = rows.repartitionByRange(text_groups(docs, "text", partition_bytes), *order).sortWithinPartitions(*order)
+    return written(placed.select("doc_id", "text").mapInArrow(encode, _SEGMENTS), "segments")
 
 
 def read_segments(segments: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the segments alone.
 
-    The driver gets one total for each partition of the write, no more."""
-    totals = {r["part"]: r["n"] for r in segments.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}
-    base, at = {}, 0
-    for part in sorted(totals):
-        base[part], at = at, at + totals[part]
-    schema = arrow_schema(_DIGEST)
+    What stands before a partition of the write is summed over its totals (one row each) and joined to the
+    rows of numbers that the segments give, not to the segments."""
+    totals = segments.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task of the write
+    bases = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    schema = arrow_schema(_LOCAL)
 
     def decode(batches):
         for batch in slices(batches, "content", most_rows=1):
@@ -167,9 +169,9 @@ def read_segments(segments: DataFrame) -> DataFrame:
                 s = Segment(data)
                 flat, cuts = s.tokens(0, s.n_tokens), s.starts.tolist()
                 crc = [zlib.crc32(flat[a:b]) for a, b in zip(cuts, cuts[1:])]
-                first = base[part] + start
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(s.doc_ids, pa.int64()), pa.array([first + a for a in cuts[:-1]], pa.int64()),
+                    pa.array([part] * len(crc), pa.int32()), pa.array(s.doc_ids, pa.int64()), pa.array([start + a for a in cuts[:-1]], pa.int64()),
                     pa.array(s.counts.astype(np.int64)), pa.array(crc, pa.int64())], schema=schema)
 
-    return segments.select("part", "part_start", "content").mapInArrow(decode, _DIGEST)
+    found = segments.select("part", "part_start", "content").mapInArrow(decode, _LOCAL)
+    return found.join(bases, "part").select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
