@@ -69,8 +69,14 @@ def measure(text: str, memo: _Hashes) -> tuple[int, ...]:
     return n, chars, symbols, len(lines) - len(set(lines)), repeated, len(lines), int((h >> np.uint64(62)).sum()), stutter
 
 
+def content(text: str) -> int:
+    """A digest of the words in lower case without signs and digits: copies that differ in those only share it."""
+    return xxhash.xxh3_64_intdigest(b" ".join(text.encode("utf-8", "surrogatepass").translate(_LETTERS).split())) - (1 << 63)
+
+
+_LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 _MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_shout", "n_stutter")
-_FEATURES = "doc_id long, stratum string, " + ", ".join(f"{m} long" for m in _MEASURES)
+_FEATURES = "doc_id long, stratum string, " + ", ".join(f"{m} long" for m in _MEASURES) + ", content long"
 
 
 def measures(docs: DataFrame, stratum: str = "lang") -> DataFrame:
@@ -79,8 +85,8 @@ def measures(docs: DataFrame, stratum: str = "lang") -> DataFrame:
     def run(batches):
         memo = _Hashes()
         for batch in slices(batches):
-            found = [measure(t, memo) for t in texts_of(batch)]
-            columns = zip(*found) if found else [()] * len(_MEASURES)
+            found = [(*measure(t, memo), content(t)) for t in texts_of(batch)]
+            columns = zip(*found)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("stratum"), *(pa.array(c, pa.int64()) for c in columns)], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), F.col("text").cast("string").alias("text"))
@@ -140,28 +146,39 @@ def choose(counts: dict[str, tuple[np.ndarray, np.ndarray]], risk: float, error:
     return out
 
 
-def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.05, error: float = 0.05, weight: float = 10.0) -> DataFrame:
+def trials(found: DataFrame, labels: DataFrame) -> DataFrame:
+    """(stratum, level, quality), one row for each text with a label: the exact test needs independent rows, so
+    rows that share a doc_id, or their words but for case, signs and digits, count once. The one that counts
+    has the smallest digest of its doc_id; of several labels of a doc_id the lowest counts."""
+    known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("quality").cast("int")).alias("quality"))
+    own = found.select("doc_id", "stratum", "level", "content").join(known, "doc_id")
+    first = F.struct(F.xxhash64("doc_id"), "doc_id", "content", "stratum", "level", "quality")
+    for key in ("doc_id", "content"):
+        own = own.groupBy(key).agg(F.min(first).alias("r")).select("r.doc_id", "r.content", "r.stratum", "r.level", "r.quality")
+    return own.select("stratum", "level", "quality")
+
+
+def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.05, error: float = 0.05, weight: float = 10.0, most_strata: int = 10_000) -> DataFrame:
     """Measures and verdict of every row of docs(doc_id, text, stratum).
 
     base_failed: fewer than 50 words, or more than half of them in repeated three-word windows. kept is
-    false for these and for what the stratum's certified level rejects. A stratum without enough good
-    labels to certify any level rejects nothing beyond the base. A null text has no words; a null stratum
-    is the stratum "". Labels count once for each document they name (0 if they differ); null labels and
-    ids do not count. Repeated rows give repeated rows; other columns are not read. The driver gets the
-    counts of each stratum by level, so the strata must be few (languages, sources).
+    false for these and for what the stratum's certified level rejects. The risk is that of good documents
+    that pass the base rules. A stratum without enough good labels to certify any level rejects nothing beyond
+    the base. A null text has no words; a null stratum is the stratum ""; a text of any length is measured
+    whole; an empty table gives no rows. Labels count as trials() says; null labels and ids do not count.
+    Of levels that serve equally the most lenient is taken. Repeated rows give repeated rows; other columns are
+    not read. The driver gets the counts of each labelled stratum by level; more than most_strata strata (not
+    languages or sources, then) raise ValueError.
     """
     found = written(measures(docs, stratum).withColumn("level", level()), "measures")
-    known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("quality").cast("int")).alias("quality"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    tested = found.where(~failed).select("doc_id", "stratum", "level").join(known, "doc_id")
-    counts: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    for r in tested.groupBy("stratum", "quality", "level").agg(F.count("*").alias("n")).collect():
-        good, bad = counts.setdefault(r["stratum"], (np.zeros(LEVELS + 2, np.int64), np.zeros(LEVELS + 2, np.int64)))
-        (good if r["quality"] == 1 else bad)[r["level"]] += r["n"]
-    chosen = [(name, k) for name, k in sorted(choose(counts, risk, error, weight).items()) if k]
-    limit = F.lit(0)
-    for name, k in chosen:
-        limit = F.when(F.col("stratum") == name, k).otherwise(limit)
+    tested = trials(found.where(~failed), labels).groupBy("stratum").agg(*(F.count(F.when((F.col("quality") == q) & (F.col("level") == k), 1)).alias(f"n{q}_{k}") for q in (0, 1) for k in range(LEVELS + 2)))
+    rows = tested.limit(most_strata + 1).collect()
+    if len(rows) > most_strata:
+        raise ValueError(f"more than {most_strata} strata")
+    counts = {r["stratum"]: tuple(np.asarray([r[f"n{q}_{k}"] for k in range(LEVELS + 2)]) for q in (1, 0)) for r in rows}
+    chosen = docs.sparkSession.createDataFrame(sorted(choose(counts, risk, error, weight).items()), "stratum string, chosen int")
     base = failed.alias("base_failed")
-    kept = (~failed & (F.col("level") > limit)).alias("kept")
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base, kept)
+    kept = (~failed & (F.col("level") > F.coalesce("chosen", F.lit(0)))).alias("kept")
+    # at most most_strata rows of a name and a number
+    return found.join(F.broadcast(chosen), "stratum", "left").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base, kept)

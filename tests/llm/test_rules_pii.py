@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from stratagrid.llm.risk_rules import LEVELS, _Hashes, binomial_tail, choose, judge, measure
+from stratagrid.llm.risk_rules import CUTOFFS, LEVELS, _Hashes, binomial_tail, choose, judge, level, measure, measures, trials
 from stratagrid.llm.skip_chain import Field, base_spans, find, learn, redact, redacted, statistics
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -148,6 +148,44 @@ def test_choice_keeps_the_risk():
     assert broken <= 30
 
 
+def test_trials_are_independent(spark):
+    """Rows of one doc_id, and texts equal but for case, signs and digits, are one trial; the level is recomputed by hand."""
+    say = lambda k: " ".join(f"word{chr(97 + k)}{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(60))
+    rows = [(1, say(0)), (1, say(1)), (2, say(2)), (3, say(2).upper() + "!!"), (4, say(3) + " # $ %"), (5, None), (6, say(4))]
+    docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 0), (4, 1), (6, None), (9, 1)], "doc_id long, quality int")
+    found = measures(docs).withColumn("level", level())
+    got = sorted((r["quality"], r["level"]) for r in trials(found, labels).collect())
+    assert got == [(0, LEVELS + 1), (1, LEVELS + 1), (1, LEVELS + 1)]  # three signs in 63 words are below every cutoff
+
+
+def test_verdicts_by_hand(spark):
+    """kept recomputed from the measures, the trials and the choice."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = {r["doc_id"]: r["kept"] for r in judge(docs, labels).collect()}
+    truth, seen, chosen = {r["doc_id"]: r["quality"] for r in labels.collect()}, set(), {}
+    own = {}
+    for r in docs.collect():
+        n, _, symbols, dup, rep, lines, shout, stutter = measure(r["text"] or "", _Hashes())
+        rates = {"symbol_rate": symbols / max(n, 1), "shout_rate": shout / max(n, 1), "stutter_rate": stutter / max(n, 1), "repeat_rate": rep / max(n, 1), "duplicate_line_rate": dup / max(lines, 1)}
+        first = min([k + 1 for m, cuts in CUTOFFS.items() for k, c in enumerate(cuts) if rates[m] > c], default=LEVELS + 1)
+        own[r["doc_id"]] = (n < 50 or 100 * rep > 50 * n, first, r["lang"], re.sub("[^a-z\u0080-\U0010ffff]+", " ", (r["text"] or "").translate({c: c + 32 for c in range(65, 91)})).split())
+    groups = {}
+    for d, (failed, first, lang, content) in own.items():
+        if not failed and d in truth:
+            groups.setdefault(tuple(content), []).append(d)
+    digest = {r["doc_id"]: r["h"] for r in docs.selectExpr("doc_id", "xxhash64(doc_id) AS h").collect()}
+    counts = {}
+    for members in groups.values():
+        d = min(members, key=lambda x: (digest[x], x))
+        good, bad = counts.setdefault(own[d][2], (np.zeros(LEVELS + 2, int), np.zeros(LEVELS + 2, int)))
+        (good if truth[d] else bad)[own[d][1]] += 1
+    chosen = choose(counts, 0.05, 0.05, 10.0)
+    assert any(chosen.values())
+    assert got == {d: not failed and first > chosen.get(lang, 0) for d, (failed, first, lang, _) in own.items()}
+
+
 def test_judge(spark, odd_docs, no_docs):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
