@@ -1,23 +1,30 @@
 """Content-addressed WARC archive: payload bytes once by digest, exact record headers apart.
 
-Two tables make an archive. `payloads` holds each distinct payload once, under its SHA-256 and length;
-`headers` holds, for each record, the exact bytes of its WARC and HTTP headers and the address of its
-payload. Joining them gives the original records again. Everything here is DataFrame operations.
+Two tables make an archive. `payloads` holds each distinct payload once, under its SHA-256; `headers` holds,
+for each record, the exact bytes of its WARC and HTTP headers and the address of its payload. Joining them
+gives the original records again, and reading is parsing the bytes of those records. Payloads are dealt into
+buckets by address when they are written, so the join moves headers to them and they stay where they are.
+Everything here is DataFrame operations.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import shared_dir, written
 
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
+#: Payloads below so many bytes are not deduplicated into revisits by default, so many records may share one.
+SMALL = 1000
+
+
 @dataclass(frozen=True)
 class Archive:
     headers: DataFrame
@@ -29,23 +36,29 @@ def _clean(c: Column) -> Column:
     return F.regexp_replace(c, "[\r\n]", " ")
 
 
+def _bucketed(df: DataFrame, column: str) -> DataFrame:
+    """df as a table in the shared folder, in as many buckets by a column as the session shuffles into."""
+    spark = df.sparkSession
+    name = f"warc_payloads_{uuid.uuid4().hex}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def write_archive(pages: DataFrame, least_bytes: int = 1000, date: str = "1970-01-01T00:00:00Z") -> Archive:
     """A record for each row of pages(page_id, url, html); a null html is the empty payload.
 
     Of records with equal payloads of at least least_bytes bytes, the one with the largest page_id is the
     response and the others revisit it; rows that repeat that page_id are responses too. Smaller payloads
     are all responses. A null url leaves its header line out; a null page_id sorts below all others.
-    Other columns are not read. An empty table gives an empty archive.
+    A payload of any length is one value. Other columns are not read. An empty table gives an empty archive.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"address": F.sha2("payload", 256), "n": F.octet_length("payload").cast("long")})
     # one row for each address: copies meet in the partial aggregation before the shuffle
-    stored = rows.groupBy("address", "n").agg(
-        F.max("page_id").alias("owner"), F.count("*").alias("copies"), F.first("payload").alias("payload"))
-    payloads = written(stored.withColumn("sha1", F.sha1("payload")), "warc-payloads")
-    owners = payloads.select("address", "n", "owner", "copies", "sha1")
-    found = rows.drop("payload").join(owners, ["address", "n"])  # AQE splits a hot address
+    stored = rows.groupBy("address").agg(F.max("page_id").alias("owner"), F.first("payload").alias("payload"))
+    payloads = _bucketed(stored.withColumn("sha1", F.sha1("payload")), "address")
+    found = rows.drop("payload").join(payloads.select("address", "owner", "sha1"), "address")  # AQE splits a hot address
     revisit = (F.col("n") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("owner"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("n").cast("string"), F.lit(CRLF + CRLF))
     body = F.when(F.col("revisit"), F.lit(0)).otherwise(F.col("n"))
@@ -83,27 +96,51 @@ def _page(value: Column) -> Column:
     return F.nullif(F.regexp_extract(value, r"<urn:page:(-?\d*)>", 1), F.lit("")).cast("long")
 
 
-def read_archive(archive: Archive) -> DataFrame:
-    """What each record says of itself, with payloads measured anew.
-
-    Each stored payload is read and hashed once; one whose SHA-256 or length differs from its address
-    fails the job. A record's payload_bytes and payload_digest come from those stored bytes.
-    """
-    intact = (F.sha2("payload", 256) == F.col("address")) & (F.octet_length("payload") == F.col("n"))
-    measured = archive.payloads.select(
-        "address", "n", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"),
-        F.assert_true(intact, F.lit("a stored payload does not match its address")).alias("checked")).where(F.col("checked").isNull())
-    text = F.decode("header", "UTF-8")
-    return archive.headers.withColumn("text", text).join(measured, ["address", "n"]).select(
-        _page(_field(F.col("text"), "WARC-Record-ID")).alias("page_id"), "payload_bytes", "payload_digest",
-        _field(F.col("text"), "WARC-Type").alias("record_type"),
-        _page(_field(F.col("text"), "WARC-Refers-To")).alias("refers_to"))
+def _parts(archive: Archive) -> tuple[DataFrame, DataFrame]:
+    """The records of responses and of revisits, rebuilt by joins."""
+    end, revisit = F.lit(CRLF + CRLF).cast("binary"), _field(F.decode("header", "ISO-8859-1"), "WARC-Type") == "revisit"
+    intact = F.assert_true(F.sha2("payload", 256) == F.col("address"), F.lit("a stored payload does not match its address"))
+    stored = archive.payloads.select("address", "payload", intact.alias("checked")).where("checked is null")
+    first, size = archive.headers.where(~revisit), F.octet_length("payload")
+    # large payloads have one response each and stay in their buckets; of small ones many records may share
+    # one, so they move and AQE splits a hot address
+    large = first.where(F.col("n") >= SMALL).join(stored.where(size >= SMALL), "address")
+    small = first.where(F.col("n") < SMALL).join(stored.where(size < SMALL).repartition("address"), "address")
+    whole = F.concat("header", "payload", end).alias("record")
+    return large.select(whole).unionByName(small.select(whole)), archive.headers.where(revisit).select(F.concat("header", end).alias("record"))
 
 
 def records(archive: Archive) -> DataFrame:
-    """The original records: header, payload (none in a revisit) and the closing blank lines."""
-    revisit = _field(F.decode("header", "UTF-8"), "WARC-Type") == "revisit"
-    end = F.lit(CRLF + CRLF).cast("binary")
-    none = F.lit("").cast("binary")
-    return archive.headers.join(archive.payloads.select("address", "n", "payload"), ["address", "n"]).select(
-        F.concat("header", F.when(revisit, none).otherwise(F.col("payload")), end).alias("record"))
+    """(record) of all original records: header, payload (none in a revisit) and the closing blank lines.
+
+    A stored payload whose SHA-256 is not its address fails the job."""
+    first, again = _parts(archive)
+    return first.unionByName(again)
+
+
+def _parsed(found: DataFrame) -> DataFrame:
+    """What the bytes of records say: header fields, and the payload behind the HTTP header."""
+    # one character a byte, so places in the text are places in the record; the second blank line ends the headers
+    head = F.substring_index(F.decode("record", "ISO-8859-1"), CRLF + CRLF, 2)
+    return found.withColumn("head", head).select(
+        _page(_field(F.col("head"), "WARC-Record-ID")).alias("page_id"),
+        _field(F.col("head"), "WARC-Type").alias("record_type"),
+        _page(_field(F.col("head"), "WARC-Refers-To")).alias("refers_to"),
+        _field(F.col("head"), "WARC-Payload-Digest").alias("named"),
+        F.expr("substring(record, length(head) + 5, octet_length(record) - length(head) - 8)").alias("body"))
+
+
+def read_archive(archive: Archive) -> DataFrame:
+    """What each record says of itself, with payloads measured anew: every record is rebuilt and its bytes parsed.
+
+    A response's payload_bytes and payload_digest are those of the bytes behind its HTTP header; a revisit, which
+    has none, takes those of the record that it refers to. A response whose bytes do not have the digest that
+    its header names fails the job."""
+    first, again = map(_parsed, _parts(archive))
+    first = first.withColumns({"payload_bytes": F.octet_length("body").cast("long"), "payload_digest": F.sha1("body")})
+    right = F.assert_true(F.col("named") == F.concat(F.lit("sha1:"), F.col("payload_digest")), F.lit("a payload does not have the digest that its header names"))
+    first = written(first.withColumn("checked", right).where("checked is null").drop("checked", "body"), "warc-responses")
+    owners = first.groupBy(F.col("page_id").alias("refers_to"), "named").agg(F.first("payload_bytes").alias("payload_bytes"), F.first("payload_digest").alias("payload_digest"))
+    again = again.drop("body").join(owners, ["refers_to", "named"])  # AQE splits a hot record
+    columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return first.select(*columns).unionByName(again.select(*columns))

@@ -109,7 +109,7 @@ def test_archive(spark, sf_dir):
             want.append((r["page_id"], len(b), hashlib.sha1(b).hexdigest(), "revisit" if again else "response", largest[b] if again else None))
         assert sorted(map(tuple, read_archive(archive).collect()), key=str) == sorted(want, key=str)
         assert archive.payloads.count() == len(largest)
-        made = [bytes(r[0]) for r in records(archive).collect()]
+        made = [bytes(r["record"]) for r in records(archive).collect()]
         assert len(made) == len(source)
         for m in made:
             head, _, rest = m.partition(b"\r\n\r\n")
