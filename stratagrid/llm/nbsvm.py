@@ -1,9 +1,10 @@
 """Quality classifier: n-gram indicators scaled by class log-count ratios, then a linear hinge-loss
 model fitted by dual coordinate descent.
 
-The grams are taken over word shapes. A shape says how a word is written (case, digits, signs at its end,
-length) and whether it repeats the word before it, so a gram seen in training also fits words that no
-training text has.
+Three families of n-grams stand side by side: one and two words, four characters, and one to three word
+shapes. A shape says how a word is written (case, digits, sign at its end, length) and whether it
+repeats the word before it, so its grams also fit words that no training text has. Each family is hashed
+into a table of its own and brought to unit length in a text, so that none drowns another.
 """
 
 from __future__ import annotations
@@ -13,21 +14,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, crc32_mod, slices, texts_of
+from .common import LOWER, arrow_schema, crc32_mod, slices, texts_of
 
-#: Size of the table that grams are hashed into.
-BUCKETS = 1 << 18
+#: Size of the table that the grams of a family are hashed into.
+BITS = 18
+FAMILIES = ("words", "characters", "shapes")
+BUCKETS = len(FAMILIES) << BITS
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def shape(word: str) -> int:
-    """Below 256: case (3 bits), last sign (3 bits), length (1 bit); the top bit is for a repeated word."""
-    body = word.rstrip("!?.,;:#*$%&|<>=-_\"')")
-    tail = word[len(body) :]
+    """Below 64: case (3 bits), sign at the end (2 bits), length (1 bit); the bit above is for a repeated word."""
+    tail = 0
+    while tail < len(word) and not word[len(word) - tail - 1].isalnum():
+        tail += 1
+    body, last = word[: len(word) - tail], word[-1:]
     if not body:
         case = 0
     elif any(c.isdigit() for c in body):
@@ -42,76 +48,110 @@ def shape(word: str) -> int:
         case = 5
     else:
         case = 6
-    last = tail[-1:]
-    sign = 0 if not last else 1 if last in ".?" and len(tail) == 1 else 2 if last in ",;:" else 3 if last == "!" else 4 if last == "|" else 5 if last in "#*$%&<>=" else 6
-    return case | sign << 3 | (len(body) > 12) << 6
+    sign = 0 if not tail else 1 if last in ".?!" else 2 if last in ",;:" else 3
+    return case | sign << 3 | (len(body) > 12) << 5
 
 
-class ShapeMemo(dict):
-    """Shapes by word; forgets all of them at a bounded size."""
+class WordMemo(dict):
+    """(hash of the lower-cased word, shape) by word; forgets all of them at a bounded size."""
 
     def __missing__(self, word: str) -> int:
         if len(self) > 400_000:
             self.clear()
-        found = self[word] = shape(word)
+        raw = word.encode("utf-8", "surrogatepass").translate(LOWER)
+        found = self[word] = xxhash.xxh3_64_intdigest(raw) >> 7 << 7 | shape(word)
         return found
 
 
-def features(texts: list[str], memo: ShapeMemo) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, bucket) of each indicator, sorted: grams of one to three word shapes."""
-    flat, ends = [], []
+def _runs(codes: np.ndarray, doc: np.ndarray, sizes: range, multiply: np.uint64) -> np.ndarray:
+    """(text number << BITS | bucket) of the runs of these sizes within one text, distinct and sorted.
+
+    32 bits hold the key of up to 16,384 texts at a time."""
+    keys, gram = [np.zeros(0, np.uint32)], np.zeros(len(codes), np.uint64)
+    for n in range(1, sizes.stop):
+        if len(codes) < n:
+            break
+        gram = gram[: len(codes) - n + 1] * multiply
+        gram += codes[n - 1 :]
+        gram += np.uint64(1)
+        if n >= sizes.start:
+            mixed = gram >> np.uint64(29)
+            mixed ^= gram
+            mixed *= _MIX
+            mixed >>= np.uint64(64 - BITS)
+            own = doc[: len(gram)]
+            key = own << np.uint32(BITS) | mixed.astype(np.uint32) ^ np.uint32(n * 40503 & (1 << BITS) - 1)
+            keys.append(key[own == doc[n - 1 :]])
+    key = np.sort(np.concatenate(keys))
+    return key[np.diff(key, prepend=~key[:1]) != 0] if len(key) else key
+
+
+def features(texts: list[str], memo: WordMemo, families: tuple[str, ...] = FAMILIES) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, bucket) of each indicator, by text: grams of whole texts."""
+    flat, ends = [np.zeros(0, np.uint64)], []
     for text in texts:
         words = text.split() if text.isascii() else _WORD.findall(text)
         codes = np.fromiter(map(memo.__getitem__, words), dtype=np.uint64, count=len(words))
         if len(words) > 1:
-            codes[1:] |= np.fromiter(map(str.__eq__, words[1:], words), dtype=bool, count=len(words) - 1).astype(np.uint64) << np.uint64(7)
+            again = np.fromiter(map(str.__eq__, words[1:], words), dtype=bool, count=len(words) - 1)
+            codes[1:] |= again.astype(np.uint64) << np.uint64(6)
         flat.append(codes)
         ends.append(len(words))
-    codes = np.concatenate(flat) if flat else np.zeros(0, np.uint64)
-    doc = np.repeat(np.arange(len(texts), dtype=np.uint64), ends)
-    keys = []
-    gram = codes + np.uint64(1)
-    for n in range(1, 4):
-        if n > 1:
-            gram = (gram[:-1] << np.uint64(9)) | (codes[n - 1 :] + np.uint64(1))
-        same = doc[: len(gram)] == doc[n - 1 :]
-        bucket = ((gram[same] * _MIX) >> np.uint64(64 - 18)) & np.uint64(BUCKETS - 1)
-        keys.append(np.unique((doc[: len(gram)][same] << np.uint64(18)) | bucket))
-    key = np.unique(np.concatenate(keys))
-    return (key >> np.uint64(18)).astype(np.int64), (key & np.uint64(BUCKETS - 1)).astype(np.int64)
+    codes, doc = np.concatenate(flat), np.repeat(np.arange(len(texts), dtype=np.uint32), ends)
+    found = []
+    for k, family in enumerate(FAMILIES):
+        if family not in families:
+            continue
+        if family == "words":
+            keys = _runs(codes >> np.uint64(7), doc, range(1, 3), _MIX)
+        elif family == "shapes":
+            keys = _runs(codes & np.uint64(127), doc, range(1, 4), _MIX)
+        else:
+            raw = [t.encode("utf-8", "surrogatepass").translate(LOWER) for t in texts]
+            bytes_ = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
+            keys = _runs(bytes_, np.repeat(np.arange(len(texts), dtype=np.uint32), [len(r) for r in raw]), range(4, 5), np.uint64(257))
+        found.append((keys >> BITS, keys & np.uint32((1 << BITS) - 1) | np.uint32(k << BITS)))
+    doc, bucket = (np.concatenate(x).astype(np.int64) for x in zip(*found))
+    order = np.argsort(doc, kind="stable")
+    return doc[order], bucket[order]
+
+
+def _lengths(doc: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """What each indicator counts: 1 / sqrt(number of grams of its family in its text)."""
+    own = doc * len(FAMILIES) + (bucket >> BITS)
+    return 1 / np.sqrt(np.bincount(own)[own]) if len(own) else np.zeros(0)
 
 
 @dataclass(frozen=True)
 class Model:
-    """A score is 1 / (1 + exp(-(slope * (weights . x / sqrt(count of x) + bias) + shift)))."""
+    """A score is 1 / (1 + exp(-(slope * (weights . x + bias) + shift))), x as _lengths has it."""
 
     weights: np.ndarray
     bias: float
     slope: float
     shift: float
+    families: tuple[str, ...] = FAMILIES
 
     def margins(self, doc: np.ndarray, bucket: np.ndarray, n: int) -> np.ndarray:
-        count = np.bincount(doc, minlength=n)
-        return np.bincount(doc, self.weights[bucket], minlength=n) / np.sqrt(np.maximum(count, 1)) + self.bias
+        return np.bincount(doc, self.weights[bucket] * _lengths(doc, bucket), minlength=n) + self.bias
 
-    def scores(self, texts: list[str], memo: ShapeMemo) -> np.ndarray:
-        z = self.slope * self.margins(*features(texts, memo), len(texts)) + self.shift
+    def scores(self, texts: list[str], memo: WordMemo) -> np.ndarray:
+        z = self.slope * self.margins(*features(texts, memo, self.families), len(texts)) + self.shift
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, epochs: int = 30, smooth: float = 1.0, seed: int = 7) -> Model:
-    """rows: the buckets of each text. Dual coordinate descent for the L1-loss support vector machine.
+def ratios(rows: list[np.ndarray], labels: np.ndarray, smooth: float = 1.0) -> np.ndarray:
+    """log(share of the bucket among class 1's indicators of its family / that among class 0's), smoothed."""
+    share = []
+    for y in (1, 0):
+        n = smooth + np.bincount(np.concatenate([r for r, v in zip(rows, labels) if v == y]), minlength=BUCKETS).reshape(len(FAMILIES), -1)
+        share.append(n / n.sum(axis=1, keepdims=True))
+    return np.log(share[0] / share[1]).reshape(-1)
 
-    With one class only (or no row) every score is that class's (or 0.5)."""
-    labels = np.asarray(labels)
-    if len(labels) == 0 or labels.min() == labels.max():
-        return Model(np.zeros(BUCKETS), 0.0, 0.0, 0.0 if len(labels) == 0 else 60.0 * (2 * float(labels[0]) - 1))
-    count = {y: smooth + np.bincount(np.concatenate([r for r, v in zip(rows, labels) if v == y]), minlength=BUCKETS).astype(float) for y in (0, 1)}
-    ratio = np.log(count[1] / count[1].sum()) - np.log(count[0] / count[0].sum())
-    y = np.where(labels == 1, 1.0, -1.0)
-    values = [ratio[r] / np.sqrt(max(len(r), 1)) for r in rows]
+
+def descend(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, most: np.ndarray, epochs: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray, float]:
+    """Dual coordinate descent for min |w|^2/2 + b^2/2 + sum most * max(0, 1 - y (w . x + b)): (alpha, w, b)."""
     square = np.asarray([v @ v + 1 for v in values])
-    most = cost * np.where(y > 0, 0.5 * len(y) / (y > 0).sum(), 0.5 * len(y) / (y < 0).sum())
     alpha, w, bias, order = np.zeros(len(y)), np.zeros(BUCKETS), 0.0, np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
@@ -127,6 +167,21 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, epochs: i
                 bias += step
         if moved < 1e-3:
             break
+    return alpha, w, bias
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, epochs: int = 30, smooth: float = 1.0, families: tuple[str, ...] = FAMILIES) -> Model:
+    """rows: the buckets of each text. The L1-loss support vector machine over ratio-scaled indicators.
+
+    With one class only (or no row) every score is that class's (or 0.5)."""
+    labels = np.asarray(labels)
+    if len(labels) == 0 or labels.min() == labels.max():
+        return Model(np.zeros(BUCKETS), 0.0, 0.0, 0.0 if len(labels) == 0 else 60.0 * (2 * float(labels[0]) - 1), families)
+    ratio = ratios(rows, labels, smooth)
+    y = np.where(labels == 1, 1.0, -1.0)
+    values = [ratio[r] * _lengths(np.zeros(len(r), np.int64), r) for r in rows]
+    most = cost * np.where(y > 0, 0.5 * len(y) / (y > 0).sum(), 0.5 * len(y) / (y < 0).sum())
+    _, w, bias = descend(rows, values, y, most, epochs)
     z = np.asarray([w[r] @ v + bias for r, v in zip(rows, values)])
     slope, shift = 1.0, 0.0
     target = np.where(y > 0, ((y > 0).sum() + 1) / ((y > 0).sum() + 2), 1 / ((y < 0).sum() + 2))
@@ -139,32 +194,34 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, epochs: i
         slope, shift = slope - step[0], shift - step[1]
         if np.abs(step).max() < 1e-8:
             break
-    return Model(w * ratio, bias, float(slope), float(shift))
+    return Model(w * ratio, bias, float(slope), float(shift), families)
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 5, most_labels: int = 8000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, folds: int = 5, most_labels: int = 8000, families: tuple[str, ...] = FAMILIES) -> Model:
     """Learns quality from the labelled rows outside fold 0.
 
-    At most most_labels labels are used (those with the smallest hash of doc_id): the documented bound of
-    what reaches the driver. A doc_id that has several labels counts as 0 if any of them is 0.
+    At most most_labels labels are used (those with the smallest hash of doc_id), and of each one row of docs
+    (that with the smallest digest of its text): the documented bound of what reaches the driver. A doc_id that
+    has several labels counts as 0 if any of them is 0.
     """
     usable = labels.where("doc_id is not null and quality is not null").where(crc32_mod(F.col("doc_id"), folds) != 0)
     chosen = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("quality").cast("int")).alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labels)
     schema = arrow_schema("quality int, buckets array<int>")
 
     def extract(batches):
-        memo = ShapeMemo()
+        memo = WordMemo()
         for batch in slices(batches):
             texts = texts_of(batch)
-            doc, bucket = features(texts, memo)
+            doc, bucket = features(texts, memo, families)
             cuts = np.searchsorted(doc, np.arange(len(texts) + 1))
             yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array([bucket[a:b].astype(np.int32) for a, b in zip(cuts, cuts[1:])], pa.list_(pa.int32()))], schema=schema)
 
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     joined = kept.join(F.broadcast(chosen), "doc_id")  # at most most_labels rows of two numbers
+    joined = joined.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text", "quality")).alias("r")).select("r.text", "r.quality")
     rows = joined.select("text", "quality").mapInArrow(extract, "quality int, buckets array<int>").toArrow()
     order = sorted(zip(rows.column("buckets").to_pylist(), rows.column("quality").to_pylist()))
-    return fit([np.asarray(b, dtype=np.int64) for b, _ in order], np.asarray([q for _, q in order]))
+    return fit([np.asarray(b, dtype=np.int64) for b, _ in order], np.asarray([q for _, q in order]), families=families)
 
 
 _SCORED = "doc_id long, held_out boolean, score double, predicted int"
@@ -174,13 +231,14 @@ def classify(docs: DataFrame, model: Model, folds: int = 5, cutoff: float = 0.3)
     """doc_id, held_out, score and predicted of every row of docs(doc_id, text).
 
     A null or empty text has no grams, so its score is the model's bias alone. A null doc_id is not held
-    out. Repeated rows give repeated rows; other columns are not read.
+    out. A text of any length is scored whole; a score equal to the cutoff is predicted 1; an empty table gives
+    no rows. Repeated rows give repeated rows; other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
     schema = arrow_schema(_SCORED)
 
     def score(batches):
-        memo = ShapeMemo()
+        memo = WordMemo()
         for batch in slices(batches):
             s = shared.value.scores(texts_of(batch), memo)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= cutoff).astype(np.int32))], schema=schema)
@@ -195,7 +253,7 @@ def keep(docs: DataFrame, model: Model, cutoff: float = 0.3) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        memo = ShapeMemo()
+        memo = WordMemo()
         for batch in slices(batches):
             yield batch.filter(pa.array(shared.value.scores(texts_of(batch), memo) >= cutoff))
 
