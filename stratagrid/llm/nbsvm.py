@@ -10,6 +10,7 @@ into a table of its own and brought to unit length in a text, so that none drown
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -179,7 +180,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, epochs: i
         return Model(np.zeros(BUCKETS), 0.0, 0.0, 0.0 if len(labels) == 0 else 60.0 * (2 * float(labels[0]) - 1), families)
     ratio = ratios(rows, labels, smooth)
     y = np.where(labels == 1, 1.0, -1.0)
-    values = [ratio[r] * _lengths(np.zeros(len(r), np.int64), r) for r in rows]
+    values = [(ratio[r] * _lengths(np.zeros(len(r), np.int64), r)).astype(np.float32) for r in rows]
     most = cost * np.where(y > 0, 0.5 * len(y) / (y > 0).sum(), 0.5 * len(y) / (y < 0).sum())
     _, w, bias = descend(rows, values, y, most, epochs)
     z = np.asarray([w[r] @ v + bias for r, v in zip(rows, values)])
@@ -220,8 +221,10 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, most_labels: int =
     joined = kept.join(F.broadcast(chosen), "doc_id")  # at most most_labels rows of two numbers
     joined = joined.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text", "quality")).alias("r")).select("r.text", "r.quality")
     rows = joined.select("text", "quality").mapInArrow(extract, "quality int, buckets array<int>").toArrow()
-    order = sorted(zip(rows.column("buckets").to_pylist(), rows.column("quality").to_pylist()))
-    return fit([np.asarray(b, dtype=np.int64) for b, _ in order], np.asarray([q for _, q in order]), families=families)
+    found = [x.values.to_numpy() for x in rows.column("buckets")]  # views, no Python numbers
+    quality = rows.column("quality").to_numpy()
+    order = sorted(range(len(found)), key=lambda i: (zlib.crc32(found[i]), len(found[i]), quality[i]))  # whatever the order of tasks
+    return fit([found[i] for i in order], quality[order], families=families)
 
 
 _SCORED = "doc_id long, held_out boolean, score double, predicted int"
