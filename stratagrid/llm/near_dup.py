@@ -153,6 +153,8 @@ def components(edges: DataFrame) -> DataFrame:
 #: Shingles on either side of a block, about: what bounds a task's memory (a single larger set is a block of its own).
 BLOCK = 600_000
 _LINKS = "a binary, b binary"
+#: Into how many parts the nodes of a leader are dealt where they meet facts about it.
+SALTS = 16
 
 
 def _compare(percent: int):
@@ -191,8 +193,8 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, half: int = 2, side:
     shingles (words of lower-cased text between white space; fewer words than size are one shingle).
     component_id is the smallest doc_id that can be reached, kept whether it is the document's own.
     A null or empty text, or one of white space, has no shingle and no link. A null doc_id is linked like
-    any other but never names a component that has an id; alone, its component_id is null. Rows that
-    share a doc_id are nodes of their own, each with its row. Other columns are not read.
+    any other but never names a component that has an id; alone, its component_id is null. A text of any
+    length is compared by its full set; an empty table gives no rows. Rows that share a doc_id are nodes of their own, each with its row. Other columns are not read.
     """
     out = _labelled(docs, size, percent, half, side, tensors, classes, F.lit(None).cast("string"))
     found = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component"))
@@ -253,11 +255,15 @@ def _labelled(docs: DataFrame, size: int, percent: int, half: int, side: int, te
     def named(c: str) -> DataFrame:
         return labels.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
 
-    own = crowd.select("lead", "node", "n").join(named("node"), "node", "left").join(named("lead"), "lead", "left")
-    own = own.select("lead", "node", "n", F.coalesce("node_comp", "node").alias("comp"), (F.coalesce("node_comp", "node") != F.coalesce("lead_comp", "lead")).alias("stray"))
+    # a leader that very many nodes share is dealt over the salts; what is copied is its label, and later its sizes
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    leads = crowd.select("lead").distinct().join(named("lead"), "lead").withColumn("salt", salts)
+    own = crowd.select("lead", "node", "n", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("salt"))
+    own = own.join(named("node"), "node", "left").join(leads, ["lead", "salt"], "left")
+    own = own.select("lead", "salt", "node", "n", F.coalesce("node_comp", "node").alias("comp"), (F.coalesce("node_comp", "node") != F.coalesce("lead_comp", "lead")).alias("stray"))
     sizes = own.groupBy("lead").agg(F.sum("n").alias("m"), F.sum(F.when(F.col("stray"), F.col("n"))).alias("s")).where("s > 0")
     sizes = sizes.select("lead", F.ceil(F.col("m") / BLOCK).cast("int").alias("nj"), F.ceil(F.col("s") / BLOCK).cast("int").alias("ni"))
-    dealt = own.join(sizes, "lead").withColumn("h", F.xxhash64("node"))
+    dealt = own.join(sizes.withColumn("salt", salts), ["lead", "salt"]).withColumn("h", F.xxhash64("node"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     strays = dealt.where("stray").select("lead", "node", "comp", F.lit(1).alias("role"), F.pmod("h", "ni").cast("int").alias("i"), every("nj").alias("j"))
     others = dealt.select("lead", "node", "comp", F.lit(2).alias("role"), F.pmod("h", "nj").cast("int").alias("j"), every("ni").alias("i"))
