@@ -21,36 +21,45 @@ def spread(cells: DataFrame, shifts: list[tuple[int, int]], x: str = "gx", y: st
     return cells.withColumn("s", F.explode(steps)).withColumns({x: F.col(x) + F.col("s.dx"), y: F.col(y) + F.col("s.dy")}).drop("s")
 
 
-def grid_info(points: DataFrame, resolution: float = GRID.resolution) -> DataFrame:
-    """One row: origin and size of the grid over the points, at least one cell each way."""
-    b = cloud.bounds(points)
+def beside(rows: DataFrame, info: DataFrame, by: list[str] | None, *names: str) -> DataFrame:
+    """rows with facts of their grid: joined by scan where there are many, else the single row beside each."""
+    facts = info.select(*(by or []), *names) if names else info
+    return rows.join(facts, by) if by else rows.crossJoin(F.broadcast(facts))
+
+
+def grid_info(points: DataFrame, resolution: float = GRID.resolution, by: list[str] | None = None) -> DataFrame:
+    """A row (for each scan): origin and size of the grid over the points, at least one cell each way."""
+    b = cloud.bounds(points, by)
     cells = {n: F.greatest(F.lit(1), F.ceil((F.col(f"{a}_max") - F.col(f"{a}_min")) / g.real(resolution)).cast("int")) for n, a in (("nx", "x"), ("ny", "y"))}
-    return b.where("n > 0").select(g.real(resolution).alias("resolution"), F.col("x_min").alias("x0"), F.col("y_min").alias("y0"), *(v.alias(n) for n, v in cells.items()))
+    return b.where("n > 0").select(*(by or []), g.real(resolution).alias("resolution"), F.col("x_min").alias("x0"), F.col("y_min").alias("y0"), *(v.alias(n) for n, v in cells.items()))
 
 
-def occupied(points: DataFrame, info: DataFrame) -> DataFrame:
+def occupied(points: DataFrame, info: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Distinct cells that hold points; coordinates beyond the last cell count for it."""
     x, y = (F.greatest(F.lit(0), F.least(F.col(n) - 1, g.to_cell(a, f"{a}0", F.col("resolution")))) for a, n in (("x", "nx"), ("y", "ny")))
-    return points.crossJoin(F.broadcast(info)).select(x.alias("gx"), y.alias("gy")).distinct()
+    return beside(points, info, by).select(*(by or []), x.alias("gx"), y.alias("gy")).distinct()
 
 
-def inflate(cells: DataFrame, info: DataFrame, margin: int = GRID.margin) -> DataFrame:
+def inflate(cells: DataFrame, info: DataFrame, margin: int = GRID.margin, by: list[str] | None = None) -> DataFrame:
     """Cells within `margin` of a set one, each way, inside the grid."""
     near = spread(cells, offsets(margin)).distinct()
-    return near.crossJoin(F.broadcast(info.select("nx", "ny"))).where("gx >= 0 and gx < nx and gy >= 0 and gy < ny").drop("nx", "ny")
+    return beside(near, info, by, "nx", "ny").where("gx >= 0 and gx < nx and gy >= 0 and gy < ny").drop("nx", "ny")
+
 
+def occupancy(points: DataFrame, resolution: float = GRID.resolution, height: float = GRID.height, half: float = GRID.half_height, margin: int = GRID.margin, by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Occupancy grid of a cloud's height slice: (inflated occupied cells, grid facts).
 
-def occupancy(points: DataFrame, resolution: float = GRID.resolution, height: float = GRID.height, half: float = GRID.half_height, margin: int = GRID.margin) -> tuple[DataFrame, DataFrame]:
-    """Occupancy grid of a cloud's height slice: (inflated occupied cells, grid facts)."""
+    by: the columns that tell scans apart; each then has a grid of its own, all in one job."""
     level = cloud.closed_slice(points, height, half)
-    info = grid_info(level, resolution)
-    return inflate(occupied(level, info), info, margin), info
+    info = grid_info(level, resolution, by)
+    return inflate(occupied(level, info, by), info, margin, by), info
 
 
-def free_cells(occ: DataFrame, info: DataFrame) -> DataFrame:
+def free_cells(occ: DataFrame, info: DataFrame, by: list[str] | None = None) -> DataFrame:
     """All cells of the grid that are not occupied."""
-    every = info.select(F.explode(F.sequence(F.lit(0), F.col("nx") * F.col("ny") - 1)).alias("i"), "ny").select(F.expr("i div ny").cast("int").alias("gx"), (F.col("i") % F.col("ny")).cast("int").alias("gy"))
-    return every.join(occ, ["gx", "gy"], "left_anti")
+    own = by or []
+    every = info.select(*own, F.explode(F.sequence(F.lit(0), F.col("nx") * F.col("ny") - 1)).alias("i"), "ny").select(*own, F.expr("i div ny").cast("int").alias("gx"), (F.col("i") % F.col("ny")).cast("int").alias("gy"))
+    return every.join(occ, [*own, "gx", "gy"], "left_anti")
 
 
 def occupancy_ratio(occ: DataFrame, info: DataFrame) -> DataFrame:
@@ -98,21 +107,20 @@ def boundary(pixels: DataFrame) -> DataFrame:
     return pixels.join(inner.select("px", "py"), ["px", "py"], "left_anti")
 
 
-def components(pixels: DataFrame, most_rounds: int = 64) -> DataFrame:
+def components(pixels: DataFrame) -> DataFrame:
     """(px, py, comp): 8-connected regions, named by their least pixel number.
 
     Labels move to the least of a pixel's neighbourhood, then whole regions that met follow their
-    least label; each round is a written table."""
+    least label; each round is a written table, and the loop ends when no label changed."""
     number = (F.col("py").cast("long") * (1 << 31)) + F.col("px")
     labels = durable(pixels.withColumn("comp", number), "labels")
-    for _ in range(most_rounds):
+    while True:
         near = spread(labels, offsets(1), "px", "py").groupBy("px", "py").agg(F.min("comp").alias("near"))
         met = labels.join(near, ["px", "py"]).groupBy("comp").agg(F.min("near").alias("to"))
         after = durable(labels.join(met, "comp").select("px", "py", F.col("to").alias("comp"), (F.col("to") != F.col("comp")).alias("changed")), "labels")
         labels = after.select("px", "py", "comp")
         if after.where("changed").isEmpty():
-            break
-    return labels
+            return labels
 
 
 def contours(pixels: DataFrame) -> DataFrame:

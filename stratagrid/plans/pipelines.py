@@ -78,15 +78,22 @@ class Planned:
 
 
 def plan_scan(points: DataFrame, endpoints: DataFrame, config: GridConfig = GRID) -> Planned:
-    """Occupancy grid of a scan's cloud and the path between endpoints(scan_id, start_x, ..., goal_y)."""
-    occ, info = raster.occupancy(points, config.resolution, config.height, config.half_height, config.margin)
+    """Occupancy grids and the paths between endpoints(scan_id, start_x, ..., goal_y).
+
+    Where points have a scan_id each scan has a grid of its own, and all are planned side by side; without one
+    they are one scan's, and all endpoints share its grid."""
+    many = "scan_id" in points.columns
+    by = ["scan_id"] if many else None
+    occ, info = raster.occupancy(points, config.resolution, config.height, config.half_height, config.margin, by)
     occ, info = durable(occ, "occupied"), durable(info, "grid")
-    free = durable(raster.free_cells(occ, info), "free")
-    at = endpoints.crossJoin(F.broadcast(info))
+    free = raster.free_cells(occ, info, by)
+    if not many:
+        free = free.join(endpoints.select("scan_id").distinct(), how="cross")  # each asked scan plans on the one grid
+    free = durable(free, "free")
+    at = raster.beside(endpoints, info, by)
     cell = lambda p, a: g.to_cell(f"{p}_{a}", f"{a}0", F.col("resolution"))
     asked = at.select("scan_id", cell("start", "x").alias("sx"), cell("start", "y").alias("sy"), cell("goal", "x").alias("tx"), cell("goal", "y").alias("ty"))
-    space = free.join(F.broadcast(endpoints.select("scan_id")), how="cross") if endpoints.limit(2).count() > 1 else free.withColumn("scan_id", F.lit(endpoints.first()["scan_id"]))
-    paths = planning.plan_paths(space, asked).crossJoin(F.broadcast(info.select("resolution", "x0", "y0")))
+    paths = raster.beside(planning.plan_paths(free, asked), info, by, "resolution", "x0", "y0")
     paths = durable(paths.withColumns({a: g.from_cell(f"g{a}", f"{a}0", F.col("resolution")) for a in "xy"}).drop("resolution", "x0", "y0"), "paths")
     return Planned(occ, info, paths, planning.path_statistics(paths, config.resolution))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..iterate import durable, shared_dir
 from ..operators import cloud, frames, mesh, neighbours, planes, planning, raster
-from ..sources import rooms, scan_files
+from ..sources import images, rooms, scan_files
 from . import inputs, pipelines
 from .inputs import CLOUD, IDENTIFIED, PIXELS, POSES, ROOM_SQL, WALKS
 
@@ -145,25 +145,29 @@ def w4_batches(spark, d):
     return frames.batches(inputs.walks(spark, d)).groupBy("scan_id", "batch_id").agg(F.count("*").alias("n"))
 
 
+KINDS = ("viz/%05d_depth.png", "pointcloud/filtered_cloud.ply", "pointcloud/colored_cloud.ply", "blueprint/floorplan_2d.png", "mesh/clean_mesh.ply", "debug/camera_trajectory.png", "blueprint/wireframe_2d.png", "debug/blueprint_comparison.png", "notes/%05d.txt")
+
+
 def _files(spark, d):
-    kind = F.element_at(F.array(*map(F.lit, ("depth_vis/%05d.png", "clouds/raw.ply", "clouds/colored.ply", "plan/floor_plan.png", "plan/path_output.json"))), (F.col("event_id") % 5 + 1).cast("int"))
-    number = F.lpad(F.col("event_id").cast("string"), 7, "0")
-    return inputs.read(spark, d, "events").select(F.col("user_id").cast("string").alias("session_id"), F.replace(kind, F.lit("%05d"), number).alias("path"))
+    """events as files of sessions: every third is a depth image, the rest cycle through the kinds."""
+    e = F.col("event_id")
+    kind = F.when(e % 3 == 0, KINDS[0]).otherwise(F.element_at(F.array(*map(F.lit, KINDS)), (e % len(KINDS) + 1).cast("int")))
+    return inputs.read(spark, d, "events").select(F.col("user_id").cast("string").alias("session_id"), F.replace(kind, F.lit("%05d"), F.lpad(e.cast("string"), 7, "0")).alias("path"))
 
 
-FILES = """(SELECT CAST(user_id AS VARCHAR) AS session_id, replace(CASE event_id % 5 WHEN 0 THEN 'depth_vis/%05d.png' WHEN 1 THEN 'clouds/raw.ply' WHEN 2 THEN 'clouds/colored.ply' WHEN 3 THEN 'plan/floor_plan.png' ELSE 'plan/path_output.json' END,
-'%05d', lpad(CAST(event_id AS VARCHAR), 7, '0')) AS path FROM events)"""
+FILES = f"""(SELECT CAST(user_id AS VARCHAR) AS session_id, replace(CASE WHEN event_id % 3 = 0 THEN '{KINDS[0]}' ELSE ({list(KINDS)})[event_id % {len(KINDS)} + 1] END, '%05d', lpad(CAST(event_id AS VARCHAR), 7, '0')) AS path FROM events)"""
 
 
-@query(f"SELECT session_id, path, CAST(k AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY path) AS k FROM {FILES} WHERE path LIKE 'depth%') WHERE k <= 6")
+@query(f"SELECT session_id, path, CAST(k AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY path) AS k FROM {FILES} WHERE path LIKE 'viz/%') WHERE k <= 6")
 def w5_o1_first_images(spark, d):
-    return frames.first_images(_files(spark, d).where("path like 'depth%'"))
+    return frames.first_images(_files(spark, d).where("path like 'viz/%'"))
 
 
-@query(f"""SELECT session_id, unnest(map_entries(m)).key AS name, unnest(map_entries(m)).value AS path FROM (SELECT session_id, map_from_entries(list({{k: name, v: path}} ORDER BY name)) AS m FROM (
-SELECT session_id, 'depth_image_' || k AS name, path FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY path) AS k FROM {FILES} WHERE path LIKE 'depth%') WHERE k <= 6
-UNION ALL SELECT session_id, 'point_cloud', arg_min(path, CASE WHEN path LIKE '%colored.ply' THEN 1 ELSE 3 END) FROM {FILES} WHERE path LIKE '%.ply' GROUP BY session_id
-UNION ALL SELECT DISTINCT session_id, 'floor_plan', path FROM {FILES} WHERE path LIKE '%floor_plan.png' UNION ALL SELECT DISTINCT session_id, 'path', path FROM {FILES} WHERE path LIKE '%path_output.json') GROUP BY session_id)""")
+@query(f"""SELECT session_id, name, path FROM (
+SELECT session_id, 'depth_viz_' || (k - 1) AS name, path FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY path) AS k FROM (SELECT DISTINCT * FROM {FILES} WHERE path LIKE 'viz/%')) WHERE k <= 6
+UNION ALL SELECT session_id, 'pointcloud', min(path) FROM {FILES} WHERE path LIKE 'pointcloud/%' GROUP BY session_id
+UNION ALL SELECT DISTINCT session_id, CASE path WHEN 'blueprint/floorplan_2d.png' THEN 'floorplan' WHEN 'mesh/clean_mesh.ply' THEN 'mesh' WHEN 'debug/camera_trajectory.png' THEN 'camera_trajectory' WHEN 'blueprint/wireframe_2d.png' THEN 'wireframe' ELSE 'blueprint_comparison' END, path
+FROM {FILES} WHERE split_part(path, '/', 1) IN ('blueprint', 'mesh', 'debug'))""")
 def s19_manifest(spark, d):
     return scan_files.manifest(_files(spark, d)).select("session_id", F.explode("outputs").alias("name", "path"))
 
@@ -219,9 +223,9 @@ def f4_a7_adaptive_slice(spark, d):
 
 
 @query(f"""SELECT CAST(floor((x-(x0-0.125))/0.25::DOUBLE) AS BIGINT) AS vx, CAST(floor((y-(y0-0.125))/0.25::DOUBLE) AS BIGINT) AS vy, CAST(floor((z-(z0-0.125))/0.25::DOUBLE) AS BIGINT) AS vz, CAST(count(*) AS BIGINT) AS n_points,
-round(avg(x), 6) + 0.0 AS x, round(avg(y), 6) + 0.0 AS y, round(avg(z), 6) + 0.0 AS z FROM {CLOUD}, (SELECT min(x) AS x0, min(y) AS y0, min(z) AS z0 FROM {CLOUD}) GROUP BY 1, 2, 3""")
+round(avg(x), 9) + 0.0 AS x, round(avg(y), 9) + 0.0 AS y, round(avg(z), 9) + 0.0 AS z FROM {CLOUD}, (SELECT min(x) AS x0, min(y) AS y0, min(z) AS z0 FROM {CLOUD}) GROUP BY 1, 2, 3""")
 def a3_voxels(spark, d):
-    return rounded(cloud.voxels(inputs.cloud(spark, d), 0.25), "x", "y", "z")
+    return rounded(cloud.voxels(inputs.cloud(spark, d), 0.25), "x", "y", "z", digits=9)
 
 
 PAIRS = f"(SELECT p.point_id AS point, q.point_id AS other, (p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)+(p.z-q.z)*(p.z-q.z) AS d2 FROM {IDENTIFIED} p JOIN {IDENTIFIED} q ON p.point_id <> q.point_id)"
@@ -421,7 +425,7 @@ def a11_r12_mesh_extents(spark, d):
 
 
 @query()
-def g1_wireframe(spark, d):
+def r12_wireframe_counts(spark, d):
     return pipelines.wireframe(*_field(spark, d))[1]
 
 
@@ -460,14 +464,27 @@ def r9_f8_m16_free_cells(spark, d):
     return rounded(cells.select("gx", "gy", *(g.from_cell(f"g{a}", f"{a}0", F.col("resolution")).alias(a) for a in "xy")), "x", "y")
 
 
-SPLAT = f"""WITH s AS (SELECT x, y FROM {CLOUD} WHERE z > 0.9 AND z < 1.1), m AS (SELECT min(x)-0.5 AS x0, max(y)+0.5 AS y1, CAST(trunc((max(x)+0.5-(min(x)-0.5))*20) AS INT) AS w, CAST(trunc((max(y)+0.5-(min(y)-0.5))*20) AS INT) AS h FROM s),
-p AS (SELECT DISTINCT CAST(trunc((x-x0)*20) AS INT) AS px, CAST(trunc((y1-y)*20) AS INT) AS py FROM s, m), disc AS (SELECT a.k AS dx, b.k AS dy FROM range(-2, 3) a(k), range(-2, 3) b(k) WHERE a.k*a.k+b.k*b.k <= 4),
+def _splat(level: str, scale: int) -> str:
+    """The floor plan of the points of `level` in SQL: facts, discs, and the closed mask."""
+    return f"""WITH s AS ({level}), m AS (SELECT min(x)-0.5 AS x0, max(y)+0.5 AS y1, CAST(trunc((max(x)+0.5-(min(x)-0.5))*{scale}) AS INT) AS w, CAST(trunc((max(y)+0.5-(min(y)-0.5))*{scale}) AS INT) AS h FROM s),
+p AS (SELECT DISTINCT CAST(trunc((x-x0)*{scale}) AS INT) AS px, CAST(trunc((y1-y)*{scale}) AS INT) AS py FROM s, m), disc AS (SELECT a.k AS dx, b.k AS dy FROM range(-2, 3) a(k), range(-2, 3) b(k) WHERE a.k*a.k+b.k*b.k <= 4),
 q AS (SELECT DISTINCT CAST(px+dx AS INT) AS px, CAST(py+dy AS INT) AS py FROM p, disc, m WHERE px >= 0 AND px < w AND py >= 0 AND py < h AND px+dx >= 0 AND px+dx < w AND py+dy >= 0 AND py+dy < h),
 box AS (SELECT a.k AS dx, b.k AS dy FROM range(-2, 3) a(k), range(-2, 3) b(k)),
 dil AS (SELECT DISTINCT CAST(px+dx AS INT) AS px, CAST(py+dy AS INT) AS py FROM q, box, m WHERE px+dx >= 0 AND px+dx < w AND py+dy >= 0 AND py+dy < h),
 ero AS (SELECT px+dx AS px, py+dy AS py FROM dil, box, m WHERE px+dx >= 0 AND px+dx < w AND py+dy >= 0 AND py+dy < h GROUP BY px+dx, py+dy HAVING count(*) = any_value((least(px+dx+2, w-1)-greatest(px+dx-2, 0)+1)*(least(py+dy+2, h-1)-greatest(py+dy-2, 0)+1)))"""
 
 
+SPLAT = _splat(f"SELECT x, y FROM {CLOUD} WHERE z > 0.9 AND z < 1.1", 20)
+FLOOR_LEVEL = f"""SELECT x, y FROM {CLOUD}, (SELECT lo, hi, middle, (SELECT count(*) FROM {CLOUD} WHERE z > lo AND z < hi) >= 100 AS enough FROM (SELECT h + 1.2::DOUBLE - 0.1::DOUBLE AS lo, h + 1.2::DOUBLE + 0.1::DOUBLE AS hi, (SELECT median(z) FROM {CLOUD}) AS middle
+FROM (SELECT coalesce((SELECT min(abs(d) / sqrt(a*a+b*b+c*c)) FROM {PLANE_ROWS} WHERE c / sqrt(a*a+b*b+c*c) > 0.8), (SELECT min(z) FROM {CLOUD})) AS h))) WHERE CASE WHEN enough THEN z > lo AND z < hi ELSE z > middle - 0.2::DOUBLE AND z < middle + 0.2::DOUBLE END"""
+
+
+@query(_splat(FLOOR_LEVEL, 100) + " SELECT CAST(px AS INT) AS px, CAST(py AS INT) AS py FROM ero")
+def r1_floor_plan(spark, d):
+    """From the planes' floor height to the closed mask, by the pipeline itself."""
+    return pipelines.floor_plan(inputs.cloud(spark, d), _planes(spark, d)).pixels
+
+
 def _plan(spark, d):
     level = cloud.open_slice(inputs.cloud(spark, d), 1.0, 0.1)
     meta = raster.blueprint_meta(level, resolution=20)
@@ -480,7 +497,7 @@ def r2_m14_f9_disc_splat(spark, d):
 
 
 @query(SPLAT + " SELECT CAST(px AS INT) AS px, CAST(py AS INT) AS py FROM ero")
-def r1_r3_j9_closed_plan(spark, d):
+def r3_j9_closed_plan(spark, d):
     level, meta = _plan(spark, d)
     return raster.close(raster.splat(level, meta), meta)
 
@@ -490,15 +507,16 @@ def r4_mask_boundary(spark, d):
     return raster.boundary(raster.splat(*_plan(spark, d)))
 
 
-SPOTS = "(SELECT DISTINCT CAST(o_custkey % 97 AS INT) AS px, CAST(o_orderkey % 89 AS INT) AS py FROM orders WHERE o_totalprice > 400000)"
+SPOTS = "(SELECT DISTINCT CAST((o_custkey * 31 + o_orderkey // 7) % 997 AS INT) AS px, CAST(o_orderkey % 991 AS INT) AS py FROM orders)"
 
 
 def _spots(spark, d):
-    return inputs.read(spark, d, "orders").where("o_totalprice > 400000").select((F.col("o_custkey") % 97).cast("int").alias("px"), (F.col("o_orderkey") % 89).cast("int").alias("py")).distinct()
+    """All orders as set pixels of a wide mask."""
+    return inputs.read(spark, d, "orders").select(F.expr("cast((o_custkey * 31 + o_orderkey div 7) % 997 as int)").alias("px"), (F.col("o_orderkey") % 991).cast("int").alias("py")).distinct()
 
 
-@query(f"""WITH RECURSIVE s AS MATERIALIZED (SELECT *, py::BIGINT * 2147483648 + px AS id FROM {SPOTS}), c(px, py, comp) USING KEY (px, py) AS (SELECT px, py, id FROM s
-UNION SELECT a.px, a.py, min(b.comp) FROM recurring.c a JOIN c b ON abs(a.px-b.px) <= 1 AND abs(a.py-b.py) <= 1 WHERE b.comp < a.comp GROUP BY a.px, a.py) SELECT px, py, comp FROM c""")
+@query(f"""WITH RECURSIVE s AS MATERIALIZED (SELECT *, py::BIGINT * 2147483648 + px AS id FROM {SPOTS}), near AS MATERIALIZED (SELECT a.id AS i, b.id AS o FROM s a, range(-1, 2) dx(k), range(-1, 2) dy(k), s b WHERE b.px = a.px + dx.k AND b.py = a.py + dy.k),
+c(id, comp) USING KEY (id) AS (SELECT id, id FROM s UNION SELECT n.i, min(b.comp) FROM c b JOIN near n ON n.o = b.id JOIN recurring.c a ON a.id = n.i WHERE b.comp < a.comp GROUP BY n.i) SELECT px, py, comp FROM c JOIN s USING (id)""")
 def r5_components(spark, d):
     return raster.components(_spots(spark, d)).select("px", "py", "comp")
 
@@ -530,7 +548,10 @@ def n1_n5_a17_room_path(spark, d):
     return rounded(_room_plan(spark).statistics.select("scan_id", "success", "path_cost_cells"), "path_cost_cells")
 
 
-@query()
+@query("""WITH RECURSIVE f AS MATERIALIZED (SELECT s.scan_id, i // 12 AS gx, i % 12 AS gy FROM range(144) t(i), (VALUES ('far'), ('walled')) s(scan_id) WHERE NOT (i // 12 = 6 AND (i % 12 < 10 OR s.scan_id = 'walled'))),
+asked AS (SELECT * FROM (VALUES ('far', 0, 0, 11, 0), ('walled', 0, 0, 11, 0), ('blocked', 6, 0, 0, 0)) v(scan_id, sx, sy, tx, ty)),
+r AS (SELECT f.* FROM f JOIN asked a ON a.scan_id = f.scan_id AND gx = sx AND gy = sy UNION SELECT f.* FROM r JOIN f ON f.scan_id = r.scan_id AND f.gx BETWEEN r.gx - 1 AND r.gx + 1 AND f.gy BETWEEN r.gy - 1 AND r.gy + 1)
+SELECT a.scan_id, CASE WHEN NOT EXISTS (SELECT 1 FROM f WHERE f.scan_id = a.scan_id AND gx = sx AND gy = sy) OR NOT EXISTS (SELECT 1 FROM f WHERE f.scan_id = a.scan_id AND gx = tx AND gy = ty) THEN 'blocked' WHEN EXISTS (SELECT 1 FROM r WHERE r.scan_id = a.scan_id AND gx = tx AND gy = ty) THEN 'ok' ELSE 'no_path' END AS status FROM asked a""")
 def n2_n3_path_status(spark, d):
     free = rooms.walled_grid(spark).withColumn("scan_id", F.lit("far"))
     closed = free.where("gx <> 6").withColumn("scan_id", F.lit("walled"))
@@ -632,14 +653,58 @@ def s13_mesh_file(spark, d):
     return rounded(t.join(v.select(F.col("vertex_id").alias("v0"), "z"), "v0").select("face_id", "z"), "z")
 
 
-@query(f"SELECT frame_id, u, v, {r('depth', 'conf')} FROM {PIXELS} WHERE frame_id IN (1, 2, 5)")
-def s6_s7_j1_depth_files(spark, d):
+@query(f"SELECT frame_id, u, v, {r('depth', 'conf')} FROM {PIXELS} WHERE frame_id IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 3)")
+def s6_s7_depth_files(spark, d):
+    """The pixels of the keyframes (nation's in three regions), read from files of which other frames' are pruned."""
     path = _fresh(spark, "depth")
     scan_files.write_depth(inputs.pixels(spark, d).withColumn("scan_id", F.lit("s")), path)
-    kept = spark.createDataFrame([("s", 1), ("s", 2), ("s", 5)], "scan_id string, frame_id int")
+    kept = inputs.read(spark, d, "nation").where("n_regionkey < 3").select(F.lit("s").alias("scan_id"), F.col("n_nationkey").cast("int").alias("frame_id"))
     return rounded(scan_files.read_depth(spark, path, kept).select("frame_id", "u", "v", "depth", "conf"), "depth", "conf")
 
 
+@query(f"""SELECT d.frame_id, d.u, d.v, {r('d.depth', 'c.conf')} FROM (SELECT frame_id, u, v, min(depth) AS depth FROM {PIXELS} GROUP BY ALL) d LEFT JOIN (SELECT frame_id, u, v, max(conf) AS conf FROM {PIXELS} WHERE conf IS NOT NULL GROUP BY ALL) c
+ON c.frame_id = d.frame_id AND c.u = d.u AND c.v = d.v WHERE depth > 0 AND depth < 8 AND (conf IS NULL OR conf > 0.5)""")
+def j1_f1_missing_confidence(spark, d):
+    """Depth maps joined to the confidence maps that exist; a frame without one keeps its pixels."""
+    p = inputs.pixels(spark, d)
+    depth = p.groupBy("frame_id", "u", "v").agg(F.min("depth").alias("depth"))
+    conf = p.where("conf is not null").groupBy("frame_id", "u", "v").agg(F.max("conf").alias("conf"))
+    return rounded(frames.valid_pixels(scan_files.with_confidence(depth, conf, ["frame_id", "u", "v"])), "depth", "conf")
+
+
+# ---- many scans in one job, images, the hook for models
+
+MANY = "(SELECT CAST(user_id AS VARCHAR) AS scan_id, value / 100::DOUBLE AS x, (event_id % 97) / 10.0::DOUBLE AS y, (event_id % 5) / 4.0::DOUBLE AS z FROM events)"
+
+
+def _many(spark, d):
+    e = F.col("event_id")
+    return inputs.read(spark, d, "events").select(F.col("user_id").cast("string").alias("scan_id"), (F.col("value") / g.real(100)).alias("x"), ((e % 97) / g.real(10)).alias("y"), ((e % 5) / g.real(4)).alias("z"))
+
+
+@query(f"""WITH s AS (SELECT scan_id, x, y FROM {MANY} WHERE z BETWEEN 1.0::DOUBLE - 0.3::DOUBLE AND 1.0::DOUBLE + 0.3::DOUBLE),
+i AS (SELECT scan_id, min(x) AS x0, min(y) AS y0, greatest(1, CAST(ceil((max(x)-min(x))/0.1::DOUBLE) AS INT)) AS nx, greatest(1, CAST(ceil((max(y)-min(y))/0.1::DOUBLE) AS INT)) AS ny FROM s GROUP BY scan_id),
+c AS (SELECT DISTINCT s.scan_id, greatest(0, least(nx-1, CAST(trunc((x-x0)/0.1::DOUBLE) AS INT))) AS gx, greatest(0, least(ny-1, CAST(trunc((y-y0)/0.1::DOUBLE) AS INT))) AS gy FROM s JOIN i ON i.scan_id = s.scan_id)
+SELECT DISTINCT c.scan_id, CAST(gx + a.k AS INT) AS gx, CAST(gy + b.k AS INT) AS gy FROM c JOIN i ON i.scan_id = c.scan_id, range(-2, 3) a(k), range(-2, 3) b(k) WHERE gx + a.k >= 0 AND gx + a.k < nx AND gy + b.k >= 0 AND gy + b.k < ny""")
+def r7_r8_many_scans(spark, d):
+    """The occupancy grids of all users' events at once, each with its own origin and size."""
+    return raster.occupancy(_many(spark, d), by=["scan_id"])[0]
+
+
+@query(f"SELECT frame_id, CAST(a.k AS INT) AS u, CAST(b.k AS INT) AS v, {r('depth')} FROM (SELECT frame_id, u, v, min(depth) AS depth FROM {PIXELS} GROUP BY ALL) p, range(40) a(k), range(100) b(k) WHERE p.u = a.k * 64 // 40 AND p.v = b.k * 48 // 100")
+def m20_resize(spark, d):
+    depth = inputs.pixels(spark, d).groupBy("frame_id", "u", "v").agg(F.min("depth").alias("depth"))
+    return rounded(images.resize(depth, (64, 48), (40, 100), ("depth",), ("frame_id",)), "depth")
+
+
+@query("SELECT CAST(i // 3072 AS INT) AS frame_id, CAST(i // 48 % 64 AS INT) AS u, CAST(i % 48 AS INT) AS v, round((i // 48 % 64 * 4 % 256) / 32.0::DOUBLE, 6) + 0.0 AS depth, round((i % 48 * 5 % 256) / 255.0::DOUBLE, 6) + 0.0 AS conf FROM range(76800) t(i)")
+def s5_inference_hook(spark, d):
+    """A stand-in model whose depth is the red and whose confidence the green of an image."""
+    image = spark.range(25 * 64 * 48).select(F.expr("id div 3072").cast("int").alias("frame_id"), F.expr("(id div 48) % 64").cast("int").alias("u"), (F.col("id") % 48).cast("int").alias("v"))
+    image = image.withColumns({"r": F.col("u") * 4 % 256, "g": F.col("v") * 5 % 256, "b": F.lit(0)})
+    return rounded(images.infer(image, lambda rgb: {"depth": rgb[:, :, 0] / 32.0, "conf": rgb[:, :, 1] / 255.0}), "depth", "conf")
+
+
 @query(f"SELECT plane_id AS id, {r('a', 'c', 'd')}, CASE WHEN angle < 15 THEN 'floor/ceiling' WHEN angle > 75 THEN 'wall' ELSE 'sloped' END AS type FROM (SELECT *, degrees(acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, abs(c / sqrt(a*a+b*b+c*c)))))) AS angle FROM {PLANE_ROWS})")
 def s14_planes_file(spark, d):
     path = _fresh(spark, "planes")
@@ -655,7 +720,8 @@ def s15_blueprint_meta_file(spark, d):
     return rounded(scan_files.read_json(spark, path, scan_files.META), "x_min", "x_max", "y_min", "y_max")
 
 
-@query()
+# a path whose cost is that of 60 diagonal and 20 straight steps has 81 cells, whichever of the cheapest it is
+@query("WITH RECURSIVE " + ROOM_GRID.removeprefix("WITH ") + ", f AS MATERIALIZED (SELECT CAST(a.k AS INT) AS gx, CAST(b.k AS INT) AS gy FROM range(100) a(k), range(80) b(k) WHERE (a.k, b.k) NOT IN (SELECT (gx, gy) FROM o)), " + COSTS.format(sx=10, sy=10) + " SELECT 'room' AS scan_id, 'A*' AS algorithm, true AS success, CAST(81 AS INT) AS n FROM reach WHERE gx = 90 AND gy = 70 AND abs(cost - (60 * sqrt(2) + 20)) < 1e-6")
 def s16_path_file(spark, d):
     planned = _room_plan(spark)
     path = _fresh(spark, "path")

@@ -146,19 +146,30 @@ def latest_status(log: DataFrame) -> DataFrame:
     return log.groupBy("session_id").agg(F.max_by(F.struct("status", "detail", "outputs"), "seq").alias("s")).select("session_id", "s.*")
 
 
+#: Names of outputs by their file.
+OUTPUTS = {
+    "blueprint/floorplan_2d.png": "floorplan",
+    "blueprint/wireframe_2d.png": "wireframe",
+    "debug/camera_trajectory.png": "camera_trajectory",
+    "debug/blueprint_comparison.png": "blueprint_comparison",
+    "mesh/clean_mesh.ply": "mesh",
+    "pointcloud/colored_cloud.ply": "pointcloud",
+    "pointcloud/filtered_cloud.ply": "pointcloud",
+}
+
+
 def manifest(files: DataFrame, most_images: int = 6) -> DataFrame:
     """(session_id, outputs): the named outputs of each session's files(session_id, path).
 
-    Depth images are numbered by path, at most most_images; the cloud is the first kind that exists."""
+    Depth images are numbered from 0 by path, at most most_images; the coloured cloud goes before the filtered."""
     w = Window.partitionBy("session_id").orderBy("path")
-    image = files.where(F.col("path").rlike(r"depth_vis/.*\.png$")).withColumn("k", F.row_number().over(w)).where(F.col("k") <= most_images)
-    named = image.select("session_id", F.concat(F.lit("depth_image_"), F.col("k").cast("string")).alias("name"), "path")
-    rank = F.when(g.basename("path") == "colored.ply", 1).when(g.basename("path") == "filtered.ply", 2).when(g.basename("path") == "raw.ply", 3)
-    cloud = files.withColumn("rank", rank).where("rank is not null").groupBy("session_id").agg(F.min_by("path", "rank").alias("path")).select("session_id", F.lit("point_cloud").alias("name"), "path")
-    other = F.when(g.basename("path") == "floor_plan.png", "floor_plan").when(g.basename("path") == "path_output.json", "path").when(g.basename("path") == "detected_planes.json", "planes").when(g.basename("path") == "blueprint_meta.json", "blueprint_meta")
-    rest = files.withColumn("name", other).where("name is not null").groupBy("session_id", "name").agg(F.min("path").alias("path"))
-    every = named.unionByName(cloud).unionByName(rest)
-    return every.groupBy("session_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "path")))).alias("outputs"))
+    image = files.where(F.col("path").rlike(r"^viz/[^/]*_depth\.png$")).distinct().withColumn("k", F.row_number().over(w) - 1).where(F.col("k") < most_images)
+    named = image.select("session_id", F.concat(F.lit("depth_viz_"), F.col("k").cast("string")).alias("name"), "path")
+    name = F.lit(None).cast("string")
+    for path, known in OUTPUTS.items():
+        name = F.when(F.col("path") == path, known).otherwise(name)
+    rest = files.withColumn("name", name).where("name is not null").groupBy("session_id", "name").agg(F.min("path").alias("path"))
+    return named.unionByName(rest).groupBy("session_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "path")))).alias("outputs"))
 
 
 def merged_outputs(first: str = "outputs", over: str = "more") -> Column:
