@@ -25,6 +25,8 @@ from .common import LOWER, arrow_schema, crc32_mod, slices, texts_of
 BITS = 18
 FAMILIES = ("words", "characters", "shapes")
 BUCKETS = len(FAMILIES) << BITS
+#: Bytes of text whose grams are made at a time: what bounds a worker's memory.
+TOGETHER = 1 << 19
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -57,7 +59,7 @@ class WordMemo(dict):
     """(hash of the lower-cased word, shape) by word; forgets all of them at a bounded size."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         raw = word.encode("utf-8", "surrogatepass").translate(LOWER)
         found = self[word] = xxhash.xxh3_64_intdigest(raw) >> 7 << 7 | shape(word)
@@ -211,7 +213,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, most_labels: int =
 
     def extract(batches):
         memo = WordMemo()
-        for batch in slices(batches):
+        for batch in slices(batches, most_bytes=TOGETHER):
             texts = texts_of(batch)
             doc, bucket = features(texts, memo, families)
             cuts = np.searchsorted(doc, np.arange(len(texts) + 1))
@@ -242,7 +244,7 @@ def classify(docs: DataFrame, model: Model, folds: int = 5, cutoff: float = 0.3)
 
     def score(batches):
         memo = WordMemo()
-        for batch in slices(batches):
+        for batch in slices(batches, most_bytes=TOGETHER):
             s = shared.value.scores(texts_of(batch), memo)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= cutoff).astype(np.int32))], schema=schema)
 
@@ -257,7 +259,7 @@ def keep(docs: DataFrame, model: Model, cutoff: float = 0.3) -> DataFrame:
 
     def run(batches):
         memo = WordMemo()
-        for batch in slices(batches):
+        for batch in slices(batches, most_bytes=TOGETHER):
             yield batch.filter(pa.array(shared.value.scores(texts_of(batch), memo) >= cutoff))
 
     return docs.mapInArrow(run, docs.schema)
