@@ -55,7 +55,8 @@ def written(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
 
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most_bytes: int = 2 << 20, most_rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut into runs of at most about most_bytes of a column, so that what a function makes of
-    a run stays small whatever the session's batch size; a larger single value is a run of its own."""
+    a run stays small whatever the session's batch size; a larger single value is a run of its own. At the end the
+    worker, which waits for other tasks, gives back what Arrow holds in reserve."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64)
         filled = np.cumsum(sizes)
@@ -65,6 +66,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most_bytes:
             end = min(max(at + 1, int(np.searchsorted(filled, before + most_bytes, side="right"))), at + most_rows, batch.num_rows)
             yield batch.slice(at, end - at)
             at = end
+    pa.default_memory_pool().release_unused()
 
 
 def text_groups(docs: DataFrame, text: str, group_bytes: int) -> int:

@@ -29,11 +29,15 @@ _MUL = np.uint64(0x9E3779B97F4A7C15)
 _MUL2 = np.uint64(0xD6E8FEB86659FD93)
 
 
+#: Words, and sketches of sets, that a worker remembers; what it forgets is computed again.
+WORDS_KEPT, SKETCHES_KEPT = 50_000, 5_000
+
+
 class WordHashes(dict):
     """64-bit hashes of words; forgets all of them at a bounded size."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) >= WORDS_KEPT:
             self.clear()
         found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found
@@ -93,7 +97,7 @@ def _sketch(docs: DataFrame, size: int, half: int, side: int, tensors: int) -> D
                 node = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
                 nodes.append(node)
                 if node is not None and node not in same:
-                    if len(same) > 20_000:
+                    if len(same) >= SKETCHES_KEPT:
                         same.clear()
                     same[node] = sketcher.halves(s)
                 halves.append(same.get(node))
