@@ -147,7 +147,10 @@ def ratios(rows: list[np.ndarray], labels: np.ndarray, smooth: float = 1.0) -> n
     """log(share of the bucket among class 1's indicators of its family / that among class 0's), smoothed."""
     share = []
     for y in (1, 0):
-        n = smooth + np.bincount(np.concatenate([r for r, v in zip(rows, labels) if v == y]), minlength=BUCKETS).reshape(len(FAMILIES), -1)
+        own, n = [r for r, v in zip(rows, labels) if v == y], np.full(BUCKETS, smooth)
+        for a in range(0, len(own), 500):  # a copy of all rows at once would be the driver's peak
+            n += np.bincount(np.concatenate(own[a : a + 500]), minlength=BUCKETS)
+        n = n.reshape(len(FAMILIES), -1)
         share.append(n / n.sum(axis=1, keepdims=True))
     return np.log(share[0] / share[1]).reshape(-1)
 
