@@ -203,12 +203,15 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, epochs: i
     return Model(w * ratio, bias, float(slope), float(shift), families)
 
 
+_LEARNT = "weights binary, bias double, slope double, shift double"
+
+
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, most_labels: int = 8000, families: tuple[str, ...] = FAMILIES) -> Model:
     """Learns quality from the labelled rows outside fold 0.
 
     At most most_labels labels are used (those with the smallest hash of doc_id), and of each one row of docs
-    (that with the smallest digest of its text): the documented bound of what reaches the driver. A doc_id that
-    has several labels counts as 0 if any of them is 0.
+    (that with the smallest digest of its text): the documented bound of what the one task that fits holds. Only
+    the weights reach the driver. A doc_id that has several labels counts as 0 if any of them is 0.
     """
     usable = labels.where("doc_id is not null and quality is not null").where(crc32_mod(F.col("doc_id"), folds) != 0)
     chosen = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("quality").cast("int")).alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labels)
@@ -225,11 +228,21 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, most_labels: int =
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     joined = kept.join(F.broadcast(chosen), "doc_id")  # at most most_labels rows of two numbers
     joined = joined.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text", "quality")).alias("r")).select("r.text", "r.quality")
-    rows = joined.select("text", "quality").mapInArrow(extract, "quality int, buckets array<int>").toArrow()
-    found = [x.values.to_numpy() for x in rows.column("buckets")]  # views, no Python numbers
-    quality = rows.column("quality").to_numpy()
-    order = sorted(range(len(found)), key=lambda i: (zlib.crc32(found[i]), len(found[i]), quality[i]))  # whatever the order of tasks
-    return fit([found[i] for i in order], quality[order], families=families)
+    learnt_schema = arrow_schema(_LEARNT)
+
+    def learn(batches):
+        parts = [(batch.column("quality"), batch.column("buckets")) for batch in batches]
+        quality = np.concatenate([q.to_numpy() for q, _ in parts] or [np.zeros(0, np.int32)])
+        found = [x.values.to_numpy() for _, column in parts for x in column]  # views, no Python numbers
+        order = sorted(range(len(found)), key=lambda i: (zlib.crc32(found[i]), len(found[i]), quality[i]))  # whatever the order of tasks
+        model = fit([found[i] for i in order], quality[order], families=families)
+        yield pa.RecordBatch.from_pylist([{"weights": model.weights.tobytes(), "bias": model.bias, "slope": model.slope, "shift": model.shift}], schema=learnt_schema)
+
+    rows = joined.select("text", "quality").mapInArrow(extract, "quality int, buckets array<int>")
+    learnt = rows.repartition(1).mapInArrow(learn, _LEARNT).first()  # one task: at most most_labels rows
+    if learnt is None:
+        return fit([], np.zeros(0, np.int32), families=families)
+    return Model(np.frombuffer(bytes(learnt.weights)), learnt.bias, learnt.slope, learnt.shift, families)
 
 
 _SCORED = "doc_id long, held_out boolean, score double, predicted int"
