@@ -2,7 +2,37 @@
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _crc32(text: str) -> str:
+    """crc32 of an ASCII text, bit by bit."""
+    codes = f"list_transform(range(1, len({text}) + 1), lambda i: CAST(ascii({text}[i]) AS BIGINT))"
+    step = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x // 2, 3988292384 * (x % 2)))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda c, b: {step}), 4294967295)"
+
+
 SQL: dict[str, str] = {
+    "op11_periodic_runs": rf"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w, {_crc32("CAST(doc_id AS VARCHAR)")} AS h FROM documents),
+g AS (SELECT *, len(w) AS n, h // 10 % len(w) AS a FROM d),
+p AS MATERIALIZED (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_concat(w[:a], list_transform(range(a, n), lambda i: w[1 + a + (i - a) % (1 + (n - a) // (3 + h // 10 % 8))])) ELSE w END AS w FROM g),
+x AS MATERIALIZED (SELECT doc_id, n, i, array_to_string(w[i + 1 : i + 16], ' ') AS gram FROM (SELECT *, unnest(range(0, n - 15)) AS i FROM p WHERE n >= 24)),
+m AS (SELECT a.doc_id, a.i, b.i - a.i AS q FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.gram = b.gram AND b.i > a.i AND b.i - a.i <= a.n // 3),
+r AS (SELECT doc_id, q, min(i) AS s, count(*) + 15 + q AS l FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM m)
+    GROUP BY doc_id, q, k HAVING count(*) + 15 >= greatest(24 - q, 2 * q)),
+u AS MATERIALIZED (SELECT doc_id, s, l, min(q) AS q FROM r GROUP BY doc_id, s, l),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY l / q DESC, s, q) AS k FROM u),
+t AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS listed FROM u GROUP BY doc_id),
+o AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM u),
+c AS (SELECT w.doc_id, string_agg(w.word, ' ' ORDER BY w.i) AS kept FROM (SELECT doc_id, unnest(w) AS word, unnest(range(0, n)) AS i FROM p) w ANTI JOIN o ON o.doc_id = w.doc_id AND o.i = w.i GROUP BY w.doc_id)
+SELECT p.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(s AS BIGINT) AS start, CAST(l AS BIGINT) AS length, CAST(q AS BIGINT) AS period,
+    CAST(1000 * l // q AS BIGINT) AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM p LEFT JOIN t ON t.doc_id = p.doc_id LEFT JOIN b ON b.doc_id = p.doc_id AND b.k = 1 LEFT JOIN c ON c.doc_id = p.doc_id""",
+    "op12_block_names": """
+WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
+    doc_id = max(doc_id) OVER (PARTITION BY body) AS kept, sha256(body) AS text_sha256
+FROM n""",
     "op7_warc_store": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
 q AS (SELECT page_id, body, CAST(strlen(body) AS BIGINT) AS payload_bytes, max(page_id) OVER (PARTITION BY body) AS last FROM p)

@@ -88,7 +88,20 @@ def op10_nb_svm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic_runs import find
+
+    return find(table(spark, sf_dir, "documents"), plant=True)
+
+
+def op12_block_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .block_names import deduplicate
+
+    return deduplicate(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_ppm_scores, op2_risk_controlled_rules, op3_skip_chain_pii, op4_tensored_minhash, op5_temporal_url_lists, op6_positional_decontamination, op7_warc_store, op8_bit_packed_tokens, op9_pattern_packing, op10_nb_svm_quality)
+    for f in (op1_ppm_scores, op2_risk_controlled_rules, op3_skip_chain_pii, op4_tensored_minhash, op5_temporal_url_lists, op6_positional_decontamination, op7_warc_store, op8_bit_packed_tokens, op9_pattern_packing, op10_nb_svm_quality, op11_periodic_runs,
+              op12_block_names)
 }

@@ -26,4 +26,4 @@ def test_sql_twin(spark, name):
 def test_registered():
     names = entry.queries()
     assert "pipeline" in names and set(QUERIES) <= set(names) and set(entry.oracle_sql()) <= set(names)
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 13))
