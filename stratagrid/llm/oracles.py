@@ -28,6 +28,36 @@ c AS (SELECT w.doc_id, string_agg(w.word, ' ' ORDER BY w.i) AS kept FROM (SELECT
 SELECT p.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(s AS BIGINT) AS start, CAST(l AS BIGINT) AS length, CAST(q AS BIGINT) AS period,
     CAST(1000 * l // q AS BIGINT) AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
 FROM p LEFT JOIN t ON t.doc_id = p.doc_id LEFT JOIN b ON b.doc_id = p.doc_id AND b.k = 1 LEFT JOIN c ON c.doc_id = p.doc_id""",
+    "op13_turn_repair": rf"""
+WITH RECURSIVE f AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS fault FROM conversations),
+d AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM f),
+t AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY c) AS n, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY k) > 1 THEN 'duplicate'
+        WHEN NOT contains('.!?', right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1)) THEN 'truncated' ELSE 'none' END AS fault,
+    lag(role[1]) OVER (PARTITION BY c ORDER BY k) || role[1] NOT IN ('su', 'ua', 'au') AS illegal
+    FROM (SELECT *, dense_rank() OVER (ORDER BY conv_id) AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM d)),
+w AS (SELECT c, any_value(conv_id) AS conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (coalesce(illegal, false)) AS illegal FROM t GROUP BY c),
+-- backwards: the cheapest way from a state, before the k-th turn, to the end
+s(c, state, k, cost, audit) AS (
+    SELECT DISTINCT c, z.state, n, CAST(5 * len(put) AS BIGINT), put FROM t, (VALUES (0, ''), (1, 'II'), (2, 'I'), (3, '')) z(state, put)
+    UNION ALL
+    SELECT c, state, k, b.cost, b.audit FROM (SELECT s.c, o.state, s.k - 1 AS k, min(ROW(s.cost + 5 * len(o.put) + e.price + CASE WHEN t.fault = 'truncated' AND e.letter <> 'D' THEN 5 ELSE 0 END, o.put || e.letter || s.audit)::STRUCT(cost BIGINT, audit VARCHAR)) AS b
+        FROM s JOIN t ON t.c = s.c AND t.k = s.k
+        JOIN (VALUES ('s', 0, 1, 'K', 0), ('u', 0, 2, 'K', 0), ('u', 1, 2, 'K', 0), ('u', 3, 2, 'K', 0), ('a', 2, 3, 'K', 0), ('', 0, 2, 'R', 1), ('', 1, 2, 'R', 1), ('', 3, 2, 'R', 1), ('', 2, 3, 'R', 1),
+            ('', 0, 0, 'D', 2), ('', 1, 1, 'D', 2), ('', 2, 2, 'D', 2), ('', 3, 3, 'D', 2)) e(initial, mid, state, letter, price)
+            ON e.state = s.state AND e.initial IN ('', role[1]) AND (e.letter = 'D' OR t.fault NOT IN ('blank', 'duplicate'))
+        JOIN (VALUES (0, 0, ''), (0, 2, 'I'), (0, 3, 'II'), (1, 1, ''), (1, 2, 'I'), (1, 3, 'II'), (2, 2, ''), (2, 3, 'I'), (3, 3, ''), (3, 2, 'I')) o(state, mid, put) ON o.mid = e.mid
+        GROUP BY s.c, o.state, s.k)),
+a AS (SELECT c, cost, audit FROM s WHERE k = 0 AND state = 0),
+l AS (SELECT c, unnest(string_split(audit, '')) AS letter, unnest(range(1, len(audit) + 1)) AS j FROM a),
+p AS (SELECT *, count(*) FILTER (letter <> 'I') OVER (PARTITION BY c ORDER BY j) AS k FROM l),
+o AS (SELECT p.*, role, text, row_number() OVER (PARTITION BY p.c ORDER BY j) AS place FROM p LEFT JOIN t ON t.c = p.c AND t.k = p.k AND letter <> 'I' WHERE letter <> 'D'),
+h AS (SELECT *, count(*) FILTER (place = 1 AND letter = 'K' AND role[1] = 's') OVER (PARTITION BY c) AS head FROM o),
+r AS (SELECT c, string_agg(CASE WHEN letter = 'K' THEN role WHEN (place - head) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY j) AS repaired FROM h GROUP BY c)
+SELECT i.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+    CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN w ON w.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN a ON a.c = w.c LEFT JOIN r ON r.c = w.c""",
     "op12_block_names": """
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,

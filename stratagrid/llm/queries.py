@@ -100,8 +100,15 @@ def op12_block_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(table(spark, sf_dir, "documents"))
 
 
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .turn_repair import damaged, repair
+
+    conversations = table(spark, sf_dir, "conversations")
+    return repair(damaged(conversations), conversations)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_ppm_scores, op2_risk_controlled_rules, op3_skip_chain_pii, op4_tensored_minhash, op5_temporal_url_lists, op6_positional_decontamination, op7_warc_store, op8_bit_packed_tokens, op9_pattern_packing, op10_nb_svm_quality, op11_periodic_runs,
-              op12_block_names)
+              op12_block_names, op13_turn_repair)
 }

@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.01"
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_sql_twin(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "conversations"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     want = c.sql(SQL[name])
     df = QUERIES[name](spark, SF)
@@ -26,4 +26,4 @@ def test_sql_twin(spark, name):
 def test_registered():
     names = entry.queries()
     assert "pipeline" in names and set(QUERIES) <= set(names) and set(entry.oracle_sql()) <= set(names)
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 13))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
