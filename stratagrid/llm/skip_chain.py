@@ -47,10 +47,12 @@ _DIGIT = re.compile("[0-9]")
 #: What else may be personal data: runs of digits and signs with seven digits or more, masked numbers that show
 #: their last four, words with an @, addresses that write it in brackets.
 _NUMBER = re.compile(r"(?<![0-9])\+?\(?[0-9](?:[ ().-]{0,2}[0-9])++")
-_MASKED = re.compile(r"(?<![\w*])(?:[*xX]{2,}[ -]?)+[0-9]{4}(?![0-9])")
+_LAST_FOUR = re.compile(r"(?<![0-9])[0-9]{4}(?![0-9])")
 _BEHIND_AT = re.compile(r"@[^\s<>()\"',;]+")
 _ENDS_ADDRESS = frozenset("<>()\"',;@")
-_IN_BRACKETS = re.compile(r"[\w.+%-]++ ?[\[({]at[\])}] ?[\w-]+(?: ?(?:[\[({]dot[\])}]|\.) ?[\w-]+)+", re.IGNORECASE)
+_AT_IN_BRACKETS = re.compile(r"[\[({]at[\])}]", re.IGNORECASE)
+_BEHIND_BRACKETS = re.compile(r" ?[\w-]+(?: ?(?:[\[({]dot[\])}]|\.) ?[\w-]+)+", re.IGNORECASE)
+_BEFORE_BRACKETS = re.compile(r"[\w.+%-]")
 _SPELT = ((re.compile(r" ?[\[({]at[\])}] ?", re.IGNORECASE), "@"), (re.compile(r" ?[\[({]dot[\])}] ?", re.IGNORECASE), "."))
 _QUAD = re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}")
 _MAY_HOLD = re.compile(r"[0-9@]|[\[({]at[\])}]", re.IGNORECASE)
@@ -91,6 +93,43 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda s: (s[0], s[2]))
 
 
+def masked(text: str) -> list[tuple[int, int]]:
+    """Four digits behind groups of two or more of * and x, a blank or hyphen at most between them.
+
+    Found from the digits leftwards, so that each sign is looked at once however long its groups are."""
+    out = []
+    for m in _LAST_FOUR.finditer(text):
+        at, start = m.start(), -1
+        while True:
+            end = at - 1 if at and text[at - 1] in " -" else at
+            at = end
+            while at and text[at - 1] in "*xX":
+                at -= 1
+            if end - at < 2:
+                break
+            if not at or not (text[at - 1].isalnum() or text[at - 1] in "_*"):
+                start = at
+        if start >= 0:
+            out.append((start, m.end()))
+    return out
+
+
+def in_brackets(text: str) -> list[tuple[int, int]]:
+    """Addresses with the at in brackets, found from the bracket to both sides."""
+    out, last = [], 0
+    for m in _AT_IN_BRACKETS.finditer(text):
+        behind = _BEHIND_BRACKETS.match(text, m.end())
+        if behind:
+            end = m.start() - (m.start() > last and text[m.start() - 1] == " ")
+            start = end
+            while start > last and _BEFORE_BRACKETS.match(text[start - 1]):
+                start -= 1
+            if start < end:
+                out.append((start, behind.end()))
+                last = behind.end()
+    return out
+
+
 def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """(start, end, label) of all mentions: base spans, and what no base span meets with label 0."""
     out = [(s, e, k + 1) for s, e, k in base]
@@ -106,9 +145,8 @@ def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int
                     at += len(x) + 1
             elif len(_DIGIT.findall(m[0])) >= 7:
                 found.append(m.span())
-        found += [m.span() for m in _MASKED.finditer(text)]
-    if "at" in text or "AT" in text:
-        found += [m.span() for m in _IN_BRACKETS.finditer(text)]
+        found += masked(text)
+    found += in_brackets(text)
     if "@" in text:
         end = 0
         for m in _BEHIND_AT.finditer(text):

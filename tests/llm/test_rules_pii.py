@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 
 from stratagrid.llm.risk_rules import CUTOFFS, LEVELS, _Hashes, binomial_tail, choose, judge, level, measure, measures, trials
 from stratagrid.llm import skip_chain
-from stratagrid.llm.skip_chain import FEATURES, Field, base_spans, edges, features, find, graphs, learn, mentions, minimum, redact, redacted, slope, told
+from stratagrid.llm.skip_chain import FEATURES, Field, base_spans, edges, features, find, graphs, in_brackets, learn, masked, mentions, minimum, redact, redacted, slope, told
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BASE = {
@@ -325,3 +326,31 @@ def test_judge(spark, odd_docs, no_docs):
     assert sum(r["kept"] for q, r in truth if q == 0) <= 0.5 * sum(q == 0 for q, _ in truth)
     assert judge(odd_docs, labels).count() == odd_docs.count() and judge(no_docs, labels).count() == 0
     assert judge(odd_docs, labels.limit(0)).where("not base_failed and not kept").count() == 0
+
+
+#: What the two finders stand for, written as one pattern each; these take exponential or quadratic time.
+MASKED = re.compile(r"(?<![\w*])(?:[*xX]{2,}[ -]?)+[0-9]{4}(?![0-9])")
+IN_BRACKETS = re.compile(r"[\w.+%-]++ ?[\[({]at[\])}] ?[\w-]+(?: ?(?:[\[({]dot[\])}]|\.) ?[\w-]+)+", re.IGNORECASE)
+
+
+def test_finders_equal_their_patterns():
+    r = random.Random(1)
+    for _ in range(20_000):
+        t = "".join(r.choice(["*", "x", "X", " ", "-", "1234", "5", "a", "_", "**"]) for _ in range(r.randint(1, 12)))
+        assert masked(t) == [m.span() for m in MASKED.finditer(t)]
+        t = "".join(r.choice(["a", "b.", " ", "-", "[at]", "(dot)", ".", "{AT}", "é", "@", ","]) for _ in range(r.randint(1, 12)))
+        assert in_brackets(t) == [m.span() for m in IN_BRACKETS.finditer(t)]
+    assert mentions("joe [At] mail [dot] org", []) == [(0, 23, 0)]
+
+
+@pytest.mark.parametrize("text", [
+    "call 7 " + "*" * 100_000, "x" * 100_000 + " 1234", "call 7 " + "** " * 100_000, "** " * 100_000 + "1234", "xx-" * 100_000 + "12345", "[at]" * 100_000 + "7",
+    "7 [at] " + "a" * 100_000, "a" * 100_000 + " at 7", "a[at]" + "b.c" * 100_000, "a [at] b" + " [dot] c" * 100_000, "9 " * 100_000, "1234 " * 100_000, "a@b." * 100_000, "+1(" * 100_000, "1." * 100_000])
+def test_patterns_in_linear_time(text):
+    """The best of three, as another process may hold the machine; quadratic time would take minutes."""
+    def took():
+        began = time.process_time()
+        mentions(text, base_spans(text))
+        return time.process_time() - began
+
+    assert min(took() for _ in range(3)) < 1
