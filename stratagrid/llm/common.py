@@ -21,6 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, also not in other case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc32_mod(id_column: Column, modulus: int) -> Column:
     """crc32 of the id written as text, modulo a number: a split that no shuffle changes."""
     return F.crc32(id_column.cast("string").cast("binary")) % F.lit(modulus)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, arrow_schema, slices, text_key, texts_of, written
+from .common import LOWER, arrow_schema, fresh, slices, text_key, texts_of, written
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _MUL2 = np.uint64(0xD6E8FEB86659FD93)
@@ -219,21 +219,19 @@ def one_of_each(docs: DataFrame, salts: int = 16, **how) -> DataFrame:
     told = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(salts)).cast("int")).join(groups, ["comp", "salt"])
     told = told.withColumn("stays", F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_key") == F.col("least.text_key")))
     told = written(told.where("not stays or copies > 1").select(F.col("doc_id").alias("told_id"), F.col("text_key").alias("told_key"), "stays"), "told")
-    keyed = docs.withColumn(_KEY, text_key(F.col("text")))
+    key = fresh(docs, "text_key")
+    keyed = docs.withColumn(key, text_key(F.col("text")))
 
     def among(some: DataFrame) -> Column:
-        return keyed["doc_id"].cast("long").eqNullSafe(some["told_id"]) & (keyed[_KEY] == some["told_key"])
+        return keyed["doc_id"].cast("long").eqNullSafe(some["told_id"]) & (keyed[key] == some["told_key"])
 
-    out = keyed.join(told, among(told), "left_anti").drop(_KEY)
+    out = keyed.join(told, among(told), "left_anti").drop(key)
     again = told.where("stays")
     if again.take(1):  # the row that stays is there several times
-        out = out.unionByName(keyed.join(again, among(again), "left_semi").dropDuplicates(["doc_id", _KEY]).drop(_KEY))
+        out = out.unionByName(keyed.join(again, among(again), "left_semi").dropDuplicates(["doc_id", key]).drop(key))
     return out
 
 
-_KEY = "__text_key"
-
-
 def _labelled(docs: DataFrame, size: int, percent: int, half: int, side: int, tensors: int, classes: int, key: Column) -> DataFrame:
     """A row for each row of docs: doc_id, text_key, n_shingles, node, comp (a node of the component) and component (its least doc_id)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), key.alias("text_key"))
