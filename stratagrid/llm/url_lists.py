@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 
 def host(url: Column) -> Column:
-    """The host of a URL in lower case, without user, port or closing dot; null where there is none."""
-    found = F.regexp_extract(F.trim(url), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
+    """The host of a URL in lower case, without user, port or closing dot; null where there is none. An IPv6 address keeps its brackets."""
+    found = F.regexp_extract(F.trim(url), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]+)", 1)
     return F.nullif(F.regexp_replace(F.lower(found), r"\.+$", ""), F.lit(""))
 
 
@@ -30,7 +30,7 @@ def keys(url: Column, longest: Column | None = None) -> Column:
     longest: the number of segments in the longest path entry there is; what is longer can't match and is
     not made. Without it all leading parts are made."""
     h, p = host(url), path(url)
-    labels = F.split(h, r"\.")
+    labels = F.when(h.startswith("["), F.array(h)).otherwise(F.split(h, r"\."))  # an address has no parents
     n = F.size(labels)
     parents = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda k: F.concat(F.lit("host:"), F.array_join(F.slice(labels, k, n), ".")))
     parts = F.split(p, "/+")

@@ -1,6 +1,6 @@
 from datetime import date
 
-from stratagrid.llm.url_lists import evaluate, intervals, keys
+from stratagrid.llm.url_lists import evaluate, host, intervals, keys
 
 import pytest
 from pyspark.sql import functions as F
@@ -63,3 +63,12 @@ def test_empty(spark, log):
     assert evaluate(none, log).count() == 0
     one = spark.createDataFrame([(1, "http://evil.com", date(2024, 1, 10))], none.schema)
     assert [r["blocked"] for r in evaluate(one, log.limit(0)).collect()] == [False]
+
+
+def test_address_hosts(spark):
+    urls = {"http://[2001:db8::1]:8080/a/b": "[2001:db8::1]", "http://u:p@[::FFFF:1.2.3.4]/": "[::ffff:1.2.3.4]", "http://[::1]": "[::1]", "http://a.B.com:80/": "a.b.com"}
+    docs = spark.createDataFrame([(u,) for u in urls], "url string").select("url", host(F.col("url")).alias("host"), keys(F.col("url")).alias("keys"))
+    got = {r.url: r for r in docs.collect()}
+    assert {u: r.host for u, r in got.items()} == urls
+    assert got["http://u:p@[::FFFF:1.2.3.4]/"]["keys"][0] == "host:[::ffff:1.2.3.4]" and not any(k.startswith("host:") for k in got["http://u:p@[::FFFF:1.2.3.4]/"]["keys"][1:])
+    assert "path:[2001:db8::1]/a" in got["http://[2001:db8::1]:8080/a/b"]["keys"]
