@@ -28,6 +28,8 @@ BUCKETS = len(FAMILIES) << BITS
 #: Bytes of text whose grams are made at a time: what bounds a worker's memory.
 TOGETHER = 1 << 19
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: What str.split also cuts at, in ASCII.
+_SEPARATORS = re.compile("[\x1c-\x1f]")
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -93,7 +95,7 @@ def features(texts: list[str], memo: WordMemo, families: tuple[str, ...] = FAMIL
     """(text number, bucket) of each indicator, by text: grams of whole texts."""
     flat, ends = [np.zeros(0, np.uint64)], []
     for text in texts:
-        words = text.split() if text.isascii() else _WORD.findall(text)
+        words = text.split() if text.isascii() and not _SEPARATORS.search(text) else _WORD.findall(text)
         codes = np.fromiter(map(memo.__getitem__, words), dtype=np.uint64, count=len(words))
         if len(words) > 1:
             again = np.fromiter(map(str.__eq__, words[1:], words), dtype=bool, count=len(words) - 1)
