@@ -117,13 +117,15 @@ def slots(planned: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
 
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
+_IDS = ", ids array<int>"
 _PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
-def cut(docs: DataFrame, limit: int, tokenizer: str | None = None, end_id: int = 2) -> DataFrame:
-    """A row for each piece, with its rank among the pieces of its length in its partition."""
+def cut(docs: DataFrame, limit: int, tokenizer: str | None = None, end_id: int = 2, ids: bool = False) -> DataFrame:
+    """A row for each piece, with its rank among the pieces of its length in its partition; ids adds its token ids."""
     path = tokenizer or default_tokenizer()
-    schema = arrow_schema(_PIECES)
+    ddl = _PIECES + (_IDS if ids else "")
+    schema = arrow_schema(ddl)
 
     def pieces(batches):
         enc, end = encoder(path), np.asarray([end_id], dtype="<u4").tobytes()
@@ -135,23 +137,24 @@ def cut(docs: DataFrame, limit: int, tokenizer: str | None = None, end_id: int =
                 n = len(x) // 4
                 cuts = [0, *range(n % limit or limit, n + 1, limit)]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                    rows.append((d, k, a, b - a, zlib.crc32(x[4 * a : 4 * b]), part, int(seen[b - a])))
+                    own = (np.frombuffer(x, "<u4")[a:b].astype(np.int32),) if ids else ()
+                    rows.append((d, k, a, b - a, zlib.crc32(x[4 * a : 4 * b]), part, int(seen[b - a]), *own))
                     seen[b - a] += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)] if rows else [pa.array([], t) for t in schema.types], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(pieces, _PIECES)
+    return rows.mapInArrow(pieces, ddl)
 
 
-def pack_documents(docs: DataFrame, limit: int = 1024, tokenizer: str | None = None, end_id: int = 2) -> DataFrame:
-    """Packs docs(doc_id, text) into few sequences of at most limit ids; a row for each piece.
+def pack_documents(docs: DataFrame, limit: int = 1024, tokenizer: str | None = None, end_id: int = 2, ids: bool = False) -> DataFrame:
+    """Packs docs(doc_id, text) into few sequences of at most limit ids; a row for each piece, with `ids` its token ids too.
 
     A null or empty text is the end id alone. Repeated rows are documents of their own (a doc_id may then
     occur twice with the same piece). Pieces of one length are interchangeable; those read first get the
     first places. Texts of any length are cut whole. Other columns are not read. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    pieces = written(cut(docs, limit, tokenizer, end_id), "pieces")
+    pieces = written(cut(docs, limit, tokenizer, end_id, ids), "pieces")
     counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     based = written(counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "bases")
@@ -159,7 +162,8 @@ def pack_documents(docs: DataFrame, limit: int = 1024, tokenizer: str | None = N
     for r in based.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most limit rows
         hist[r["length"]] = r["n"]
     shared = spark.sparkContext.broadcast(slots(plan(hist, limit)))  # rows: a few for each length
-    schema = arrow_schema(_PACKED)
+    ddl = _PACKED + (_IDS if ids else "")
+    schema = arrow_schema(ddl)
 
     def place(own: pa.Table, bases: pa.Table) -> pa.Table:
         """The pieces of one part of the input, with the numbers of pieces of each length before it."""
@@ -169,7 +173,7 @@ def pack_documents(docs: DataFrame, limit: int = 1024, tokenizer: str | None = N
         length = own.column("length").to_numpy()
         rank = own.column("rank").to_numpy() + base[length]
         k = np.searchsorted((t[:, 0] << 44) + t[:, 1], (length << 44) + rank, side="right") - 1
-        return pa.table([*(own.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(t[k, 2] + rank - t[k, 1]), pa.array(t[k, 3])], schema=schema)
+        return pa.table([*(own.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(t[k, 2] + rank - t[k, 1]), pa.array(t[k, 3]), *([own.column("ids")] if ids else [])], schema=schema)
 
-    # rows of numbers only, a part at a time: a part is what one task read
-    return pieces.groupBy("part").cogroup(based.groupBy("part")).applyInArrow(place, _PACKED)
+    # a part at a time: a part is what one task read
+    return pieces.groupBy("part").cogroup(based.groupBy("part")).applyInArrow(place, ddl)
