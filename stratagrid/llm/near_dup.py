@@ -11,6 +11,9 @@ the leaders of its buckets (a few for each group of near copies, as buckets shar
 of a large group at the cost of a few tests for each member. Nodes that are then still in another component
 than their leader are tested against all that share the leader, block by block. A pair of a bucket shares its
 leader, so none stays unresolved; blocks have a fixed size, and only links leave them.
+
+Joins are asked to merge: all sides grow with the corpus, and on a small one the many rounds would otherwise have the
+driver collect and keep a table for each.
 """
 
 from __future__ import annotations
@@ -141,14 +144,14 @@ def components(edges: DataFrame) -> DataFrame:
     labels = ends.withColumn("comp", F.col("node"))
     while True:
         of = labels.select(F.col("node").alias("b"), F.col("comp").alias("other"))
-        near = both.join(of, "b").groupBy("a").agg(F.min("other").alias("near")).withColumnRenamed("a", "node")
-        low = labels.join(near, "node", "left").select("node", "comp", F.least("comp", F.coalesce("near", "comp")).alias("low"))
+        near = both.join(of.hint("merge"), "b").groupBy("a").agg(F.min("other").alias("near")).withColumnRenamed("a", "node")
+        low = labels.join(near.hint("merge"), "node", "left").select("node", "comp", F.least("comp", F.coalesce("near", "comp")).alias("low"))
         # the whole component follows its least label
         moved = low.groupBy("comp").agg(F.min("low").alias("to"))
         for _ in range(2):
             further = moved.select(F.col("comp").alias("to"), F.col("to").alias("then"))
-            moved = moved.join(further, "to").select("comp", F.col("then").alias("to"))
-        after = written(low.join(moved, "comp").select("node", F.col("to").alias("comp"), (F.col("to") != F.col("comp")).alias("changed")), "labels")
+            moved = moved.join(further.hint("merge"), "to").select("comp", F.col("then").alias("to"))
+        after = written(low.join(moved.hint("merge"), "comp").select("node", F.col("to").alias("comp"), (F.col("to") != F.col("comp")).alias("changed")), "labels")
         labels = after.select("node", "comp")
         if not after.where("changed").take(1):
             return labels
@@ -242,14 +245,14 @@ def _labelled(docs: DataFrame, size: int, percent: int, half: int, side: int, te
     crowd = written(crowd.select("node", "n", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n")).distinct(), "leaders")
 
     members = crowd.select("node").distinct()
-    chosen = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low")).join(members, "node").select("low").distinct()
+    chosen = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low")).join(members.hint("merge"), "node").select("low").distinct()
     wanted = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["low"]), "left_semi")
-    full = written(_full_sets(wanted, size).join(members, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")), "shingles")
+    full = written(_full_sets(wanted, size).join(members.hint("merge"), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")), "shingles")
 
     # every node against its leaders
     near = crowd.where((F.col("node") != F.col("lead")) & (100 * F.col("n") >= percent * F.col("lead_n")) & (100 * F.col("lead_n") >= percent * F.col("n")))
     one = full.select(F.col("node").alias("lead"), F.col("shingles").alias("lead_set"))
-    tested = near.join(full.select("node", "shingles"), "node").join(one, "lead").withColumn("i", F.size(F.array_intersect("shingles", "lead_set")))
+    tested = near.join(full.select("node", "shingles").hint("merge"), "node").join(one.hint("merge"), "lead").withColumn("i", F.size(F.array_intersect("shingles", "lead_set")))
     linked = tested.where(100 * F.col("i") >= percent * (F.col("n") + F.col("lead_n") - F.col("i"))).select(F.col("node").alias("a"), F.col("lead").alias("b"))
     labels = components(linked)
 
@@ -259,25 +262,25 @@ def _labelled(docs: DataFrame, size: int, percent: int, half: int, side: int, te
 
     # a leader that very many nodes share is dealt over the salts; what is copied is its label, and later its sizes
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    leads = crowd.select("lead").distinct().join(named("lead"), "lead").withColumn("salt", salts)
+    leads = crowd.select("lead").distinct().join(named("lead").hint("merge"), "lead").withColumn("salt", salts)
     own = crowd.select("lead", "node", "n", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("salt"))
-    own = own.join(named("node"), "node", "left").join(leads, ["lead", "salt"], "left")
+    own = own.join(named("node").hint("merge"), "node", "left").join(leads.hint("merge"), ["lead", "salt"], "left")
     own = own.select("lead", "salt", "node", "n", F.coalesce("node_comp", "node").alias("comp"), (F.coalesce("node_comp", "node") != F.coalesce("lead_comp", "lead")).alias("stray"))
     sizes = own.groupBy("lead").agg(F.sum("n").alias("m"), F.sum(F.when(F.col("stray"), F.col("n"))).alias("s")).where("s > 0")
     sizes = sizes.select("lead", F.ceil(F.col("m") / BLOCK).cast("int").alias("nj"), F.ceil(F.col("s") / BLOCK).cast("int").alias("ni"))
-    dealt = own.join(sizes.withColumn("salt", salts), ["lead", "salt"]).withColumn("h", F.xxhash64("node"))
+    dealt = own.join(sizes.withColumn("salt", salts).hint("merge"), ["lead", "salt"]).withColumn("h", F.xxhash64("node"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     strays = dealt.where("stray").select("lead", "node", "comp", F.lit(1).alias("role"), F.pmod("h", "ni").cast("int").alias("i"), every("nj").alias("j"))
     others = dealt.select("lead", "node", "comp", F.lit(2).alias("role"), F.pmod("h", "nj").cast("int").alias("j"), every("ni").alias("i"))
-    blocks = strays.unionByName(others).join(full, "node").select("lead", "i", "j", "role", "node", "comp", "n", "shingles")
+    blocks = strays.unionByName(others).join(full.hint("merge"), "node").select("lead", "i", "j", "role", "node", "comp", "n", "shingles")
     more = written(blocks.groupBy("lead", "i", "j").applyInArrow(_compare(percent), _LINKS).distinct(), "links")
     if more.take(1):  # the links join whole components
-        to = more.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b")).distinct()
+        to = more.join(named("a").hint("merge"), "a", "left").join(named("b").hint("merge"), "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b")).distinct()
         merged = components(to).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
-        singles = more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").withColumn("comp", F.col("node"))
-        labels = labels.unionByName(singles).join(merged, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+        singles = more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels.hint("merge"), "node", "left_anti").withColumn("comp", F.col("node"))
+        labels = labels.unionByName(singles).join(merged.hint("merge"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
 
-    named_sets = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low")).join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    named_sets = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low")).join(labels.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     lows = named_sets.groupBy("comp").agg(F.min("low").alias("component"))
-    component = named_sets.join(lows, "comp").select("node", "comp", "component")
-    return sets.select("doc_id", "text_key", "n_shingles", "node").join(component, "node", "left")
+    component = named_sets.join(lows.hint("merge"), "comp").select("node", "comp", "component")
+    return sets.select("doc_id", "text_key", "n_shingles", "node").join(component.hint("merge"), "node", "left")
