@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import FLOOR, SCAN
 from ..functions import geometry as g
+from ..iterate import durable
 from . import neighbours
+from .quantiles import quantile
 
 AXES = ("x", "y", "z")
 
@@ -27,15 +29,25 @@ def open_slice(points: DataFrame, height: float, half: float) -> DataFrame:
     return points.where(~F.isnan("z") & (F.col("z") > height - half) & (F.col("z") < height + half))
 
 
-def adaptive_slice(points: DataFrame, height: float = FLOOR.height, half: float = FLOOR.half_height, least: int = FLOOR.least_points, wide: float = FLOOR.fallback_half_height) -> DataFrame:
+def adaptive_slice(points: DataFrame, height: float | Column = FLOOR.height, half: float = FLOOR.half_height, least: int = FLOOR.least_points, wide: float = FLOOR.fallback_half_height, by: tuple[str, ...] = ()) -> DataFrame:
     """The open slice; with fewer than `least` points in it, the points around the median height.
 
-    One plan: both facts are one row of scalar subqueries, not a branch on the driver."""
-    z = F.col("z")
-    inside = (z > height - half) & (z < height + half)
-    facts = points.agg(F.count(F.when(inside, 1)).alias("n_inside"), F.median("z").alias("middle"))
-    near = (z > F.col("middle") - wide) & (z < F.col("middle") + wide)
-    return points.crossJoin(F.broadcast(facts)).where(F.when(F.col("n_inside") >= least, inside).otherwise(near)).drop("n_inside", "middle")
+    With by, each of many scans decides for itself, and height may be a column. The median is taken of scans that need
+    it, exactly and without gathering their points. A scan without points has none in its slice."""
+    z, by = F.col("z"), list(by)
+    height = F.lit(height) if isinstance(height, (int, float)) else height
+    inside = ~F.isnan("z") & (z > height - half) & (z < height + half)
+    facts = durable(points.groupBy(*by).agg(F.count(F.when(inside, 1)).alias("n_inside")), "slices")
+    thin = facts.where(F.col("n_inside") < least)
+    if not thin.take(1):
+        return points.where(inside)
+    few = points.join(thin.select(*by), by, "left_semi") if by else points
+    middle = durable(quantile(few, "z", 0.5, tuple(by)), "medians")
+    near = ~F.isnan("z") & (z > F.col("quantile") - wide) & (z < F.col("quantile") + wide)
+    if not by:  # one row
+        return points.crossJoin(F.broadcast(middle)).where(near).drop("quantile")
+    told = points.join(middle, by, "left")
+    return told.where(F.when(F.col("quantile").isNull(), inside).otherwise(near)).drop("quantile")
 
 
 def voxels(points: DataFrame, size: float, values: tuple[str, ...] = ("x", "y", "z"), by: tuple[str, ...] = ()) -> DataFrame:
@@ -46,17 +58,15 @@ def voxels(points: DataFrame, size: float, values: tuple[str, ...] = ("x", "y",
     return joined.withColumns(cells).groupBy(*by, *cells).agg(*(F.avg(v).alias(v) for v in values), F.count("*").alias("n_points"))
 
 
-def mean_distances(points: DataFrame, k: int = SCAN.outlier_neighbours, radius: float = 0.1, key: str = "point_id") -> DataFrame:
+def mean_distances(points: DataFrame, k: int = SCAN.outlier_neighbours, key: str = "point_id") -> DataFrame:
     """Each point's mean distance to its k nearest other points."""
-    near = neighbours.nearest(points, points, k, radius, key)
+    near = neighbours.nearest(points, points, k, key)
     return near.groupBy(F.col("point").alias(key)).agg(F.avg(F.sqrt("d2")).alias("mean_distance"))
 
 
-def statistical_inliers(points: DataFrame, k: int = SCAN.outlier_neighbours, ratio: float = SCAN.outlier_ratio, radius: float = 0.1, key: str = "point_id") -> DataFrame:
+def statistical_inliers(points: DataFrame, k: int = SCAN.outlier_neighbours, ratio: float = SCAN.outlier_ratio, key: str = "point_id") -> DataFrame:
     """Points whose mean neighbour distance is at most mean + ratio * sample deviation of all of them."""
-    from ..iterate import durable
-
-    own = durable(mean_distances(points, k, radius, key), "mean-distances")
+    own = durable(mean_distances(points, k, key), "mean-distances")
     limit = own.agg((F.avg("mean_distance") + ratio * F.stddev_samp("mean_distance")).alias("most"))
     kept = own.crossJoin(F.broadcast(limit)).where(F.col("most").isNull() | (F.col("mean_distance") <= F.col("most")))
     return points.join(kept.select(key), key, "left_semi")
@@ -79,20 +89,20 @@ def without_ghosts(points: DataFrame, base_voxel: float = SCAN.voxel) -> DataFra
     return radius_inliers(thin, 3 * base_voxel)
 
 
-def nearest_distances(points: DataFrame, radius: float = 0.05, key: str = "point_id") -> DataFrame:
+def nearest_distances(points: DataFrame, key: str = "point_id") -> DataFrame:
     """Each point's distance to its nearest other point."""
-    return neighbours.nearest(points, points, 1, radius, key).select(F.col("point").alias(key), F.sqrt("d2").alias("distance"))
+    return neighbours.nearest(points, points, 1, key).select(F.col("point").alias(key), F.sqrt("d2").alias("distance"))
 
 
-def pivot_radii(points: DataFrame, radius: float = 0.05, key: str = "point_id") -> DataFrame:
+def pivot_radii(points: DataFrame, key: str = "point_id") -> DataFrame:
     """Radii for ball pivoting: 1.5, 3 and 6 times the mean distance of nearest neighbours."""
-    mean = nearest_distances(points, radius, key).agg(F.avg("distance").alias("mean_distance"))
+    mean = nearest_distances(points, key).agg(F.avg("distance").alias("mean_distance"))
     return mean.withColumn("radii", F.array(*(F.col("mean_distance") * k for k in (1.5, 3.0, 6.0))))
 
 
 def covariances(points: DataFrame, radius: float = SCAN.normal_radius, most: int = SCAN.normal_neighbours, key: str = "point_id") -> DataFrame:
     """Covariance of each point and its (at most `most`) neighbours within the radius."""
-    near = neighbours.nearest(points, points, most - 1, radius, key, widest=radius).select(F.col("point").alias(key), F.col("other").alias("n"))
+    near = neighbours.nearest(points, points, most - 1, key, widest=radius).select(F.col("point").alias(key), F.col("other").alias("n"))
     near = near.unionByName(points.select(key, F.col(key).alias("n")))
     named = points.select(F.col(key).alias("n"), *AXES)
     pairs = [(a, b) for i, a in enumerate(AXES) for b in AXES[i:]]

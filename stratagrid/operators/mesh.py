@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..config import MESH
 from ..functions import geometry as g
+from ..iterate import durable
+from .quantiles import quantile
 
 CORNERS = ("v0", "v1", "v2")
 
@@ -47,8 +49,8 @@ def feature_edges(vertices: DataFrame, triangles: DataFrame, least_angle: float
 
 def trim(vertices: DataFrame, triangles: DataFrame, density: str = "density", share: float = MESH.density_quantile) -> tuple[DataFrame, DataFrame]:
     """Vertices at or above the density's quantile, and the triangles that keep all three corners."""
-    limit = vertices.agg(F.percentile(density, F.lit(share)).alias("least"))
-    kept = vertices.crossJoin(F.broadcast(limit)).where(F.col(density) >= F.col("least")).drop("least")
+    limit = durable(quantile(vertices, density, share), "density")  # one row
+    kept = vertices.crossJoin(F.broadcast(limit)).where(F.col(density) >= F.col("quantile")).drop("quantile")
     return kept, with_vertices(triangles, kept)
 
 

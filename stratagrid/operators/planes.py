@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import PLANES
@@ -59,75 +59,162 @@ def count_inliers(points: DataFrame, planes: np.ndarray, distance: float) -> np.
     return out
 
 
-def plane_through(triples: np.ndarray) -> np.ndarray:
-    """Unit planes (a, b, c, d) through three points each, c >= 0; degenerate triples are left out."""
-    n = np.cross(triples[:, 1] - triples[:, 0], triples[:, 2] - triples[:, 0])
-    size = np.linalg.norm(n, axis=1)
-    keep = size > 1e-12
-    n = n[keep] / size[keep, None]
-    n[n[:, 2] < 0] *= -1
-    return np.column_stack([n, -np.einsum("ij,ij->i", n, triples[keep, 0])])
+#: Points of a scan that one task counts for all candidates.
+CHUNK = 50_000
+_PLANE = ("a", "b", "c", "d")
 
 
-def detect(points: DataFrame, distance: float = PLANES.distance, candidates: int = PLANES.iterations, least: int = PLANES.least_points, most: int = PLANES.most_planes, seed: int = 42, key: str = "point_id") -> tuple[DataFrame, DataFrame]:
-    """Planes one after another: each takes its inliers away from the points left.
+def candidate_planes(points: DataFrame, number: int, turn: int, seed: int, key: str, by: str) -> DataFrame:
+    """(by, candidate, a, b, c, d): unit planes with c >= 0 through three points each of a scan; degenerate ones are left out.
+
+    The points are the 3 * number of a scan whose id has the smallest digest with seed and turn, three after three; a
+    task passes on no more than those of each scan."""
+    name = F.md5(F.concat_ws(":", F.col(by).cast("string"), F.col(key).cast("string"), F.lit(seed), F.lit(turn)).cast("binary"))
+    rank = F.row_number().over(Window.partitionBy(by).orderBy("name", key))
+    drawn = points.select(by, key, "x", "y", "z", name.alias("name")).withColumn("k", rank).where(F.col("k") <= 3 * number).withColumn("k", F.col("k") - 1)
+    corners = [F.max(F.when(F.col("k") % 3 == j, F.col(a))).alias(f"{a}{j}") for j in range(3) for a in "xyz"]
+    triples = drawn.groupBy(by, F.floor(F.col("k") / 3).cast("int").alias("candidate")).agg(F.count("*").alias("n"), *corners).where("n = 3")
+    p, q = ([F.col(f"{a}{j}") - F.col(f"{a}0") for a in "xyz"] for j in (1, 2))
+    normal = dict(zip("abc", g.cross(p, q), strict=True))
+    sized = triples.select(by, "candidate", "x0", "y0", "z0", *(v.alias(k) for k, v in normal.items())).withColumn("size", g.norm("a", "b", "c")).where("size > 1e-12")
+    unit = sized.withColumns({k: F.col(k) / F.col("size") for k in "abc"})
+    unit = unit.withColumns({k: F.when(F.col("c") < 0, -F.col(k)).otherwise(F.col(k)) for k in "abc"})
+    return unit.select(by, "candidate", "a", "b", "c", (-(F.col("a") * F.col("x0") + F.col("b") * F.col("y0") + F.col("c") * F.col("z0"))).alias("d"))
+
+
+def _inside(distance: float) -> Column:
+    return F.abs(F.col("a") * F.col("x") + F.col("b") * F.col("y") + F.col("c") * F.col("z") + F.col("d")) < distance
 
-    Samples are those with the smallest hash of id and round, so a run repeats exactly. Returns
-    planes(plane_id, a, b, c, d, num_points, angle, type) and members(plane_id, point id)."""
-    spark, left, found, members = points.sparkSession, points, [], None
+
+def best_planes(points: DataFrame, candidates: DataFrame, sizes: DataFrame, distance: float, key: str, by: str) -> DataFrame:
+    """(by, a, b, c, d, num_points) of each scan's candidate with most points within the distance, of equal ones the first.
+
+    points and candidates meet in parts of a scan (sizes says into how many), so a large scan is many tasks'; each
+    passes on a number for each candidate."""
+    import pyarrow as pa
+
+    kind = points.schema[by].dataType.simpleString()
+
+    def count(own: pa.Table, asked: pa.Table) -> pa.Table:
+        total = np.zeros(asked.num_rows, dtype=np.int64)
+        if own.num_rows and asked.num_rows:
+            a, b, c, d = (asked.column(n).to_numpy() for n in _PLANE)
+            x, y, z = (own.column(n).to_numpy()[:, None] for n in "xyz")
+            for s in range(0, len(x), 256):
+                k = slice(s, s + 256)  # summed in the order of the expression, so that limits fall alike
+                total += (np.abs(a * x[k] + b * y[k] + c * z[k] + d) < distance).sum(axis=0)
+        return pa.table({by: asked.column(by), "candidate": asked.column("candidate"), "n": pa.array(total)})
+
+    part = F.pmod(F.xxhash64(key), F.col("parts")).cast("int").alias("part")
+    dealt = points.join(sizes.select(by, "parts"), by).select(by, part, *(F.col(a).cast("double").alias(a) for a in "xyz"))
+    asked = candidates.join(sizes.select(by, "parts"), by).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    counted = dealt.groupBy(by, "part").cogroup(asked.groupBy(by, "part")).applyInArrow(count, f"{by} {kind}, candidate int, n long")
+    best = counted.groupBy(by, "candidate").agg(F.sum("n").alias("n")).groupBy(by).agg(F.max(F.struct("n", (-F.col("candidate")).alias("first"))).alias("m"))
+    best = best.select(by, F.col("m.n").alias("num_points"), (-F.col("m.first")).alias("candidate"))
+    return candidates.join(best, [by, "candidate"]).drop("candidate")
+
+
+def detect_scans(points: DataFrame, distance: float = PLANES.distance, candidates: int = PLANES.iterations, least: int = PLANES.least_points, most: int = PLANES.most_planes, seed: int = 42, key: str = "point_id", by: str = "scan_id") -> tuple[DataFrame, DataFrame]:
+    """Planes of all scans of points(by, key, x, y, z), one after another in each: every plane takes its points from those left.
+
+    All scans lose their points together, so there are at most `most` rounds, and scans with too few points left or no
+    plane of at least `least` points leave. Samples are drawn by digest, so a run repeats exactly. Returns
+    planes(by, plane_id, a, b, c, d, num_points, angle, type) and members(by, plane_id, key). Points without a place are left out."""
+    own = points.select(by, key, *(F.col(a).cast("double").alias(a) for a in "xyz")).where(" and ".join(f"{a} is not null and not isnan({a})" for a in "xyz"))
+    left, found, members = durable(own, "remaining"), None, None
     for plane_id in range(most):
-        n = left.count()
-        if n < least:
-            break
-        sample = left.orderBy(F.xxhash64(key, F.lit(seed), F.lit(plane_id)), key).limit(3 * candidates).select("x", "y", "z").collect()
-        usable = len(sample) // 3 * 3
-        planes = plane_through(np.asarray(sample[:usable], dtype=float).reshape(-1, 3, 3))
-        if not len(planes):
-            break
-        hits = count_inliers(left, planes, distance)
-        best = int(hits.argmax())
-        if hits[best] < least:
+        sizes = durable(left.groupBy(by).agg(F.count("*").alias("n")).where(F.col("n") >= least).select(by, F.ceil(F.col("n") / CHUNK).cast("int").alias("parts")), "sizes")
+        drawn = durable(candidate_planes(left.join(sizes.select(by), by, "left_semi"), candidates, plane_id, seed, key, by), "candidates")
+        best = durable(best_planes(left, drawn, sizes, distance, key, by).where(F.col("num_points") >= least), "planes")
+        if not best.take(1):
             break
-        inside = F.abs(signed_distance(tuple(planes[best]))) < distance
-        own = left.where(inside).select(F.lit(plane_id).alias("plane_id"), key)
-        members = own if members is None else members.unionByName(own)
-        found.append((plane_id, *map(float, planes[best]), int(hits[best])))
-        left = durable(left.where(~inside), "remaining")
-    table = spark.createDataFrame(found, "plane_id int, a double, b double, c double, d double, num_points long")
-    if members is None:
-        members = left.select(F.lit(0).alias("plane_id"), key).limit(0)
-    return classify(table), members
+        row = best.withColumn("plane_id", F.lit(plane_id)).select(by, "plane_id", *_PLANE, "num_points")
+        told = durable(left.join(best.select(by, *_PLANE), by).withColumn("inside", _inside(distance)).drop(*_PLANE), "told")
+        held = told.where("inside").select(by, F.lit(plane_id).alias("plane_id"), key)
+        found, members = (row, held) if found is None else (found.unionByName(row), members.unionByName(held))
+        left = told.where("not inside").drop("inside")
+    if found is None:
+        found = left.limit(0).select(by, F.lit(0).alias("plane_id"), *(g.real(0).alias(p) for p in _PLANE), F.lit(0).cast("long").alias("num_points"))
+        members = left.limit(0).select(by, F.lit(0).alias("plane_id"), key)
+    return classify(found), members
 
 
-def register(moving: DataFrame, target: DataFrame, distance: float, rounds: int = 10, key: str = "point_id") -> np.ndarray:
-    """Point-to-plane registration: the 4x4 transform that brings `moving` onto `target` (with normals).
+def detect(points: DataFrame, distance: float = PLANES.distance, candidates: int = PLANES.iterations, least: int = PLANES.least_points, most: int = PLANES.most_planes, seed: int = 42, key: str = "point_id") -> tuple[DataFrame, DataFrame]:
+    """The planes and members of one scan, as detect_scans finds them."""
+    planes, members = detect_scans(points.withColumn("scan_id", F.lit("scan")), distance, candidates, least, most, seed, key)
+    return planes.drop("scan_id"), members.drop("scan_id")
 
-    Each round matches points to their nearest neighbours and sums the normal equations in one
-    aggregation (21 + 6 sums); the driver solves six equations. No match gives the identity."""
-    pose = np.eye(4)
-    named = target.select(F.col(key).alias("other"), *(F.col(c).alias(f"t_{c}") for c in ("x", "y", "z", "nx", "ny", "nz")))
+
+_ENTRIES = [f"r{i}{j}" for i in range(3) for j in range(3)] + ["tx", "ty", "tz"]
+
+
+def _steps(sums):
+    """Batches of normal equations, a row for each pair, to the pose that each of them asks for next."""
+    import pyarrow as pa
+
+    upper = [(i, j) for i in range(6) for j in range(i, 6)]
+    for batch in sums:
+        value = {n: batch.column(n).to_numpy() for n in batch.schema.names if n != "pair_id"}
+        out = {n: [] for n in _ENTRIES} | {"settled": []}
+        for k in range(batch.num_rows):
+            pose = np.eye(4)
+            pose[:3, :3] = np.asarray([value[n][k] for n in _ENTRIES[:9]]).reshape(3, 3)
+            pose[:3, 3] = [value[n][k] for n in _ENTRIES[9:]]
+            settled = not value["n"][k]
+            if not settled:
+                a = np.zeros((6, 6))
+                for i, j in upper:
+                    a[i, j] = a[j, i] = value[f"a{i}{j}"][k]
+                w = np.linalg.lstsq(a, np.asarray([value[f"b{i}"][k] for i in range(6)]), rcond=1e-9)[0]
+                step = np.eye(4)
+                step[:3, :3], step[:3, 3] = rotation(w[:3]), w[3:]
+                pose, settled = step @ pose, np.abs(w).max() < 1e-7
+            for n, v in zip(_ENTRIES, [*pose[:3, :3].ravel(), *pose[:3, 3]], strict=True):
+                out[n].append(float(v))
+            out["settled"].append(bool(settled))
+        yield pa.RecordBatch.from_arrays([batch.column("pair_id"), *(pa.array(v) for v in out.values())], names=["pair_id", *out])
+
+
+def register_pairs(moving: DataFrame, target: DataFrame, distance: float, rounds: int = 10, key: str = "point_id") -> DataFrame:
+    """Point-to-plane registration of many pairs at once: (pair_id, r00 ... r22, tx, ty, tz), the pose that brings each pair's
+    moving(pair_id, key, x, y, z) onto its target(pair_id, key, x, y, z, nx, ny, nz).
+
+    Each round matches points to their nearest neighbours within the distance, sums the normal equations by pair (27
+    sums, partly summed before they are moved) and solves them where they are, a row for each pair. A pair leaves when its
+    pose no longer moves or nothing matches; a pair without a match keeps the identity. Nothing reaches the driver."""
+    kind = moving.schema["pair_id"].dataType.simpleString()
+    start = {n: g.real(1.0 if n in ("r00", "r11", "r22") else 0.0) for n in _ENTRIES}
+    open_pairs = durable(moving.select("pair_id").distinct().withColumns(start), "poses")
+    named = target.select("pair_id", F.col(key).alias("other"), *(F.col(c).alias(f"t_{c}") for c in ("x", "y", "z", "nx", "ny", "nz")))
+    settled = None
     for _ in range(rounds):
-        m = {f"r{i}{j}": g.real(pose[i, j]) for i in range(3) for j in range(3)} | {t: g.real(pose[i, 3]) for i, t in enumerate(("tx", "ty", "tz"))}
-        now = moving.withColumns(m)
-        now = now.withColumns(g.transform("x", "y", "z")).select(key, "x", "y", "z")
-        pairs = neighbours.match(now, target, distance, key).withColumnRenamed("point", key).join(now, key).join(named, "other")
+        now = moving.join(open_pairs, "pair_id")
+        now = now.withColumns(g.transform("x", "y", "z")).select("pair_id", key, "x", "y", "z")
+        near = neighbours.match(now, target, distance, key, by=("pair_id",), apart=False).withColumnRenamed("point", key)
+        pairs = near.join(now, ["pair_id", key]).join(named, ["pair_id", "other"])
         p, n = [F.col(a) for a in "xyz"], [F.col(f"t_n{a}") for a in "xyz"]
         row = [*g.cross(p, n), *n]
         gap = g.dot([F.col(f"t_{a}") - F.col(a) for a in "xyz"], n)
-        sums = [F.sum(row[i] * row[j]).alias(f"a{i}{j}") for i in range(6) for j in range(i, 6)] + [F.sum(row[i] * gap).alias(f"b{i}") for i in range(6)]
-        s = pairs.agg(F.count("*").alias("n"), *sums).first()
-        if not s["n"]:
-            break
-        a = np.zeros((6, 6))
-        for i in range(6):
-            for j in range(i, 6):
-                a[i, j] = a[j, i] = s[f"a{i}{j}"]
-        w = np.linalg.lstsq(a, np.asarray([s[f"b{i}"] for i in range(6)]), rcond=1e-9)[0]
-        step = np.eye(4)
-        step[:3, :3], step[:3, 3] = rotation(w[:3]), w[3:]
-        pose = step @ pose
-        if np.abs(w).max() < 1e-7:
+        sums = {f"a{i}{j}": row[i] * row[j] for i in range(6) for j in range(i, 6)} | {f"b{i}": row[i] * gap for i in range(6)}
+        summed = pairs.groupBy("pair_id").agg(F.count("*").alias("n"), *(F.sum(v).alias(k) for k, v in sums.items()))
+        asked = open_pairs.join(summed, "pair_id", "left").select("pair_id", *_ENTRIES, *(F.coalesce(c, F.lit(0)).cast("double").alias(c) for c in ("n", *sums)))
+        schema = f"pair_id {kind}, " + ", ".join(f"{n} double" for n in _ENTRIES) + ", settled boolean"
+        poses = durable(asked.mapInArrow(_steps, schema), "poses")
+        rest = poses.where("settled").drop("settled")
+        settled = rest if settled is None else settled.unionByName(rest)
+        open_pairs = poses.where("not settled").drop("settled")
+        if not open_pairs.take(1):
             break
+    return open_pairs if settled is None else settled.unionByName(open_pairs)
+
+
+def register(moving: DataFrame, target: DataFrame, distance: float, rounds: int = 10, key: str = "point_id") -> np.ndarray:
+    """The 4x4 transform of one pair, as register_pairs finds it; no point gives the identity."""
+    pose = np.eye(4)
+    found = register_pairs(moving.withColumn("pair_id", F.lit(0)), target.withColumn("pair_id", F.lit(0)), distance, rounds, key).first()
+    if found:
+        pose[:3, :3] = np.asarray([found[n] for n in _ENTRIES[:9]]).reshape(3, 3)
+        pose[:3, 3] = [found[n] for n in _ENTRIES[9:]]
     return pose
 
 

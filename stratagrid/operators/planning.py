@@ -1,8 +1,7 @@
-"""Path planning on occupancy grids: cost fields by relaxation, A*, and random trees."""
+"""Path planning on occupancy grids: cost fields by relaxation, paths by pointer doubling, and random trees."""
 
 from __future__ import annotations
 
-import heapq
 import math
 
 import numpy as np
@@ -18,74 +17,95 @@ from .raster import offsets, spread
 STEPS = [(dx, dy, math.hypot(dx, dy)) for dx, dy in offsets(1, lambda dx, dy: dx or dy)]
 
 
-def cost_field(free: DataFrame, start: tuple[int, int], hops: int = 6) -> DataFrame:
-    """(gx, gy, cost): the least cost from the start to every free cell that can be reached.
+def cost_fields(free: DataFrame, starts: DataFrame, by: tuple[str, ...] = ("scan_id",), hops: int = 12) -> DataFrame:
+    """(by..., gx, gy, cost, from_x, from_y): the least cost from a scan's start to each of its free cells that it reaches, and
+    the cell before. starts(by..., gx, gy) are cells; one that isn't free reaches nothing, several of a scan are one source.
 
-    All cells whose cost fell relax their neighbours at once, `hops` times in each job; the loop ends when
-    nothing falls. Equal costs need no order, so the result is unique."""
+    All cells of all scans whose cost fell relax their neighbours at once, `hops` times in each job; the loop ends when
+    nothing falls. Of cells before with one cost the least by gx, then gy, counts; a start has none."""
+    by = list(by)
+    key = [*by, "gx", "gy"]
     steps = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), g.real(c).alias("c")) for dx, dy, c in STEPS))
-    known = durable(free.where((F.col("gx") == start[0]) & (F.col("gy") == start[1])).select("gx", "gy").withColumn("cost", g.real(0)), "costs")
+    stay = F.array_append(steps, F.struct(F.lit(0).alias("dx"), F.lit(0).alias("dy"), g.real(0).alias("c")))
+    free = free.select(*key)
+
+    def spread_costs(cells: DataFrame, moves, *more) -> DataFrame:
+        return cells.withColumn("s", F.explode(moves)).select(*by, (F.col("gx") + F.col("s.dx")).alias("gx"), (F.col("gy") + F.col("s.dy")).alias("gy"), (F.col("cost") + F.col("s.c")).alias("cost"), *more)
+
+    known = durable(free.join(starts.select(*key).distinct(), key, "left_semi").withColumn("cost", g.real(0)), "costs")
     front = known
     while not front.isEmpty():
         reach = front
         for _ in range(hops):
-            moved = reach.withColumn("s", F.explode(steps)).select((F.col("gx") + F.col("s.dx")).alias("gx"), (F.col("gy") + F.col("s.dy")).alias("gy"), (F.col("cost") + F.col("s.c")).alias("cost"))
-            reach = reach.unionByName(moved.join(free.select("gx", "gy"), ["gx", "gy"], "left_semi")).groupBy("gx", "gy").agg(F.min("cost").alias("cost"))
+            reach = spread_costs(reach, stay).join(free, key, "left_semi").groupBy(*key).agg(F.min("cost").alias("cost"))
         old = known.withColumnRenamed("cost", "old")
-        both = durable(reach.join(old, ["gx", "gy"], "full").select("gx", "gy", F.least("cost", "old").alias("cost"), (F.col("old").isNull() | (F.col("cost") < F.col("old") - 1e-9)).alias("fell")), "costs")
-        known, front = both.select("gx", "gy", "cost"), both.where("fell").select("gx", "gy", "cost")
-    return known
-
-
-def astar(free: set[tuple[int, int]], start: tuple[int, int], goal: tuple[int, int]) -> tuple[list[tuple[int, int]], int, float]:
-    """The cheapest 8-connected path, the cells settled (the goal too) and the cost; no path: ([], n, inf)."""
-    best, came, settled, n = {start: 0.0}, {}, set(), 0
-    heap = [(math.dist(start, goal), 0, start)]
-    while heap:
-        _, _, at = heapq.heappop(heap)
-        if at in settled:
-            continue
-        settled.add(at)
-        if at == goal:
-            path = [at]
-            while at in came:
-                at = came[at]
-                path.append(at)
-            return path[::-1], len(settled), best[goal]
-        for dx, dy, c in STEPS:
-            to = (at[0] + dx, at[1] + dy)
-            if to in free and to not in settled and best[at] + c < best.get(to, math.inf) - 1e-12:
-                best[to], came[to] = best[at] + c, at
-                n += 1
-                heapq.heappush(heap, (best[to] + math.dist(to, goal), n, to))
-    return [], len(settled), math.inf
-
-
-PATH = "scan_id string, status string, seq int, gx int, gy int, nodes_explored long, path_length_grid long, path_cost_cells double"
+        both = durable(reach.join(old, key, "full").select(*key, F.least("cost", "old").alias("cost"), (F.col("old").isNull() | (F.col("cost") < F.col("old") - 1e-9)).alias("fell")), "costs")
+        known, front = both.select(*key, "cost"), both.where("fell").select(*key, "cost")
+    # sums differ in their last digits by the way taken; costs this close are one
+    before = spread_costs(known, steps, F.col("gx").alias("from_x"), F.col("gy").alias("from_y")).groupBy(*key).agg(
+        F.min(F.struct(F.round("cost", 6).alias("cost"), "from_x", "from_y")).alias("b"))
+    told = known.join(before, key, "left")
+    moved = F.col("cost") > 0
+    return durable(told.select(*key, "cost", F.when(moved, F.col("b.from_x")).alias("from_x"), F.when(moved, F.col("b.from_y")).alias("from_y")), "fields")
+
+
+def field_paths(fields: DataFrame, goals: DataFrame, by: tuple[str, ...] = ("scan_id",)) -> DataFrame:
+    """(by..., goal_x, goal_y, seq, gx, gy): the cells from the start to each goal(by..., gx, gy) that fields reaches, seq from 0.
+
+    Each cell's pointer to the cell before doubles its reach in every round, and the levels are written; then a path's
+    known cells are joined to them from the longest reach down, doubling again. So a path of n cells takes
+    about 2 log2(n) jobs, however many paths there are, and no path is walked by one task."""
+    by = list(by)
+    key = [*by, "gx", "gy"]
+    levels = [fields.where("from_x is not null").select(*key, F.col("from_x").alias("to_x"), F.col("from_y").alias("to_y"))]
+    while True:
+        last = levels[-1]
+        ahead = last.select(*by, F.col("gx").alias("to_x"), F.col("gy").alias("to_y"), F.col("to_x").alias("then_x"), F.col("to_y").alias("then_y"))
+        further = durable(last.join(ahead, [*by, "to_x", "to_y"]).select(*key, F.col("then_x").alias("to_x"), F.col("then_y").alias("to_y")), "pointers")
+        if not further.take(1):
+            break
+        levels.append(further)
+    asked = goals.select(*key).distinct().join(fields.select(*key), key, "left_semi")
+    found = durable(asked.select(*by, F.col("gx").alias("goal_x"), F.col("gy").alias("goal_y"), "gx", "gy", F.lit(0).cast("long").alias("back")), "steps")
+    for k in range(len(levels) - 1, -1, -1):
+        further = found.join(levels[k], key).select(*by, "goal_x", "goal_y", F.col("to_x").alias("gx"), F.col("to_y").alias("gy"), (F.col("back") + (1 << k)).alias("back"))
+        found = durable(found.unionByName(further), "steps")
+    length = found.groupBy(*by, "goal_x", "goal_y").agg(F.max("back").alias("most"))
+    return found.join(length, [*by, "goal_x", "goal_y"]).select(*by, "goal_x", "goal_y", (F.col("most") - F.col("back")).alias("seq"), "gx", "gy")
+
+
+def cost_field(free: DataFrame, start: tuple[int, int], hops: int = 12) -> DataFrame:
+    """(gx, gy, cost): the cost field of one grid from one cell."""
+    at = free.sparkSession.createDataFrame([start], "gx int, gy int")
+    return cost_fields(free, at, (), hops).select("gx", "gy", "cost")
 
 
 def plan_paths(free: DataFrame, requests: DataFrame) -> DataFrame:
-    """A* for each scan: free(scan_id, gx, gy) and requests(scan_id, sx, sy, tx, ty) give PATH rows.
-
-    Scans are planned side by side; one scan's grid (a room) is one task's. status is ok, no_path, or
-    blocked where start or goal is not free; the latter two give one row without a cell."""
-
-    def plan(cells: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        space, rows = set(zip(cells["gx"].tolist(), cells["gy"].tolist())), []
-        for r in asked.itertuples(index=False):
-            start, goal = (r.sx, r.sy), (r.tx, r.ty)
-            if start not in space or goal not in space:
-                rows.append((r.scan_id, "blocked", None, None, None, 0, 0, None))
-                continue
-            path, seen, cost = astar(space, start, goal)
-            if not path:
-                rows.append((r.scan_id, "no_path", None, None, None, seen, 0, None))
-            rows += [(r.scan_id, "ok", k, x, y, seen, len(path), cost) for k, (x, y) in enumerate(path)]
-        names = [c.split(" ")[0] for c in PATH.split(", ")]
-        out = pd.DataFrame(rows, columns=names)
-        return out.astype({"seq": "Int32", "gx": "Int32", "gy": "Int32"})
-
-    return requests.groupBy("scan_id").cogroup(free.groupBy("scan_id")).applyInPandas(lambda a, b: plan(b, a), PATH)
+    """The cheapest paths of requests(scan_id, sx, sy, tx, ty) over free(scan_id, gx, gy), a row for each cell:
+    (scan_id, sx, sy, tx, ty, status, seq, gx, gy, nodes_explored, path_length_grid, path_cost_cells).
+
+    status is ok, no_path, or blocked where start or goal is not free; the latter two give one row without a cell. All
+    requests are planned in one job, by the cost field of each start and pointers that double; repeated
+    ones once. nodes_explored counts the cells that a best-first search to the goal has to settle: those whose cost and
+    straight way to the goal are no more than the path's cost, or all that are reached where there is no path."""
+    start, goal = ["scan_id", "sx", "sy"], ["tx", "ty"]
+    asked = durable(requests.select(*start, *goal).distinct(), "asked")
+    starts = asked.select(*start).distinct()
+    grids = free.select("scan_id", "gx", "gy").join(starts, "scan_id")  # a copy of a scan's grid for each start
+    fields = cost_fields(grids, starts.select(*start, F.col("sx").alias("gx"), F.col("sy").alias("gy")), tuple(start))
+    steps = field_paths(fields, asked.select(*start, F.col("tx").alias("gx"), F.col("ty").alias("gy")), tuple(start)).withColumnsRenamed({"goal_x": "tx", "goal_y": "ty"})
+    ends = [free.select("scan_id", F.col("gx").alias(x), F.col("gy").alias(y), F.lit(True).alias(f"{x}_free")) for x, y in (("sx", "sy"), ("tx", "ty"))]
+    told = asked.join(ends[0], start, "left").join(ends[1], ["scan_id", *goal], "left")
+    reached = fields.select(*start, F.col("gx").alias("tx"), F.col("gy").alias("ty"), F.col("cost").alias("path_cost_cells"))
+    told = told.join(reached, [*start, *goal], "left")
+    open_ends = F.col("sx_free").isNotNull() & F.col("tx_free").isNotNull()
+    told = told.withColumn("status", F.when(~open_ends, "blocked").when(F.col("path_cost_cells").isNull(), "no_path").otherwise("ok")).drop("sx_free", "tx_free")
+    told = durable(told, "told")
+    within = F.col("path_cost_cells").isNull() | (F.col("cost") + F.hypot(F.col("gx") - F.col("tx"), F.col("gy") - F.col("ty")) <= F.col("path_cost_cells") + 1e-9)
+    seen = fields.select(*start, "gx", "gy", "cost").join(told.where("status <> 'blocked'"), start).where(within).groupBy(*start, *goal).agg(F.count("*").alias("n"))
+    length = steps.groupBy(*start, *goal).agg(F.count("*").alias("path_length_grid"))
+    told = told.join(seen, [*start, *goal], "left").join(length, [*start, *goal], "left").join(steps, [*start, *goal], "left")
+    return told.select(*start, *goal, "status", F.col("seq").cast("int").alias("seq"), F.col("gx").cast("int").alias("gx"), F.col("gy").cast("int").alias("gy"), F.coalesce("n", F.lit(0)).alias("nodes_explored"), F.coalesce("path_length_grid", F.lit(0)).alias("path_length_grid"), "path_cost_cells")
 
 
 def path_statistics(paths: DataFrame, resolution: float) -> DataFrame:

@@ -62,9 +62,13 @@ def free_cells(occ: DataFrame, info: DataFrame, by: list[str] | None = None) ->
     return every.join(occ, [*own, "gx", "gy"], "left_anti")
 
 
-def occupancy_ratio(occ: DataFrame, info: DataFrame) -> DataFrame:
-    n = occ.agg(F.count("*").alias("n_occupied"))
-    return n.crossJoin(F.broadcast(info)).select("n_occupied", (F.col("nx") * F.col("ny")).cast("long").alias("n_cells"), (F.col("n_occupied") * 100.0 / (F.col("nx") * F.col("ny"))).alias("percent"))
+def occupancy_ratio(occ: DataFrame, info: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by..., n_occupied, n_cells, percent) of each grid; one without an occupied cell has 0."""
+    own = by or []
+    n = occ.groupBy(*own).agg(F.count("*").alias("n"))
+    both = info.join(n, own, "left") if own else info.crossJoin(F.broadcast(n))
+    found, cells = F.coalesce("n", F.lit(0)), F.col("nx") * F.col("ny")
+    return both.select(*own, found.alias("n_occupied"), cells.cast("long").alias("n_cells"), (found * 100.0 / cells).alias("percent"))
 
 
 def blueprint_meta(points: DataFrame, padding: float = FLOOR.padding, resolution: int = FLOOR.pixels_per_metre) -> DataFrame:
@@ -123,31 +127,88 @@ def components(pixels: DataFrame) -> DataFrame:
             return labels
 
 
-def contours(pixels: DataFrame) -> DataFrame:
-    """The outline of each region as points in order (comp, seq, px, py), corners only.
-
-    A region's border is followed in one task: its size is that of the outline, not of the cloud."""
-    import pandas as pd
-
-    def trace(region: pd.DataFrame) -> pd.DataFrame:
-        cells = set(zip(region["px"], region["py"]))
-        start = min(cells, key=lambda c: (c[1], c[0]))
-        ring = [(1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1)]
-        path, at, heading, first = [start], start, 0, None
-        for _ in range(4 * len(cells) + 8):
-            step = next(((at[0] + ring[d % 8][0], at[1] + ring[d % 8][1], d % 8) for d in range(heading + 6, heading + 14) if (at[0] + ring[d % 8][0], at[1] + ring[d % 8][1]) in cells), None)
-            if step is None:
-                break
-            if (at, step[2]) == first:
-                break
-            first = first or (at, step[2])
-            at, heading = (step[0], step[1]), step[2]
-            path.append(at)
-        if len(path) > 1 and path[-1] == path[0]:
-            path.pop()
-        turn = lambda k: (path[k][0] - path[k - 1][0], path[k][1] - path[k - 1][1]) != (path[(k + 1) % len(path)][0] - path[k][0], path[(k + 1) % len(path)][1] - path[k][1])
-        corners = [p for k, p in enumerate(path) if len(path) < 3 or turn(k)]
-        return pd.DataFrame({"comp": region["comp"].iloc[0], "seq": range(len(corners)), "px": [p[0] for p in corners], "py": [p[1] for p in corners]})
-
-    edge = boundary(pixels).join(components(pixels), ["px", "py"])
-    return edge.groupBy("comp").applyInPandas(trace, "comp long, seq int, px int, py int")
+#: Directions of a pixel's sides, the pixel on the right hand: east along its top, south, west, north; y points down.
+_SIDES = ((0, (0, -1), (0, 0)), (1, (1, 0), (1, 0)), (2, (0, 1), (1, 1)), (3, (-1, 0), (0, 1)))
+_AHEAD = ((1, 0), (0, 1), (-1, 0), (0, -1))
+
+
+def outlines(pixels: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by..., ring, seq, x, y, inner): the corners of all regions' outlines in order, holes included.
+
+    An outline runs along pixel sides with the region on its right hand; x and y are corners of pixels. A ring is named
+    by its least side, seq counts the sides from there on, and only places where it turns are rows. inner says that it
+    goes round a hole. Pixels that meet at a corner are one region.
+
+    Every side knows the next; then pointers double, each side keeping the least side it has seen and how far that was.
+    When no side sees a lesser one all rings are known: a round for each doubling of the longest ring, all
+    rings in one job, and no ring is any task's alone. Repeated pixels count once."""
+    own = by or []
+    at = pixels.select(*own, F.col("px").cast("long").alias("px"), F.col("py").cast("long").alias("py")).distinct()
+    sides = []
+    for d, (ox, oy), (cx, cy) in _SIDES:
+        beyond = at.select(*own, (F.col("px") - ox).alias("px"), (F.col("py") - oy).alias("py"))
+        sides.append(at.join(beyond, [*own, "px", "py"], "left_anti").select(*own, (F.col("px") + cx).alias("x"), (F.col("py") + cy).alias("y"), F.lit(d).alias("d")))
+    every = sides[0].unionByName(sides[1]).unionByName(sides[2]).unionByName(sides[3])
+    ends = [F.element_at(F.array(*(F.lit(a[k]) for a in _AHEAD)), F.col("d") + 1) for k in (0, 1)]
+    number = (F.col("y") * (1 << 31) + F.col("x")) * 4 + F.col("d")
+    every = durable(every.withColumns({"id": number, "to_x": F.col("x") + ends[0], "to_y": F.col("y") + ends[1]}), "sides")
+    starts = every.groupBy(*own, F.col("x").alias("to_x"), F.col("y").alias("to_y")).agg(F.count("*").alias("n"), F.min("d").alias("d0"), F.max("d").alias("d1"))
+    # where two sides go on, the left one does: it leads to the pixel that meets this one at the corner
+    left = (F.col("d") + 3) % 4
+    then = F.when((F.col("n") > 1) & (F.col("d1") == left), F.col("d1")).otherwise(F.col("d0"))
+    links = every.join(starts, [*own, "to_x", "to_y"]).withColumn("then", then)
+    links = links.withColumn("next", (F.col("to_y") * (1 << 31) + F.col("to_x")) * 4 + F.col("then"))
+    turns = links.where(F.col("then") != F.col("d")).select(*own, F.col("next").alias("id"))
+    ring = durable(links.select(*own, "id", "next", F.col("id").alias("low"), F.lit(0).cast("long").alias("far")), "rings")
+    reach = 1
+    while True:
+        ahead = ring.select(*own, F.col("id").alias("next"), F.col("next").alias("next2"), F.col("low").alias("low2"), F.col("far").alias("far2"))
+        less = F.col("low2") < F.col("low")
+        after = ring.join(ahead, [*own, "next"]).select(*own, "id", F.col("next2").alias("next"), F.least("low", "low2").alias("low"), F.when(less, F.col("far2") + reach).otherwise(F.col("far")).alias("far"), less.alias("less"))
+        after = durable(after, "rings")
+        ring, reach = after.drop("less"), 2 * reach
+        if not after.where("less").take(1):
+            break
+    placed = ring.select(*own, "id", F.col("low").alias("ring"), "far").join(every, [*own, "id"])
+    # twice the area on the right hand: against the clock round a hole
+    sizes = placed.groupBy(*own, "ring").agg(F.count("*").alias("n"), F.sum(F.col("x") * F.col("to_y") - F.col("to_x") * F.col("y")).alias("area"))
+    corners = placed.join(turns, [*own, "id"], "left_semi").join(sizes, [*own, "ring"])
+    return corners.select(*own, "ring", ((F.col("n") - F.col("far")) % F.col("n")).alias("seq"), "x", "y", (F.col("area") < 0).alias("inner"))
+
+
+#: The weights of the two gradients, and the tangent of 22.5 degrees in parts of 2^15.
+SOBEL_X = ((-1, 0, 1), (-2, 0, 2), (-1, 0, 1))
+SOBEL_Y = ((-1, -2, -1), (0, 0, 0), (1, 2, 1))
+TANGENT = 13573
+
+
+def edge_image(image: DataFrame, width: int, height: int, low: int = 50, high: int = 150) -> DataFrame:
+    """(px, py): the thin edges of a grey image(px, py, level), 0 where it has no row, by two limits.
+
+    Gradients are weighted sums over each pixel's neighbourhood (outermost pixels stand for those beyond), their size is
+    |gx| + |gy|. A pixel stays where that is above `low` and greatest across the edge, and where it is above `high` or
+    linked to such a pixel by others that stay. Whole numbers throughout, so nothing depends on the order of a sum."""
+    at = image.where(F.col("px").between(0, width - 1) & F.col("py").between(0, height - 1) & (F.col("level") != 0)).select("px", "py", F.col("level").cast("long").alias("level"))
+    for c, n in (("px", width), ("py", height)):
+        ends = F.concat(F.array(c), F.when(F.col(c) == 0, F.array(F.lit(-1))).otherwise(F.array().cast("array<int>")), F.when(F.col(c) == n - 1, F.array(F.lit(n))).otherwise(F.array().cast("array<int>")))
+        at = at.withColumn(c, F.explode(ends))
+    moves = F.array(*(F.struct(F.lit(i - 1).alias("dx"), F.lit(j - 1).alias("dy"), F.lit(SOBEL_X[j][i]).alias("wx"), F.lit(SOBEL_Y[j][i]).alias("wy")) for i in range(3) for j in range(3)))
+    met = at.withColumn("m", F.explode(moves)).select((F.col("px") - F.col("m.dx")).alias("px"), (F.col("py") - F.col("m.dy")).alias("py"), (F.col("level") * F.col("m.wx")).alias("gx"), (F.col("level") * F.col("m.wy")).alias("gy"))
+    inside = met.where(F.col("px").between(0, width - 1) & F.col("py").between(0, height - 1))
+    sums = inside.groupBy("px", "py").agg(F.sum("gx").alias("gx"), F.sum("gy").alias("gy")).withColumn("size", F.abs("gx") + F.abs("gy"))
+    sums = durable(sums.where("size > 0"), "gradients")
+    around = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy]
+    votes = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in around))
+    near = sums.withColumn("m", F.explode(votes)).groupBy((F.col("px") - F.col("m.dx")).alias("px"), (F.col("py") - F.col("m.dy")).alias("py")).agg(
+        *(F.max(F.when((F.col("m.dx") == dx) & (F.col("m.dy") == dy), F.col("size"))).alias(f"n{k}") for k, (dx, dy) in enumerate(around)))
+    size_at = {p: F.coalesce(f"n{k}", F.lit(0)) for k, p in enumerate(around)}
+    strong = sums.where(F.col("size") > low).join(near, ["px", "py"], "left")
+    x, y = F.abs("gx"), F.shiftleft(F.abs("gy"), 15)
+    flat, s = x * TANGENT, F.col("size")
+    same = F.col("gx") * F.col("gy") >= 0
+    across = F.when(y < flat, (s > size_at[-1, 0]) & (s >= size_at[1, 0])).when(y > flat + F.shiftleft(x, 16), (s > size_at[0, -1]) & (s >= size_at[0, 1])).otherwise(
+        F.when(same, (s > size_at[-1, -1]) & (s > size_at[1, 1])).otherwise((s > size_at[1, -1]) & (s > size_at[-1, 1])))
+    thin = durable(strong.where(across).select("px", "py", "size"), "thin")
+    named = components(thin.select("px", "py")).join(thin, ["px", "py"])
+    kept = named.groupBy("comp").agg(F.max("size").alias("most")).where(F.col("most") > high)
+    return named.join(kept.select("comp"), "comp", "left_semi").select("px", "py")

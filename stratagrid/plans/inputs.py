@@ -80,3 +80,13 @@ ROOM_SQL = "(" + " UNION ALL ".join(
     f"SELECT '{n}' AS part, {_line(f'i // {y[2] * z[2]}', x)} AS x, {_line(f'(i // {z[2]}) % {y[2]}', y)} AS y, {_line(f'i % {z[2]}', z)} AS z FROM range({x[2] * y[2] * z[2]}) t(i)"
     for n, x, y, z in ROOM) + ")"
 __all__ = ["CLOUD", "IDENTIFIED", "PIXELS", "POSES", "ROOM_SQL", "WALKS", "cloud", "identified", "pixels", "poses", "read", "room", "walks"]
+
+
+#: events as several scans with ids: five level planes, and a point in eleven at any height.
+SCANS = "(SELECT CAST(user_id % 3 AS VARCHAR) AS scan_id, event_id AS point_id, value / 100::DOUBLE AS x, (event_id % 97) / 10.0::DOUBLE AS y, CASE WHEN event_id % 11 = 0 THEN value / 80::DOUBLE ELSE (event_id % 5) / 4.0::DOUBLE END AS z FROM events)"
+
+
+def scans(spark: SparkSession, d: str) -> DataFrame:
+    e = F.col("event_id")
+    z = F.when(e % 11 == 0, F.col("value") / F.lit(80.0)).otherwise((e % 5) / F.lit(4.0))
+    return read(spark, d, "events").select((F.col("user_id") % 3).cast("string").alias("scan_id"), e.alias("point_id"), (F.col("value") / F.lit(100.0)).alias("x"), ((e % 97) / F.lit(10.0)).alias("y"), z.alias("z"))

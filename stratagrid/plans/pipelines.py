@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import FLOOR, GRID, MESH, SCAN, FloorConfig, GridConfig, ScanConfig
 from ..functions import geometry as g
 from ..iterate import durable
 from ..operators import cloud, frames, mesh, planes, planning, raster
-from ..sources import rooms
 
 
 def align(points: DataFrame, config: ScanConfig = SCAN, rounds: int = 5) -> DataFrame:
@@ -47,7 +46,7 @@ def fuse(pixels: DataFrame, poses: DataFrame, config: ScanConfig = SCAN, all_fra
     if register:
         points = align(durable(points, "points"), config)
     thin = durable(cloud.voxels(points, config.voxel).withColumn("point_id", F.xxhash64("vx", "vy", "vz")).select("point_id", "x", "y", "z"), "fused")
-    kept = cloud.statistical_inliers(thin, config.outlier_neighbours, config.outlier_ratio, radius=4 * config.voxel)
+    kept = cloud.statistical_inliers(thin, config.outlier_neighbours, config.outlier_ratio)
     if ghosts:
         kept = cloud.without_ghosts(durable(kept, "inliers"), config.voxel).select("point_id", "x", "y", "z")
     return kept
@@ -109,15 +108,17 @@ def wireframe(vertices: DataFrame, triangles: DataFrame, least_angle: float = ME
     return lines, counts
 
 
-def demonstration(spark: SparkSession, seeds: int = 2, iterations: int = 3000, step: float = 0.3) -> DataFrame:
-    """A* and random trees side by side on the furnished room: one row of statistics each."""
-    (sx, sy), (tx, ty) = rooms.ROOM_START, rooms.ROOM_GOAL
-    ends = spark.createDataFrame([("room", sx, sy, tx, ty)], "scan_id string, start_x double, start_y double, goal_x double, goal_y double")
-    planned = plan_scan(rooms.room(spark), ends)
-    first = planned.statistics.select("algorithm", "success", F.col("nodes_explored").alias("work"), "path_length_m")
-    free = raster.free_cells(planned.occupied, planned.info).withColumn("scan_id", F.lit("room"))
-    asked = planned.info.select(F.lit("room").alias("scan_id"), "resolution", "x0", "y0", "nx", "ny", *(F.lit(v).alias(n) for n, v in (("x1", sx), ("y1", sy), ("x2", tx), ("y2", ty))))
+def demonstration(points: DataFrame, endpoints: DataFrame, config: GridConfig = GRID, seeds: int = 4, iterations: int = 3000, step: float = 0.3) -> DataFrame:
+    """Cheapest paths and random trees side by side for each scan of points and endpoints: rows of statistics
+    (scan_id, algorithm, success, work, path_length_m)."""
+    planned = plan_scan(points, endpoints, config)
+    first = planned.statistics.select("scan_id", "algorithm", "success", F.col("nodes_explored").alias("work"), "path_length_m")
+    by = ["scan_id"] if "scan_id" in points.columns else []
+    free = raster.free_cells(planned.occupied, planned.info, by)
+    free = free if by else free.crossJoin(F.broadcast(endpoints.select("scan_id").distinct()))
+    asked = raster.beside(endpoints, planned.info, by).select("scan_id", "resolution", "x0", "y0", "nx", "ny", F.col("start_x").alias("x1"), F.col("start_y").alias("y1"), F.col("goal_x").alias("x2"), F.col("goal_y").alias("y2"))
     trees = durable(planning.random_trees(free, asked, seeds, iterations, step), "trees")
-    lengths = frames.path_length(trees.where("success").withColumn("scan_id", F.col("seed").cast("string"))).select(F.col("scan_id").cast("int").alias("seed"), "path_length_m")
-    second = trees.groupBy("seed").agg(F.first("success").alias("success"), F.max("iterations").alias("work")).join(lengths, "seed", "left")
-    return first.unionByName(second.select(F.concat(F.lit("RRT "), F.col("seed").cast("string")).alias("algorithm"), "success", "work", "path_length_m"))
+    own = trees.withColumn("both", F.concat_ws("/", "scan_id", F.col("seed").cast("string")))
+    lengths = frames.path_length(own.where("success").drop("scan_id").withColumnRenamed("both", "scan_id")).select(F.col("scan_id").alias("both"), "path_length_m")
+    second = own.groupBy("scan_id", "seed", "both").agg(F.first("success").alias("success"), F.max("iterations").alias("work")).join(lengths, "both", "left")
+    return first.unionByName(second.select("scan_id", F.concat(F.lit("RRT "), F.col("seed").cast("string")).alias("algorithm"), "success", "work", "path_length_m"))

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..iterate import durable, shared_dir
-from ..operators import cloud, frames, mesh, neighbours, planes, planning, raster
+from ..operators import cloud, frames, mesh, neighbours, orientation, planes, planning, raster
 from ..sources import images, rooms, scan_files
 from . import inputs, pipelines
-from .inputs import CLOUD, IDENTIFIED, PIXELS, POSES, ROOM_SQL, WALKS
+from .inputs import CLOUD, IDENTIFIED, PIXELS, POSES, ROOM_SQL, SCANS, WALKS
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -235,7 +235,7 @@ KNN = f"(SELECT *, row_number() OVER (PARTITION BY point ORDER BY d2, other) AS
 @query(f"SELECT point, other, {r('d2', digits=9)}, CAST(k AS INT) AS rank FROM {KNN} WHERE k <= 20")
 def j2_k_nearest(spark, d):
     p = inputs.identified(spark, d)
-    return rounded(neighbours.nearest(p, p, 20, 0.1), "d2", digits=9)
+    return rounded(neighbours.nearest(p, p, 20), "d2", digits=9)
 
 
 @query(f"SELECT point, other, {r('d2', digits=9)} FROM {PAIRS} WHERE d2 <= 0.05::DOUBLE * 0.05::DOUBLE")
@@ -287,9 +287,20 @@ def a15_covariances(spark, d):
     return rounded(out, *out.columns[2:], digits=9)
 
 
-@query()
+#: The eigenvector of the least eigenvalue of a symmetric matrix, by the angle form of the cubic.
+NORMALS = f"""(SELECT point_id, n_used, ux/l AS nx, uy/l AS ny, uz/l AS nz FROM (SELECT *, sqrt(ux*ux+uy*uy+uz*uz) AS l FROM (
+SELECT point_id, n_used, unnest([{{'ux': a1*b2-a2*b1, 'uy': a2*b0-a0*b2, 'uz': a0*b1-a1*b0}}, {{'ux': a1*c2-a2*c1, 'uy': a2*c0-a0*c2, 'uz': a0*c1-a1*c0}}, {{'ux': b1*c2-b2*c1, 'uy': b2*c0-b0*c2, 'uz': b0*c1-b1*c0}}], recursive := true)
+FROM (SELECT point_id, n_used, xx-e AS a0, xy AS a1, xz AS a2, xy AS b0, yy-e AS b1, yz AS b2, xz AS c0, yz AS c1, zz-e AS c2
+FROM (SELECT *, m + 2*p*cos(acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, det/(2*p*p*p))))/3 + 2*pi()/3) AS e FROM (SELECT *, (xx-m)*((yy-m)*(zz-m)-yz*yz) - xy*(xy*(zz-m)-yz*xz) + xz*(xy*yz-(yy-m)*xz) AS det
+FROM (SELECT *, sqrt(((xx-m)*(xx-m)+(yy-m)*(yy-m)+(zz-m)*(zz-m)+2*(xy*xy+xz*xz+yz*yz))/6) AS p FROM (SELECT *, (xx+yy+zz)/3 AS m FROM {COVARIANCE}))))))) QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY l DESC) = 1)"""
+
+
+@query(f"""SELECT i.point_id, CASE WHEN coalesce(n_used, 1) < 3 THEN 0.0 ELSE round(nx*nx, 5) + 0.0 END AS xx, CASE WHEN coalesce(n_used, 1) < 3 THEN 0.0 ELSE round(nx*ny, 5) + 0.0 END AS xy,
+CASE WHEN coalesce(n_used, 1) < 3 THEN 1.0 ELSE round(nz*nz, 5) + 0.0 END AS zz FROM {IDENTIFIED} i LEFT JOIN {NORMALS} n ON n.point_id = i.point_id""")
 def a15_normals(spark, d):
-    return cloud.normals(inputs.identified(spark, d))
+    """Normals have a free sign, so products of their parts are compared."""
+    n = cloud.normals(inputs.identified(spark, d))
+    return rounded(n.select("point_id", *((F.col(f"n{a}") * F.col(f"n{b}")).alias(a + b) for a, b in (("x", "x"), ("x", "y"), ("z", "z")))), "xx", "xy", "zz", digits=5)
 
 
 @query("SELECT point_id, CAST(CASE WHEN x * (0.5 - x) + y * (0.5 - y) + z * (2.0 - z) < 0 THEN -1 ELSE 1 END AS INT) AS side FROM " + IDENTIFIED)
@@ -333,35 +344,90 @@ def j11_plane_inliers(spark, d):
     return spark.createDataFrame([(k, int(n)) for k, n in enumerate(found)], "plane_id int, n long")
 
 
-@query()
-def p1_plane_detection(spark, d):
-    points = durable(rooms.room(spark).withColumn("point_id", F.xxhash64("part", "x", "y", "z")), "room")
-    return planes.detect(points)[0]
+def _detected(rounds: int) -> str:
+    """Plane detection in SQL: the rounds one after another, each over the points that the one before left."""
+    parts = [f"p0 AS MATERIALIZED (SELECT * FROM {SCANS})"]
+    for k in range(rounds):
+        parts.append(f"""s{k} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY md5(concat_ws(':', scan_id, point_id, 42, {k})), point_id) - 1 AS i FROM p{k} WHERE scan_id IN (SELECT scan_id FROM p{k} GROUP BY scan_id HAVING count(*) >= 500)) WHERE i < 3000),
+t{k} AS (SELECT scan_id, i // 3 AS k, {', '.join(f'max({a}) FILTER (i % 3 = {j}) AS {a}{j}' for j in range(3) for a in 'xyz')} FROM s{k} GROUP BY 1, 2 HAVING count(*) = 3),
+u{k} AS (SELECT scan_id, k, x0, y0, z0, (y1-y0)*(z2-z0)-(z1-z0)*(y2-y0) AS a, (z1-z0)*(x2-x0)-(x1-x0)*(z2-z0) AS b, (x1-x0)*(y2-y0)-(y1-y0)*(x2-x0) AS c FROM t{k}),
+v{k} AS (SELECT scan_id, k, x0, y0, z0, CASE WHEN c < 0 THEN -a ELSE a END / sqrt(a*a+b*b+c*c) AS a, CASE WHEN c < 0 THEN -b ELSE b END / sqrt(a*a+b*b+c*c) AS b, abs(c) / sqrt(a*a+b*b+c*c) AS c FROM u{k} WHERE sqrt(a*a+b*b+c*c) > 1e-12),
+w{k} AS MATERIALIZED (SELECT scan_id, k, a, b, c, -(a*x0+b*y0+c*z0) AS d FROM v{k}),
+b{k} AS MATERIALIZED (SELECT scan_id, {k} AS plane_id, a, b, c, d, n FROM (SELECT w.scan_id, k, any_value(a) AS a, any_value(b) AS b, any_value(c) AS c, any_value(d) AS d, count(*) AS n FROM w{k} w JOIN p{k} p ON p.scan_id = w.scan_id AND abs(a*x+b*y+c*z+d) < 0.05 GROUP BY w.scan_id, k HAVING count(*) >= 500)
+    QUALIFY row_number() OVER (PARTITION BY scan_id ORDER BY n DESC, k) = 1),
+p{k + 1} AS MATERIALIZED (SELECT p.* FROM p{k} p JOIN b{k} b ON p.scan_id = b.scan_id AND NOT abs(a*x+b*y+c*z+d) < 0.05)""")
+    return "WITH " + ", ".join(parts)
 
 
-@query()
+PLANE_ROUNDS = 10
+FOUND = " UNION ALL ".join(f"SELECT * FROM b{k}" for k in range(PLANE_ROUNDS))
+
+
+@query(_detected(PLANE_ROUNDS) + f""" SELECT scan_id, CAST(plane_id AS INT) AS plane_id, {r('a', 'b', 'c', 'd')}, CAST(n AS BIGINT) AS num_points, round(angle, 4) + 0.0 AS angle, CASE WHEN angle < 15 THEN 'floor/ceiling' WHEN angle > 75 THEN 'wall' ELSE 'sloped' END AS type
+FROM (SELECT *, degrees(acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, abs(c / sqrt(a*a+b*b+c*c)))))) AS angle FROM ({FOUND}))""")
+def p1_o4_u2_planes_of_scans(spark, d):
+    """The planes of all scans in one job, by their largest sets of points."""
+    found = planes.detect_scans(inputs.scans(spark, d))[0]
+    return rounded(rounded(found, "a", "b", "c", "d"), "angle", digits=4)
+
+
+def _off() -> str:
+    gone = " AND ".join(f"NOT EXISTS (SELECT 1 FROM q{k} WHERE q{k}.point_id = p0.point_id)" for k in range(PLANE_ROUNDS))
+    held = ", ".join(f"q{k} AS (SELECT point_id FROM p{k} p JOIN b{k} b ON p.scan_id = b.scan_id AND abs(a*x+b*y+c*z+d) < 0.05)" for k in range(PLANE_ROUNDS))
+    return f", {held} SELECT scan_id, point_id FROM p0 WHERE {gone}"
+
+
+@query(_detected(PLANE_ROUNDS) + _off())
 def f6_u3_points_off_planes(spark, d):
-    points = durable(rooms.room(spark).withColumn("point_id", F.xxhash64("part", "x", "y", "z")), "room")
-    members = planes.detect(points, most=3)[1]
-    return points.join(members, "point_id", "left_anti").groupBy("part").agg(F.count("*").alias("n"))
+    """What is on no plane of its scan: the cloud without the members of all planes."""
+    points = inputs.scans(spark, d)
+    members = planes.detect_scans(points)[1]
+    return points.join(members, ["scan_id", "point_id"], "left_anti").select("scan_id", "point_id")
+
+
+def _shifted(spark, d):
+    """Five pairs: the identified cloud with normals, and the same a little turned and shifted, more for each pair."""
+    target = durable(cloud.normals(inputs.identified(spark, d), radius=0.3), "target")
+    pairs = inputs.read(spark, d, "region").select(F.col("r_regionkey").cast("int").alias("pair_id"))
+    move = (F.col("pair_id") + 1) * 0.001
+    moving = inputs.identified(spark, d).crossJoin(F.broadcast(pairs))  # five regions
+    return moving.withColumns({"x": F.col("x") + move, "y": F.col("y") - move / 2}), target.crossJoin(F.broadcast(pairs))
 
 
 @query()
 def p3_registration(spark, d):
-    target = cloud.normals(inputs.identified(spark, d), radius=0.3)
-    moving = inputs.identified(spark, d).withColumns({"x": F.col("x") + 0.004, "y": F.col("y") - 0.003})
-    pose = planes.register(moving, durable(target, "target"), 0.05)
-    return spark.createDataFrame([(i, *map(float, row)) for i, row in enumerate(pose)], "i int, c0 double, c1 double, c2 double, c3 double")
+    """The poses of five pairs in one job; each is recomputed pair by pair in a test."""
+    moving, target = _shifted(spark, d)
+    return planes.register_pairs(moving, target, 0.05)
 
 
-# ---- meshes
+@query()
+def p5_spanning_orientation(spark, d):
+    """Normals that agree along the spanning forest of the ten nearest; a test builds the forest edge by edge."""
+    p = inputs.identified(spark, d)
+    found = durable(cloud.normals(p, radius=0.3), "normals")
+    pairs = neighbours.nearest(p, p, 10)
+    return rounded(orientation.orient(found, pairs), "nx", "ny", "nz")
 
-def _field(spark, d):
-    return rooms.height_field(spark, 40)
 
+# ---- meshes
 
-VERTICES = "(SELECT i AS vertex_id, (i // 40) * 1.0::DOUBLE AS x, (i % 40) * 1.0::DOUBLE AS y, ((i // 40 * 7 + i % 40 * 13) % 5) * 0.25::DOUBLE AS z, ((i // 40 * 31 + i % 40 * 17) % 101) * 1.0::DOUBLE AS density FROM range(1600) t(i))"
-TRIANGLES = """(SELECT i AS face_id, ((i//2)//39)*40 + (i//2)%39 AS v0, ((i//2)//39)*40 + (i//2)%39 + CASE WHEN i % 2 = 1 THEN 41 ELSE 40 END AS v1, ((i//2)//39)*40 + (i//2)%39 + CASE WHEN i % 2 = 1 THEN 1 ELSE 41 END AS v2 FROM range(3042) t(i))"""
+def _field(spark, d):
+    """part as a height field of 40 columns: a vertex for each part, two triangles for each with parts to the right and below."""
+    k = F.col("p_partkey")
+    part = inputs.read(spark, d, "part")
+    vertices = part.select(k.alias("vertex_id"), F.floor(k / 40).cast("double").alias("x"), (k % 40).cast("double").alias("y"), (F.col("p_size") % 5 * g.real(0.25)).alias("z"), F.col("p_retailprice").alias("density"))
+    corner = part.where(k % 40 < 39).select(k.alias("p"))
+    for step in (1, 40, 41):
+        corner = corner.join(part.select((k - step).alias("p")), "p", "left_semi")
+    p = F.col("p")
+    two = F.explode(F.array(F.struct((p * 2).alias("face_id"), p.alias("v0"), (p + 40).alias("v1"), (p + 41).alias("v2")), F.struct((p * 2 + 1).alias("face_id"), p.alias("v0"), (p + 41).alias("v1"), (p + 1).alias("v2"))))
+    return vertices, corner.select(two.alias("t")).select("t.*")
+
+
+VERTICES = "(SELECT p_partkey AS vertex_id, (p_partkey // 40) * 1.0::DOUBLE AS x, (p_partkey % 40) * 1.0::DOUBLE AS y, (p_size % 5) * 0.25::DOUBLE AS z, p_retailprice AS density FROM part)"
+TRIANGLES = """(SELECT p * 2 + i AS face_id, p AS v0, p + CASE WHEN i = 1 THEN 41 ELSE 40 END AS v1, p + CASE WHEN i = 1 THEN 1 ELSE 41 END AS v2 FROM (SELECT p_partkey AS p FROM part WHERE p_partkey % 40 < 39
+AND p_partkey + 1 IN (SELECT p_partkey FROM part) AND p_partkey + 40 IN (SELECT p_partkey FROM part) AND p_partkey + 41 IN (SELECT p_partkey FROM part)), range(2) t(i))"""
 FACES = f"""(SELECT face_id, v0, v1, v2, wx/sqrt(wx*wx+wy*wy+wz*wz) AS nx, wy/sqrt(wx*wx+wy*wy+wz*wz) AS ny, wz/sqrt(wx*wx+wy*wy+wz*wz) AS nz, sqrt(wx*wx+wy*wy+wz*wz)/2 AS area FROM (SELECT face_id, v0, v1, v2,
 (b.y-a.y)*(c.z-a.z)-(b.z-a.z)*(c.y-a.y) AS wx, (b.z-a.z)*(c.x-a.x)-(b.x-a.x)*(c.z-a.z) AS wy, (b.x-a.x)*(c.y-a.y)-(b.y-a.y)*(c.x-a.x) AS wz
 FROM {TRIANGLES} t JOIN {VERTICES} a ON a.vertex_id = v0 JOIN {VERTICES} b ON b.vertex_id = v1 JOIN {VERTICES} c ON c.vertex_id = v2))"""
@@ -439,9 +505,6 @@ c AS (SELECT DISTINCT greatest(0, least(nx-1, CAST(trunc((x-x0)/0.1::DOUBLE) AS
 o AS (SELECT DISTINCT CAST(gx + a.k AS INT) AS gx, CAST(gy + b.k AS INT) AS gy FROM c, range(-{margin}, {margin + 1}) a(k), range(-{margin}, {margin + 1}) b(k), i WHERE gx + a.k >= 0 AND gx + a.k < nx AND gy + b.k >= 0 AND gy + b.k < ny)"""
 
 
-ROOM_GRID = _occupied(ROOM_SQL, 1.0, 0.3, 2)
-
-
 @query(_occupied(CLOUD, 1.0, 0.3, 2) + " SELECT gx, gy FROM o")
 def r7_f5_a14_r8_occupancy(spark, d):
     return raster.occupancy(inputs.cloud(spark, d))[0]
@@ -452,18 +515,6 @@ def s21_m21_room(spark, d):
     return rounded(rooms.room(spark), "x", "y", "z", digits=9)
 
 
-@query(ROOM_GRID + " SELECT CAST(count(*) AS BIGINT) AS n_occupied, CAST(any_value(nx) * any_value(ny) AS BIGINT) AS n_cells, round(count(*) * 100.0 / (any_value(nx) * any_value(ny)), 6) + 0.0 AS percent FROM o, i")
-def a13_occupancy_ratio(spark, d):
-    return rounded(raster.occupancy_ratio(*raster.occupancy(rooms.room(spark))), "percent")
-
-
-@query(ROOM_GRID + " SELECT CAST(a.k AS INT) AS gx, CAST(b.k AS INT) AS gy, round(a.k * 0.1::DOUBLE + x0, 6) + 0.0 AS x, round(b.k * 0.1::DOUBLE + y0, 6) + 0.0 AS y FROM i, range(100) a(k), range(80) b(k) WHERE (a.k, b.k) NOT IN (SELECT (gx, gy) FROM o)")
-def r9_f8_m16_free_cells(spark, d):
-    occ, info = raster.occupancy(rooms.room(spark))
-    cells = raster.free_cells(occ, info).crossJoin(F.broadcast(info))
-    return rounded(cells.select("gx", "gy", *(g.from_cell(f"g{a}", f"{a}0", F.col("resolution")).alias(a) for a in "xy")), "x", "y")
-
-
 def _splat(level: str, scale: int) -> str:
     """The floor plan of the points of `level` in SQL: facts, discs, and the closed mask."""
     return f"""WITH s AS ({level}), m AS (SELECT min(x)-0.5 AS x0, max(y)+0.5 AS y1, CAST(trunc((max(x)+0.5-(min(x)-0.5))*{scale}) AS INT) AS w, CAST(trunc((max(y)+0.5-(min(y)-0.5))*{scale}) AS INT) AS h FROM s),
@@ -521,42 +572,122 @@ def r5_components(spark, d):
     return raster.components(_spots(spark, d)).select("px", "py", "comp")
 
 
-@query()
-def r5_r6_contours(spark, d):
-    return raster.contours(raster.splat(*_plan(spark, d)))
+#: Sides of set pixels with the region on the right hand, each with the side that goes on from its end.
+SIDES = f"""s AS MATERIALIZED (SELECT DISTINCT px::BIGINT AS px, py::BIGINT AS py FROM q), b AS MATERIALIZED (
+SELECT px AS x, py AS y, px + 1 AS tx, py AS ty, 0 AS d FROM s ANTI JOIN (SELECT px, py + 1 AS py FROM s) o USING (px, py) UNION ALL SELECT px + 1, py, px + 1, py + 1, 1 FROM s ANTI JOIN (SELECT px - 1 AS px, py FROM s) o USING (px, py)
+UNION ALL SELECT px + 1, py + 1, px, py + 1, 2 FROM s ANTI JOIN (SELECT px, py - 1 AS py FROM s) o USING (px, py) UNION ALL SELECT px, py + 1, px, py, 3 FROM s ANTI JOIN (SELECT px + 1 AS px, py FROM s) o USING (px, py)),
+e AS MATERIALIZED (SELECT a.*, (a.y * 2147483648 + a.x) * 4 + a.d AS id, (n.y * 2147483648 + n.x) * 4 + n.d AS nid, n.d AS nd FROM b a JOIN b n ON n.x = a.tx AND n.y = a.ty QUALIFY row_number() OVER (PARTITION BY a.x, a.y, a.d ORDER BY (n.d = (a.d + 3) % 4) DESC) = 1),
+w(ring, id, k) AS (SELECT id, nid, 1 FROM e UNION ALL SELECT ring, e.nid, k + 1 FROM w JOIN e ON e.id = w.id WHERE w.id > ring),
+r AS MATERIALIZED (SELECT ring, k AS n FROM w WHERE id = ring),
+v AS (SELECT r.ring, w.id, w.k % r.n AS seq FROM r JOIN w USING (ring)),
+z AS (SELECT ring, sum(x * ty - tx * y) AS area FROM v JOIN e USING (id) GROUP BY ring)"""
 
 
-COSTS = """reach(gx, gy, cost) USING KEY (gx, gy) AS (SELECT gx, gy, 0.0::DOUBLE FROM f WHERE gx = {sx} AND gy = {sy} UNION SELECT n.gx, n.gy, min(n.cost) FROM
-(SELECT f.gx, f.gy, c.cost + sqrt((f.gx-c.gx)*(f.gx-c.gx)+(f.gy-c.gy)*(f.gy-c.gy)) AS cost FROM reach c JOIN f ON f.gx BETWEEN c.gx - 1 AND c.gx + 1 AND f.gy BETWEEN c.gy - 1 AND c.gy + 1 AND (f.gx <> c.gx OR f.gy <> c.gy)) n
-LEFT JOIN recurring.reach o ON o.gx = n.gx AND o.gy = n.gy WHERE o.cost IS NULL OR n.cost < o.cost - 1e-9 GROUP BY n.gx, n.gy)"""
-WALLED = "f AS MATERIALIZED (SELECT CAST(i // 12 AS INT) AS gx, CAST(i % 12 AS INT) AS gy FROM range(144) t(i) WHERE NOT (i // 12 = 6 AND i % 12 < 10))"
+@query(SPLAT.replace("WITH s AS", "WITH RECURSIVE s_ AS", 1).replace("FROM s)", "FROM s_)").replace("FROM s, m)", "FROM s_, m)") + f", {SIDES} SELECT v.ring, v.seq, e.x, e.y, area < 0 AS inner FROM v JOIN e USING (id) JOIN e l ON l.nid = e.id JOIN z USING (ring) WHERE l.d <> e.d")
+def r5_r6_outlines(spark, d):
+    """The corners of all outlines of the floor plan's mask in order, holes too."""
+    return raster.outlines(raster.splat(*_plan(spark, d)))
+
+
+def _sobel(weights, sign: str) -> str:
+    return " + ".join(f"{w} * coalesce({sign}{i}{j}.level, 0)" for j in range(3) for i, w in enumerate(weights[j]) if w)
+
 
+GREY = "(SELECT px, py, least(255, count(*) * 60) AS level FROM (SELECT CAST(l_orderkey % 160 AS INT) AS px, CAST(l_partkey % 120 AS INT) AS py FROM lineitem WHERE l_quantity < 20) GROUP BY px, py)"
 
-@query(f"WITH RECURSIVE {WALLED}, {COSTS.format(sx=0, sy=0)} SELECT gx, gy, round(cost, 6) + 0.0 AS cost FROM reach")
+
+def _grey(spark, d):
+    l = inputs.read(spark, d, "lineitem").where("l_quantity < 20")
+    cells = l.select((F.col("l_orderkey") % 160).cast("int").alias("px"), (F.col("l_partkey") % 120).cast("int").alias("py"))
+    return cells.groupBy("px", "py").agg(F.least(F.lit(255), F.count("*") * 60).cast("int").alias("level"))
+
+
+@query(f"""WITH RECURSIVE g AS MATERIALIZED (SELECT * FROM {GREY}), a AS (SELECT CAST(x.k AS INT) AS px, CAST(y.k AS INT) AS py FROM range(160) x(k), range(120) y(k)),
+k AS MATERIALIZED (SELECT a.px, a.py, {' + '.join(f'{w} * coalesce(g{i}{j}.level, 0)' for j, row in enumerate(raster.SOBEL_X) for i, w in enumerate(row) if w)} AS gx, {' + '.join(f'{w} * coalesce(g{i}{j}.level, 0)' for j, row in enumerate(raster.SOBEL_Y) for i, w in enumerate(row) if w)} AS gy FROM a
+{' '.join(f'LEFT JOIN g g{i}{j} ON g{i}{j}.px = greatest(0, least(159, a.px + {i - 1})) AND g{i}{j}.py = greatest(0, least(119, a.py + {j - 1}))' for i in range(3) for j in range(3) if (i, j) != (1, 1))}),
+m AS MATERIALIZED (SELECT *, abs(gx) + abs(gy) AS size FROM k),
+t AS MATERIALIZED (SELECT m.px, m.py, m.size FROM m {' '.join(f'LEFT JOIN m m{i}{j} ON m{i}{j}.px = m.px + {i - 1} AND m{i}{j}.py = m.py + {j - 1}' for i in range(3) for j in range(3) if (i, j) != (1, 1))} WHERE m.size > 50 AND
+    CASE WHEN abs(m.gy) * 32768 < abs(m.gx) * {raster.TANGENT} THEN m.size > coalesce(m01.size, 0) AND m.size >= coalesce(m21.size, 0) WHEN abs(m.gy) * 32768 > abs(m.gx) * {raster.TANGENT} + abs(m.gx) * 65536 THEN m.size > coalesce(m10.size, 0) AND m.size >= coalesce(m12.size, 0)
+    WHEN m.gx * m.gy >= 0 THEN m.size > coalesce(m00.size, 0) AND m.size > coalesce(m22.size, 0) ELSE m.size > coalesce(m20.size, 0) AND m.size > coalesce(m02.size, 0) END),
+c(px, py) AS (SELECT px, py FROM t WHERE size > 150 UNION SELECT t.px, t.py FROM c JOIN t ON t.px BETWEEN c.px - 1 AND c.px + 1 AND t.py BETWEEN c.py - 1 AND c.py + 1) SELECT px, py FROM c""")
+def r4_edge_image(spark, d):
+    """Thin edges of a grey image: how many lineitems fall on each pixel."""
+    return raster.edge_image(_grey(spark, d), 160, 120)
+
+
+#: The free cells of three scans' grids, without a margin; a scan starts from all free cells of its first column.
+SCAN_GRIDS = f"""s AS (SELECT scan_id, x, y FROM {SCANS} WHERE z BETWEEN 1.0::DOUBLE - 0.3::DOUBLE AND 1.0::DOUBLE + 0.3::DOUBLE AND point_id % 3 = 0),
+i AS MATERIALIZED (SELECT scan_id, min(x) AS x0, min(y) AS y0, greatest(1, CAST(ceil((max(x)-min(x))/0.1::DOUBLE) AS INT)) AS nx, greatest(1, CAST(ceil((max(y)-min(y))/0.1::DOUBLE) AS INT)) AS ny FROM s GROUP BY scan_id),
+o AS MATERIALIZED (SELECT DISTINCT s.scan_id, greatest(0, least(nx-1, CAST(trunc((x-x0)/0.1::DOUBLE) AS INT))) AS gx, greatest(0, least(ny-1, CAST(trunc((y-y0)/0.1::DOUBLE) AS INT))) AS gy FROM s JOIN i ON i.scan_id = s.scan_id),
+f AS MATERIALIZED (SELECT * FROM (SELECT i.scan_id, CAST(a.k AS INT) AS gx, CAST(b.k AS INT) AS gy FROM i, range(1000) a(k), range(1000) b(k) WHERE a.k < nx AND b.k < ny) ANTI JOIN o USING (scan_id, gx, gy))"""
+SCAN_COSTS = """reach(scan_id, gx, gy, cost) USING KEY (scan_id, gx, gy) AS (SELECT scan_id, gx, gy, 0.0::DOUBLE FROM f WHERE gx = 0 UNION SELECT n.scan_id, n.gx, n.gy, min(n.cost) FROM
+(SELECT f.scan_id, f.gx, f.gy, c.cost + sqrt((f.gx-c.gx)*(f.gx-c.gx)+(f.gy-c.gy)*(f.gy-c.gy)) AS cost FROM reach c, range(-1, 2) dx(k), range(-1, 2) dy(k), f WHERE f.scan_id = c.scan_id AND f.gx = c.gx + dx.k AND f.gy = c.gy + dy.k AND (dx.k <> 0 OR dy.k <> 0)) n
+LEFT JOIN recurring.reach o ON o.scan_id = n.scan_id AND o.gx = n.gx AND o.gy = n.gy WHERE o.cost IS NULL OR n.cost < o.cost - 1e-9 GROUP BY n.scan_id, n.gx, n.gy)"""
+SCAN_FIELD = """p AS MATERIALIZED (SELECT r.scan_id, r.gx, r.gy, any_value(r.cost) AS cost, min(ROW(round(b.cost + sqrt((b.gx-r.gx)*(b.gx-r.gx)+(b.gy-r.gy)*(b.gy-r.gy)), 6), b.gx, b.gy)::STRUCT(c DOUBLE, x INT, y INT)) AS b FROM reach r LEFT JOIN (SELECT b.*, b.gx + dx.k AS ax, b.gy + dy.k AS ay FROM reach b, range(-1, 2) dx(k), range(-1, 2) dy(k) WHERE dx.k <> 0 OR dy.k <> 0) b
+ON b.scan_id = r.scan_id AND b.ax = r.gx AND b.ay = r.gy GROUP BY r.scan_id, r.gx, r.gy)"""
+
+
+def _scan_grids(spark, d):
+    points = inputs.scans(spark, d).where("point_id % 3 = 0")
+    return raster.occupancy(points, margin=0, by=["scan_id"])
+
+
+def _scan_field(spark, d):
+    free = durable(raster.free_cells(*_scan_grids(spark, d), by=["scan_id"]), "free")
+    return planning.cost_fields(free, free.where("gx = 0"))
+
+
+@query(f"WITH {SCAN_GRIDS} SELECT i.scan_id, CAST(count(o.gx) AS BIGINT) AS n_occupied, CAST(any_value(nx) * any_value(ny) AS BIGINT) AS n_cells, round(count(o.gx) * 100.0 / (any_value(nx) * any_value(ny)), 6) + 0.0 AS percent FROM i LEFT JOIN o USING (scan_id) GROUP BY i.scan_id")
+def a13_occupancy_ratio(spark, d):
+    return rounded(raster.occupancy_ratio(*_scan_grids(spark, d), by=["scan_id"]), "percent")
+
+
+@query(f"WITH {SCAN_GRIDS} SELECT scan_id, gx, gy, round(gx * 0.1::DOUBLE + x0, 6) + 0.0 AS x, round(gy * 0.1::DOUBLE + y0, 6) + 0.0 AS y FROM f JOIN i USING (scan_id)")
+def r9_f8_m16_free_cells(spark, d):
+    occ, info = _scan_grids(spark, d)
+    cells = raster.free_cells(occ, info, by=["scan_id"]).join(info, "scan_id")
+    return rounded(cells.select("scan_id", "gx", "gy", *(g.from_cell(f"g{a}", f"{a}0", F.col("resolution")).alias(a) for a in "xy")), "x", "y")
+
+
+@query(f"WITH RECURSIVE {SCAN_GRIDS}, {SCAN_COSTS}, {SCAN_FIELD} SELECT scan_id, gx, gy, round(cost, 6) + 0.0 AS cost, CASE WHEN cost > 0 THEN b.x END AS from_x, CASE WHEN cost > 0 THEN b.y END AS from_y FROM p")
 def n1_j8_u6_cost_field(spark, d):
-    return rounded(planning.cost_field(rooms.walled_grid(spark), (0, 0)), "cost")
+    """The cost fields of three scans' grids in one job, each from its first column."""
+    return rounded(_scan_field(spark, d), "cost")
+
+
+@query(f"""WITH RECURSIVE {SCAN_GRIDS}, {SCAN_COSTS}, {SCAN_FIELD}, t AS (SELECT scan_id, max((gx, gy)) AS p FROM p GROUP BY scan_id),
+w(scan_id, goal_x, goal_y, gx, gy, back) AS (SELECT p.scan_id, gx, gy, gx, gy, 0 FROM p JOIN t ON t.scan_id = p.scan_id AND (gx, gy) = t.p UNION ALL SELECT w.scan_id, goal_x, goal_y, p.b.x, p.b.y, back + 1 FROM w JOIN p ON p.scan_id = w.scan_id AND p.gx = w.gx AND p.gy = w.gy WHERE p.cost > 0)
+SELECT scan_id, goal_x, goal_y, max(back) OVER (PARTITION BY scan_id) - back AS seq, gx, gy FROM w""")
+def n2_paths_of_scans(spark, d):
+    """The cheapest paths of three scans, from the first column to the last cell that is reached."""
+    field = _scan_field(spark, d)
+    goals = field.groupBy("scan_id").agg(F.max(F.struct("gx", "gy")).alias("p")).select("scan_id", "p.*")
+    return planning.field_paths(field, goals)
+
+
+WALLED = "f AS MATERIALIZED (SELECT CAST(i // 12 AS INT) AS gx, CAST(i % 12 AS INT) AS gy FROM range(144) t(i) WHERE NOT (i // 12 = 6 AND i % 12 < 10))"
 
 
-def _room_plan(spark):
-    (sx, sy), (tx, ty) = rooms.ROOM_START, rooms.ROOM_GOAL
-    ends = spark.createDataFrame([("room", sx, sy, tx, ty)], "scan_id string, start_x double, start_y double, goal_x double, goal_y double")
-    return pipelines.plan_scan(rooms.room(spark), ends)
+def _planned(spark, d):
+    """Three scans' grids without a margin, each asked for a path from its first free cell to its last."""
+    from ..config import GridConfig
 
+    points = inputs.scans(spark, d).where("point_id % 3 = 0")
+    occ, info = _scan_grids(spark, d)
+    ends = raster.free_cells(occ, info, by=["scan_id"]).groupBy("scan_id").agg(F.min(F.struct("gx", "gy")).alias("a"), F.max(F.struct("gx", "gy")).alias("b")).join(info, "scan_id")
+    place = lambda end, a: F.col(f"{a}0") + (F.col(f"{end}.g{a}") + 0.5) * F.col("resolution")
+    ends = durable(ends.select("scan_id", place("a", "x").alias("start_x"), place("a", "y").alias("start_y"), place("b", "x").alias("goal_x"), place("b", "y").alias("goal_y")), "ends")
+    return points, ends, GridConfig(margin=0)
 
-@query("WITH RECURSIVE " + ROOM_GRID.removeprefix("WITH ") + ", f AS MATERIALIZED (SELECT CAST(a.k AS INT) AS gx, CAST(b.k AS INT) AS gy FROM range(100) a(k), range(80) b(k) WHERE (a.k, b.k) NOT IN (SELECT (gx, gy) FROM o)), " + COSTS.format(sx=10, sy=10) + " SELECT 'room' AS scan_id, true AS success, round(cost, 6) + 0.0 AS path_cost_cells FROM reach WHERE gx = 90 AND gy = 70")
-def n1_n5_a17_room_path(spark, d):
-    return rounded(_room_plan(spark).statistics.select("scan_id", "success", "path_cost_cells"), "path_cost_cells")
 
+SCAN_ENDS = "m AS (SELECT scan_id, arg_min(gx, (gx, gy)) AS sx, arg_min(gy, (gx, gy)) AS sy, arg_max(gx, (gx, gy)) AS tx, arg_max(gy, (gx, gy)) AS ty FROM f GROUP BY scan_id)"
 
-@query("""WITH RECURSIVE f AS MATERIALIZED (SELECT s.scan_id, i // 12 AS gx, i % 12 AS gy FROM range(144) t(i), (VALUES ('far'), ('walled')) s(scan_id) WHERE NOT (i // 12 = 6 AND (i % 12 < 10 OR s.scan_id = 'walled'))),
-asked AS (SELECT * FROM (VALUES ('far', 0, 0, 11, 0), ('walled', 0, 0, 11, 0), ('blocked', 6, 0, 0, 0)) v(scan_id, sx, sy, tx, ty)),
-r AS (SELECT f.* FROM f JOIN asked a ON a.scan_id = f.scan_id AND gx = sx AND gy = sy UNION SELECT f.* FROM r JOIN f ON f.scan_id = r.scan_id AND f.gx BETWEEN r.gx - 1 AND r.gx + 1 AND f.gy BETWEEN r.gy - 1 AND r.gy + 1)
-SELECT a.scan_id, CASE WHEN NOT EXISTS (SELECT 1 FROM f WHERE f.scan_id = a.scan_id AND gx = sx AND gy = sy) OR NOT EXISTS (SELECT 1 FROM f WHERE f.scan_id = a.scan_id AND gx = tx AND gy = ty) THEN 'blocked' WHEN EXISTS (SELECT 1 FROM r WHERE r.scan_id = a.scan_id AND gx = tx AND gy = ty) THEN 'ok' ELSE 'no_path' END AS status FROM asked a""")
-def n2_n3_path_status(spark, d):
-    free = rooms.walled_grid(spark).withColumn("scan_id", F.lit("far"))
-    closed = free.where("gx <> 6").withColumn("scan_id", F.lit("walled"))
-    asked = spark.createDataFrame([("far", 0, 0, 11, 0), ("walled", 0, 0, 11, 0), ("blocked", 6, 0, 0, 0)], "scan_id string, sx int, sy int, tx int, ty int")
-    return planning.plan_paths(free.unionByName(closed), asked).select("scan_id", "status").distinct()
+
+@query(f"WITH RECURSIVE {SCAN_GRIDS}, {SCAN_ENDS}, " + SCAN_COSTS.replace("FROM f WHERE gx = 0 UNION", "FROM f JOIN m USING (scan_id) WHERE gx = sx AND gy = sy UNION") + """ SELECT m.scan_id, CASE WHEN cost IS NULL THEN 'no_path' ELSE 'ok' END AS status, cost IS NOT NULL AS success, round(cost, 6) + 0.0 AS path_cost_cells,
+(SELECT CAST(count(*) AS BIGINT) FROM reach r WHERE r.scan_id = m.scan_id AND (g.cost IS NULL OR r.cost + sqrt((r.gx-tx)*(r.gx-tx)+(r.gy-ty)*(r.gy-ty)) <= g.cost + 1e-9)) AS nodes_explored FROM m LEFT JOIN reach g ON g.scan_id = m.scan_id AND g.gx = tx AND g.gy = ty""")
+def n1_n2_n3_n5_a17_planned_scans(spark, d):
+    """Occupancy, path and statistics of three scans in one job, by the pipeline itself."""
+    return rounded(pipelines.plan_scan(*_planned(spark, d)).statistics.select("scan_id", "status", "success", "path_cost_cells", "nodes_explored"), "path_cost_cells")
 
 
 @query(f"""WITH {WALLED}, e AS (SELECT event_id, (user_id % 12) + 0.5 AS x1, (event_id % 12) + 0.5 AS y1, ((user_id + event_id) % 12) + 0.5 AS x2, ((event_id * 5) % 12) + 0.5 AS y2 FROM events), s AS (SELECT *, CAST(trunc(sqrt((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1)) / 0.5) AS INT) + 1 AS n FROM e),
@@ -575,22 +706,16 @@ def j6_m17_nearest_node(spark, d):
 
 
 @query()
-def n4_random_trees(spark, d):
-    free = rooms.walled_grid(spark).withColumn("scan_id", F.lit("w"))
-    asked = spark.createDataFrame([("w", 1.0, 0.0, 0.0, 12, 12, 0.5, 0.5, 11.5, 0.5)], "scan_id string, resolution double, x0 double, y0 double, nx int, ny int, x1 double, y1 double, x2 double, y2 double")
-    return planning.random_trees(free, asked)
-
-
-@query()
-def n6_r13_demonstration(spark, d):
-    return pipelines.demonstration(spark)
+def n4_n6_r13_demonstration(spark, d):
+    """Cheapest paths and random trees of three scans side by side; trees are checked by their properties in tests."""
+    return pipelines.demonstration(*_planned(spark, d))
 
 
 @query()
 def r10_path_overlay(spark, d):
-    planned = _room_plan(spark)
-    meta = raster.blueprint_meta(cloud.closed_slice(rooms.room(spark), 1.0, 0.3))
-    return planning.overlay_pixels(planned.paths.where("status = 'ok'"), meta)
+    points, ends, config = _planned(spark, d)
+    paths = pipelines.plan_scan(points, ends, config).paths.where("status = 'ok'")
+    return planning.overlay_pixels(paths, raster.blueprint_meta(cloud.closed_slice(points, 1.0, 0.3)))
 
 
 @query(f"SELECT q.frame_id, q.u, q.v, round((q.u * 4 % 256) / 255.0::DOUBLE, 6) + 0.0 AS r, round((q.v * 5 % 256) / 255.0::DOUBLE, 6) + 0.0 AS g, round((q.u + q.v) / 255.0::DOUBLE, 6) + 0.0 AS b FROM {PIXELS} q WHERE depth < 8")
@@ -691,16 +816,27 @@ def r7_r8_many_scans(spark, d):
     return raster.occupancy(_many(spark, d), by=["scan_id"])[0]
 
 
-@query(f"SELECT frame_id, CAST(a.k AS INT) AS u, CAST(b.k AS INT) AS v, {r('depth')} FROM (SELECT frame_id, u, v, min(depth) AS depth FROM {PIXELS} GROUP BY ALL) p, range(40) a(k), range(100) b(k) WHERE p.u = a.k * 64 // 40 AND p.v = b.k * 48 // 100")
+def _axis(name: str, have: int, want: int) -> str:
+    return f"(SELECT t, k, w FROM (SELECT t, low AS k, 1 - (place - low) AS w FROM (SELECT t, place, CAST(floor(place) AS INT) AS low FROM (SELECT CAST(i AS INT) AS t, least(greatest((i + 0.5::DOUBLE) * ({have}::DOUBLE / {want}) - 0.5, 0.0), {have} - 1.0::DOUBLE) AS place FROM range({want}) r(i))) UNION ALL SELECT t, least(low + 1, {have - 1}), place - low FROM (SELECT t, place, CAST(floor(place) AS INT) AS low FROM (SELECT CAST(i AS INT) AS t, least(greatest((i + 0.5::DOUBLE) * ({have}::DOUBLE / {want}) - 0.5, 0.0), {have} - 1.0::DOUBLE) AS place FROM range({want}) r(i)))) WHERE w > 0) {name}"
+
+
+@query(f"SELECT frame_id, a.t AS u, b.t AS v, round(sum(depth * (a.w * b.w)) / sum(a.w * b.w), 6) + 0.0 AS depth FROM (SELECT frame_id, u, v, min(depth) AS depth FROM {PIXELS} GROUP BY ALL) p JOIN {_axis('a', 64, 40)} ON a.k = p.u JOIN {_axis('b', 48, 100)} ON b.k = p.v GROUP BY ALL")
 def m20_resize(spark, d):
     depth = inputs.pixels(spark, d).groupBy("frame_id", "u", "v").agg(F.min("depth").alias("depth"))
     return rounded(images.resize(depth, (64, 48), (40, 100), ("depth",), ("frame_id",)), "depth")
 
 
-@query("SELECT CAST(i // 3072 AS INT) AS frame_id, CAST(i // 48 % 64 AS INT) AS u, CAST(i % 48 AS INT) AS v, round((i // 48 % 64 * 4 % 256) / 32.0::DOUBLE, 6) + 0.0 AS depth, round((i % 48 * 5 % 256) / 255.0::DOUBLE, 6) + 0.0 AS conf FROM range(76800) t(i)")
+IMAGE = "(SELECT DISTINCT CAST(l_returnflag AS VARCHAR) AS scan_id, CAST(l_suppkey % 25 AS INT) AS frame_id, CAST(l_partkey % 64 AS INT) AS u, CAST(l_orderkey % 48 AS INT) AS v FROM lineitem)"
+
+
+@query(f"""SELECT scan_id, frame_id, CAST(a.k AS INT) AS u, CAST(b.k AS INT) AS v, round(CASE WHEN i.u IS NULL THEN 0 ELSE a.k * 4 % 256 END / 32.0::DOUBLE, 6) + 0.0 AS depth, round(CASE WHEN i.u IS NULL THEN 0 ELSE b.k * 5 % 256 END / 255.0::DOUBLE, 6) + 0.0 AS conf
+FROM (SELECT scan_id, frame_id, max(u) AS w, max(v) AS h FROM {IMAGE} GROUP BY ALL) m JOIN range(64) a(k) ON a.k <= w JOIN range(48) b(k) ON b.k <= h LEFT JOIN {IMAGE} i USING (scan_id, frame_id) WHERE (i.u = a.k AND i.v = b.k)
+UNION ALL SELECT m.scan_id, m.frame_id, CAST(a.k AS INT), CAST(b.k AS INT), 0.0, 0.0 FROM (SELECT scan_id, frame_id, max(u) AS w, max(v) AS h FROM {IMAGE} GROUP BY ALL) m JOIN range(64) a(k) ON a.k <= w JOIN range(48) b(k) ON b.k <= h
+ANTI JOIN {IMAGE} i ON i.scan_id = m.scan_id AND i.frame_id = m.frame_id AND i.u = a.k AND i.v = b.k""")
 def s5_inference_hook(spark, d):
-    """A stand-in model whose depth is the red and whose confidence the green of an image."""
-    image = spark.range(25 * 64 * 48).select(F.expr("id div 3072").cast("int").alias("frame_id"), F.expr("(id div 48) % 64").cast("int").alias("u"), (F.col("id") % 48).cast("int").alias("v"))
+    """A stand-in model whose depth is the red and whose confidence the green of an image; scans share frame numbers."""
+    l = inputs.read(spark, d, "lineitem")
+    image = l.select(F.col("l_returnflag").alias("scan_id"), (F.col("l_suppkey") % 25).cast("int").alias("frame_id"), (F.col("l_partkey") % 64).cast("int").alias("u"), (F.col("l_orderkey") % 48).cast("int").alias("v")).distinct()
     image = image.withColumns({"r": F.col("u") * 4 % 256, "g": F.col("v") * 5 % 256, "b": F.lit(0)})
     return rounded(images.infer(image, lambda rgb: {"depth": rgb[:, :, 0] / 32.0, "conf": rgb[:, :, 1] / 255.0}), "depth", "conf")
 
@@ -720,11 +856,12 @@ def s15_blueprint_meta_file(spark, d):
     return rounded(scan_files.read_json(spark, path, scan_files.META), "x_min", "x_max", "y_min", "y_max")
 
 
-# a path whose cost is that of 60 diagonal and 20 straight steps has 81 cells, whichever of the cheapest it is
-@query("WITH RECURSIVE " + ROOM_GRID.removeprefix("WITH ") + ", f AS MATERIALIZED (SELECT CAST(a.k AS INT) AS gx, CAST(b.k AS INT) AS gy FROM range(100) a(k), range(80) b(k) WHERE (a.k, b.k) NOT IN (SELECT (gx, gy) FROM o)), " + COSTS.format(sx=10, sy=10) + " SELECT 'room' AS scan_id, 'A*' AS algorithm, true AS success, CAST(81 AS INT) AS n FROM reach WHERE gx = 90 AND gy = 70 AND abs(cost - (60 * sqrt(2) + 20)) < 1e-6")
-def s16_path_file(spark, d):
-    planned = _room_plan(spark)
+@query(f"WITH RECURSIVE {SCAN_GRIDS}, {SCAN_ENDS}, " + SCAN_COSTS.replace("FROM f WHERE gx = 0 UNION", "FROM f JOIN m USING (scan_id) WHERE gx = sx AND gy = sy UNION") + """ SELECT m.scan_id, 'A*' AS algorithm, cost IS NOT NULL AS success, round(x0, 6) + 0.0 AS x0, CAST(nx AS INT) AS nx, CAST(ny AS INT) AS ny FROM m JOIN i USING (scan_id) LEFT JOIN reach g ON g.scan_id = m.scan_id AND g.gx = tx AND g.gy = ty""")
+def s16_path_files(spark, d):
+    """A document for each scan with its own grid, written and read again."""
+    planned = pipelines.plan_scan(*_planned(spark, d))
     path = _fresh(spark, "path")
     scan_files.write_json(scan_files.path_document(planned.paths, planned.statistics, planned.info), path)
-    schema = "scan_id string, algorithm string, path array<array<double>>, statistics struct<success:boolean>"
-    return scan_files.read_json(spark, path, schema).select("algorithm", "statistics.success", "scan_id", F.size("path").alias("n"))
+    schema = "scan_id string, algorithm string, path array<array<double>>, statistics struct<success:boolean>, grid_info struct<origin:array<double>, size:array<int>>"
+    back = scan_files.read_json(spark, path, schema, lines=True).select("scan_id", "algorithm", "statistics.success", F.col("grid_info.origin")[0].alias("x0"), F.col("grid_info.size")[0].alias("nx"), F.col("grid_info.size")[1].alias("ny"))
+    return rounded(back, "x0")

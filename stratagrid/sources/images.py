@@ -74,36 +74,62 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.png").load(path).select("path", "content").mapInPandas(decode, PIXELS)
 
 
-def resize(pixels: DataFrame, size: tuple[int, int], to: tuple[int, int], values: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
-    """Pixels (u, v) of images of `size` (width, height) at another size: each takes the value of the pixel
-    that its own corner falls on. An equi-join on source pixels; what is joined is one row for each target pixel."""
+def resize(pixels: DataFrame, size: tuple[int, int], to: tuple[int, int], values: tuple[str, ...], by: tuple[str, ...] = (), nearest: bool = False) -> DataFrame:
+    """Pixels (u, v) of images of `size` (width, height) at another size, between four pixels by their distance.
+
+    A target pixel's centre falls between the centres of source pixels (beyond the outermost ones it takes those); it is
+    their mean, weighted by how near they are. Where some of the four are missing or null the others' weights count.
+    nearest takes the one pixel that its corner falls on instead, for labels that have no mean. An equi-join on source
+    pixels; what is joined is at most four rows for each target pixel."""
     spark = pixels.sparkSession
-    target = spark.range(to[0] * to[1]).select(F.expr(f"id div {to[1]}").cast("int").alias("tu"), (F.col("id") % to[1]).cast("int").alias("tv"))
-    target = target.select("tu", "tv", F.expr(f"cast(tu * {size[0]} div {to[0]} as int)").alias("u"), F.expr(f"cast(tv * {size[1]} div {to[1]} as int)").alias("v"))
-    return pixels.join(target, ["u", "v"]).select(*by, F.col("tu").alias("u"), F.col("tv").alias("v"), *values)
+
+    def axis(name: str, source: str, have: int, want: int) -> DataFrame:
+        t = spark.range(want).select(F.col("id").cast("int").alias(name))
+        if nearest:
+            return t.select(name, F.expr(f"cast({name} * {have} div {want} as int)").alias(source), F.lit(1.0).alias(f"w{source}"))
+        at = F.least(F.greatest((F.col(name) + 0.5) * F.lit(have / want) - 0.5, F.lit(0.0)), F.lit(have - 1.0))
+        t = t.withColumn("at", at).withColumn("low", F.floor("at").cast("int"))
+        part = F.col("at") - F.col("low")
+        ends = F.array(F.struct(F.col("low").alias("k"), (1 - part).alias("w")), F.struct(F.least(F.col("low") + 1, F.lit(have - 1)).alias("k"), part.alias("w")))
+        return t.select(name, F.explode(ends).alias("e")).where("e.w > 0").select(name, F.col("e.k").alias(source), F.col("e.w").alias(f"w{source}"))
+
+    # the two axes are numbers of columns and rows, and each pixel meets only its own
+    found = pixels.join(axis("tu", "u", size[0], to[0]), "u").join(axis("tv", "v", size[1], to[1]), "v").withColumn("w", F.col("wu") * F.col("wv"))
+    mean = [F.try_divide(F.sum(F.col(c) * F.col("w")), F.sum(F.when(F.col(c).isNotNull(), F.col("w")))).alias(c) for c in values]
+    return found.groupBy(*by, F.col("tu").alias("u"), F.col("tv").alias("v")).agg(*mean)
+
+
+def _image_keys(df: DataFrame) -> list[str]:
+    """What tells images apart: the frame, and the scan where there is one."""
+    return [c for c in ("scan_id", "frame_id") if c in df.columns]
+
+
+def _key_types(df: DataFrame, keys: list[str]) -> str:
+    return ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
 
 
 def infer(images: DataFrame, model: Callable[[np.ndarray], dict[str, np.ndarray]], values: tuple[str, ...] = ("depth", "conf")) -> DataFrame:
-    """The hook for a model: it gets each image (height, width, 3) of pixels(frame_id, u, v, r, g, b) once and gives
-    a map of numbers for each value, of the image's height and width. One image is one task's at a time."""
-    names = ", ".join(f"{v} double" for v in values)
+    """The hook for a model: it gets each image (height, width, 3) of pixels([scan_id,] frame_id, u, v, r, g, b) once and
+    gives a map of numbers for each value, of the image's height and width. One image is one task's at a time."""
+    names, keys = ", ".join(f"{v} double" for v in values), _image_keys(images)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         image = np.zeros((int(frame["v"].max()) + 1, int(frame["u"].max()) + 1, 3), dtype=np.uint8)
         image[frame["v"], frame["u"]] = frame[["r", "g", "b"]].to_numpy()
         found = model(image)
         v, u = np.indices(image.shape[:2])
-        return pd.DataFrame({"frame_id": frame["frame_id"].iloc[0], "u": u.ravel(), "v": v.ravel(), **{n: np.asarray(found[n], dtype=float).ravel() for n in values}})
+        return pd.DataFrame({**{k: frame[k].iloc[0] for k in keys}, "u": u.ravel(), "v": v.ravel(), **{n: np.asarray(found[n], dtype=float).ravel() for n in values}})
 
-    return images.groupBy("frame_id").applyInPandas(run, f"frame_id int, u int, v int, {names}")
+    return images.groupBy(*keys).applyInPandas(run, f"{_key_types(images, keys)}, u int, v int, {names}")
 
 
 def depth_images(levels: DataFrame, size: tuple[int, int]) -> DataFrame:
-    """(frame_id, content): the depth levels(frame_id, u, v, level) of each frame as a grey PNG, 0 where there is none."""
+    """([scan_id,] frame_id, content): the depth levels of each frame's (u, v) as a grey PNG, 0 where there is none."""
+    keys = _image_keys(levels)
 
     def draw(frame: pd.DataFrame) -> pd.DataFrame:
         image = np.zeros((size[1], size[0]), dtype=np.uint8)
         image[frame["v"], frame["u"]] = frame["level"]
-        return pd.DataFrame({"frame_id": [frame["frame_id"].iloc[0]], "content": [encode_png(image)]})
+        return pd.DataFrame({**{k: [frame[k].iloc[0]] for k in keys}, "content": [encode_png(image)]})
 
-    return levels.groupBy("frame_id").applyInPandas(draw, "frame_id int, content binary")
+    return levels.groupBy(*keys).applyInPandas(draw, f"{_key_types(levels, keys)}, content binary")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..iterate import durable
 
 FRAME = "struct<file_path:string,transform_matrix:array<array<double>>,intrinsic_matrix:array<array<double>>,depth_path:string,confidence_path:string>"
 TRANSFORMS = f"camera_model string, width int, height int, frames array<{FRAME}>"
@@ -78,24 +79,89 @@ def with_confidence(depth: DataFrame, conf: DataFrame, on: list[str]) -> DataFra
     return depth.join(conf, on, "left")
 
 
-def write_ply(points: DataFrame, path: str, key: str = "point_id") -> None:
-    """ASCII PLY: the parts in the order of their names are one file, its header first."""
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """df sorted by some columns, with `place` 0, 1, 2, ... in that order: counted part by part, so no task holds all rows.
+
+    Where all of a part's rows are is fixed by writing them first."""
+    sorted_parts = durable(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id()), "sorted")
+    part = F.shiftright("id", 33)
+    counts = sorted_parts.groupBy(part.alias("part")).agg(F.count("*").alias("n"))  # a row for each part
+    before = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return sorted_parts.withColumn("part", part).join(before, "part").withColumn("place", F.col("before") + F.col("id").bitwiseAND((1 << 33) - 1)).drop("id", "part", "before")
+
+
+def write_ply(points: DataFrame, path: str, key: str = "point_id", triangles: DataFrame | None = None) -> None:
+    """ASCII PLY: the parts in the order of their names are one file, its header first, then the points by key.
+
+    With triangles(face_id, v0, v1, v2) their faces follow, each naming its corners by their places in the file."""
     fields = [c for c in points.columns if c != key]
-    n = points.count()
-    header = ["ply", "format ascii 1.0", f"element vertex {n}", *(f"property double {c}" for c in fields), "end_header"]
-    head = points.sparkSession.createDataFrame(list(enumerate(header)), "k long, value string").select(F.lit(0).alias("part"), "k", "value")
-    body = points.select(F.lit(1).alias("part"), F.col(key).cast("long").alias("k"), F.concat_ws(" ", *(F.col(c).cast("double").cast("string") for c in fields)).alias("value"))
+    at = numbered(points.select(key, *fields), key)
+    header = ["ply", "format ascii 1.0", f"element vertex {points.count()}", *(f"property double {c}" for c in fields)]
+    line = F.concat_ws(" ", *(F.col(c).cast("double").cast("string") for c in fields))
+    body = at.select(F.lit(1).alias("part"), F.col("place").alias("k"), line.alias("value"))
+    if triangles is not None:
+        header += [f"element face {triangles.count()}", "property list uchar int vertex_indices"]
+        corners = triangles.select("face_id", "v0", "v1", "v2")
+        for c in ("v0", "v1", "v2"):
+            corners = corners.join(at.select(F.col(key).alias(c), F.col("place").alias(f"{c}_place")), c)
+        body = body.unionByName(corners.select(F.lit(2).alias("part"), F.col("face_id").cast("long").alias("k"), F.concat_ws(" ", F.lit("3"), *(F.col(f"v{i}_place").cast("string") for i in range(3))).alias("value")))
+    head = points.sparkSession.createDataFrame(list(enumerate([*header, "end_header"])), "k long, value string").select(F.lit(0).alias("part"), "k", "value")
     head.unionByName(body).repartitionByRange("part", "k").sortWithinPartitions("part", "k").select("value").write.mode("overwrite").text(path)
 
 
-def read_ply(spark: SparkSession, path: str) -> DataFrame:
-    """Vertices of an ASCII PLY, columns as its header names them (all double)."""
-    lines = spark.read.text(path)
-    header = [r["value"] for r in lines.where(F.col("value").startswith("property ")).select("value").orderBy(F.monotonically_increasing_id()).limit(100).collect()]
-    names = [h.split()[-1] for h in header]
-    parts = F.split(F.trim("value"), r"\s+")
-    body = lines.where(F.col("value").rlike(r"^\s*(-?[0-9.]|NaN|-?Infinity)"))
-    return body.select(*(parts[i].cast("double").alias(c) for i, c in enumerate(names)))
+_WHOLE_NUMBERS = {"char", "uchar", "short", "ushort", "int", "uint", "int8", "uint8", "int16", "uint16", "int32", "uint32"}
+
+
+def ply_header(spark: SparkSession, path: str) -> list[tuple[str, int, list[tuple[str, str, bool]]]]:
+    """(element, rows, properties) in order; a property is (name, type of its numbers, whether it is a list). Any number of them."""
+    words = "^(ply|format|comment|obj_info|element|property|end_header)( |$)"
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    out: list[tuple[str, int, list[tuple[str, str, bool]]]] = []
+    for r in lines.where(F.col("value").rlike(words)).orderBy("file", "block", "id").collect():  # the header's lines
+        word = r["value"].split()
+        if word[0] == "format" and word[1] != "ascii":
+            raise ValueError(f"{path} is a PLY of format {word[1]}; only ascii is read")
+        if word[0] == "element":
+            out.append((word[1], int(word[2]), []))
+        elif word[0] == "property":
+            out[-1][2].append((word[-1], word[-2], word[1] == "list"))
+        elif word[0] == "end_header":
+            break
+    return out
+
+
+def read_ply(spark: SparkSession, path: str, element: str = "vertex") -> DataFrame:
+    """The rows of an element of an ASCII PLY, columns as its header names them: numbers are double, lists are arrays.
+
+    Lines are numbered block by block (a row for each block is counted), so elements are told apart by their places,
+    whatever their lines look like; `place` is the row's place in its element. An element that the header lacks, or
+    one of no rows, has no rows."""
+    header = ply_header(spark, path)
+    first = 0
+    for name, rows, properties in header:
+        if name == element:
+            break
+        first += rows
+    else:
+        rows, properties = 0, []
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    body = lines.where(~F.col("value").rlike("^(ply|format|comment|obj_info|element|property|end_header)( |$)") & (F.trim("value") != ""))
+    # the header and blank lines stand before or after a block's other lines, never between them
+    counts = body.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    before = counts.select("file", "block", "least", F.coalesce(F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    at = body.join(before, ["file", "block"]).select("value", (F.col("before") + F.col("id") - F.col("least") - first).alias("place"))
+    own = at.where((F.col("place") >= 0) & (F.col("place") < rows)).withColumn("parts", F.split(F.trim("value"), r"\s+"))
+    columns, k = [], F.lit(1)
+    for name, kind, is_list in properties:
+        if is_list:
+            n = F.element_at("parts", k).cast("int")
+            item = "long" if kind in _WHOLE_NUMBERS else "double"
+            columns.append(F.transform(F.slice("parts", k + 1, n), lambda x, t=item: x.cast(t)).alias(name))
+            k = k + 1 + n
+        else:
+            columns.append(F.element_at("parts", k).cast("double").alias(name))
+            k = k + 1
+    return own.select(*columns, "place")
 
 
 def write_mesh(vertices: DataFrame, triangles: DataFrame, path: str) -> None:
@@ -111,7 +177,7 @@ def first_cloud(spark: SparkSession, paths: list[str]) -> DataFrame:
     """The first of several clouds that exists: coloured, filtered, raw."""
     for p in paths:
         try:
-            return read_ply(spark, p)
+            return read_ply(spark, p).drop("place")
         except Exception as e:  # Spark names a missing path only in the message's class
             if "PATH_NOT_FOUND" not in str(e):
                 raise
@@ -128,16 +194,20 @@ def write_json(document: DataFrame, path: str) -> None:
     document.coalesce(1).write.mode("overwrite").json(path, ignoreNullFields=False)
 
 
-def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def read_json(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """The documents of JSON files: one of any layout for each file, or, as write_json writes several, one for each line."""
+    return spark.read.schema(schema).option("multiLine", not lines).json(path)
 
 
 def path_document(paths: DataFrame, statistics: DataFrame, info: DataFrame) -> DataFrame:
-    """Each scan's path with its statistics and grid facts as one document."""
+    """Each scan's path with its statistics and grid facts as one document. Where info has a scan_id each scan has its own
+    grid; without one all share the single row of info."""
     steps = paths.where("status = 'ok'").groupBy("scan_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))), lambda p: F.array(p["x"], p["y"])).alias("path"))
-    grid = info.select(F.struct("resolution", F.array("x0", "y0").alias("origin"), F.array("nx", "ny").alias("size")).alias("grid_info"))
+    own = ["scan_id"] if "scan_id" in info.columns else []
+    grid = info.select(*own, F.struct("resolution", F.array("x0", "y0").alias("origin"), F.array("nx", "ny").alias("size")).alias("grid_info"))
     stats = F.struct("nodes_explored", "path_length_grid", F.col("path_cost_cells").alias("path_cost"), "algorithm", "success", F.col("path_length_m").alias("path_length_meters"))
-    return statistics.join(steps, "scan_id", "left").crossJoin(F.broadcast(grid)).select(
+    told = statistics.join(steps, "scan_id", "left")
+    return (told.join(grid, "scan_id") if own else told.crossJoin(F.broadcast(grid))).select(
         "scan_id", "algorithm", F.element_at("path", 1).alias("start"), F.element_at("path", -1).alias("goal"), F.coalesce("path", F.array().cast("array<array<double>>")).alias("path"), stats.alias("statistics"), "grid_info")
 
 

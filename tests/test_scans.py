@@ -1,5 +1,6 @@
 """Fixtures with results worked out by hand, properties, and streams."""
 
+import heapq
 import math
 
 import numpy as np
@@ -84,11 +85,35 @@ def test_room_path(spark):
     assert all(max(abs(a - c), abs(b - d)) == 1 for (a, b), (c, d) in zip(steps, steps[1:]))
 
 
+def best_first(free: set[tuple[int, int]], start: tuple[int, int], goal: tuple[int, int]) -> tuple[list[tuple[int, int]], int, float]:
+    """The cheapest 8-connected path, the cells settled (the goal too) and the cost; no path: ([], n, inf)."""
+    best, came, settled, n = {start: 0.0}, {}, set(), 0
+    heap = [(math.dist(start, goal), 0, start)]
+    while heap:
+        _, _, at = heapq.heappop(heap)
+        if at in settled:
+            continue
+        settled.add(at)
+        if at == goal:
+            path = [at]
+            while at in came:
+                at = came[at]
+                path.append(at)
+            return path[::-1], len(settled), best[goal]
+        for dx, dy, c in planning.STEPS:
+            to = (at[0] + dx, at[1] + dy)
+            if to in free and to not in settled and best[at] + c < best.get(to, math.inf) - 1e-12:
+                best[to], came[to] = best[at] + c, at
+                n += 1
+                heapq.heappush(heap, (best[to] + math.dist(to, goal), n, to))
+    return [], len(settled), math.inf
+
+
 def test_walled_grid(spark):
     free = rooms.walled_grid(spark)
     cost = {(r["gx"], r["gy"]): r["cost"] for r in planning.cost_field(free, (0, 0)).collect()}
     assert len(cost) == 134 and math.isclose(cost[11, 0], 24.556349, abs_tol=1e-6) and math.isclose(max(cost.values()), 24.556349, abs_tol=1e-6)
-    assert planning.astar(set(cost), (0, 0), (11, 0))[2] == pytest.approx(cost[11, 0])
+    assert best_first(set(cost), (0, 0), (11, 0))[2] == pytest.approx(cost[11, 0])
     asked = spark.createDataFrame([("w", 1.0, 0.0, 0.0, 12, 12, 0.5, 0.5, 11.5, 0.5)], "scan_id string, resolution double, x0 double, y0 double, nx int, ny int, x1 double, y1 double, x2 double, y2 double")
     trees = planning.random_trees(free.withColumn("scan_id", F.lit("w")), asked, seeds=3).collect()
     for seed in range(3):
@@ -137,9 +162,9 @@ def test_neighbours_with_salt_and_few_points(spark):
     p = spark.createDataFrame(rows, "point_id long, x double, y double, z double")
     plain, salted = (sorted(map(tuple, neighbours.within(p, p, 1.0, salts=s).collect())) for s in (1, 3))
     assert plain == salted and len(plain) == 80
-    near = neighbours.nearest(p, p, 3, 0.5).groupBy("point").count().collect()
+    near = neighbours.nearest(p, p, 3).groupBy("point").count().collect()
     assert len(near) == 25 and all(r["count"] == 3 for r in near)
-    assert neighbours.nearest(p.limit(2), p.limit(2), 3, 0.5).count() == 2
+    assert neighbours.nearest(p.limit(2), p.limit(2), 3).count() == 2
     thin = cloud.voxels(p, 0.5)
     assert thin.count() == 25 and cloud.statistical_inliers(p, 4, 100.0).count() == 25
 
@@ -153,8 +178,8 @@ def test_raster(spark):
     assert raster.boundary(block).count() == 16
     both = block.union(spark.createDataFrame([(20, 20)], block.schema))
     assert raster.components(both).select("comp").distinct().count() == 2
-    corners = {(r["px"], r["py"]) for r in raster.contours(both).collect()}
-    assert corners == {(0, 0), (4, 0), (4, 4), (0, 4), (20, 20)}
+    corners = {(r["x"], r["y"]) for r in raster.outlines(both).collect()}
+    assert corners == {(0, 0), (5, 0), (5, 5), (0, 5), (20, 20), (21, 20), (21, 21), (20, 21)}
 
 
 def test_percentile(spark):
