@@ -155,8 +155,8 @@ def read_ply(spark: SparkSession, path: str, element: str = "vertex") -> DataFra
     for name, kind, is_list in properties:
         if is_list:
             n = F.element_at("parts", k).cast("int")
-            item = "long" if kind in _WHOLE_NUMBERS else "double"
-            columns.append(F.transform(F.slice("parts", k + 1, n), lambda x, t=item: x.cast(t)).alias(name))
+            item = "bigint" if kind in _WHOLE_NUMBERS else "double"
+            columns.append(F.slice("parts", k + 1, n).cast(f"array<{item}>").alias(name))
             k = k + 1 + n
         else:
             columns.append(F.element_at("parts", k).cast("double").alias(name))
