@@ -583,7 +583,7 @@ v AS (SELECT r.ring, w.id, w.k % r.n AS seq FROM r JOIN w USING (ring)),
 z AS (SELECT ring, sum(x * ty - tx * y) AS area FROM v JOIN e USING (id) GROUP BY ring)"""
 
 
-@query(SPLAT.replace("WITH s AS", "WITH RECURSIVE s_ AS", 1).replace("FROM s)", "FROM s_)").replace("FROM s, m)", "FROM s_, m)") + f", {SIDES} SELECT v.ring, v.seq, e.x, e.y, area < 0 AS inner FROM v JOIN e USING (id) JOIN e l ON l.nid = e.id JOIN z USING (ring) WHERE l.d <> e.d")
+@query(SPLAT.replace("WITH s AS", "WITH RECURSIVE s_ AS", 1).replace("FROM s)", "FROM s_)").replace("FROM s, m)", "FROM s_, m)") + f", {SIDES} SELECT v.ring, CAST(v.seq AS BIGINT) AS seq, e.x, e.y, area < 0 AS inner FROM v JOIN e USING (id) JOIN e l ON l.nid = e.id JOIN z USING (ring) WHERE l.d <> e.d")
 def r5_r6_outlines(spark, d):
     """The corners of all outlines of the floor plan's mask in order, holes too."""
     return raster.outlines(raster.splat(*_plan(spark, d)))
@@ -657,7 +657,7 @@ def n1_j8_u6_cost_field(spark, d):
 
 @query(f"""WITH RECURSIVE {SCAN_GRIDS}, {SCAN_COSTS}, {SCAN_FIELD}, t AS (SELECT scan_id, max((gx, gy)) AS p FROM p GROUP BY scan_id),
 w(scan_id, goal_x, goal_y, gx, gy, back) AS (SELECT p.scan_id, gx, gy, gx, gy, 0 FROM p JOIN t ON t.scan_id = p.scan_id AND (gx, gy) = t.p UNION ALL SELECT w.scan_id, goal_x, goal_y, p.b.x, p.b.y, back + 1 FROM w JOIN p ON p.scan_id = w.scan_id AND p.gx = w.gx AND p.gy = w.gy WHERE p.cost > 0)
-SELECT scan_id, goal_x, goal_y, max(back) OVER (PARTITION BY scan_id) - back AS seq, gx, gy FROM w""")
+SELECT scan_id, goal_x, goal_y, CAST(max(back) OVER (PARTITION BY scan_id) - back AS BIGINT) AS seq, gx, gy FROM w""")
 def n2_paths_of_scans(spark, d):
     """The cheapest paths of three scans, from the first column to the last cell that is reached."""
     field = _scan_field(spark, d)
