@@ -34,10 +34,15 @@ def grid_info(points: DataFrame, resolution: float = GRID.resolution, by: list[s
     return b.where("n > 0").select(*(by or []), g.real(resolution).alias("resolution"), F.col("x_min").alias("x0"), F.col("y_min").alias("y0"), *(v.alias(n) for n, v in cells.items()))
 
 
-def occupied(points: DataFrame, info: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Distinct cells that hold points; coordinates beyond the last cell count for it."""
+def cells_of(points: DataFrame, info: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The cell of each point; coordinates beyond the last cell count for it."""
     x, y = (F.greatest(F.lit(0), F.least(F.col(n) - 1, g.to_cell(a, f"{a}0", F.col("resolution")))) for a, n in (("x", "nx"), ("y", "ny")))
-    return beside(points, info, by).select(*(by or []), x.alias("gx"), y.alias("gy")).distinct()
+    return beside(points, info, by).select(*(by or []), x.alias("gx"), y.alias("gy"))
+
+
+def occupied(points: DataFrame, info: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Distinct cells that hold points."""
+    return cells_of(points, info, by).distinct()
 
 
 def inflate(cells: DataFrame, info: DataFrame, margin: int = GRID.margin, by: list[str] | None = None) -> DataFrame:

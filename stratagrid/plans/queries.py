@@ -12,6 +12,7 @@ from ..functions import geometry as g
 from ..iterate import durable, shared_dir
 from ..operators import cloud, frames, mesh, neighbours, orientation, planes, planning, raster
 from ..sources import images, rooms, scan_files
+from ..streaming import scans as streams
 from . import inputs, pipelines
 from .inputs import CLOUD, IDENTIFIED, PIXELS, POSES, ROOM_SQL, SCANS, WALKS
 
@@ -749,6 +750,44 @@ def inputs_config():
     return ScanConfig(voxel=0.5, outlier_neighbours=8)
 
 
+# ---- streams
+
+def _arriving(df: DataFrame, name: str, files: int, key: str, each: int) -> DataFrame:
+    """df as a stream whose rows arrive in files dealt by a key, so out of order, `each` files to a micro-batch."""
+    path = _fresh(df.sparkSession, name)
+    df.repartition(files, key).write.parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", each).parquet(path)
+
+
+@query(SQL["w1_keyframes"])
+def w1_streamed_keyframes(spark, d):
+    """Keyframes of all scans, whose frames arrive out of order over several micro-batches."""
+    arriving = _arriving(inputs.walks(spark, d), "arriving", 6, "frame_id", 2)
+    return streams.appended(streams.keyframes(arriving), "streamed-keyframes").select("scan_id", F.col("frame_id").cast("int").alias("frame_id"))
+
+
+def _streamed_cloud(spark, d):
+    """The cloud as a stream, and as it is for the facts that a stream has to be told."""
+    whole = inputs.cloud(spark, d).select("x", "y", "z")
+    return _arriving(whole, "arriving", 6, "x", 2), whole
+
+
+@query(SQL["a3_voxels"])
+def a3_streamed_voxels(spark, d):
+    """Voxel means kept while points arrive, after the last micro-batch."""
+    arriving, whole = _streamed_cloud(spark, d)
+    origin = durable(whole.agg(*(F.min(a).alias(f"{a}0") for a in "xyz")), "origin")
+    return rounded(streams.latest(streams.voxel_means(arriving, origin, 0.25), ["vx", "vy", "vz"], "streamed-voxels"), "x", "y", "z", digits=9)
+
+
+@query(f"""WITH i AS (SELECT min(x) AS x0, min(y) AS y0, greatest(1, CAST(ceil((max(x)-min(x))/0.1::DOUBLE) AS INT)) AS nx, greatest(1, CAST(ceil((max(y)-min(y))/0.1::DOUBLE) AS INT)) AS ny FROM {CLOUD})
+SELECT DISTINCT greatest(0, least(nx-1, CAST(trunc((x-x0)/0.1::DOUBLE) AS INT))) AS gx, greatest(0, least(ny-1, CAST(trunc((y-y0)/0.1::DOUBLE) AS INT))) AS gy FROM {CLOUD}, i""")
+def a14_streamed_cells(spark, d):
+    """Grid cells in the order in which points first fall into them; each once, over several micro-batches."""
+    arriving, whole = _streamed_cloud(spark, d)
+    return streams.appended(streams.occupied_cells(arriving, durable(raster.grid_info(whole), "grid")), "streamed-cells")
+
+
 # ---- files
 
 def _fresh(spark, name: str) -> str:

@@ -208,22 +208,53 @@ def test_npy_and_status(spark, tmp_path):
 
 def test_streams(spark, tmp_path):
     source = str(tmp_path / "in")
-    poses(spark, [0.0, 0.05, 0.09]).select("scan_id", F.col("frame_id").cast("long").alias("frame_id"), "tx", "ty", "tz").coalesce(1).write.parquet(source)
-    schema = "scan_id string, frame_id long, tx double, ty double, tz double"
-
+    moves = [0.0, 0.05, 0.09, 0.10, 0.20, 0.21]
+    every = poses(spark, moves).select("scan_id", F.col("frame_id").cast("long").alias("frame_id"), *g.POSE)
+    # the fifth frame is turned by more than the limit without moving far
+    every = every.withColumns({"r00": F.when(F.col("frame_id") == 5, 0.8).otherwise(F.col("r00")), "r01": F.when(F.col("frame_id") == 5, -0.6).otherwise(F.col("r01")),
+                               "r10": F.when(F.col("frame_id") == 5, 0.6).otherwise(F.col("r10")), "r11": F.when(F.col("frame_id") == 5, 0.8).otherwise(F.col("r11"))})
+    every = spark.createDataFrame(every.collect(), every.schema)
+    every.where("frame_id in (0, 2)").coalesce(1).write.parquet(source)
     out = str(tmp_path / "kept")
 
-    def keep():
-        kept = scans.keyframes(spark.readStream.schema(schema).parquet(source))
-        q = kept.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-        q.awaitTermination(120)
-        return sorted(r["frame_id"] for r in spark.read.parquet(out).collect())
+    def keep(patience=600_000):
+        kept = scans.keyframes(spark.readStream.schema(every.schema).parquet(source), patience_ms=patience)
+        with scans.settings(spark):
+            kept.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination(120)
+        return sorted(r["frame_id"] for r in spark.read.schema(every.schema).parquet(out).collect())
 
+    assert keep() == [0]  # the third frame waits for the second
+    every.where("frame_id in (1, 3, 3)").coalesce(1).write.mode("append").parquet(source)
     assert keep() == [0, 2]
-    later = poses(spark, [0.0, 0.05, 0.09, 0.10, 0.20]).where("frame_id > 2").select("scan_id", F.col("frame_id").cast("long").alias("frame_id"), "tx", "ty", "tz")
-    later.coalesce(1).write.mode("append").parquet(source)
-    assert keep() == [0, 2, 4]  # the last kept position comes from the state
-    points = spark.readStream.schema(schema).parquet(source).select(F.col("tx").alias("x"), F.col("ty").alias("y"), F.col("tz").alias("z"))
+    every.where("frame_id in (4, 1)").coalesce(1).write.mode("append").parquet(source)
+    assert keep() == [0, 2, 4]  # the last kept position comes from the state, the repeated frame is late
+    every.where("frame_id = 5").coalesce(1).write.mode("append").parquet(source)
+    assert keep() == [0, 2, 4, 5] == sorted(r["frame_id"] for r in frames.keyframes(every).collect())
+    points = spark.readStream.schema(every.schema).parquet(source).select(F.col("tx").alias("x"), F.col("ty").alias("y"), F.col("tz").alias("z"))
     q = scans.voxel_counts(points, 0.1).writeStream.outputMode("complete").format("memory").queryName("cells").trigger(availableNow=True).start()
     q.awaitTermination(120)
-    assert sum(r["n_points"] for r in spark.table("cells").collect()) == 5
+    assert sum(r["n_points"] for r in spark.table("cells").collect()) == 7
+
+
+def test_missing_frames_are_given_up(spark, tmp_path):
+    """The timer lets the frames go that wait for one that never comes; then that one is late."""
+    source, out = str(tmp_path / "in"), str(tmp_path / "kept")
+    every = poses(spark, [0.0, 0.5, 1.0, 1.5]).select("scan_id", F.col("frame_id").cast("long").alias("frame_id"), *g.POSE)
+
+    def keep(*ids):
+        every.where(F.col("frame_id").isin(*ids)).coalesce(1).write.mode("append").parquet(source)
+        kept = scans.keyframes(spark.readStream.schema(every.schema).parquet(source), patience_ms=1)
+        with scans.settings(spark):
+            kept.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination(120)
+        return sorted(r["frame_id"] for r in spark.read.schema(every.schema).parquet(out).collect())
+
+    keep(0, 2)
+    keep(3)
+    assert keep(1) == [0, 2, 3]
+
+
+def test_no_rows_on_a_stream(spark, tmp_path):
+    source = str(tmp_path / "in")
+    every = poses(spark, [0.0]).select("scan_id", "frame_id", *g.POSE)
+    every.where("false").write.parquet(source)
+    assert scans.appended(scans.keyframes(spark.readStream.schema(every.schema).parquet(source)), "kept").count() == 0
