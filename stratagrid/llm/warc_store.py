@@ -23,6 +23,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 #: Payloads below so many bytes are not deduplicated into revisits by default, so many records may share one.
 SMALL = 1000
+#: An address is hot when more than one in so many records has it, so there are fewer hot addresses than this.
+HOT = 1000
 
 
 @dataclass(frozen=True)
@@ -40,10 +42,30 @@ def _bucketed(df: DataFrame, column: str) -> DataFrame:
     """df as a table in the shared folder, in as many buckets by a column as the session shuffles into."""
     spark = df.sparkSession
     name = f"warc_payloads_{uuid.uuid4().hex}"
-    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    df.write.partitionBy("small").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     return spark.table(name)
 
 
+def _hot(payloads: DataFrame) -> DataFrame:
+    """The facts of hot addresses: fewer than HOT rows whatever the archive."""
+    records = payloads.agg(F.sum("copies")).first()[0] or 0
+    return payloads.where(F.col("copies") > records // HOT)
+
+
+def _joined(rows: DataFrame, facts: DataFrame, hot: DataFrame, on: list[str], spread: Column) -> DataFrame:
+    """rows with the facts of their keys, each key once in facts; rows without facts go.
+
+    Rows of the hot keys take their facts from a broadcast copy and go through the other join under keys that nothing
+    has, dealt by `spread`. So no task meets all rows of a key, and rows are read once. The last key is a string."""
+    names, last = [c for c in facts.columns if c not in on], on[-1]
+    marked = rows.join(F.broadcast(hot.select(*on, F.struct(*names).alias("near"))), on, "left")
+    nothing = F.concat(F.lit("hot "), F.pmod(spread, F.lit(1 << 16)).cast("string"))
+    marked = marked.withColumn("key", F.when(F.col("near").isNull(), F.col(last)).otherwise(nothing))
+    far = facts.select(*on[:-1], F.col(last).alias("key"), F.struct(*names).alias("far"))
+    met = marked.join(far, [*on[:-1], "key"], "left").where("near is not null or far is not null")
+    return met.select(*rows.columns, *(F.coalesce("near", "far")[n].alias(n) for n in names))
+
+
 def write_archive(pages: DataFrame, least_bytes: int = 1000, date: str = "1970-01-01T00:00:00Z") -> Archive:
     """A record for each row of pages(page_id, url, html); a null html is the empty payload.
 
@@ -56,9 +78,10 @@ def write_archive(pages: DataFrame, least_bytes: int = 1000, date: str = "1970-0
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"address": F.sha2("payload", 256), "n": F.octet_length("payload").cast("long")})
     # one row for each address: copies meet in the partial aggregation before the shuffle
-    stored = rows.groupBy("address").agg(F.max("page_id").alias("owner"), F.first("payload").alias("payload"))
-    payloads = _bucketed(stored.withColumn("sha1", F.sha1("payload")), "address")
-    found = rows.drop("payload").join(payloads.select("address", "owner", "sha1"), "address")  # AQE splits a hot address
+    stored = rows.groupBy("address").agg(F.max("page_id").alias("owner"), F.count("*").alias("copies"), F.first("payload").alias("payload"))
+    payloads = _bucketed(stored.withColumns({"sha1": F.sha1("payload"), "small": F.octet_length("payload") < SMALL}), "address")
+    facts = ("address", "owner", "sha1")
+    found = _joined(rows.drop("payload"), payloads.select(*facts), _hot(payloads).select(*facts), ["address"], F.xxhash64("page_id", "url"))
     revisit = (F.col("n") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("owner"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("n").cast("string"), F.lit(CRLF + CRLF))
     body = F.when(F.col("revisit"), F.lit(0)).otherwise(F.col("n"))
@@ -100,12 +123,14 @@ def _parts(archive: Archive) -> tuple[DataFrame, DataFrame]:
     """The records of responses and of revisits, rebuilt by joins."""
     end, revisit = F.lit(CRLF + CRLF).cast("binary"), _field(F.decode("header", "ISO-8859-1"), "WARC-Type") == "revisit"
     intact = F.assert_true(F.sha2("payload", 256) == F.col("address"), F.lit("a stored payload does not match its address"))
-    stored = archive.payloads.select("address", "payload", intact.alias("checked")).where("checked is null")
-    first, size = archive.headers.where(~revisit), F.octet_length("payload")
-    # large payloads have one response each and stay in their buckets; of small ones many records may share
-    # one, so they move and AQE splits a hot address
-    large = first.where(F.col("n") >= SMALL).join(stored.where(size >= SMALL), "address")
-    small = first.where(F.col("n") < SMALL).join(stored.where(size < SMALL).repartition("address"), "address")
+
+    def stored(found: DataFrame, small: bool) -> DataFrame:
+        return found.where(F.col("small") == small).select("address", "payload", intact.alias("checked")).where("checked is null").drop("checked")
+
+    first = archive.headers.where(~revisit)
+    # large payloads have one response each; of small ones many records may share one (hot ones are under a megabyte in all)
+    large = first.where(F.col("n") >= SMALL).join(stored(archive.payloads, False), "address")
+    small = _joined(first.where(F.col("n") < SMALL), stored(archive.payloads, True), stored(_hot(archive.payloads), True), ["address"], F.xxhash64("header"))
     whole = F.concat("header", "payload", end).alias("record")
     return large.select(whole).unionByName(small.select(whole)), archive.headers.where(revisit).select(F.concat("header", end).alias("record"))
 
@@ -141,6 +166,7 @@ def read_archive(archive: Archive) -> DataFrame:
     right = F.assert_true(F.col("named") == F.concat(F.lit("sha1:"), F.col("payload_digest")), F.lit("a payload does not have the digest that its header names"))
     first = written(first.withColumn("checked", right).where("checked is null").drop("checked", "body"), "warc-responses")
     owners = first.groupBy(F.col("page_id").alias("refers_to"), "named").agg(F.first("payload_bytes").alias("payload_bytes"), F.first("payload_digest").alias("payload_digest"))
-    again = again.drop("body").join(owners, ["refers_to", "named"])  # AQE splits a hot record
+    hot = _hot(archive.payloads).select(F.col("owner").alias("refers_to"), F.concat(F.lit("sha1:"), F.col("sha1")).alias("named"))
+    again = _joined(again.drop("body"), owners, owners.join(F.broadcast(hot), ["refers_to", "named"], "left_semi"), ["refers_to", "named"], F.xxhash64("page_id"))
     columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     return first.select(*columns).unionByName(again.select(*columns))

@@ -3,9 +3,10 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 
+from stratagrid.llm import positional_index, warc_store
 from stratagrid.llm.nbsvm import BITS, BUCKETS, FAMILIES, WordMemo, classify, descend, features, fit, ratios, shape, train
-from stratagrid.llm import positional_index
 from stratagrid.llm.positional_index import Phrases, build_index, contamination, search, words
 from stratagrid.llm.warc_store import read_archive, records, write_archive
 
@@ -89,7 +90,10 @@ def test_proximity(spark):
     assert {r["doc_id"] for r in found.collect() if r["items"]} == {1, 2}
 
 
-def test_archive(spark, sf_dir):
+@pytest.mark.parametrize("hot", [warc_store.HOT, 4, 1])
+def test_archive(spark, sf_dir, monkeypatch, hot):
+    """With all addresses hot, some, and none."""
+    monkeypatch.setattr(warc_store, "HOT", hot)
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     a = "a" * 1200
     extra = spark.createDataFrame(
