@@ -18,14 +18,16 @@ def classify(planes: DataFrame) -> DataFrame:
     return planes.withColumn("angle", g.plane_angle(nz)).withColumn("type", g.plane_class("angle"))
 
 
-def floor_height(planes: DataFrame, points: DataFrame, signed: bool = False) -> DataFrame:
-    """One row: the floor's height. Of planes whose normal points up (nz > 0.8) the nearest to the origin;
+def floor_height(planes: DataFrame, points: DataFrame, signed: bool = False, by: list[str] | None = None) -> DataFrame:
+    """A row (for each scan with points): the floor's height. Of planes whose normal points up (nz > 0.8) the nearest to the origin;
     without one, the lowest point. The distance has no sign unless `signed`, which gives -d / c."""
     length = g.norm("a", "b", "c")
     up = planes.where(F.col("c") / length > 0.8).withColumn("dist", g.plane_distance("a", "b", "c", "d"))
     height = -F.col("d") / F.col("c") if signed else F.col("dist")
-    best = up.agg(F.min(F.struct("dist", "plane_id", height.alias("h"))).alias("best"))
-    low = points.agg(F.min("z").alias("low"))
+    best = up.groupBy(*(by or [])).agg(F.min(F.struct("dist", "plane_id", height.alias("h"))).alias("best"))
+    low = points.groupBy(*(by or [])).agg(F.min("z").alias("low"))
+    if by:
+        return low.join(best, by, "left").select(*by, F.coalesce("best.h", "low").alias("floor_height"))
     return best.crossJoin(F.broadcast(low)).select(F.coalesce("best.h", "low").alias("floor_height"))
 
 

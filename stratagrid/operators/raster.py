@@ -76,58 +76,64 @@ def occupancy_ratio(occ: DataFrame, info: DataFrame, by: list[str] | None = None
     return both.select(*own, found.alias("n_occupied"), cells.cast("long").alias("n_cells"), (found * 100.0 / cells).alias("percent"))
 
 
-def blueprint_meta(points: DataFrame, padding: float = FLOOR.padding, resolution: int = FLOOR.pixels_per_metre) -> DataFrame:
-    """One row: the floor plan's limits and size in pixels."""
-    b = cloud.bounds(points).where("n > 0")
-    limits = b.select(F.lit(resolution).alias("resolution"), *((F.col(f"{a}_min") - padding).alias(f"{a}_min") for a in "xy"), *((F.col(f"{a}_max") + padding).alias(f"{a}_max") for a in "xy"))
+def blueprint_meta(points: DataFrame, padding: float = FLOOR.padding, resolution: int = FLOOR.pixels_per_metre, by: list[str] | None = None) -> DataFrame:
+    """A row (for each scan): the floor plan's limits and size in pixels."""
+    b = cloud.bounds(points, by).where("n > 0")
+    limits = b.select(*(by or []), F.lit(resolution).alias("resolution"), *((F.col(f"{a}_min") - padding).alias(f"{a}_min") for a in "xy"), *((F.col(f"{a}_max") + padding).alias(f"{a}_max") for a in "xy"))
     return limits.withColumns({"img_width": ((F.col("x_max") - F.col("x_min")) * F.col("resolution")).cast("int"), "img_height": ((F.col("y_max") - F.col("y_min")) * F.col("resolution")).cast("int")})
 
 
-def splat(points: DataFrame, meta: DataFrame, radius: int = FLOOR.dot_radius) -> DataFrame:
+_IN_IMAGE = "px >= 0 and px < img_width and py >= 0 and py < img_height"
+
+
+def splat(points: DataFrame, meta: DataFrame, radius: int = FLOOR.dot_radius, by: list[str] | None = None) -> DataFrame:
     """Pixels of discs around the points' pixels, inside the image."""
-    at = points.crossJoin(F.broadcast(meta)).select(*(v.alias(k) for k, v in g.to_pixel("x", "y", "x_min", "y_max", "resolution").items()), "img_width", "img_height")
-    centre = at.where("px >= 0 and px < img_width and py >= 0 and py < img_height").distinct()
+    own = by or []
+    at = beside(points, meta, by).select(*own, *(v.alias(k) for k, v in g.to_pixel("x", "y", "x_min", "y_max", "resolution").items()), "img_width", "img_height")
+    centre = at.where(_IN_IMAGE).distinct()
     disc = offsets(radius, lambda dx, dy: dx * dx + dy * dy <= radius * radius)
-    return spread(centre, disc, "px", "py").where("px >= 0 and px < img_width and py >= 0 and py < img_height").select("px", "py").distinct()
+    return spread(centre, disc, "px", "py").where(_IN_IMAGE).select(*own, "px", "py").distinct()
 
 
-def dilate(pixels: DataFrame, meta: DataFrame, size: int = FLOOR.close_size) -> DataFrame:
+def dilate(pixels: DataFrame, meta: DataFrame, size: int = FLOOR.close_size, by: list[str] | None = None) -> DataFrame:
     wide = spread(pixels, offsets(size // 2), "px", "py").distinct()
-    return wide.crossJoin(F.broadcast(meta.select("img_width", "img_height"))).where("px >= 0 and px < img_width and py >= 0 and py < img_height").select("px", "py")
+    return beside(wide, meta, by, "img_width", "img_height").where(_IN_IMAGE).select(*(by or []), "px", "py")
 
 
-def erode(pixels: DataFrame, meta: DataFrame, size: int = FLOOR.close_size) -> DataFrame:
+def erode(pixels: DataFrame, meta: DataFrame, size: int = FLOOR.close_size, by: list[str] | None = None) -> DataFrame:
     """Pixels whose whole neighbourhood inside the image is set."""
-    r = size // 2
-    votes = spread(pixels, offsets(r), "px", "py").groupBy("px", "py").agg(F.count("*").alias("n"))
+    r, own = size // 2, by or []
+    votes = spread(pixels, offsets(r), "px", "py").groupBy(*own, "px", "py").agg(F.count("*").alias("n"))
     span = lambda p, n: F.least(F.col(p) + r, F.col(n) - 1) - F.greatest(F.col(p) - r, F.lit(0)) + 1
     full = span("px", "img_width") * span("py", "img_height")
-    return votes.crossJoin(F.broadcast(meta.select("img_width", "img_height"))).where("px >= 0 and px < img_width and py >= 0 and py < img_height").where(F.col("n") == full).select("px", "py")
+    return beside(votes, meta, by, "img_width", "img_height").where(_IN_IMAGE).where(F.col("n") == full).select(*own, "px", "py")
 
 
-def close(pixels: DataFrame, meta: DataFrame, size: int = FLOOR.close_size) -> DataFrame:
-    return erode(dilate(pixels, meta, size), meta, size)
+def close(pixels: DataFrame, meta: DataFrame, size: int = FLOOR.close_size, by: list[str] | None = None) -> DataFrame:
+    return erode(dilate(pixels, meta, size, by), meta, size, by)
 
 
-def boundary(pixels: DataFrame) -> DataFrame:
+def boundary(pixels: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Set pixels with an unset neighbour to the left, right, above or below: the edge image of a mask."""
+    own = by or []
     cross = [(1, 0), (-1, 0), (0, 1), (0, -1)]
-    inner = spread(pixels, cross, "px", "py").groupBy("px", "py").agg(F.count("*").alias("n")).where("n = 4")
-    return pixels.join(inner.select("px", "py"), ["px", "py"], "left_anti")
+    inner = spread(pixels, cross, "px", "py").groupBy(*own, "px", "py").agg(F.count("*").alias("n")).where("n = 4")
+    return pixels.join(inner.select(*own, "px", "py"), [*own, "px", "py"], "left_anti")
 
 
-def components(pixels: DataFrame) -> DataFrame:
-    """(px, py, comp): 8-connected regions, named by their least pixel number.
+def components(pixels: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by..., px, py, comp): 8-connected regions, named by their least pixel number (in their scan).
 
     Labels move to the least of a pixel's neighbourhood, then whole regions that met follow their
     least label; each round is a written table, and the loop ends when no label changed."""
+    own = by or []
     number = (F.col("py").cast("long") * (1 << 31)) + F.col("px")
     labels = durable(pixels.withColumn("comp", number), "labels")
     while True:
-        near = spread(labels, offsets(1), "px", "py").groupBy("px", "py").agg(F.min("comp").alias("near"))
-        met = labels.join(near, ["px", "py"]).groupBy("comp").agg(F.min("near").alias("to"))
-        after = durable(labels.join(met, "comp").select("px", "py", F.col("to").alias("comp"), (F.col("to") != F.col("comp")).alias("changed")), "labels")
-        labels = after.select("px", "py", "comp")
+        near = spread(labels, offsets(1), "px", "py").groupBy(*own, "px", "py").agg(F.min("comp").alias("near"))
+        met = labels.join(near, [*own, "px", "py"]).groupBy(*own, "comp").agg(F.min("near").alias("to"))
+        after = durable(labels.join(met, [*own, "comp"]).select(*own, "px", "py", F.col("to").alias("comp"), (F.col("to") != F.col("comp")).alias("changed")), "labels")
+        labels = after.select(*own, "px", "py", "comp")
         if after.where("changed").isEmpty():
             return labels
 

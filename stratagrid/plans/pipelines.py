@@ -59,13 +59,20 @@ class FloorPlan:
     outline: DataFrame
 
 
-def floor_plan(points: DataFrame, found: DataFrame, config: FloorConfig = FLOOR, signed: bool = False) -> FloorPlan:
-    """Wall pixels in a slice above the floor: drawn as dots, closed, and their outline."""
-    height = planes.floor_height(found, points, signed).first()["floor_height"]
-    level = cloud.adaptive_slice(points, (height or 0.0) + config.height, config.half_height, config.least_points, config.fallback_half_height)
-    meta = durable(raster.blueprint_meta(level, config.padding, config.pixels_per_metre), "meta")
-    pixels = durable(raster.close(raster.splat(level, meta, config.dot_radius), meta, config.close_size), "plan")
-    return FloorPlan(meta, pixels, raster.boundary(pixels))
+def floor_plan(points: DataFrame, found: DataFrame, config: FloorConfig = FLOOR, signed: bool = False, by: list[str] | None = None) -> FloorPlan:
+    """Wall pixels in a slice above the floor: drawn as dots, closed, and their outline.
+
+    by: the columns that tell scans apart in points and planes; each has a plan of its own, all in one job."""
+    heights = planes.floor_height(found, points, signed, by)
+    if by:
+        level = points.join(heights, by).withColumn("level", F.coalesce("floor_height", F.lit(0)) + g.real(config.height)).drop("floor_height")
+        level = cloud.adaptive_slice(durable(level, "levels"), F.col("level"), config.half_height, config.least_points, config.fallback_half_height, tuple(by)).drop("level")
+    else:
+        height = heights.first()["floor_height"]
+        level = cloud.adaptive_slice(points, (height or 0.0) + config.height, config.half_height, config.least_points, config.fallback_half_height)
+    meta = durable(raster.blueprint_meta(level, config.padding, config.pixels_per_metre, by), "meta")
+    pixels = durable(raster.close(raster.splat(level, meta, config.dot_radius, by), meta, config.close_size, by), "plan")
+    return FloorPlan(meta, pixels, raster.boundary(pixels, by))
 
 
 @dataclass(frozen=True)

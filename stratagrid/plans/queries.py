@@ -537,6 +537,37 @@ def r1_floor_plan(spark, d):
     return pipelines.floor_plan(inputs.cloud(spark, d), _planes(spark, d)).pixels
 
 
+#: Planes of two of three scans; the third's floor is its lowest point.
+SCAN_PLANES = f"(SELECT *, CAST(plane_id % 2 AS VARCHAR) AS scan_id FROM {PLANE_ROWS})"
+SCAN_LEVELS = f"""c AS MATERIALIZED (SELECT * FROM {SCANS}), h AS (SELECT scan_id, coalesce(p.h, low) + 1.2::DOUBLE AS h, middle FROM (SELECT scan_id, min(z) AS low, median(z) AS middle FROM c GROUP BY scan_id)
+LEFT JOIN (SELECT scan_id, min(abs(d) / sqrt(a*a+b*b+c*c)) AS h FROM {SCAN_PLANES} WHERE c / sqrt(a*a+b*b+c*c) > 0.8 GROUP BY scan_id) p USING (scan_id)),
+e AS (SELECT scan_id, h, middle, (SELECT count(*) FROM c WHERE c.scan_id = h.scan_id AND z > h - 0.1::DOUBLE AND z < h + 0.1::DOUBLE) >= 100 AS enough FROM h),
+s AS MATERIALIZED (SELECT scan_id, x, y FROM c JOIN e USING (scan_id) WHERE CASE WHEN enough THEN z > h - 0.1::DOUBLE AND z < h + 0.1::DOUBLE ELSE z > middle - 0.2::DOUBLE AND z < middle + 0.2::DOUBLE END),
+m AS MATERIALIZED (SELECT scan_id, min(x)-0.5 AS x0, max(y)+0.5 AS y1, CAST(trunc((max(x)+0.5-(min(x)-0.5))*20) AS INT) AS w, CAST(trunc((max(y)+0.5-(min(y)-0.5))*20) AS INT) AS h FROM s GROUP BY scan_id),
+p AS (SELECT DISTINCT scan_id, w, h, CAST(trunc((x-x0)*20) AS INT) AS px, CAST(trunc((y1-y)*20) AS INT) AS py FROM s JOIN m USING (scan_id)), box AS (SELECT a.k AS dx, b.k AS dy FROM range(-2, 3) a(k), range(-2, 3) b(k)),
+q AS (SELECT DISTINCT scan_id, w, h, px+dx AS px, py+dy AS py FROM p, box WHERE dx*dx+dy*dy <= 4 AND px >= 0 AND px < w AND py >= 0 AND py < h AND px+dx >= 0 AND px+dx < w AND py+dy >= 0 AND py+dy < h),
+dil AS (SELECT DISTINCT scan_id, w, h, px+dx AS px, py+dy AS py FROM q, box WHERE px+dx >= 0 AND px+dx < w AND py+dy >= 0 AND py+dy < h),
+ero AS MATERIALIZED (SELECT scan_id, CAST(px+dx AS INT) AS px, CAST(py+dy AS INT) AS py FROM dil, box WHERE px+dx >= 0 AND px+dx < w AND py+dy >= 0 AND py+dy < h GROUP BY scan_id, px+dx, py+dy HAVING count(*) = any_value((least(px+dx+2, w-1)-greatest(px+dx-2, 0)+1)*(least(py+dy+2, h-1)-greatest(py+dy-2, 0)+1)))"""
+
+
+def _scan_plans(spark, d):
+    from ..config import FloorConfig
+
+    found = _planes(spark, d).withColumn("scan_id", (F.col("plane_id") % 2).cast("string"))
+    return pipelines.floor_plan(inputs.scans(spark, d), found, FloorConfig(pixels_per_metre=20), by=["scan_id"])
+
+
+@query(f"WITH {SCAN_LEVELS} SELECT scan_id, px, py FROM ero")
+def r1_floor_plans_of_scans(spark, d):
+    """The closed masks of three scans in one job, each above its own floor."""
+    return _scan_plans(spark, d).pixels
+
+
+@query(f"WITH {SCAN_LEVELS} SELECT scan_id, px, py FROM ero a WHERE (SELECT count(*) FROM ero b WHERE a.scan_id = b.scan_id AND abs(a.px-b.px)+abs(a.py-b.py) = 1) < 4")
+def r4_boundaries_of_scans(spark, d):
+    return _scan_plans(spark, d).outline
+
+
 def _plan(spark, d):
     level = cloud.open_slice(inputs.cloud(spark, d), 1.0, 0.1)
     meta = raster.blueprint_meta(level, resolution=20)

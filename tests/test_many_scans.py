@@ -134,3 +134,31 @@ def test_edge_image_of_a_square(spark):
     assert raster.edge_image(square.where("px < 0"), 40, 40).count() == 0
     faint = square.selectExpr("px", "py", "20 as level")
     assert raster.edge_image(faint, 40, 40, 50, 150).count() == 0 and raster.edge_image(faint, 40, 40, 10, 70).count() > 0
+
+
+def test_floor_plans_of_two_scans(spark):
+    """Each scan's plan and outline are those it has alone: a in the slice above its plane, b around its median height."""
+    from stratagrid.config import FloorConfig
+
+    low = two_rooms(spark).selectExpr("scan_id", "x", "y", "case scan_id when 'a' then z + 0.2 else z + 0.7 end as z")
+    found = spark.createDataFrame([("a", 0, 0.0, 0.0, 1.0, 0.05), ("b", 1, 1.0, 0.0, 0.0, 3.0)], "scan_id string, plane_id int, a double, b double, c double, d double")
+    config = FloorConfig(pixels_per_metre=10, least_points=5)
+    both = pipelines.floor_plan(low, found, config, by=["scan_id"])
+    rows = lambda df: sorted(map(tuple, df.select("px", "py").collect()))
+    for scan in "ab":
+        alone = pipelines.floor_plan(low.where(f"scan_id = '{scan}'"), found.where(f"scan_id = '{scan}'"), config)
+        assert rows(alone.pixels) and rows(both.pixels.where(f"scan_id = '{scan}'")) == rows(alone.pixels)
+        assert rows(both.outline.where(f"scan_id = '{scan}'")) == rows(alone.outline)
+
+
+def test_regions_of_two_scans(spark):
+    pixels = spark.createDataFrame([("a", 0, 0), ("a", 1, 1), ("a", 5, 5), ("b", 1, 0), ("b", 2, 0)], "scan_id string, px int, py int")
+    got = {(r.scan_id, r.px, r.py): r.comp for r in raster.components(pixels, ["scan_id"]).collect()}
+    assert got == {("a", 0, 0): 0, ("a", 1, 1): 0, ("a", 5, 5): 5 * (1 << 31) + 5, ("b", 1, 0): 1, ("b", 2, 0): 1}
+
+
+def test_no_scans_no_plans(spark):
+    none = two_rooms(spark).limit(0)
+    found = spark.createDataFrame([], "scan_id string, plane_id int, a double, b double, c double, d double")
+    plan = pipelines.floor_plan(none, found, by=["scan_id"])
+    assert plan.pixels.count() == 0 and plan.meta.count() == 0
