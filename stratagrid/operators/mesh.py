@@ -1,4 +1,7 @@
-"""Triangle meshes as two relations: vertices(vertex_id, x, y, z) and triangles(face_id, v0, v1, v2)."""
+"""Triangle meshes as two relations: vertices(vertex_id, x, y, z) and triangles(face_id, v0, v1, v2).
+
+Both grow with the mesh, but few columns of them are small files, so Spark would broadcast tables of a million rows and
+more to every executor; joins of the two ask to be merged instead."""
 
 from __future__ import annotations
 
@@ -17,22 +20,21 @@ def faces(vertices: DataFrame, triangles: DataFrame) -> DataFrame:
     """Triangles with their unit normals; a degenerate one has none (null)."""
     out = triangles
     for c in CORNERS:
-        out = out.join(vertices.select(F.col("vertex_id").alias(c), *(F.col(a).alias(f"{c}_{a}") for a in "xyz")), c)
+        out = out.join(vertices.select(F.col("vertex_id").alias(c), *(F.col(a).alias(f"{c}_{a}") for a in "xyz")).hint("merge"), c)
     n = g.cross([F.col(f"v1_{a}") - F.col(f"v0_{a}") for a in "xyz"], [F.col(f"v2_{a}") - F.col(f"v0_{a}") for a in "xyz"])
     out = out.withColumns(dict(zip(("wx", "wy", "wz"), n))).withColumn("w", g.norm("wx", "wy", "wz"))
     return out.select("face_id", *CORNERS, *(F.try_divide(f"w{a}", "w").alias(f"n{a}") for a in "xyz"), (F.col("w") / 2).alias("area"))
 
 
-def edges(triangles: DataFrame) -> DataFrame:
-    """(lo, hi, face_id): the three edges of each triangle, the smaller vertex first."""
+def edges(triangles: DataFrame, *kept: str) -> DataFrame:
+    """(lo, hi, face_id, kept...): the three edges of each triangle, the smaller vertex first."""
     pairs = [F.struct(F.least(F.col(a), F.col(b)).alias("lo"), F.greatest(F.col(a), F.col(b)).alias("hi")) for a, b in (("v0", "v1"), ("v1", "v2"), ("v0", "v2"))]
-    return triangles.select("face_id", F.explode(F.array(*pairs)).alias("e")).select("e.lo", "e.hi", "face_id")
+    return triangles.select("face_id", *kept, F.explode(F.array(*pairs)).alias("e")).select("e.lo", "e.hi", "face_id", *kept)
 
 
 def edge_faces(vertices: DataFrame, triangles: DataFrame) -> DataFrame:
     """Each edge with its number of faces and the angle between the normals of its first and last face."""
-    normal = F.struct("nx", "ny", "nz")
-    both = edges(triangles).join(faces(vertices, triangles).select("face_id", normal.alias("n")), "face_id")
+    both = edges(faces(vertices, triangles).withColumn("n", F.struct("nx", "ny", "nz")), "n")
     grouped = both.groupBy("lo", "hi").agg(F.count("*").alias("n_faces"), F.min_by("n", "face_id").alias("p"), F.max_by("n", "face_id").alias("q"))
     cosine = g.dot([F.col(f"p.n{a}") for a in "xyz"], [F.col(f"q.n{a}") for a in "xyz"])
     return grouped.select("lo", "hi", "n_faces", g.angle_of_cosine(cosine).alias("angle"))
@@ -43,7 +45,7 @@ def feature_edges(vertices: DataFrame, triangles: DataFrame, least_angle: float
     Edges of three faces or more are left out."""
     kept = edge_faces(vertices, triangles).where((F.col("n_faces") == 1) | ((F.col("n_faces") == 2) & (F.col("angle") > least_angle)))
     for end in ("lo", "hi"):
-        kept = kept.join(vertices.select(F.col("vertex_id").alias(end), *(F.col(a).alias(f"{end}_{a}") for a in "xyz")), end)
+        kept = kept.join(vertices.select(F.col("vertex_id").alias(end), *(F.col(a).alias(f"{end}_{a}") for a in "xyz")).hint("merge"), end)
     return kept
 
 
@@ -56,19 +58,20 @@ def trim(vertices: DataFrame, triangles: DataFrame, density: str = "density", sh
 
 def with_vertices(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
     for c in CORNERS:
-        triangles = triangles.join(vertices.select(F.col("vertex_id").alias(c)), c, "left_semi")
+        triangles = triangles.join(vertices.select(F.col("vertex_id").alias(c)).hint("merge"), c, "left_semi")
     return triangles
 
 
 def smooth(vertices: DataFrame, triangles: DataFrame, rounds: int = MESH.smoothing_rounds) -> DataFrame:
-    """Each vertex moves to the mean of itself and its neighbours, round after round."""
+    """Each vertex moves to the mean of itself and its neighbours, round after round; each round is a written table."""
     e = edges(triangles).select("lo", "hi").distinct()
-    links = e.union(e.select("hi", "lo")).toDF("vertex_id", "other")
+    links = durable(e.union(e.select("hi", "lo")).toDF("vertex_id", "other"), "links")
     for _ in range(rounds):
         ends = vertices.select(F.col("vertex_id").alias("other"), *(F.col(a).alias(f"o{a}") for a in "xyz"))
-        sums = links.join(ends, "other").groupBy("vertex_id").agg(F.count("*").alias("degree"), *(F.sum(f"o{a}").alias(f"s{a}") for a in "xyz"))
-        moved = vertices.select("vertex_id", *"xyz").join(sums, "vertex_id", "left")
+        sums = links.join(ends.hint("merge"), "other").groupBy("vertex_id").agg(F.count("*").alias("degree"), *(F.sum(f"o{a}").alias(f"s{a}") for a in "xyz"))
+        moved = vertices.select("vertex_id", *"xyz").join(sums.hint("merge"), "vertex_id", "left")
         vertices = moved.select("vertex_id", *(((F.col(a) + F.coalesce(f"s{a}", g.real(0))) / (1 + F.coalesce("degree", F.lit(0)))).alias(a) for a in "xyz"))
+        vertices = durable(vertices, "smoothed")
     return vertices
 
 
@@ -84,14 +87,14 @@ def clean(vertices: DataFrame, triangles: DataFrame) -> tuple[DataFrame, DataFra
 
     Of vertices at one place the smallest id stays, of triangles with the same corners the smallest face."""
     place = vertices.groupBy("x", "y", "z").agg(F.min("vertex_id").alias("keep"))
-    names = vertices.join(place, ["x", "y", "z"]).select("vertex_id", "keep")
+    names = vertices.join(place.hint("merge"), ["x", "y", "z"]).select("vertex_id", "keep")
     for c in CORNERS:
-        triangles = triangles.join(names.select(F.col("vertex_id").alias(c), F.col("keep").alias(f"{c}_keep")), c).drop(c).withColumnRenamed(f"{c}_keep", c)
+        triangles = triangles.join(names.select(F.col("vertex_id").alias(c), F.col("keep").alias(f"{c}_keep")).hint("merge"), c).drop(c).withColumnRenamed(f"{c}_keep", c)
     proper = triangles.where("v0 <> v1 and v1 <> v2 and v0 <> v2")
     same = F.array_sort(F.array(*CORNERS))
     single = proper.groupBy(same.alias("corners")).agg(F.min(F.struct("face_id", *CORNERS)).alias("t")).select("t.*")
     used = single.select(F.explode(F.array(*CORNERS)).alias("vertex_id")).distinct()
-    kept = vertices.join(place.select(F.col("keep").alias("vertex_id")), "vertex_id", "left_semi").join(used, "vertex_id", "left_semi")
+    kept = vertices.join(place.select(F.col("keep").alias("vertex_id")).hint("merge"), "vertex_id", "left_semi").join(used.hint("merge"), "vertex_id", "left_semi")
     return kept, single
 
 

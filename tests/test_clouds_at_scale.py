@@ -251,3 +251,13 @@ def test_query_registration_pair_by_pair(spark):
                 break
         found = np.asarray([[got[k][f"r{i}{j}"] for j in range(3)] + [got[k][("tx", "ty", "tz")[i]]] for i in range(3)])
         assert np.allclose(found, pose[:3], atol=1e-7)
+
+
+def test_mesh_joins_are_merged(spark):
+    """Vertices and faces grow together: tables of a mesh that look small are not sent to the driver and every executor."""
+    from stratagrid.plans import queries
+
+    d = "/root/testdata/sf0.01"
+    for name in ("a10_m19_o2_edge_angles", "g7_feature_edges", "m18_j7_face_normals", "g5_vertex_normals"):
+        plan = queries.QUERIES[name](spark, d)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan, name
