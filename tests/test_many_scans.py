@@ -157,6 +157,24 @@ def test_regions_of_two_scans(spark):
     assert got == {("a", 0, 0): 0, ("a", 1, 1): 0, ("a", 5, 5): 5 * (1 << 31) + 5, ("b", 1, 0): 1, ("b", 2, 0): 1}
 
 
+def test_regions_cost_few_rounds(spark, monkeypatch):
+    """A bar and a winding line as high as 120 rows, and a repeated pixel: rounds follow the logarithm of the height."""
+    bar = [(0, y) for y in range(120)]
+    winding = [(x, y) for y in range(0, 120, 2) for x in range(10, 20)] + [(19 if y % 4 == 1 else 10, y) for y in range(1, 119, 2)]
+    written, plain = [], raster.durable
+
+    def counted(df, name):
+        written.append(name)
+        assert len(written) <= 40, "a round for each row"
+        return plain(df, name)
+
+    monkeypatch.setattr(raster, "durable", counted)
+    pixels = spark.createDataFrame([*bar, *winding, (0, 7), (2, 50)], "px int, py int")
+    got = sorted(tuple(r) for r in raster.components(pixels).collect())
+    lone = [(2, 50, 50 * (1 << 31) + 2)]
+    assert got == sorted([(x, y, 0) for x, y in [*bar, (0, 7)]] + [(x, y, 10) for x, y in winding] + lone)
+
+
 def test_no_scans_no_plans(spark):
     none = two_rooms(spark).limit(0)
     found = spark.createDataFrame([], "scan_id string, plane_id int, a double, b double, c double, d double")
