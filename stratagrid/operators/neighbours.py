@@ -9,6 +9,7 @@ density of the cloud.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import ceil, log2
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ def within(points: DataFrame, others: DataFrame, radius: float, key: str = "poin
     left = left.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))) if salts > 1 else F.lit(0))
     right = right.withColumn("salt", F.pmod(F.xxhash64("q"), F.lit(salts)).cast("int") if salts > 1 else F.lit(0))
     d2 = sum(((F.col(a) - F.col(f"o{a}")) * (F.col(a) - F.col(f"o{a}")) for a in AXES[1:]), (F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")))
-    pairs = left.join(right, [*by, "cx", "cy", "cz", "salt"]).withColumn("d2", d2)
+    pairs = left.join(right.hint("merge"), [*by, "cx", "cy", "cz", "salt"]).withColumn("d2", d2)
     near = pairs.where(F.col("d2") <= radius * radius)
     return (near.where(F.col("p") != F.col("q")) if apart else near).select(*by, F.col("p").alias("point"), F.col("q").alias("other"), "d2")
 
@@ -192,7 +193,38 @@ def nearest(points: DataFrame, others: DataFrame, k: int, key: str = "point_id",
     return pairs.select(F.col("p"), "q", "d2").withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("p").alias("point"), F.col("q").alias("other"), "d2", "rank")
 
 
-def match(points: DataFrame, others: DataFrame, radius: float, key: str = "point_id", by: tuple[str, ...] = (), apart: bool = True) -> DataFrame:
-    """The nearest other of each point within the radius (of its group); points without one have no row."""
-    best = F.min(F.struct("d2", "other"))
-    return within(points, others, radius, key, by=by, apart=apart).groupBy(*by, "point").agg(best.alias("b")).select(*by, "point", F.col("b.other").alias("other"), F.col("b.d2").alias("d2"))
+@dataclass(frozen=True)
+class Ladder:
+    """What match() looks at: others without copies that can't be nearest, and how often the radius is halved at first."""
+
+    others: DataFrame
+    steps: int
+
+
+def ladder(others: DataFrame, radius: float, key: str = "point_id", by: tuple[str, ...] = ()) -> Ladder:
+    """Of others at one place (of a group) the two smallest ids stay, as a point may be the smallest itself; the radius is
+    halved until a cell that is in use would hold about one of them."""
+    rank = F.row_number().over(Window.partitionBy(*by, *AXES).orderBy(key))
+    single = durable(others.select(*by, key, *AXES).withColumn("same", rank).where("same <= 2").drop("same"), "places")
+    cells = with_cell(single, radius).groupBy(*by, "cx", "cy", "cz").agg(F.count("*").alias("n"))
+    share = cells.agg(F.avg("n").alias("share")).first()["share"] or 1.0
+    return Ladder(single, min(DEEPEST, max(0, ceil(log2(share) / 3))))
+
+
+def match(points: DataFrame, others: DataFrame | Ladder, radius: float, key: str = "point_id", by: tuple[str, ...] = (), apart: bool = True) -> DataFrame:
+    """The nearest other of each point within the radius (of its group), of equal ones the smallest id; points without one
+    have no row.
+
+    A point first looks within a small part of the radius, where few others are however dense the cloud is, and those that
+    found none look twice as far, up to the radius; so what a point meets doesn't grow with the square of the density.
+    others may be a ladder() of the same radius, key and groups, made once for several calls."""
+    rungs = others if isinstance(others, Ladder) else ladder(others, radius, key, by)
+    left, found = points.select(*by, key, *AXES), None
+    for step in range(rungs.steps, -1, -1):
+        best = within(left, rungs.others, radius / 2**step, key, by=by, apart=apart).groupBy(*by, "point").agg(F.min(F.struct("d2", "other")).alias("b"))
+        here = best.select(*by, "point", F.col("b.other").alias("other"), F.col("b.d2").alias("d2"))
+        here = durable(here, "matched") if step else here
+        found = here if found is None else found.unionByName(here)
+        if step:
+            left = durable(left.join(here.select(*by, F.col("point").alias(key)).hint("merge"), [*by, key], "left_anti"), "unmatched")
+    return found

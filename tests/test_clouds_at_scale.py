@@ -253,6 +253,31 @@ def test_query_registration_pair_by_pair(spark):
         assert np.allclose(found, pose[:3], atol=1e-7)
 
 
+def test_match_looks_near_first(spark, monkeypatch):
+    """A dense heap with copies, points at its edge and far ones, in two groups: the nearest of all, and few pairs met."""
+    rng = np.random.default_rng(3)
+    heap = [tuple(map(float, p)) for p in rng.random((600, 3)).round(3) * 0.5]
+    heap = heap + heap[:100] + [(0.9, 0.25, 0.25), (5.0, 5.0, 5.0), (5.4, 5.0, 5.0)]
+    rows = [(k, i, x + k, y, z) for k in (0, 1) for i, (x, y, z) in enumerate(heap)]
+    points, radii, plain = spark.createDataFrame(rows, "k int, " + POINT), [], neighbours.within
+
+    def seen(left, others, radius, *args, **kw):
+        radii.append((radius, left.count()))
+        return plain(left, others, radius, *args, **kw)
+
+    monkeypatch.setattr(neighbours, "within", seen)
+    place = np.asarray(heap)
+    d2 = ((place[:, None] - place[None]) ** 2).sum(axis=2)
+    for apart in (True, False):
+        radii.clear()
+        got = {(r.k, r.point): r.other for r in neighbours.match(points, points, 0.5, by=("k",), apart=apart).collect()}
+        d = d2 + np.diag([np.inf] * len(heap)) if apart else d2
+        near = {i: set(np.flatnonzero(d[i] <= d[i].min() + 1e-12)) for i in range(len(heap)) if d[i].min() <= 0.25}
+        assert got.keys() == {(k, i) for k in (0, 1) for i in near}
+        assert all(got[k, i] in near[i] for k, i in got) and all(got[k, i] == min(near[i]) for k, i in got if d[i].min() == 0)
+        assert radii[0][0] < 0.2 and radii[-1][0] == 0.5 and radii[-1][1] < 10
+
+
 def test_mesh_joins_are_merged(spark):
     """Vertices and faces grow together: tables of a mesh that look small are not sent to the driver and every executor."""
     from stratagrid.plans import queries
