@@ -189,11 +189,12 @@ def register_pairs(moving: DataFrame, target: DataFrame, distance: float, rounds
     open_pairs = durable(moving.select("pair_id").distinct().withColumns(start), "poses")
     named = target.select("pair_id", F.col(key).alias("other"), *(F.col(c).alias(f"t_{c}") for c in ("x", "y", "z", "nx", "ny", "nz")))
     settled = None
+    rungs = neighbours.ladder(target, distance, key, ("pair_id",))
     for _ in range(rounds):
         now = moving.join(open_pairs, "pair_id")
-        now = now.withColumns(g.transform("x", "y", "z")).select("pair_id", key, "x", "y", "z")
-        near = neighbours.match(now, target, distance, key, by=("pair_id",), apart=False).withColumnRenamed("point", key)
-        pairs = near.join(now, ["pair_id", key]).join(named, ["pair_id", "other"])
+        now = durable(now.withColumns(g.transform("x", "y", "z")).select("pair_id", key, "x", "y", "z"), "moved")
+        near = neighbours.match(now, rungs, distance, key, by=("pair_id",), apart=False).withColumnRenamed("point", key)
+        pairs = near.join(now.hint("merge"), ["pair_id", key]).join(named.hint("merge"), ["pair_id", "other"])
         p, n = [F.col(a) for a in "xyz"], [F.col(f"t_n{a}") for a in "xyz"]
         row = [*g.cross(p, n), *n]
         gap = g.dot([F.col(f"t_{a}") - F.col(a) for a in "xyz"], n)
