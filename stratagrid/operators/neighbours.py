@@ -42,6 +42,8 @@ def within(points: DataFrame, others: DataFrame, radius: float, key: str = "poin
 
 #: Times that a cell can be halved each way, and how many of them one round looks at.
 DEEPEST, STEP = 30, 5
+#: Points of which one task looks up the cells; each meets dozens of them.
+EACH = 5000
 #: A cell that holds more than this share of the points is met by broadcast; there are at most as many a level.
 HOT_SHARE = 1000
 _BOX = [f"{e}_{a}" for e in ("low", "high") for a in AXES]
@@ -161,7 +163,9 @@ def nearest(points: DataFrame, others: DataFrame, k: int, key: str = "point_id",
     reach2 = F.coalesce("r2", F.lit(float("inf")))
     if widest is not None:
         reach2 = F.least(reach2, g.real(widest * widest))
-    known = known.withColumn("r2", reach2).withColumn("r", F.sqrt("r2") * (1 + 1e-9))
+    # few bytes that become many rows: left to Spark's sizes, one task would look for all of them
+    tasks = max(points.sparkSession.sparkContext.defaultParallelism, t.n // EACH)
+    known = known.repartition(tasks, "p").withColumn("r2", reach2).withColumn("r", F.sqrt("r2") * (1 + 1e-9))
     # the level whose cells are at least half as wide as the distance, so that few of them reach across it
     finest = F.when(F.col("r") > 0, F.floor(F.log2(g.real(2 * t.size) / F.col("r")))).otherwise(t.depth)
     known = known.withColumn("m", F.greatest(F.least(finest, F.lit(t.depth)), F.lit(0)).cast("int"))

@@ -47,9 +47,7 @@ def spanning_signs(points: DataFrame, edges: DataFrame, key: str = "point_id") -
         hooks = hooks.join(back, "to", "left").select("tree", F.when((F.col("back") == F.col("tree")) & (F.col("tree") < F.col("to")), F.col("tree")).otherwise(F.col("to")).alias("to"), "s")
         hooks = durable(hooks.withColumn("s", F.when(F.col("to") == F.col("tree"), 1).otherwise(F.col("s"))), "hooks")
         while True:
-            further = hooks.select(F.col("tree").alias("to"), F.col("to").alias("then"), F.col("s").alias("more"))
-            jumped = hooks.join(further, "to").select("tree", F.col("then").alias("to"), (F.col("s") * F.col("more")).alias("s"), (F.col("then") != F.col("to")).alias("moved"))
-            jumped = durable(jumped, "hooks")
+            jumped = durable(_jump(_jump(hooks).drop("moved")), "hooks")
             hooks = jumped.drop("moved")
             if not jumped.where("moved").take(1):
                 break
@@ -58,6 +56,12 @@ def spanning_signs(points: DataFrame, edges: DataFrame, key: str = "point_id") -
         edges = outer.select("a", "b", "weight", "sign")
 
 
+def _jump(hooks: DataFrame) -> DataFrame:
+    """Each tree's pointer led on to where the tree it points at points, signs multiplied."""
+    further = hooks.select(F.col("tree").alias("to"), F.col("to").alias("then"), F.col("s").alias("more"))
+    return hooks.join(further, "to").select("tree", F.col("then").alias("to"), (F.col("s") * F.col("more")).alias("s"), (F.col("then") != F.col("to")).alias("moved"))
+
+
 def orient(points: DataFrame, pairs: DataFrame, key: str = "point_id") -> DataFrame:
     """points(key, x, y, z, nx, ny, nz) with normals that agree along the forest of the pairs(point, other).
 

@@ -286,3 +286,17 @@ def test_mesh_joins_are_merged(spark):
     for name in ("a10_m19_o2_edge_angles", "g7_feature_edges", "m18_j7_face_normals", "g5_vertex_normals"):
         plan = queries.QUERIES[name](spark, d)._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan, name
+
+
+def test_one_search_serves_normals_and_forest(spark, monkeypatch):
+    """The query looks for neighbours once; normals from a wider search are those of their own."""
+    from stratagrid.plans import inputs, queries
+
+    searched, nearest = [], neighbours.nearest
+    monkeypatch.setattr(neighbours, "nearest", lambda *a, **b: searched.append(1) or nearest(*a, **b))
+    d = "/root/testdata/sf0.001"
+    assert queries.QUERIES["p5_spanning_orientation"](spark, d).count() and len(searched) == 1
+    p = inputs.identified(spark, d)
+    near = nearest(p, p, 35).cache()
+    own, shared = (sorted(tuple(r) for r in cloud.normals(p, radius=0.2, most=12, **given).collect()) for given in ({}, {"near": near}))
+    assert [r[0] for r in own] == [r[0] for r in shared] and np.allclose(own, shared, rtol=0, atol=1e-9)
