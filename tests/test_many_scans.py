@@ -180,3 +180,39 @@ def test_no_scans_no_plans(spark):
     found = spark.createDataFrame([], "scan_id string, plane_id int, a double, b double, c double, d double")
     plan = pipelines.floor_plan(none, found, by=["scan_id"])
     assert plan.pixels.count() == 0 and plan.meta.count() == 0
+
+
+def test_cost_fields_cross_tiles(spark, monkeypatch):
+    """Costs of two random grids in small tiles are Dijkstra's; a long corridor takes a round a tile, not one a dozen cells."""
+    import heapq
+
+    rng = np.random.default_rng(6)
+    free = {(s, x, y) for s in ("a", "b") for x in range(-9, 17) for y in range(-3, 23) if rng.random() < 0.6 or (x, y) == (0, 0)}
+    starts = [("a", 0, 0), ("b", 0, 0), ("b", -9, 22), ("c", 0, 0)]
+    want, todo = {}, [(0.0, s) for s in starts if s in free]
+    while todo:
+        cost, (s, x, y) = heapq.heappop(todo)
+        if (s, x, y) in want:
+            continue
+        want[s, x, y] = cost
+        todo_next = [(cost + c, (s, x + dx, y + dy)) for dx, dy, c in planning.STEPS if (s, x + dx, y + dy) in free]
+        for n in todo_next:
+            heapq.heappush(todo, n)
+    kind = "scan_id string, gx int, gy int"
+    got = {(r.scan_id, r.gx, r.gy): r.cost for r in planning.cost_fields(spark.createDataFrame(sorted(free), kind), spark.createDataFrame(starts, kind), side=5).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-8 for k in want)
+    rounds, write = [], planning.durable
+    monkeypatch.setattr(planning, "durable", lambda df, name: rounds.append(name) or write(df, name))
+    corridor = spark.range(300).selectExpr("'a' AS scan_id", "int(id) AS gx", "0 AS gy")
+    assert planning.cost_fields(corridor, corridor.where("gx = 0")).agg({"cost": "max"}).first()[0] == 299
+    assert rounds.count("costs") <= 6
+
+
+def test_points_of_grids_are_read_twice(spark, monkeypatch):
+    """A grid's facts are a table before its cells are found, so the points are not read again for each use of them."""
+    made, write = [], raster.durable
+    monkeypatch.setattr(raster, "durable", lambda df, name: made.append(name) or write(df, name))
+    points = spark.createDataFrame([("a", 0.0, 0.0, 1.0), ("a", 0.55, 0.35, 1.0), ("b", 3.0, 1.0, 1.0)], "scan_id string, x double, y double, z double")
+    occ, info = raster.occupancy(points, margin=0, by=["scan_id"])
+    assert made == ["grid"] and {(r.scan_id, r.gx, r.gy) for r in occ.collect()} == {("a", 0, 0), ("a", 5, 3), ("b", 0, 0)}
+    assert {(r.scan_id, r.nx, r.ny) for r in info.collect()} == {("a", 6, 4), ("b", 1, 1)}
