@@ -66,14 +66,23 @@ CHUNK = 50_000
 _PLANE = ("a", "b", "c", "d")
 
 
-def candidate_planes(points: DataFrame, number: int, turn: int, seed: int, key: str, by: str) -> DataFrame:
+def candidate_planes(points: DataFrame, sizes: DataFrame, number: int, turn: int, seed: int, key: str, by: str) -> DataFrame:
     """(by, candidate, a, b, c, d): unit planes with c >= 0 through three points each of a scan; degenerate ones are left out.
 
-    The points are the 3 * number of a scan whose id has the smallest digest with seed and turn, three after three; a
-    task passes on no more than those of each scan."""
+    The points are the 3 * number of a scan whose id has the smallest digest with seed and turn, three after three. Only
+    points whose digest is below the share that holds so many of the scan's n (sizes(by, n)) are ranked; a scan in which
+    too few are, as with repeated ids, ranks all of its points."""
     name = F.md5(F.concat_ws(":", F.col(by).cast("string"), F.col(key).cast("string"), F.lit(seed), F.lit(turn)).cast("binary"))
+    wanted = 3 * number
+    share = (wanted + 12 * wanted**0.5 + 60) / F.col("n")
+    named = points.join(sizes.select(by, "n"), by).select(by, key, "x", "y", "z", "n", name.alias("name"))
+    low = durable(named.where(F.conv(F.substring("name", 1, 15), 16, 10).cast("double") < share * 2.0**60), "drawn")
+    counts = low.groupBy(by).agg(F.count("*").alias("held"))
+    short = sizes.join(counts, by, "left").where(F.coalesce("held", F.lit(0)) < F.least("n", F.lit(wanted))).select(by)
+    if short.take(1):
+        low = low.join(short, by, "left_anti").select(*low.columns).unionByName(named.join(short, by, "left_semi").select(*low.columns))
     rank = F.row_number().over(Window.partitionBy(by).orderBy("name", key))
-    drawn = points.select(by, key, "x", "y", "z", name.alias("name")).withColumn("k", rank).where(F.col("k") <= 3 * number).withColumn("k", F.col("k") - 1)
+    drawn = low.drop("n").withColumn("k", rank).where(F.col("k") <= wanted).withColumn("k", F.col("k") - 1)
     corners = [F.max(F.when(F.col("k") % 3 == j, F.col(a))).alias(f"{a}{j}") for j in range(3) for a in "xyz"]
     triples = drawn.groupBy(by, F.floor(F.col("k") / 3).cast("int").alias("candidate")).agg(F.count("*").alias("n"), *corners).where("n = 3")
     p, q = ([F.col(f"{a}{j}") - F.col(f"{a}0") for a in "xyz"] for j in (1, 2))
@@ -88,6 +97,54 @@ def _inside(distance: float) -> Column:
     return F.abs(F.col("a") * F.col("x") + F.col("b") * F.col("y") + F.col("c") * F.col("z") + F.col("d")) < distance
 
 
+#: Points of a box that are tested one by one, and parts that a larger box is divided into.
+BOX, PARTS = 128, 4
+
+
+def _near_each_other(places: np.ndarray) -> np.ndarray:
+    """The order of places(n, 3) along a curve that fills their cube, so that slices lie close together."""
+    with np.errstate(invalid="ignore", over="ignore"):
+        low = places.min(axis=0)
+        share = np.nan_to_num((places - low) / ((places.max(axis=0) - low).max() or 1.0), nan=0.0, posinf=1.0)
+    cell = (np.clip(share, 0, 1) * 1023).astype(np.int64)
+    code = np.zeros(len(cell), dtype=np.int64)
+    for bit in range(10):
+        for axis in range(3):
+            code |= (cell[:, axis] >> bit & 1) << (3 * bit + axis)
+    return np.argsort(code, kind="stable")
+
+
+def count_within(x: np.ndarray, y: np.ndarray, z: np.ndarray, planes: list[np.ndarray], distance: float) -> np.ndarray:
+    """How many points lie within the distance of each of the planes (a, b, c, d), exactly.
+
+    A box of points that a plane misses or holds whole, with room for rounding, is counted at once; else it is divided,
+    and points of the last boxes are tested themselves."""
+    a, b, c, d = planes
+    order = _near_each_other(np.stack([x, y, z], axis=1))
+    x, y, z = x[order], y[order], z[order]
+    total = np.zeros(len(d), dtype=np.int64)
+    slack = 1e-12 * (np.abs(a) * np.abs(x).max() + np.abs(b) * np.abs(y).max() + np.abs(c) * np.abs(z).max() + np.abs(d) + 1)
+    todo = [(0, len(x), np.arange(len(d)))]
+    while todo:
+        first, last, who = todo.pop()
+        k = slice(first, last)
+        if last - first > BOX:
+            with np.errstate(invalid="ignore"):
+                ends = [(v[k].min(), v[k].max()) for v in (x, y, z)]
+                (mx, hx), (my, hy), (mz, hz) = (((low + high) / 2, (high - low) / 2) for low, high in ends)
+                far = np.abs(a[who] * mx + b[who] * my + c[who] * mz + d[who])
+                reach = np.abs(a[who]) * hx + np.abs(b[who]) * hy + np.abs(c[who]) * hz + slack[who]
+                whole, missed = far + reach < distance, far - reach >= distance
+            total[who[whole]] += last - first
+            who = who[~whole & ~missed]
+            if len(who):
+                cuts = np.linspace(first, last, PARTS + 1).astype(int)
+                todo += [(p, q, who) for p, q in zip(cuts[:-1], cuts[1:], strict=True)]
+        else:  # summed in the order of the expression, so that limits fall alike
+            total[who] += (np.abs(a[who] * x[k, None] + b[who] * y[k, None] + c[who] * z[k, None] + d[who]) < distance).sum(axis=0)
+    return total
+
+
 def best_planes(points: DataFrame, candidates: DataFrame, sizes: DataFrame, distance: float, key: str, by: str) -> DataFrame:
     """(by, a, b, c, d, num_points) of each scan's candidate with most points within the distance, of equal ones the first.
 
@@ -100,11 +157,7 @@ def best_planes(points: DataFrame, candidates: DataFrame, sizes: DataFrame, dist
     def count(own: pa.Table, asked: pa.Table) -> pa.Table:
         total = np.zeros(asked.num_rows, dtype=np.int64)
         if own.num_rows and asked.num_rows:
-            a, b, c, d = (asked.column(n).to_numpy() for n in _PLANE)
-            x, y, z = (own.column(n).to_numpy()[:, None] for n in "xyz")
-            for s in range(0, len(x), 256):
-                k = slice(s, s + 256)  # summed in the order of the expression, so that limits fall alike
-                total += (np.abs(a * x[k] + b * y[k] + c * z[k] + d) < distance).sum(axis=0)
+            total = count_within(*(own.column(n).to_numpy() for n in "xyz"), [asked.column(n).to_numpy() for n in _PLANE], distance)
         return pa.table({by: asked.column(by), "candidate": asked.column("candidate"), "n": pa.array(total)})
 
     part = F.pmod(F.xxhash64(key), F.col("parts")).cast("int").alias("part")
@@ -125,8 +178,8 @@ def detect_scans(points: DataFrame, distance: float = PLANES.distance, candidate
     own = points.select(by, key, *(F.col(a).cast("double").alias(a) for a in "xyz")).where(" and ".join(f"{a} is not null and not isnan({a})" for a in "xyz"))
     left, found, members = durable(own, "remaining"), None, None
     for plane_id in range(most):
-        sizes = durable(left.groupBy(by).agg(F.count("*").alias("n")).where(F.col("n") >= least).select(by, F.ceil(F.col("n") / CHUNK).cast("int").alias("parts")), "sizes")
-        drawn = durable(candidate_planes(left.join(sizes.select(by), by, "left_semi"), candidates, plane_id, seed, key, by), "candidates")
+        sizes = durable(left.groupBy(by).agg(F.count("*").alias("n")).where(F.col("n") >= least).select(by, "n", F.ceil(F.col("n") / CHUNK).cast("int").alias("parts")), "sizes")
+        drawn = durable(candidate_planes(left, sizes, candidates, plane_id, seed, key, by), "candidates")
         best = durable(best_planes(left, drawn, sizes, distance, key, by).where(F.col("num_points") >= least), "planes")
         if not best.take(1):
             break

@@ -300,3 +300,38 @@ def test_one_search_serves_normals_and_forest(spark, monkeypatch):
     near = nearest(p, p, 35).cache()
     own, shared = (sorted(tuple(r) for r in cloud.normals(p, radius=0.2, most=12, **given).collect()) for given in ({}, {"near": near}))
     assert [r[0] for r in own] == [r[0] for r in shared] and np.allclose(own, shared, rtol=0, atol=1e-9)
+
+
+def test_members_are_counted_by_boxes():
+    """Boxes give the counts of single tests, with limits hit exactly, points at one place and far ones; most aren't tested singly."""
+    rng = np.random.default_rng(8)
+    x, y = rng.random((2, 6000)) * 8
+    z = np.where(np.arange(6000) % 7 == 0, rng.random(6000) * 3, np.arange(6000) % 5 / 4.0)
+    x[:900], y[:900], z[:900] = 1.0, 2.0, 0.25
+    x[-1], y[-2] = np.inf, 1e12
+    normal = rng.normal(size=(200, 3))
+    normal[:60] = (0.0, 0.0, 1.0)
+    a, b, c = (normal / np.linalg.norm(normal, axis=1)[:, None]).T
+    d = -rng.random(200) * 4
+    d[:60] = -(np.arange(60) - 10) / 20.0
+    with np.errstate(invalid="ignore"):
+        want = (np.abs(a * x[:, None] + b * y[:, None] + c * z[:, None] + d) < 0.05).sum(axis=0)
+        assert np.array_equal(planes.count_within(x, y, z, [a, b, c, d], 0.05), want)
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_candidates_are_drawn_below_a_digest(spark, monkeypatch, repeated):
+    """Few of many points are ranked, and the same are drawn; where one id is repeated all are ranked."""
+    import hashlib
+
+    rows, write = [], planes.durable
+    monkeypatch.setattr(planes, "durable", lambda df, name: rows.append(write(df, name)) or rows[-1])
+    place = [(i // 2000 if repeated else i, float(i % 13), float(i % 17), float(i * i % 29)) for i in range(4000)]
+    points = spark.createDataFrame([("s", *p) for p in place], "scan_id string, " + POINT)
+    sizes = points.groupBy("scan_id").count().withColumnRenamed("count", "n")
+    got = planes.candidate_planes(points, sizes, 20, 1, 42, "point_id", "scan_id").count()
+    assert got > 0
+    if not repeated:
+        assert 60 <= rows[0].count() < 500
+        first = {p[0] for p in sorted(place, key=lambda p: hashlib.md5(f"s:{p[0]}:42:1".encode()).hexdigest())[:60]}
+        assert first <= {r.point_id for r in rows[0].collect()}
