@@ -40,7 +40,7 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 
 
 class _Keyframes(StatefulProcessor):
-    """State of a scan: the number that comes next and the last kept pose; frames that came before their turn."""
+    """State of a scan: the number that comes next, the last kept pose and the timer of those that wait; frames that came before their turn."""
 
     def __init__(self, kind: str, least_move: float, least_turn: float, patience_ms: int, idle_ms: int) -> None:
         self.kind, self.least_move, self.least_turn = kind, least_move, least_turn
@@ -48,7 +48,7 @@ class _Keyframes(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "next_id long, kept boolean, " + ", ".join(f"{c} double" for c in _POSE), self.idle_ms)
+        self.last = handle.getValueState("last", "next_id long, kept boolean, due long, " + ", ".join(f"{c} double" for c in _POSE), self.idle_ms)
         self.waiting = handle.getListState("waiting", _FRAME, self.idle_ms)
 
     def moved(self, a: tuple, b: tuple) -> bool:
@@ -56,45 +56,47 @@ class _Keyframes(StatefulProcessor):
         turn = math.degrees(math.acos(max(-1.0, min(1.0, cosine)))) if not math.isnan(cosine) else math.nan
         return math.dist(a[9:], b[9:]) > self.least_move or turn > self.least_turn
 
-    def take(self, key: tuple, found: list[tuple], all_of_them: bool) -> Iterator[pd.DataFrame]:
-        """Takes the frames whose turn it is (or all) in order; the others wait on."""
-        state = self.last.get() if self.last.exists() else (0, False, *[0.0] * len(_POSE))
-        turn, pose = state[0], tuple(state[2:]) if state[1] else None
+    def take(self, key: tuple, rows: list[tuple], now_ms: int | None) -> Iterator[pd.DataFrame]:
+        """Takes the frames whose turn it is (all, where now_ms is none) in order; the others wait on, until a timer.
+
+        Each call of the state is a round trip to the JVM, so whether frames wait is read off the last state's timer."""
+        state = self.last.get() or (0, False, 0, *[0.0] * len(_POSE))
+        turn, due, pose = state[0], state[2], tuple(state[3:]) if state[1] else None
         kept, wait = [], []
-        for frame, *now in sorted(found):
+        for frame, *now in sorted([*(tuple(r) for r in self.waiting.get()), *rows] if due else rows):
             if frame < turn:
                 continue  # late or repeated
-            if frame > turn and not all_of_them:
+            if frame > turn and now_ms is not None:
                 wait.append((frame, *now))
                 continue
             turn = frame + 1
             if pose is None or self.moved(pose, tuple(now)):
                 pose = tuple(now)
                 kept.append((key[0], frame, *now))
-        self.last.update((turn, pose is not None, *(pose or [0.0] * len(_POSE))))
         if wait:
             self.waiting.put(wait)
-        else:
+            if not due:
+                due = now_ms + self.patience_ms
+                self.handle.registerTimer(due)
+        elif due:
             self.waiting.clear()
-        yield pd.DataFrame(kept, columns=[self.kind, "frame_id", *_POSE])
+            if now_ms is not None:
+                self.handle.deleteTimer(due)
+            due = 0
+        self.last.update((turn, pose is not None, due, *(pose or [0.0] * len(_POSE))))
+        if kept:
+            yield pd.DataFrame(kept, columns=[self.kind, "frame_id", *_POSE])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        found = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        found = []
         for part in rows:
-            part = part.dropna(subset=["frame_id"])
-            found += [(int(r[0]), *map(float, r[1:])) for r in part[["frame_id", *_POSE]].itertuples(index=False, name=None)]
-        yield from self.take(key, found, False)
-        due = list(self.handle.listTimers())
-        if self.waiting.exists() and not due:
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience_ms)
-        elif due and not self.waiting.exists():
-            for t in due:
-                self.handle.deleteTimer(t)
+            places = zip(part["frame_id"].tolist(), *(part[c].astype(float).tolist() for c in _POSE), strict=True)
+            found += [(int(r[0]), *r[1:]) for r in places if not pd.isna(r[0])]
+        yield from self.take(key, found, timerValues.getCurrentProcessingTimeInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """The frames before those that wait are given up."""
-        found = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        yield from self.take(key, found, True)
+        yield from self.take(key, [], None)
 
     def close(self) -> None:
         pass

@@ -258,3 +258,28 @@ def test_no_rows_on_a_stream(spark, tmp_path):
     every = poses(spark, [0.0]).select("scan_id", "frame_id", *g.POSE)
     every.where("false").write.parquet(source)
     assert scans.appended(scans.keyframes(spark.readStream.schema(every.schema).parquet(source)), "kept").count() == 0
+
+
+def test_keyframes_ask_the_state_seldom():
+    """A scan costs few round trips to the state: four where frames begin to wait, six where the last gap closes."""
+    from unittest.mock import MagicMock
+
+    import pandas as pd
+
+    from stratagrid.functions import geometry as g
+    from stratagrid.streaming import scans
+
+    def frames(*ids):
+        return iter([pd.DataFrame([(i, *[1.0, 0, 0, 0, 1, 0, 0, 0, 1], float(i), 0, 0) for i in ids], columns=["frame_id", *g.POSE])])
+
+    one, held, times = scans._Keyframes("scan_id", 0.08, 4.0, 1000, 10_000), {}, MagicMock()
+    times.getCurrentProcessingTimeInMs.return_value = 5
+    one.handle, one.last, one.waiting = MagicMock(), MagicMock(), MagicMock()
+    one.last.get.side_effect = lambda: held.get("last")
+    one.last.update.side_effect = lambda v: held.update(last=v)
+    one.waiting.get.side_effect = lambda: iter(held["wait"])
+    one.waiting.put.side_effect = lambda v: held.update(wait=v)
+    calls = lambda: sum(len(m.method_calls) for m in (one.handle, one.last, one.waiting))
+    assert [list(d["frame_id"]) for d in one.handleInputRows(("a",), frames(0, 2), times)] == [[0]] and calls() == 4
+    assert [list(d["frame_id"]) for d in one.handleInputRows(("a",), frames(1), times)] == [[1, 2]] and calls() <= 10
+    one.handle.deleteTimer.assert_called_once_with(1005)
