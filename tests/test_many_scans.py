@@ -216,3 +216,18 @@ def test_points_of_grids_are_read_twice(spark, monkeypatch):
     occ, info = raster.occupancy(points, margin=0, by=["scan_id"])
     assert made == ["grid"] and {(r.scan_id, r.gx, r.gy) for r in occ.collect()} == {("a", 0, 0), ("a", 5, 3), ("b", 0, 0)}
     assert {(r.scan_id, r.nx, r.ny) for r in info.collect()} == {("a", 6, 4), ("b", 1, 1)}
+
+
+def test_grids_are_made_once(spark, monkeypatch):
+    """Endpoints that are chosen on grids are planned on the same ones: the points are not made into grids again."""
+    from stratagrid.config import GridConfig
+    from stratagrid.plans.queries import QUERIES
+
+    made, write = [], raster.durable
+    monkeypatch.setattr(raster, "durable", lambda df, name: made.append(name) or write(df, name))
+    assert {r.scan_id for r in QUERIES["s16_path_files"](spark, "/root/testdata/sf0.001").collect()} == {"0", "1", "2"}
+    assert made == ["grid"]
+    points, config = two_rooms(spark), GridConfig(margin=0)
+    ends = spark.createDataFrame([("a", 0.35, 0.35, 1.65, 1.65)], "scan_id string, start_x double, start_y double, goal_x double, goal_y double")
+    given = pipelines.plan_scan(points.limit(0), ends, config, pipelines.grids(points, config)).statistics.collect()
+    assert given == pipelines.plan_scan(points, ends, config).statistics.collect() and given[0].success
