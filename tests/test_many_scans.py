@@ -231,3 +231,32 @@ def test_grids_are_made_once(spark, monkeypatch):
     ends = spark.createDataFrame([("a", 0.35, 0.35, 1.65, 1.65)], "scan_id string, start_x double, start_y double, goal_x double, goal_y double")
     given = pipelines.plan_scan(points.limit(0), ends, config, pipelines.grids(points, config)).statistics.collect()
     assert given == pipelines.plan_scan(points, ends, config).statistics.collect() and given[0].success
+
+
+#: The pixels of the paths of three scans over grids of all their points, by the SQL of the queries for grids, costs and paths.
+OVERLAY = """WITH RECURSIVE {grids}, {ends}, {costs}, {field},
+w(scan_id, gx, gy, back) AS (SELECT m.scan_id, tx, ty, 0 FROM m JOIN p ON p.scan_id = m.scan_id AND p.gx = tx AND p.gy = ty UNION ALL SELECT w.scan_id, p.b.x, p.b.y, back + 1 FROM w JOIN p ON p.scan_id = w.scan_id AND p.gx = w.gx AND p.gy = w.gy WHERE p.cost > 0),
+k AS (SELECT min(x) - 0.5 AS x_min, max(y) + 0.5 AS y_max FROM s),
+d AS (SELECT w.scan_id, back, CAST(trunc((gx * 0.1::DOUBLE + x0 - x_min) * 100) AS INT) AS px, CAST(trunc((y_max - (gy * 0.1::DOUBLE + y0)) * 100) AS INT) AS py FROM w JOIN i USING (scan_id), k),
+l AS (SELECT a.scan_id, a.px, a.py, b.px - a.px AS dx, b.py - a.py AS dy, greatest(abs(b.px - a.px), abs(b.py - a.py), 1) AS n FROM d a JOIN d b ON b.scan_id = a.scan_id AND b.back = a.back - 1)
+SELECT DISTINCT scan_id, CAST(round(px + t.k / n::DOUBLE * dx) AS INT) AS px, CAST(round(py + t.k / n::DOUBLE * dy) AS INT) AS py FROM l, range(100) t(k) WHERE t.k <= n"""
+
+
+def test_overlay_is_of_all_points(spark, tmp_path):
+    """Every point of a scan is in the grid that its drawn path keeps clear of, whatever its id."""
+    import duckdb
+
+    from stratagrid.plans import queries as q
+
+    c = duckdb.connect()
+    c.execute("CREATE VIEW events AS SELECT * FROM read_parquet('/root/testdata/sf0.001/events.parquet')")
+    costs = q.SCAN_COSTS.replace("FROM f WHERE gx = 0 UNION", "FROM f JOIN m USING (scan_id) WHERE gx = sx AND gy = sy UNION")
+    want = c.sql(OVERLAY.format(grids=q.SCAN_GRIDS.replace(" AND point_id % 3 = 0", ""), ends=q.SCAN_ENDS, costs=costs, field=q.SCAN_FIELD)).fetchall()
+    got = [(r.scan_id, r.px, r.py) for r in q.QUERIES["r10_path_overlay"](spark, "/root/testdata/sf0.001").collect()]
+    assert sorted(got) == sorted(want) and {s for s, _, _ in got} == {"0", "1", "2"}
+
+    # two corners of one scan, of ids that 3 doesn't divide: a line from x = 0 to x = 0.4 on a plan that starts at x = -0.5
+    events = [(388, 3, 0.0), (1163, 3, 45.0)]
+    spark.createDataFrame(events, "event_id long, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    drawn = q.QUERIES["r10_path_overlay"](spark, f"file://{tmp_path}").collect()
+    assert {r.scan_id for r in drawn} == {"0"} and {min(r.px for r in drawn), max(r.px for r in drawn)} == {50, 90}
